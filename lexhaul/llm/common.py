@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,3 +71,78 @@ def without_ascii_space(text: Column) -> Column:
 def tasks_for(spark: SparkSession, rows: int, per_task: int) -> int:
     """Enough partitions to hold at most about `per_task` rows each."""
     return max(1, -(-rows // per_task))
+
+
+def broadcast_if(df: DataFrame, rows: int, limit: int = 200_000) -> DataFrame:
+    """A broadcast hint only for counted, narrow rows within `limit`; beyond it the join shuffles."""
+    return F.broadcast(df) if rows <= limit else df
+
+
+def beside_leader(docs: DataFrame, pairs: DataFrame, prepare: Callable, compare: Callable, columns: str, id_col: str, text_col: str, per_group: int = 2000) -> DataFrame:
+    """compare(prepare(text of a), prepare(text of b)) for each row of `pairs` (a, b and nothing else), whole texts.
+
+    Returns a, b and the values of `columns` (a DDL string) that compare yields, any number of rows for a pair.
+    Members travel to their leader once for each pair; a leader with many members is sent to several
+    groups of about `per_group`, so no task holds more than one leader and one member at a time.
+    """
+    scratch = Scratch(docs.sparkSession)
+    text = docs.select(docs[id_col].alias("_d"), docs[text_col].alias("_t"))
+    needed = scratch.write(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_d"), "needed")
+    text = text.join(broadcast_if(needed, needed.count()), "_d", "left_semi")
+    groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("_n"))
+    leaders = groups.join(text, F.col("a") == F.col("_d")).select("a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(None).cast("long").alias("b"), "_t")
+    members = pairs.join(groups, "a").join(text, F.col("b") == F.col("_d")).select("a", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("_s"), "b", "_t")
+    dealt = leaders.unionByName(members).repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
+    names = [f.split()[0] for f in columns.split(",")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, heads = None, []
+        for batch in batches:
+            out = []
+            for a, s, b, t in zip(*(batch.column(k).to_pylist() for k in range(3)), batch.column(3), strict=True):
+                if key != (a, s):
+                    key, heads = (a, s), []
+                thing = prepare(t.as_py() or "")
+                if b is None:
+                    heads.append(thing)
+                else:
+                    out += [(a, b, *found) for head in heads for found in compare(head, thing)]
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(["a", "b", *names], o, strict=True)) for o in out], schema=shape)
+
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    ddl = f"a long, b long, {columns}"
+    shape = to_arrow_schema(StructType.fromDDL(ddl))
+    return map_arrow(dealt.select("a", "_s", "b", "_t"), run, ddl)
+
+
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """Connected components of the rows (u, v): node, component, the smallest node that can be reached.
+
+    Alternating large-star and small-star rounds; each is an aggregation and a join on narrow rows,
+    written to the shared folder. No links are gathered in one place. Loops and nulls are ignored.
+    """
+    edges = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = scratch.write(large.filter("u <> v").distinct(), "large")
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        new = scratch.write(small.filter("u <> v").distinct(), "small")
+        done = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
+        scratch.drop(edges, large)
+        edges = new
+        if done:
+            return scratch.write(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+
+
+def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
+    """mapInArrow with batches of few rows: whole texts are long, and a batch is held twice, in the JVM and in Python."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 512:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
+    return df.mapInArrow(run, schema)

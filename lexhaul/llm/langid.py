@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lexhaul.llm.common import map_arrow
+
 #: Dimensions of the hashed n-gram space.
 DIM = 4096
 #: Characters of a text are counted in stretches of this many, so temporary arrays stay small.
@@ -79,7 +81,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             found = [(g, ngram_counts(t.as_py())) for g, t in zip(lang, text, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary())], ["lang", "counts"])
 
-    chosen = rows.filter(spread < bound).select("lang", "text").limit(2 * per_language * len(sizes)).mapInArrow(count, "lang string, counts binary").collect()
+    chosen = map_arrow(rows.filter(spread < bound).select("lang", "text").limit(2 * per_language * len(sizes)), count, "lang string, counts binary").collect()
     chosen = sorted((r["lang"], bytes(r["counts"])) for r in chosen)
     counts = np.stack([np.frombuffer(c, "<u2") for _, c in chosen]).astype(np.int64) if chosen else np.zeros((0, DIM), np.int64)
     langs = np.array([g for g, _ in chosen])
@@ -126,7 +128,7 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(out)], [id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
+    return map_arrow(docs.select(docs[id_col].alias(id_col), docs[text_col].alias("text")), run, f"`{id_col}` {kind}, lang_pred string, score double, rejected boolean")
 
 
 def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
@@ -145,7 +147,7 @@ def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -
                     good[real] = model.predict([texts[k] for k in real])[1] >= model.least
                 yield part.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_arrow(docs, run, docs.schema)
 
 
 def learnable(held_out: Column) -> Column:

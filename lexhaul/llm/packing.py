@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexhaul.llm.common import Scratch, tasks_for
+from lexhaul.llm.common import Scratch, map_arrow, tasks_for
 
 #: A stored piece inside a bin: what the result needs of it.
 PIECE = np.dtype([("doc", "<i8"), ("null", "?"), ("piece", "<i4"), ("start", "<i8"), ("length", "<i8"), ("crc", "<i8")])
@@ -78,7 +78,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")).mapInArrow(run, PIECES_SCHEMA)
+    return map_arrow(docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text")), run, PIECES_SCHEMA)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
