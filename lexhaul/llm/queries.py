@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaul.llm import decontam, exact_dedup, langid, packing, urls
+from lexhaul.llm import decontam, exact_dedup, jaccard, langid, packing, urls
 from lexhaul.llm.common import remainder, table
 
 
@@ -44,10 +44,10 @@ WITH d AS (
 ), win AS (
   SELECT item_id, least(len(w), 10) AS k, array_to_string(w[s:s + least(len(w), 10) - 1], ' ') AS p
   FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM b WHERE len(w) > 0)
-), at AS (
+), span AS (
   SELECT doc_id, s, k, array_to_string(w[s:s + k - 1], ' ') AS p
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d), (SELECT DISTINCT k FROM win) WHERE s + k - 1 <= len(w)
-), m AS (SELECT DISTINCT at.doc_id, at.s, at.k, win.item_id FROM at JOIN win USING (p, k)),
+), m AS (SELECT DISTINCT span.doc_id, span.s, span.k, win.item_id FROM span JOIN win USING (p, k)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM m) GROUP BY doc_id),
 i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM m GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, CAST(coalesce(len(i.ids), 0) AS BIGINT) AS n_items,
@@ -56,6 +56,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), 75, 100)
+
+
 #: Fixed values of the query's contract.
 URL_RULES = [urls.Rule("net/", "block"), urls.Rule("example.net/en/", "allow"), urls.Rule("example.com/de/", "block"), urls.Rule("org/fr/", "allow")]
 
@@ -74,5 +78,5 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 4) == 2, F.lit(False)))
 
 
-QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op5_decontamination, op8_url_filter, op9_language_id)}
+QUERIES = {f.__name__: f for f in (op2_best_fit_packing, op3_exact_dedup, op5_decontamination, op7_jaccard_join, op8_url_filter, op9_language_id)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
