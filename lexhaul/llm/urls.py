@@ -148,13 +148,16 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 24, depth: int = 3, rate:
 
 
 def fit(labelled: DataFrame, url: str = "url", verdict: str = "label", bound: int = 20_000) -> Trees:
-    """Trains on at most `bound` labelled urls (verdict `block` or `allow`), those with the smallest hash: a documented bound.
+    """Trains on at most `bound` labelled urls (verdict `block` or `allow`), chosen by a hash of the url: a documented bound.
 
     Suffix rates are the share of `block` among the training urls of a host's last two labels, smoothed
     to the overall share; the 500 most frequent are kept in the model, the others use the share itself.
     """
     ready = lexical(labelled.filter(labelled[verdict].isin("block", "allow")).withColumn("host", host_of(labelled[url])).withColumn("path", path_of(labelled[url])), url)
     xs = [f"x_{n}" for n in FEATURES if n != "suffix_rate"]
+    n = ready.count()
+    if n > bound:  # else every task would send its own first `bound` rows to the driver
+        ready = ready.filter(F.pmod(F.xxhash64(url), F.lit(1 << 40)) < F.lit(int((1 << 40) * 1.1 * bound / n)))
     rows = ready.select((F.col(verdict) == "block").cast("int").alias("y"), "suffix", *xs, F.xxhash64(url).alias("h")).orderBy("h", *xs, "y").limit(bound).drop("h").collect()
     if not rows:
         return Trees()
