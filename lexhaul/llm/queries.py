@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaul.llm import decontam, exact_dedup, jaccard, langid, packing, pii, toxicity, urls
+from lexhaul.llm import decontam, exact_dedup, jaccard, langid, lm, packing, pii, toxicity, urls
 from lexhaul.llm.common import remainder, table
 
 
@@ -65,6 +65,10 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.pseudo_likelihood(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_classes(table(spark, sf_dir, "documents"), 75, 100)
 
@@ -92,5 +96,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key="lexhaul-surrogates")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op5_decontamination, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op5_decontamination, op6_lm_scoring, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
