@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaul.llm import decontam, exact_dedup, jaccard, langid, lm, packing, pii, toxicity, urls
+from lexhaul.llm import decontam, exact_dedup, jaccard, langid, lm, packing, pii, toxicity, urls, windows
 from lexhaul.llm.common import remainder, table
 
 
@@ -41,6 +41,10 @@ WITH d AS (
 SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.norm) AS text_sha256 FROM d JOIN g USING (norm)
 """
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windows.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), 10)
 
@@ -96,5 +100,5 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key="lexhaul-surrogates")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op5_decontamination, op6_lm_scoring, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_substring_dedup, op5_decontamination, op6_lm_scoring, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates)}
 ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
