@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lexhaul.llm.common import Scratch, without_ascii_space
+from lexhaul.llm.common import Scratch, broadcast_if, without_ascii_space
 
 
 def exact_dedup(
@@ -51,3 +51,15 @@ def exact_dedup(
     mixed = base.withColumn("_h", content_hash(F.col("_norm"))).join(collided, "_h", "left_semi")
     exact = mixed.groupBy("_norm").agg(best, size)
     return clean.unionByName(mixed.withColumn("text_sha256", F.sha2("_norm", 256)).join(exact, "_norm").select(*out))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with only the row of each group that stays, all columns as they were.
+
+    Rows that repeat both id and text of the one that stays are kept with it, as exact_dedup marks them.
+    """
+    scratch = Scratch(docs.sparkSession)
+    found = exact_dedup(docs, id_col, text_col)
+    gone = scratch.write(found.filter("NOT kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
+    sha = F.sha2(without_ascii_space(docs[text_col]), 256)
+    return docs.join(broadcast_if(gone, gone.count(), 100_000), docs[id_col].eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti").select(*[docs[c] for c in docs.columns])
