@@ -11,7 +11,6 @@ from lexhaul.llm.common import Scratch, broadcast_if
 
 #: What separates words, before A-Z are lower-cased.
 SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A document row in the index: its id and the hash of its text, so that rows with a repeated id stay apart.
 DOC = ["_doc", "_text"]
@@ -129,7 +128,9 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     hit = found.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"))
     who = found.select(*DOC, "wid").distinct().join(index.owners, "wid").groupBy(*DOC).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("who"))
     marks = index.scratch.write(hit.join(who, [hit[c].eqNullSafe(who[c]) for c in DOC]).select(hit["_doc"].alias("_doc2"), hit["_text"].alias("_text2"), "n_hit", "who"), "marks")
-    rows = docs.select(*doc_key(docs, id_col, text_col), F.coalesce(F.regexp_count(docs[text_col], F.lit(WORD)), F.lit(0)).cast("long").alias("n_words"))
+    rows = docs.select(*doc_key(docs, id_col, text_col), F.split(F.coalesce(docs[text_col], F.lit("")), SEPARATOR).alias("_w"))
+    n_words = F.size("_w") - (F.element_at("_w", 1) == "").cast("int") - ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
+    rows = rows.select(*DOC, n_words.cast("long").alias("n_words"))
     out = rows.join(marks, [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2")], "left")
     who = F.coalesce("who", F.array().cast("array<string>"))
     return out.select(
