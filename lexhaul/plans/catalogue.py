@@ -1,6 +1,477 @@
-"""Names of the registered queries, each with its DuckDB counterpart where there is one."""
+"""The registered queries over the driver's tables, and the same in DuckDB SQL."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from lexhaul.functions import text as T
+from lexhaul.operators import chunking, evaluation, index, ranking, resolve, vectors
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c):
+    return F.round(c, 6)
+
+
+# SQL fragments shared by several oracles.
+WS = T.WS
+STRIP = "regexp_replace({0}, '^[WS]+|[WS]+$', '', 'g')"
+
+
+def stripped(x: str) -> str:
+    return STRIP.replace("{0}", x).replace("WS", WS)
+
+
+TOKENS = "greatest(1, CAST(floor(length({0}) / 3.2::DOUBLE) AS INTEGER))"
+V = "CAST({0} AS DOUBLE[])"
+ABBR = ", ".join(f"'{a}'" for a in T.ABBREVIATIONS)
+SENTENCES = f"""
+rough AS (
+  SELECT doc_id, string_split(regexp_replace(text, '([.!?:])[{WS}]+([A-ZÄÖÜ“„"(\\p{{Nd}}])', '\\1' || chr(30) || '\\2', 'g'), chr(30)) AS p
+  FROM documents WHERE text IS NOT NULL AND {stripped("text")} <> ''
+), piece AS (SELECT doc_id, unnest(range(1, len(p) + 1)) AS i, unnest(p) AS p FROM rough),
+tagged AS (SELECT *, lower(regexp_extract(p, '([^{WS}]+)[{WS}]*$', 1)) AS w FROM piece),
+flagged AS (SELECT *, CASE WHEN coalesce(lag(w IN ({ABBR}) OR regexp_full_match(w, '[\\p{{Nd}}.]+\\.|[a-zäöü]\\.')) OVER (PARTITION BY doc_id ORDER BY i), FALSE) THEN 0 ELSE 1 END AS starts FROM tagged),
+grouped AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM flagged),
+sentence AS (SELECT doc_id, CAST(g - 1 AS INTEGER) AS pos, string_agg(p, ' ' ORDER BY i) AS sentence FROM grouped GROUP BY doc_id, g)
+"""
+
+
+# Vector search
+
+KNN = f"SELECT v.vec_id, q.vec_id AS query_id, round(list_cosine_distance({V.format('v.embedding')}, {V.format('q.embedding')}), 9) AS d FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 20) q"
+
+
+def first_vectors(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+
+
+@query(f"WITH k AS ({KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k WHERE query_id = 0) SELECT CAST(n AS INTEGER) AS rank, vec_id, round(d, 6) AS distance, label FROM r JOIN embeddings USING (vec_id) WHERE n <= 10")
+def knn_single(spark, sf_dir):
+    """[V2] Nearest ten of the first vector, with their labels."""
+    e = table(spark, sf_dir, "embeddings")
+    hits = vectors.knn_batch(e, first_vectors(spark, sf_dir, 1), 10)
+    return hits.join(e.select("vec_id", "label"), "vec_id").select("rank", "vec_id", r6(F.col("distance")).alias("distance"), "label")
+
+
+@query(f"WITH k AS ({KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k) SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM r WHERE n <= 10")
+def knn_batch(spark, sf_dir):
+    """[V8, J7] Nearest ten of twenty query vectors."""
+    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), first_vectors(spark, sf_dir), 10)
+    return hits.select("query_id", "rank", "vec_id", r6(F.col("distance")).alias("distance"))
+
+
+@query(f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, {V.format('embedding')} AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
+def l2_normalise(spark, sf_dir):
+    """[V9]"""
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(T.l2_normalise(F.col("embedding"))).alias("pos", "x")).select("vec_id", "pos", r6(F.col("x")).alias("x"))
+
+
+@query(f"WITH k AS ({KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k) SELECT query_id, CAST(n AS INTEGER) AS rank, doc_id, round(d, 6) AS distance, sha256(text) AS text_sha256 FROM r JOIN documents ON doc_id = vec_id WHERE n <= 10")
+def search_with_text(spark, sf_dir):
+    """[V4, V5, J1, J2] Top-k first, then the text of those rows."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    hits = vectors.search(table(spark, sf_dir, "embeddings"), docs, first_vectors(spark, sf_dir), 10, "vec_id", "doc_id")
+    return hits.select("query_id", "rank", "doc_id", r6(F.col("distance")).alias("distance"), F.sha2("text", 256).alias("text_sha256"))
+
+
+@query("SELECT vec_id AS id, 'vector_without_text' AS problem FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'text_without_vector' FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)")
+def vector_reconcile(spark, sf_dir):
+    """[J9]"""
+    return vectors.reconcile(table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents"), "vec_id", "doc_id")
+
+
+# Scalar functions
+
+
+@query(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents")
+def token_estimate(spark, sf_dir):
+    """[F1]"""
+    return table(spark, sf_dir, "documents").select("doc_id", T.estimate_tokens(F.col("text")).alias("tokens"))
+
+
+@query("SELECT doc_id, sha256(text) AS sha256 FROM documents")
+def content_hash(spark, sf_dir):
+    """[F8]"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha256"))
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id, {stripped("text")} AS s, (doc_id * 7919) % 200000 AS px FROM documents),
+r AS (SELECT *, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(regexp_replace(s, '[\\x{{FFFD}}\\x{{00}}-\\x{{08}}\\x{{0B}}\\x{{0C}}\\x{{0E}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]', '', 'g'))) / length(s)::DOUBLE END AS ratio FROM s)
+SELECT doc_id, CASE WHEN length(s) < 100 THEN CASE WHEN px >= 100000 THEN 'scan' ELSE 'sparse' END WHEN ratio > 0.15 THEN CASE WHEN px >= 100000 THEN 'scan' ELSE 'error' END ELSE 'text' END AS status, round(ratio, 6) AS ratio FROM r"""
+)
+def page_status(spark, sf_dir):
+    """[P1, F9, F10] Image sizes are made from the id."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select("doc_id", T.page_status(t, (F.col("doc_id") * 7919) % 200000).alias("status"), r6(T.replacement_ratio(t)).alias("ratio"))
+
+
+@query(
+    "SELECT doc_id, source || ' > ' || lang || chr(10) || chr(10) || text AS embed_text, source || ' > ' || lang AS heading, doc_id || '.v1.txt — ' || source || ' > ' || lang AS citation, doc_id || '.v1' AS key FROM documents"
+)
+def embed_text(spark, sf_dir):
+    """Source and language as headings."""
+    path = F.concat(F.lit("/corpus/"), F.col("source"), F.lit("/"), F.col("doc_id").cast("string"), F.lit(".v1.txt"))
+    headings = F.array("source", "lang")
+    return table(spark, sf_dir, "documents").select("doc_id", T.embed_text(F.col("text"), headings).alias("embed_text"), T.heading(headings).alias("heading"), T.citation(path, headings).alias("citation"), T.document_key(path).alias("key"))
+
+
+HASH = "list_transform(range(0, 8), lambda i: CAST(('0x' || substr(sha256({0}), CAST(2 * i + 1 AS BIGINT), 2)) AS INTEGER) / 255.0::DOUBLE + 0.01::DOUBLE)"
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT doc_id, v, unnest(range(1, 9)) AS i FROM (SELECT doc_id, {HASH.format('text')} AS v FROM documents))")
+def hash_embed(spark, sf_dir):
+    """[F28]"""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.hash_embed(F.col("text"))).alias("pos", "x")).select("doc_id", "pos", r6(F.col("x")).alias("x"))
+
+
+@query(f"SELECT doc_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT doc_id, v, unnest(range(1, 9)) AS i FROM (SELECT doc_id, {HASH.format(chr(39) + 'passage: ' + chr(39) + ' || text')} AS v FROM documents))")
+def prefix_embed(spark, sf_dir):
+    """Passages get a prefix before they are embedded."""
+    v = T.hash_embed(F.concat(F.lit("passage: "), F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(v).alias("pos", "x")).select("doc_id", "pos", r6(F.col("x")).alias("x"))
+
+
+@query(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents WHERE {TOKENS.format('text')} > CAST(floor(least(512, 8192) * 0.95::DOUBLE) AS INTEGER)")
+def overlong(spark, sf_dir):
+    """[P6] Texts over 95 % of the smaller of the configured and the engine's limit."""
+    n = T.estimate_tokens(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", n.alias("tokens")).filter(F.col("tokens") > int(min(512, 8192) * 0.95))
+
+
+# Sentences and prose
+
+
+@query(f"WITH {SENTENCES} SELECT doc_id, pos, sentence FROM sentence")
+def sentences(spark, sf_dir):
+    """[C2, C3]"""
+    return chunking.sentence_rows(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(
+    f"""WITH RECURSIVE {SENTENCES}, cost AS (SELECT *, {TOKENS.format('sentence')} AS c FROM sentence),
+fold AS (
+  SELECT doc_id, pos, c AS total, 0 AS unit FROM cost WHERE pos = 0
+  UNION ALL
+  SELECT n.doc_id, n.pos, CASE WHEN f.total + n.c > 448 THEN n.c ELSE f.total + n.c END, CASE WHEN f.total + n.c > 448 THEN f.unit + 1 ELSE f.unit END
+  FROM fold f JOIN cost n ON n.doc_id = f.doc_id AND n.pos = f.pos + 1
+)
+SELECT doc_id, unit, count(*) AS n_sentences, CAST(sum(c) AS BIGINT) AS cost, string_agg(sentence, ' ' ORDER BY pos) AS text FROM fold JOIN cost USING (doc_id, pos) GROUP BY doc_id, unit"""
+)
+def prose_units(spark, sf_dir):
+    """[C6] Units of at most 448 estimated tokens."""
+    return chunking.prose_units(table(spark, sf_dir, "documents"), "doc_id", "text", 448)
+
+
+@query(
+    f"""WITH {SENTENCES}, r AS (SELECT *, row_number() OVER w AS rk, sum({TOKENS.format('sentence')}) OVER w AS cum FROM sentence WINDOW w AS (PARTITION BY doc_id ORDER BY pos DESC ROWS UNBOUNDED PRECEDING))
+SELECT doc_id, count(*) AS n_sentences, string_agg(sentence, ' ' ORDER BY pos) AS tail FROM r WHERE rk = 1 OR cum <= 64 GROUP BY doc_id"""
+)
+def overlap_tail(spark, sf_dir):
+    """[C7]"""
+    return chunking.overlap_tail(table(spark, sf_dir, "documents"), "doc_id", "text", 64)
+
+
+@query()
+def chunk_markdown(spark, sf_dir):
+    """[C1, C4, C5, C8] Whole documents in chunks; a fold with look-back has no SQL form, so tests hold it against worked cases."""
+    return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+# Index life cycle: documents with an id divisible by 5 are new, by 7 changed, by 11 gone.
+
+STORED = "SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN sha256('old') ELSE sha256(text) END AS sha256, CAST(doc_id % 9 AS INTEGER) AS chunk_count FROM documents WHERE doc_id % 5 <> 0"
+LISTED = "SELECT CAST(doc_id AS VARCHAR) AS path, sha256(text) AS sha256, CAST(length(text) % 4 AS INTEGER) AS n_chunks FROM documents WHERE doc_id % 11 <> 0"
+STATUS = f"SELECT l.path, CASE WHEN d.path IS NOT NULL AND d.sha256 = l.sha256 THEN 'unverändert' WHEN n_chunks = 0 THEN 'leer' WHEN d.path IS NOT NULL THEN 'aktualisiert' ELSE 'neu' END AS status, CASE WHEN d.path IS NOT NULL AND d.sha256 = l.sha256 THEN chunk_count ELSE n_chunks END AS chunk_count FROM ({LISTED}) l LEFT JOIN ({STORED}) d ON d.path = l.path"
+
+
+def stored_and_listed(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").withColumns({"path": F.col("doc_id").cast("string"), "new": F.sha2("text", 256)})
+    old = docs.filter("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), "path", F.when(F.col("doc_id") % 7 == 0, F.sha2(F.lit("old"), 256)).otherwise(F.col("new")).alias("sha256"), (F.col("doc_id") % 9).cast("int").alias("chunk_count"))
+    return old, docs.filter("doc_id % 11 <> 0").select("path", F.col("new").alias("sha256"), (F.char_length("text") % 4).alias("n_chunks"))
+
+
+@query(STATUS)
+def ingest_status(spark, sf_dir):
+    """[D1, J3, P3]"""
+    old, listed = stored_and_listed(spark, sf_dir)
+    return index.ingest_status(listed, old)
+
+
+@query(f"SELECT status, count(*) AS files, CAST(coalesce(sum(chunk_count), 0) AS BIGINT) AS chunks FROM ({STATUS}) GROUP BY status")
+def ingest_report(spark, sf_dir):
+    """[D10, A2]"""
+    old, listed = stored_and_listed(spark, sf_dir)
+    return index.report(index.ingest_status(listed, old))
+
+
+@query(f"WITH s AS ({STATUS}), c AS (SELECT l.path, l.sha256, s.chunk_count FROM ({LISTED}) l JOIN s USING (path) WHERE status IN ('neu', 'aktualisiert')) SELECT path, sha256, chunk_count FROM ({STORED}) WHERE path NOT IN (SELECT path FROM c) UNION ALL SELECT * FROM c")
+def replace_snapshot(spark, sf_dir):
+    """[D2, D3, D4]"""
+    old, listed = stored_and_listed(spark, sf_dir)
+    changed = index.ingest_status(listed, old).filter(F.col("status").isin(index.NEW, index.UPDATED)).join(listed.select("path", "sha256"), "path")
+    return index.replace_rows(old.select("path", "sha256", "chunk_count"), changed, "path")
+
+
+@query(f"SELECT path FROM ({STORED}) WHERE path NOT IN (SELECT path FROM ({LISTED}))")
+def prune(spark, sf_dir):
+    """[D5, J4, P9]"""
+    old, listed = stored_and_listed(spark, sf_dir)
+    return index.missing(old, listed).select("path")
+
+
+@query(f"WITH n AS (SELECT l.path, l.n_chunks FROM ({LISTED}) l WHERE l.path NOT IN (SELECT path FROM ({STORED}))) SELECT path, 1000000 + row_number() OVER (ORDER BY substr(sha256(path), 1, 2), path) AS id FROM n")
+def assign_ids(spark, sf_dir):
+    """[D6] Above a high-water mark of one million."""
+    old, listed = stored_and_listed(spark, sf_dir)
+    return index.assign_ids(listed.join(old, "path", "left_anti").select("path"), ["path"], 1_000_000)
+
+
+@query(f"SELECT count(*) AS documents, (SELECT count(*) FROM conversations) AS chunks, (SELECT CAST(coalesce(sum({TOKENS.format('text')}), 0) AS BIGINT) FROM conversations) AS tokens, (SELECT count(*) FROM embeddings) AS vectors FROM documents")
+def index_stats(spark, sf_dir):
+    """[D9, A1]"""
+    chunks = table(spark, sf_dir, "conversations").select(T.estimate_tokens(F.col("text")).alias("token_count"))
+    return index.stats(table(spark, sf_dir, "documents"), chunks, table(spark, sf_dir, "embeddings"))
+
+
+# Ranking
+
+SCORE = "round(1 / (1 + exp(-(8 * (1 - d) - (vec_id % 5)))), 9)"
+RERANK = f"""WITH k AS ({KNN}), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k) WHERE n <= 30),
+s AS (SELECT *, {SCORE} AS score FROM near),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d, vec_id) AS pos FROM s)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, vec_id, round(score, 6) AS score FROM r WHERE pos <= 5 AND (pos = 1 OR score >= 0.7)"""
+
+
+@query(RERANK)
+def rerank_topk(spark, sf_dir):
+    """[R1, R2, R3, P5] Thirty nearest, scored by a logistic function of similarity and id, best five from 0.7 on."""
+    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), first_vectors(spark, sf_dir), ranking.CANDIDATES)
+    score = F.round(1 / (1 + F.exp(-(8 * (1 - F.col("distance")) - F.col("vec_id") % 5))), 9)
+    return ranking.rerank(hits.drop("rank"), score, 5, 0.7, tie="vec_id").select("query_id", "pos", "vec_id", r6(F.col("score")).alias("score"))
+
+
+@query(
+    f"""WITH h AS (SELECT source AS query_id, doc_id, text, doc_id || '.txt' AS cite, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS number FROM documents),
+c AS (SELECT *, {TOKENS.format("('[' || number || '] ' || cite || chr(10) || text)")} AS cost FROM h),
+u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY number ROWS UNBOUNDED PRECEDING) AS used FROM c),
+k AS (SELECT *, number = 1 OR used <= 2457 AS kept FROM u)
+SELECT query_id, CAST(number AS INTEGER) AS number, doc_id, cost, CAST(used AS BIGINT) AS used, dropped FROM (SELECT *, count(*) FILTER (NOT kept) OVER (PARTITION BY query_id) AS dropped FROM k) WHERE kept"""
+)
+def build_sources(spark, sf_dir):
+    """[R5, F17] Documents of each source, shortest first, in a context of 4096 tokens."""
+    docs = table(spark, sf_dir, "documents")
+    pos = F.row_number().over(Window.partitionBy("source").orderBy(F.char_length("text"), "doc_id"))
+    hits = docs.select(F.col("source").alias("query_id"), "doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("citation"), pos.alias("pos"))
+    return ranking.build_sources(hits, 4096).select("query_id", "number", "doc_id", "cost", "used", "dropped")
+
+
+@query("WITH n AS (SELECT *, lead(role) OVER w AS nr, lead(text) OVER w AS answer FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) SELECT conv_id, turn, text AS question, answer FROM n WHERE role = 'user' AND nr = 'assistant'")
+def turn_pairs(spark, sf_dir):
+    """Completed question and answer turns."""
+    return ranking.turn_pairs(table(spark, sf_dir, "conversations"))
+
+
+REPLY = "CASE turn % 4 WHEN 0 THEN '  quellen_reichen' || chr(10) WHEN 1 THEN '   ' WHEN 2 THEN 'Suche ' || role || ' ' ELSE 'QUELLEN_REICHEN.' END"
+
+
+@query(f"WITH r AS (SELECT conv_id, turn, text, {stripped(f'({REPLY})')} AS s, conv_id % 2 = 0 AS ok FROM conversations) SELECT conv_id, turn, starts_with(upper(s), 'QUELLEN_REICHEN') AND ok AS reuse, CASE WHEN starts_with(upper(s), 'QUELLEN_REICHEN') OR s = '' THEN text ELSE s END AS query FROM r")
+def route_parse(spark, sf_dir):
+    """Four kinds of router replies."""
+    t = F.col("turn") % 4
+    reply = F.when(t == 0, "  quellen_reichen\n").when(t == 1, "   ").when(t == 2, F.concat(F.lit("Suche "), F.col("role"), F.lit(" "))).otherwise("QUELLEN_REICHEN.")
+    route = T.parse_route(reply, F.col("text"), F.col("conv_id") % 2 == 0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", route.alias("r")).select("conv_id", "turn", "r.reuse", "r.query")
+
+
+@query(
+    """WITH s AS (SELECT conv_id, turn, p AS pos, (turn * 3 + p * 5) % 7 AS chunk_id FROM conversations, (SELECT unnest(range(0, 3)) AS p) WHERE role = 'assistant'),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, chunk_id ORDER BY turn DESC, pos) AS n FROM s) WHERE n = 1)
+SELECT conv_id, chunk_id, turn, pos, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, pos, chunk_id) AS INTEGER) AS reuse_rank FROM o"""
+)
+def reusable_hits(spark, sf_dir):
+    """[R4] Three sources for each answer, made from its turn."""
+    answers = table(spark, sf_dir, "conversations").filter("role = 'assistant'")
+    s = answers.select("conv_id", "turn", F.explode(F.array(*[F.lit(p).cast("long") for p in range(3)])).alias("pos")).withColumn("chunk_id", (F.col("turn") * 3 + F.col("pos") * 5) % 7)
+    return ranking.reusable_hits(s).select("conv_id", "chunk_id", "turn", "pos", "reuse_rank")
+
+
+@query(
+    "WITH a AS (SELECT conv_id, turn, text || ' [' || turn || '] [oben] [' || (conv_id % 3 + 1) || ']' AS t FROM conversations), c AS (SELECT *, list_sort(list_distinct(list_transform(regexp_extract_all(t, '\\[(\\d{1,9})\\]', 1), lambda x: CAST(x AS INTEGER)))) AS n FROM a) "
+    "SELECT conv_id, turn, array_to_string(n, ',') AS cited, array_to_string(list_filter([1, 2, 3], lambda x: NOT list_contains(n, x)), ',') AS uncited FROM c"
+)
+def citations(spark, sf_dir):
+    """[F11, F12, A9] Numbers cited, and those of three sources that are not."""
+    t = F.concat(F.col("text"), F.lit(" ["), F.col("turn").cast("string"), F.lit("] [oben] ["), (F.col("conv_id") % 3 + 1).cast("string"), F.lit("]"))
+    join = lambda a: F.array_join(F.transform(a, lambda x: x.cast("string")), ",")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", join(T.cited_numbers(t)).alias("cited"), join(T.uncited(F.array(F.lit(1), F.lit(2), F.lit(3)), t)).alias("uncited"))
+
+
+LIKE = " OR ".join(f"contains(lower(t), '{m}')" for m in T.IGNORANCE)
+ANSWER = "text || CASE turn % 3 WHEN 0 THEN ' Das steht NICHT in den Quellen.' WHEN 1 THEN ' Es sind 14 Tage.' ELSE '' END"
+
+
+@query(f"WITH a AS (SELECT conv_id, turn, {ANSWER} AS t FROM conversations) SELECT conv_id, turn, ({LIKE}) AS ignorance, contains(t, '14 Tage') AND contains(t, 'Es') AS has_all, contains(t, '14 Tage') AND contains(t, 'Es') AND NOT ({LIKE}) AS correct FROM a")
+def answer_check(spark, sf_dir):
+    """[F14, F15, F16, E9]"""
+    m = F.col("turn") % 3
+    t = F.concat(F.col("text"), F.when(m == 0, " Das steht NICHT in den Quellen.").when(m == 1, " Es sind 14 Tage.").otherwise(""))
+    needles = F.array(F.lit("14 Tage"), F.lit("Es"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.admitted_ignorance(t).alias("ignorance"), T.contains_all(t, needles).alias("has_all"), T.answered_correctly(t, needles).alias("correct"))
+
+
+# Evaluation
+
+GOLD = "SELECT b.item_id AS question_id, coalesce(list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)), []) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id"
+TYPED = f"SELECT question_id, docs, CASE len(docs) WHEN 0 THEN 'ohne_antwort' WHEN 1 THEN 'eindeutig' ELSE 'mehrdeutig' END AS typ FROM ({GOLD})"
+HITS = f"""gold AS ({TYPED}), dv AS (SELECT doc_id, {HASH.format('text')} AS v FROM documents WHERE text IS NOT NULL), qv AS (SELECT item_id, {HASH.format('text')} AS v FROM benchmark),
+dist AS (SELECT item_id AS question_id, doc_id, round(list_cosine_distance(dv.v, qv.v), 9) AS d FROM dv, qv),
+hits AS (SELECT h.question_id, h.doc_id, CAST(pos AS INTEGER) AS pos, 1 - d AS score, coalesce(list_contains(docs, doc_id), FALSE) AS correct, typ FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY d, doc_id) AS pos FROM dist) h JOIN gold USING (question_id) WHERE pos <= 10)"""
+PER = "per AS (SELECT g.question_id, g.typ, min(CASE WHEN correct THEN pos END) AS first_rank, coalesce(bool_or(correct AND pos <= 5), FALSE) AS hit_at_k, coalesce(arg_min(score, pos), 0) AS top_score FROM gold g LEFT JOIN hits USING (question_id) GROUP BY ALL)"
+OK = "typ IN ('eindeutig', 'mehrdeutig')"
+
+
+@query(f"SELECT question_id, typ, array_to_string(docs, ',') AS dokumente FROM ({TYPED})")
+def gold_standard(spark, sf_dir):
+    """[S12, P8] Benchmark items as questions, the documents that hold them as expected answers."""
+    g = evaluation.gold_from_passages(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents"))
+    return g.select("question_id", "typ", F.array_join(F.transform("dokumente", lambda d: d.cast("string")), ",").alias("dokumente"))
+
+
+def evaluated(spark, sf_dir):
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    gold = evaluation.gold_from_passages(items, docs)
+    v = docs.filter("text IS NOT NULL").select("doc_id", T.hash_embed(F.col("text")).alias("embedding"))
+    q = items.select(F.col("item_id").alias("question_id"), T.hash_embed(F.col("text")).alias("query"))
+    hits = vectors.knn_batch(v, q, 10, "doc_id", query_id="question_id").select("question_id", F.col("doc_id").alias("document"), F.col("rank").alias("pos"), (1 - F.col("distance")).alias("score"))
+    return gold, evaluation.judge(hits, gold)
+
+
+@query(f"WITH {HITS}, {PER} SELECT question_id, typ, first_rank, hit_at_k, round(top_score, 6) AS top_score FROM per")
+def eval_rank(spark, sf_dir):
+    """[E1, E2, E3, J5]"""
+    gold, hits = evaluated(spark, sf_dir)
+    return evaluation.question_results(gold, hits, 5).select("question_id", "typ", "first_rank", "hit_at_k", r6(F.col("top_score")).alias("top_score"))
+
+
+@query(
+    f"""WITH {HITS}, {PER}, m AS (SELECT coalesce(avg(CASE WHEN hit_at_k THEN 1.0 ELSE 0 END) FILTER ({OK}), 0) AS recall, coalesce(avg(coalesce(1.0 / first_rank, 0)) FILTER ({OK}), 0) AS mrr FROM per),
+s AS (SELECT coalesce(min(score) FILTER ({OK} AND correct), 0) AS a, coalesce(max(score) FILTER ({OK} AND correct), 0) AS b, coalesce(min(score) FILTER (NOT {OK} AND pos = 1), 0) AS c, coalesce(max(score) FILTER (NOT {OK} AND pos = 1), 0) AS d FROM hits)
+SELECT round(recall, 6) AS recall, round(mrr, 6) AS mrr, round(a, 6) AS correct_low, round(b, 6) AS correct_high, round(c, 6) AS noise_low, round(d, 6) AS noise_high, a < d AS overlap FROM m, s"""
+)
+def eval_metrics(spark, sf_dir):
+    """[A4, A5, A6, E4, E6, E10]"""
+    gold, hits = evaluated(spark, sf_dir)
+    m = evaluation.metrics(gold, hits, 5)
+    return m.select(*[r6(F.col(c)).alias(c) for c in m.columns if c != "overlap"], "overlap")
+
+
+SHIFTED = "(score - 0.6) * 1.25"
+
+
+@query(
+    f"""WITH {HITS}, grid AS (SELECT unnest([{', '.join(map(str, evaluation.GRID))}]::DOUBLE[]) AS threshold),
+x AS (SELECT h.*, {SHIFTED} AS s, threshold FROM hits h, grid), r AS (SELECT *, max(CASE WHEN s >= threshold THEN 1 ELSE 0 END) OVER (PARTITION BY question_id, threshold) AS reach FROM x),
+k AS (SELECT *, CASE WHEN reach = 1 THEN s >= threshold ELSE pos = 1 END AS kept FROM r),
+p AS (SELECT threshold, question_id, typ, count(*) FILTER (kept) AS n, count(*) FILTER (kept AND correct) AS ok, bool_or(correct) AS found FROM k GROUP BY ALL)
+SELECT threshold, round(count(*) FILTER ({OK} AND ok > 0) / nullif((SELECT count(*) FROM gold WHERE {OK}), 0)::DOUBLE, 6) AS recall, round(coalesce(sum(ok) FILTER ({OK}) / nullif(sum(n) FILTER ({OK}), 0)::DOUBLE, 0), 6) AS precision,
+  CAST(coalesce(sum(n) FILTER (NOT {OK}), 0) AS BIGINT) AS noise_kept, coalesce(array_to_string(list_sort(list(question_id) FILTER ({OK} AND found AND ok = 0)), ','), '') AS lost FROM p GROUP BY threshold"""
+)
+def eval_thresholds(spark, sf_dir):
+    """[E7, E8, A7, J6] Scores are stretched, so that the grid cuts between them."""
+    gold, hits = evaluated(spark, sf_dir)
+    t = evaluation.thresholds(gold, hits.withColumn("score", (F.col("score") - 0.6) * 1.25))
+    return t.select("threshold", r6(F.col("recall")).alias("recall"), r6(F.col("precision")).alias("precision"), "noise_kept", F.array_join(F.transform("lost", lambda x: x.cast("string")), ",").alias("lost"))
+
+
+@query(f"WITH {HITS}, {PER} SELECT question_id, typ FROM per WHERE {OK} AND first_rank IS NULL")
+def answer_misses(spark, sf_dir):
+    """[E5]"""
+    gold, hits = evaluated(spark, sf_dir)
+    return evaluation.misses(gold, hits, 5)
+
+
+# Model resolution: candidates are made from the part table, machines from suppliers.
+
+QUANTS = list(resolve.QUANT_PENALTY)
+CANDIDATES_SQL = f"""SELECT p_brand AS platform, p_partkey AS rank, lower(replace(p_name, ' ', '-')) || CASE p_partkey % 7 WHEN 0 THEN '-pt' WHEN 1 THEN '-coder' ELSE '' END AS model_id,
+p_size % 9 <> 0 AS can_run, p_size::BIGINT * 1000000000 AS parameter_count, [{', '.join(f"'{q}'" for q in QUANTS)}][p_partkey % {len(QUANTS) + 2} + 1] AS quant_type,
+CASE WHEN p_size % 8 = 0 THEN ['slow', 'Max Context is 8k'] ELSE ['slow'] END AS warnings, CASE p_partkey % 5 WHEN 0 THEN NULL WHEN 1 THEN ['EN', 'Multilingual'] WHEN 2 THEN ['de'] ELSE ['en', 'zh'] END AS languages,
+CASE WHEN p_partkey % 3 = 0 THEN 'full_gpu' ELSE 'partial' END AS fit_type FROM part"""
+ACCEPTED = ", ".join(f"'{q}'" for q, p in resolve.QUANT_PENALTY.items() if p <= resolve.QUANT_PENALTY["Q4_K_S"])
+RESOLVED = f"""WITH c AS ({CANDIDATES_SQL}), r AS (SELECT *, CASE WHEN NOT can_run THEN 'cannot_run' WHEN contains(model_id, 'coder') THEN 'name_pattern' WHEN suffix(model_id, '-pt') THEN 'name_suffix'
+WHEN parameter_count / 1e9 < 10 THEN 'too_small' WHEN coalesce(quant_type NOT IN ({ACCEPTED}), TRUE) THEN 'quantisation' WHEN len(list_filter(warnings, lambda w: contains(lower(w), 'max context'))) > 0 THEN 'context'
+WHEN languages IS NOT NULL AND NOT list_contains(list_transform(languages, lambda l: lower(l)), 'de') AND NOT list_contains(list_transform(languages, lambda l: lower(l)), 'multilingual') THEN 'language' WHEN fit_type <> 'full_gpu' THEN 'partial_fit' END AS reason FROM c)
+SELECT platform, coalesce(arg_min(model_id, rank) FILTER (reason IS NULL), arg_min(model_id, rank) FILTER (reason = 'partial_fit')) AS model_id, count(*) FILTER (reason IS NULL) = 0 AND count(*) FILTER (reason = 'partial_fit') > 0 AS fallback,
+array_to_string(list_sort(list({{'rank': rank, 'why': model_id || ': ' || reason}}) FILTER (reason IS NOT NULL))[1:10].list_transform(lambda x: x.why), '; ') AS rejected FROM r GROUP BY platform"""
+
+
+@query(RESOLVED)
+def resolve_generator(spark, sf_dir):
+    """[P7, F24, F25, F26, M4] The first candidate of each platform that passes every test, or the best partial fit."""
+    p, k = table(spark, sf_dir, "part"), F.col("p_partkey")
+    quants = F.array(*[F.lit(q) for q in QUANTS])
+    c = p.select(
+        F.col("p_brand").alias("platform"),
+        k.alias("rank"),
+        F.concat(F.lower(F.replace("p_name", F.lit(" "), F.lit("-"))), F.when(k % 7 == 0, "-pt").when(k % 7 == 1, "-coder").otherwise("")).alias("model_id"),
+        (F.col("p_size") % 9 != 0).alias("can_run"),
+        (F.col("p_size").cast("long") * 1_000_000_000).alias("parameter_count"),
+        F.get(quants, (k % (len(QUANTS) + 2)).cast("int")).alias("quant_type"),
+        F.when(F.col("p_size") % 8 == 0, F.array(F.lit("slow"), F.lit("Max Context is 8k"))).otherwise(F.array(F.lit("slow"))).alias("warnings"),
+        F.when(k % 5 == 0, F.lit(None)).when(k % 5 == 1, F.array(F.lit("EN"), F.lit("Multilingual"))).when(k % 5 == 2, F.array(F.lit("de"))).otherwise(F.array(F.lit("en"), F.lit("zh"))).alias("languages"),
+        F.when(k % 3 == 0, "full_gpu").otherwise("partial").alias("fit_type"),
+    )
+    rules = resolve.Criteria(exclude_patterns=["coder"], exclude_suffixes=["-pt"], min_params_b=10, language="de")
+    return resolve.resolve_generator(c, rules).withColumn("rejected", F.array_join("rejected", "; "))
+
+
+MACHINES = "SELECT s_nationkey AS machine, count(*) AS gpu_count, CAST(sum(s_suppkey % 30 * 1073741824) AS BIGINT) AS usable, bool_or(s_suppkey % 10 = 0) AS shared FROM supplier GROUP BY 1"
+HEADROOM = "CASE WHEN usable <= 0 THEN 0 ELSE CAST(floor(greatest(536870912.0::DOUBLE, least(usable * 0.05::DOUBLE, 2147483648.0::DOUBLE))) AS BIGINT) END"
+
+
+def machines(spark, sf_dir):
+    gpus = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("machine"), (F.col("s_suppkey") % 30 * resolve.GIB).alias("usable_vram_bytes"), (F.col("s_suppkey") % 10 == 0).alias("shared_memory"))
+    return resolve.platforms(gpus)
+
+
+@query(f"WITH m AS ({MACHINES}) SELECT machine, gpu_count, usable AS usable_vram_bytes, shared AS shared_memory, CASE WHEN usable / 1073741824.0 < 1 THEN 'cpu_only' WHEN shared OR usable / 1073741824.0 <= 10 THEN 'igpu_shared' WHEN usable / 1073741824.0 <= 20 THEN 'dgpu_small' ELSE 'dgpu_large' END AS platform_class, {HEADROOM} AS headroom FROM m")
+def platform_class(spark, sf_dir):
+    """[F22, F23, M2, A8]"""
+    return machines(spark, sf_dir).withColumn("headroom", resolve.vram_headroom(F.col("usable_vram_bytes")))
+
+
+@query(f"WITH m AS ({MACHINES}), r AS (SELECT c_nationkey AS machine, CAST(sum(c_custkey % 5 * 1073741824) AS BIGINT) AS reserved FROM customer WHERE c_custkey % 40 = 0 AND c_custkey % 3 = 0 GROUP BY 1) SELECT machine, usable AS usable_vram_bytes, coalesce(reserved, 0) AS reserved, usable - coalesce(reserved, 0) AS budget, usable - coalesce(reserved, 0) > 0 AS ok FROM m LEFT JOIN r USING (machine)")
+def vram_budget(spark, sf_dir):
+    """[M3, M5, A8] Side roles are made from the customers."""
+    roles = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("machine"), F.when(F.col("c_custkey") % 3 == 0, "gpu").otherwise("cpu").alias("device"), (F.col("c_custkey") % 5 * resolve.GIB).alias("vram_bytes"))
+    return resolve.generator_budget(machines(spark, sf_dir), roles)
+
+
+LENGTH = "CASE o_orderkey % 3 WHEN 0 THEN (o_orderkey % 64 + 1) || 'k' WHEN 1 THEN ' ' || (o_orderkey % 9 + 0.5) || 'K ' ELSE CAST(o_orderkey AS VARCHAR) END"
+
+
+@query(f"WITH v AS (SELECT o_orderkey, lower(trim({LENGTH})) AS v FROM orders) SELECT o_orderkey, CAST(CASE WHEN suffix(v, 'k') THEN floor(CAST(string_split(v, 'k')[1] AS DOUBLE) * 1024) ELSE TRY_CAST(v AS BIGINT) END AS BIGINT) AS tokens FROM v")
+def context_length(spark, sf_dir):
+    """Notations made from the order keys."""
+    k = F.col("o_orderkey")
+    v = F.when(k % 3 == 0, F.concat((k % 64 + 1).cast("string"), F.lit("k"))).when(k % 3 == 1, F.concat(F.lit(" "), (k % 9 + 0.5).cast("string"), F.lit("K "))).otherwise(k.cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.context_length(v).alias("tokens"))
