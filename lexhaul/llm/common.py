@@ -87,12 +87,11 @@ def beside_leader(docs: DataFrame, pairs: DataFrame, prepare: Callable, compare:
     """
     scratch = Scratch(docs.sparkSession)
     text = docs.select(docs[id_col].alias("_d"), docs[text_col].alias("_t"))
-    needed = scratch.write(pairs.select("a").union(pairs.select("b")).distinct().withColumnRenamed("a", "_d"), "needed")
-    text = text.join(broadcast_if(needed, needed.count()), "_d", "left_semi")
     groups = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / per_group).cast("int").alias("_n"))
-    leaders = groups.join(text, F.col("a") == F.col("_d")).select("a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(None).cast("long").alias("b"), "_t")
-    members = pairs.join(groups, "a").join(text, F.col("b") == F.col("_d")).select("a", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("_s"), "b", "_t")
-    dealt = leaders.unionByName(members).repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
+    heads = groups.select(F.col("a").alias("_d"), "a", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_s"), F.lit(None).cast("long").alias("b"))
+    members = pairs.join(groups, "a").select(F.col("b").alias("_d"), "a", F.pmod(F.xxhash64("b"), F.col("_n")).cast("int").alias("_s"), "b")
+    ways = scratch.write(heads.unionByName(members), "ways")  # which texts go where
+    dealt = text.join(broadcast_if(ways, ways.count(), 500_000), "_d").repartition("a", "_s").sortWithinPartitions("a", "_s", F.col("b").asc_nulls_first())
     names = [f.split()[0] for f in columns.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
