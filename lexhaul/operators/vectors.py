@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 BACKENDS = ("parquet", "sqlite-vec", "lancedb", "chroma", "qdrant")
 #: Decimals that distances are compared with, so that equal vectors tie however they were summed.
@@ -37,6 +39,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
     rows = sorted(((r[0], list(map(float, r[1]))) for r in queries.select(query_id, query_col).toLocalIterator() if r[1] is not None), key=lambda r: str(r[0]))
     id_type, q_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
     shape, out = f"{query_id} {q_type}, {id_col} {id_type}, distance double", None
+    arrow = to_arrow_schema(StructType.fromDDL(shape))
     for at in range(0, len(rows), block):
         part = rows[at : at + block]
         dim = len(part[0][1])
@@ -66,7 +69,7 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
                     best_i[j], best_d[j] = i, dist
             rows = [(name, i, float(v)) for name, ids, ds in zip(names, best_i, best_d, strict=True) for i, v in zip(ids, ds, strict=True)]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows]) for m in range(3)], [query_id, id_col, "distance"])
+                yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], arrow.field(m).type) for m in range(3)], arrow.names)
 
         found = vectors.select(id_col, vector_col).mapInArrow(nearest, shape)
         out = found if out is None else out.unionByName(found)

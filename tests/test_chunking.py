@@ -34,7 +34,7 @@ def test_prose_splits_at_sentences_and_overlaps():
     s = "Der Vertrag endet nach einer Frist von vierzehn Tagen immer."
     got = C.chunk(" ".join([s] * 20), target=40, overlap=10, count=words)
     assert all(p.text.endswith("immer.") and p.text.startswith("Der") for p in got) and len(got) > 4
-    assert all(p.tokens <= 40 for p in got)
+    assert all(p.tokens <= 40 for p in got[:-1])  # a short rest joins the last
     assert got[1].text.split("\n\n")[0] == s
 
 
@@ -47,13 +47,13 @@ def test_table_parts_repeat_the_head():
     md = "| k | v |\n|---|---|\n" + "\n".join(f"| {i} | w |" for i in range(40))
     got = C.chunk(md, target=60, count=words)
     assert len(got) > 1 and all(p.kind == "tabelle" and p.text.startswith("| k | v |\n|---|---|\n") for p in got)
-    assert sum(p.text.count("\n") - 1 for p in got) == 40
+    assert sum(p.text.count("| w |") for p in got) == 40
 
 
 def test_short_rest_joins_the_previous_chunk():
     s = " ".join(["wort"] * 39) + "."
     got = C.chunk(f"# T\n\n{s}\n\n{s}\n\nKurz.", target=41, overlap=0, count=words)
-    assert [p.text.count("Kurz") for p in got] == [0, 1] and got[1].tokens == 42
+    assert [p.text.count("Kurz") for p in got] == [0, 1] and got[1].tokens == 41
 
 
 def test_mixed_kinds_count_as_prose():

@@ -16,7 +16,7 @@ def rows(df, *cols):
 
 
 def test_knn_orders_by_distance_then_id(spark):
-    v = spark.createDataFrame([(3, [1.0, 0, 0, 0]), (1, [0.0, 1, 0, 0]), (2, [1.0, 1, 0, 0]), (0, [1.0, 0, 0, 0]), (9, [0.0, 0, 0, 0]), (8, None)], "vec_id long, embedding array<float>")
+    v = spark.createDataFrame([(3, [1.0, 0.0, 0.0, 0.0]), (1, [0.0, 1.0, 0.0, 0.0]), (2, [1.0, 1.0, 0.0, 0.0]), (0, [1.0, 0.0, 0.0, 0.0]), (9, [0.0] * 4), (8, None)], "vec_id long, embedding array<float>")
     got = [(r.vec_id, round(r.distance, 6)) for r in vectors.knn(v, [1, 0, 0, 0], 10).orderBy("rank").collect()]
     assert got == [(0, 0.0), (3, 0.0), (2, 0.292893), (1, 1.0)]
     assert vectors.knn(v.limit(0), [1, 0, 0, 0], 3).count() == 0
