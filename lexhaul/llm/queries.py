@@ -18,8 +18,8 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lexicon and calibration see only labelled rows that are not held out; a fourth of those by id calibrates."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.select("doc_id", "text").join(labels.filter(labels["toxic"].isNotNull()).select("doc_id", "toxic"), "doc_id")
-    known = known.withColumn("part", remainder(F.col("doc_id"), 5)).filter("part <> 0").select("text", "toxic", (F.col("part") == 4).alias("fold"))
+    learn = toxicity.sample_labels(labels.filter(remainder(labels["doc_id"], 5) != 0).select("doc_id", "toxic"))
+    known = docs.select("doc_id", "text").join(F.broadcast(learn), "doc_id").select("text", "toxic", (remainder(F.col("doc_id"), 5) == 4).alias("fold"))
     grammar = toxicity.fit(known, fold_col="fold")
     return toxicity.score(docs, grammar).withColumn("held_out", F.coalesce(remainder(F.col("doc_id"), 5) == 0, F.lit(False)))
 

@@ -154,6 +154,15 @@ def marks(text: str) -> set[str]:
     return words | {w[:n] + "*" for w in words for n in STEMS if len(w) >= n}
 
 
+def sample_labels(labels: DataFrame, id_col: str = "doc_id", label_col: str = "toxic", bound: int = 6000) -> DataFrame:
+    """At most about `bound` ids of each label, chosen by a hash of the id: so few rows that texts can be looked up by a broadcast."""
+    rows = labels.filter(labels[label_col].isNotNull() & labels[id_col].isNotNull()).withColumn("_y", labels[label_col].cast("int") == 1)
+    sizes = {r["_y"]: r["count"] for r in rows.groupBy("_y").count().collect()}
+    rate = {y: min(1_000_000, 1_000_000 * bound // max(1, sizes.get(y, 0))) for y in (True, False)}
+    chance = F.pmod(F.xxhash64(labels[id_col]), F.lit(1_000_000))
+    return rows.filter(chance < F.when(F.col("_y"), rate[True]).otherwise(rate[False])).drop("_y").limit(4 * bound)
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", fold_col: str | None = None, bound: int = 6000, least: int = 4, cover: int = 4) -> Grammar:
     """Learns lexicon and calibration on at most about `bound` labelled rows of each label, chosen by a hash of the text (a documented bound).
 
