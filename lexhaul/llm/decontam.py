@@ -142,5 +142,5 @@ def keep_clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     """`docs` without the contaminated rows, all columns as they were."""
     index = build(docs, items, id_col=id_col, text_col=text_col, **how)
     bad = index.scratch.write(phrases(index).select(*(F.col(c).alias(f"{c}2") for c in DOC)).distinct(), "bad")
-    key = doc_key(docs, id_col, text_col)
-    return docs.withColumns({"_doc": key[0], "_text": key[1]}).join(bad, [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2")], "left_anti").select(*[docs[c] for c in docs.columns])
+    text = F.xxhash64(F.coalesce(docs[text_col], F.lit("")))
+    return docs.join(bad, docs[id_col].eqNullSafe(bad["_doc2"]) & (text == bad["_text2"]), "left_anti")

@@ -62,4 +62,4 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     found = exact_dedup(docs, id_col, text_col)
     gone = scratch.write(found.filter("NOT kept").select(F.col(id_col).alias("_gone"), F.col("text_sha256").alias("_sha")).distinct(), "gone")
     sha = F.sha2(without_ascii_space(docs[text_col]), 256)
-    return docs.join(broadcast_if(gone, gone.count(), 100_000), docs[id_col].eqNullSafe(F.col("_gone")) & (sha == F.col("_sha")), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(broadcast_if(gone, gone.count(), 100_000), docs[id_col].eqNullSafe(gone["_gone"]) & (sha == gone["_sha"]), "left_anti")

@@ -331,4 +331,4 @@ def keep_first_of_class(docs: DataFrame, num: int = 75, den: int = 100, id_col:
     scratch = Scratch(docs.sparkSession)
     found = jaccard_classes(docs, num, den, id_col, text_col)
     gone = scratch.write(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(broadcast_if(gone, gone.count()), docs[id_col] == F.col("_gone"), "left_anti").select(*[docs[c] for c in docs.columns])
+    return docs.join(broadcast_if(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
