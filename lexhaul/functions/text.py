@@ -169,8 +169,8 @@ def l2_normalise(v: Column) -> Column:
 
 def ends_mid_sentence(piece: Column) -> Column:
     """[C3] The last word is an abbreviation, an ordinal or an initial."""
-    last = F.lower(F.regexp_extract(piece, f"([^{WS}]+)[{WS}]*$", 1))
-    return last.isin(*ABBREVIATIONS) | F.regexp_like(last, F.lit(r"^(?:[\p{Nd}.]+\.|[a-zäöü]\.)$"))
+    tail = lambda back: let(F.regexp_extract(back, f"^[{WS}]*([^{WS}]+)", 1), lambda w: w.isin(*[a[::-1] for a in ABBREVIATIONS]) | F.regexp_like(w, F.lit(r"^\.(?:[\p{Nd}.]+|[a-zäöü])$")))
+    return let(F.reverse(F.lower(piece)), tail)  # read from its end, so that only the last word is looked at
 
 
 def sentences(text: Column) -> Column:
@@ -178,4 +178,4 @@ def sentences(text: Column) -> Column:
     rough = F.split(text, rf'(?<=[.!?:])[{WS}]+(?=[A-ZÄÖÜ“„"(\p{{Nd}}])')
     joint = lambda r: F.transform(r, lambda p, i: F.when(i == 0, p).otherwise(F.concat(F.when(ends_mid_sentence(F.get(r, i - 1)), " ").otherwise(MARK), p)))
     glued = F.array_join(let(rough, joint), "")
-    return F.when(strip(text) == "", F.array().cast("array<string>")).otherwise(F.split(glued, MARK))
+    return F.when(F.regexp_like(text, F.lit(f"[^{WS}]")), F.split(glued, MARK)).otherwise(F.array().cast("array<string>"))

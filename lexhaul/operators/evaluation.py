@@ -78,7 +78,7 @@ def thresholds(questions: DataFrame, hits: DataFrame, grid: tuple[float, ...] =
     A hit is exploded over the grid (13 values), then everything is two aggregations.
     """
     ok = answerable(F.col("typ"))
-    n = questions.agg(F.count_if(ok).alias("n")).first()["n"]
+    n = questions.agg(F.count_if(ok).alias("_n"))
     rows = hits.join(questions.select("question_id", "typ"), "question_id").withColumn("threshold", F.explode(F.array(*[F.lit(float(t)) for t in grid])))
     reach = F.max((F.col("score") >= F.col("threshold")).cast("int")).over(Window.partitionBy("question_id", "threshold")) == 1
     kept = F.when(reach, F.col("score") >= F.col("threshold")).otherwise(F.col("pos") == 1)
@@ -92,4 +92,4 @@ def thresholds(questions: DataFrame, hits: DataFrame, grid: tuple[float, ...] =
         F.coalesce(F.sum(F.when(~ok, F.col("kept"))), F.lit(0)).cast("long").alias("noise_kept"),
         F.sort_array(F.collect_list(F.when(ok & F.col("found") & (F.col("right") == 0), F.col("question_id")))).alias("lost"),
     )
-    return out.select("threshold", (F.col("_ok") / F.lit(float(n)) if n else F.lit(0.0)).alias("recall"), F.when(F.col("_kept") > 0, F.col("_right") / F.col("_kept")).otherwise(0.0).alias("precision"), "noise_kept", "lost")
+    return out.crossJoin(F.broadcast(n)).select("threshold", F.when(F.col("_n") > 0, F.col("_ok") / F.col("_n")).otherwise(0.0).alias("recall"), F.when(F.col("_kept") > 0, F.col("_right") / F.col("_kept")).otherwise(0.0).alias("precision"), "noise_kept", "lost")

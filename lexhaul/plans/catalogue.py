@@ -358,7 +358,7 @@ def gold_standard(spark, sf_dir):
 
 def evaluated(spark, sf_dir):
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    gold = evaluation.gold_from_passages(items, docs)
+    gold = evaluation.gold_from_passages(items, docs).persist()  # a row for each question, used three times; lost blocks are computed again
     v = docs.filter("text IS NOT NULL").select("doc_id", T.hash_embed(F.col("text")).alias("embedding"))
     q = items.select(F.col("item_id").alias("question_id"), T.hash_embed(F.col("text")).alias("query"))
     hits = vectors.knn_batch(v, q, 10, "doc_id", query_id="question_id").select("question_id", F.col("doc_id").alias("document"), F.col("rank").alias("pos"), (1 - F.col("distance")).alias("score"))
