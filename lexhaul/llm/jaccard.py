@@ -6,7 +6,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,40 +23,96 @@ POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4
 
 
 class Shingler:
-    """Distinct 5-word shingles of a text as sorted 64-bit hashes; words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z."""
+    """Distinct 5-word shingles of a text as sorted 64-bit hashes; words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z.
 
-    def __init__(self, width: int = 5, limit: int = 400_000) -> None:
-        self.width, self.limit, self.cache = width, limit, {}
-
-    def words(self, text: str) -> np.ndarray:
-        found = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
-        if len(self.cache) > self.limit:
-            self.cache.clear()
-        cache = self.cache
-        for w in set(found).difference(cache):
-            cache[w] = xxhash.xxh3_64_intdigest(w)
-        return np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+    Words are hashed where they lie: with a running sum of byte values times powers of an odd base, a word's
+    hash is a difference of two sums, moved to power 0 by the base's inverse. So no word becomes an object.
+    """
 
-    def sequence(self, text: str) -> np.ndarray:
-        """The hash of the shingle at each word; of the whole sequence if it is shorter; empty without words."""
-        w = self.words(text)
-        if not len(w):
-            return w
-        k = min(self.width, len(w))
+    BASE = 0x9E3779B97F4A7C15
+    SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+    def __init__(self, width: int = 5) -> None:
+        self.width = width
+        self.values = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64)
+        self.powers = self.inverse = np.zeros(0, np.uint64)
+
+    def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hash and first byte of every word."""
+        buf = np.frombuffer(raw.translate(LOWER), np.uint8)
+        if len(buf) > len(self.powers):
+            one = np.ones(1, np.uint64)
+            self.powers, self.inverse = (np.cumprod(np.concatenate([one, np.full(len(buf), x, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        solid = np.zeros(len(buf) + 2, np.int8)
+        solid[1:-1] = ~self.SPACE[buf]
+        turn = np.diff(solid)
+        first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[buf] * self.powers[: len(buf)])])
+        h = (sums[last] - sums[first]) * self.inverse[first] ^ (last - first).astype(np.uint64) * PLACES[3]
+        h = (h ^ (h >> np.uint64(31))) * PLACES[4]
+        return h ^ (h >> np.uint64(29)), first
+
+    @staticmethod
+    def rolled(w: np.ndarray, k: int) -> np.ndarray:
+        """Hash of the k words from each place on."""
         h = np.full(len(w) - k + 1, k, np.uint64)
         for i in range(k):
             h = (h ^ w[i : len(w) - k + 1 + i]) * PLACES[i % 5]
             h ^= h >> np.uint64(29)
         return h
 
+    def sequence(self, text: str) -> np.ndarray:
+        """The hash of the shingle at each word; of the whole sequence if it is shorter; empty without words."""
+        w, _ = self.words(text.encode("utf-8", "surrogatepass"))
+        return self.rolled(w, min(self.width, len(w))) if len(w) else w
+
     def __call__(self, text: str) -> np.ndarray:
         return np.unique(self.sequence(text))
 
-
-def fingerprint(tokens: np.ndarray) -> tuple[int, int]:
-    """Two 64-bit sums over a set, as signed integers."""
+    def batches(self, texts: list[str | None], order: np.ndarray | None = None, size: int = 400_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The same sets for many texts at little cost for each: number of the first text, sets end to end, and where each starts and ends.
+
+        With `order` (a class for each counter of the sketch) the hashes become sort keys: the class, then the
+        hash's upper 56 bits, ascending.
+        """
+        first, held, waiting = 0, [], 0
+        for k, t in enumerate(texts):
+            held.append((t or "").encode("utf-8", "surrogatepass"))
+            waiting += len(held[-1])
+            if waiting >= size or k + 1 == len(texts):
+                yield first, *self.joined(held, order)
+                first, held, waiting = k + 1, [], 0
+
+    def joined(self, texts: list[bytes], order: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        w, at = self.words(b"\n".join(texts))
+        starts = np.searchsorted(at, np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])]))
+        n = np.diff(starts)
+        sizes = np.where(n >= self.width, n - self.width + 1, np.minimum(n, 1))
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        out = np.empty(ends[-1], np.uint64)
+        if len(w) >= self.width:
+            h = self.rolled(w, self.width)
+            inside = np.arange(len(w)) - np.repeat(starts[:-1], n) < np.repeat(n - self.width + 1, n)
+            out[np.repeat(n >= self.width, sizes)] = h[inside[: len(h)]]
+        for i in np.flatnonzero((n > 0) & (n < self.width)):
+            out[ends[i]] = self.rolled(w[starts[i] : starts[i + 1]], int(n[i]))[0]
+        if order is not None:
+            out = order[(out >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(56) | out >> np.uint64(8)
+        for i in range(len(n)):
+            out[ends[i] : ends[i + 1]].sort()
+        new = np.ones(len(out), bool)
+        new[1:] = out[1:] != out[:-1]
+        new[ends[:-1][sizes > 0]] = True
+        return out[new], np.concatenate([[0], np.cumsum(new)])[ends]
+
+
+def fingerprints(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit sums over each set, as signed integers; 0 for empty sets."""
     mixed = (tokens ^ (tokens >> np.uint64(31))) * PLACES[2]
-    return tuple(int(x) for x in np.array([tokens.sum(dtype=np.uint64), (mixed ^ (mixed >> np.uint64(30))).sum(dtype=np.uint64)], np.uint64).view(np.int64))
+    mixed ^= mixed >> np.uint64(30)
+    zero = np.zeros(1, np.uint64)
+    sums = [np.concatenate([zero, np.cumsum(x, dtype=np.uint64)]) for x in (tokens, mixed)]
+    return tuple((x[ends[1:]] - x[ends[:-1]]).view(np.int64) for x in sums)
 
 
 def similar(n1, n2, both, num: int, den: int):
@@ -72,16 +127,12 @@ def summarise(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str) ->
         shingles, counts = Shingler(), np.zeros(WIDTH, np.uint32)
         names = ["part", "doc", "n", "f1", "f2", "counts"]
         for b in batches:
-            rows = []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens = shingles(t.as_py() or "")
-                counts += np.bincount((tokens >> np.uint64(44)).astype(np.int64), minlength=WIDTH).astype(np.uint32) if len(tokens) > 1 << 16 else 0
-                if len(tokens) <= 1 << 16:
-                    at, by = np.unique((tokens >> np.uint64(44)).astype(np.int64), return_counts=True)
-                    counts[at] += by.astype(np.uint32)
-                rows.append((i, len(tokens), *fingerprint(tokens)))
-            cols = list(zip(*rows, strict=True)) or [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array([-1] * len(rows), pa.int32()), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.nulls(len(rows), pa.binary())], names)
+            ids, texts = b.column(0), b.column(1).to_pylist()
+            for first, tokens, ends in shingles.batches(texts):
+                np.add.at(counts, (tokens >> np.uint64(44)).astype(np.int64), 1)
+                m = len(ends) - 1
+                f1, f2 = fingerprints(tokens, ends)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(m, -1, np.int32)), ids.slice(first, m), pa.array(np.diff(ends)), pa.array(f1), pa.array(f2), pa.nulls(m, pa.binary())], names)
         if counts.any():
             held = [c.tobytes() for c in np.split(counts, PARTS)]
             none = pa.nulls(PARTS, pa.int64())
@@ -135,23 +186,24 @@ def prefixes(docs: DataFrame, order: np.ndarray, buckets: int, num: int, den: in
             return pa.RecordBatch.from_arrays([pa.array(bucket[cuts], pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], ["bucket", "postings"])
 
         for b in batches:
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                tokens = shingles(t.as_py() or "")
-                n = len(tokens)
-                if not n or i is None:
-                    continue
-                f = fingerprint(tokens)
-                if f in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(f)
-                p = n - -(-num * n // den) + 1
-                rank = ordering.value[(tokens >> np.uint64(44)).astype(np.int64)]
-                first = np.argsort(rank, kind="stable")[:p]  # tokens are sorted, so equal classes stay in token order
-                rec = np.empty(p, POSTING)
-                rec["token"], rec["set"], rec["doc"], rec["n"], rec["pos"] = tokens[first], np.uint64(f[0] & (1 << 64) - 1), i, n, np.arange(p)
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            for first, keys, ends in shingles.batches(texts, ordering.value):
+                n = np.diff(ends)
+                f1, f2 = fingerprints(keys, ends)
+                own = ids[first : first + len(n)]
+                fresh = np.zeros(len(n), bool)
+                for k, f in enumerate(zip(f1.tolist(), f2.tolist(), strict=True)):
+                    fresh[k] = n[k] > 0 and own[k] is not None and f not in seen
+                    if fresh[k] and len(seen) < 1_000_000:
+                        seen.add(f)
+                p = np.where(fresh, n - -(-num * n // den) + 1, 0)
+                pos = np.arange(len(keys)) - np.repeat(ends[:-1], n)
+                take = pos < np.repeat(p, n)
+                rec = np.empty(int(take.sum()), POSTING)
+                rec["token"], rec["pos"] = keys[take], pos[take]
+                rec["set"], rec["doc"], rec["n"] = np.repeat(f1.view(np.uint64), p), np.repeat(np.array([i or 0 for i in own], np.int64), p), np.repeat(n, p)
                 held.append(rec)
-                size += p
+                size += len(rec)
                 if size > flush:
                     yield flushed()
                     held, size = [], 0
