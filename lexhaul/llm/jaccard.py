@@ -278,8 +278,60 @@ def first_round(postings: DataFrame, buckets: int, num: int, den: int) -> DataFr
     return postings.repartition(buckets, "bucket").mapInArrow(run, PAIR_SCHEMA)
 
 
+MEMBERS = "token", "doc", "n", "pos", "leader", "class", "d"
+
+
+def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The lists of rows (MEMBERS) that arrive sorted by token, one at a time."""
+    token, held = None, []
+    for b in batches:
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in range(len(MEMBERS))]
+        cuts = np.flatnonzero(cols[0][1:] != cols[0][:-1]) + 1
+        for part in np.split(np.arange(b.num_rows), cuts) if b.num_rows else []:
+            own = [c[part] for c in cols]
+            if held and own[0][0] != token:
+                yield dict(zip(MEMBERS, map(np.concatenate, zip(*held, strict=True)), strict=True))
+                held = []
+            token = own[0][0]
+            held.append(own)
+    if held:
+        yield dict(zip(MEMBERS, map(np.concatenate, zip(*held, strict=True)), strict=True))
+
+
+def star_round(members: DataFrame, num: int, den: int, number: int = 0, leaders: int = 12) -> DataFrame:
+    """For each list, pairs of a few members of its largest class with the rest (PAIR_SCHEMA, as first_round).
+
+    The first leader meets every row of the list, so that all have a distance to it; the others meet the rows
+    outside the class that may link. They are others in each round. The pairs stay linear in the list.
+    """
+    salt = np.uint64(2 * number + 1)
+
+    names = ["long", "a", "b", "token", "n", "pos"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in lists_of(batches):
+            doc, n, m = x["doc"].astype(np.int64), x["n"].astype(np.int64), len(x["doc"])
+            rest = n - x["pos"]
+            kinds, size = np.unique(x["class"], return_counts=True)
+            inside = x["class"] == kinds[size.argmax()]
+            own = np.flatnonzero(inside)
+            mixed = (doc[own].astype(np.uint64) ^ salt << np.uint64(40)) * PLACES[0]
+            own = own[np.argsort((mixed ^ (mixed >> np.uint64(31))) * PLACES[1], kind="stable")[:leaders]]
+            pairs = [np.stack([np.full(m, doc[own[0]]), doc], 1)]
+            for k in own[1:]:
+                ok = np.flatnonzero(~inside & may_link(n, rest, n[k], rest[k], num, den))
+                pairs.append(np.stack([np.full(len(ok), doc[k]), doc[ok]], 1))
+            found = np.concatenate(pairs)
+            found = found[found[:, 0] != found[:, 1]]
+            none = pa.nulls(len(found), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(found), bool)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), none.cast(pa.int64()), none, none], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ones(m, bool)), pa.array(doc), pa.array(np.full(m, doc[own[0]])), pa.array(x["token"]), pa.array(n.astype(np.int32)), pa.array(x["pos"].astype(np.int32))], names)
+
+    return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, PAIR_SCHEMA)
+
+
 def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs (a, b) of a long list that neither a class nor their leader's answers settle.
+    """Pairs (a, b) of a list that neither a class nor their leader's answers settle.
 
     members: token, doc, n, pos, leader, d (the distance to the leader, if known), class. Two sets of one
     class need no check. Jaccard distance is a metric: if the distances of two sets to their common leader
@@ -289,13 +341,10 @@ def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
     bound = 1 - num / den + 1e-9
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, held = None, []
-
-        def settle():
-            doc, n, pos, leader, cls = (np.array([r[k] for r in held], np.int64) for k in range(5))
-            d = np.array([np.nan if r[5] is None else r[5] for r in held])
-            rest, out, size = n - pos, [], 0
-            for i in range(len(doc) - 1):
+        for x in lists_of(batches):
+            doc, n, leader, cls = (x[k].astype(np.int64) for k in ("doc", "n", "leader", "class"))
+            d, rest, out, size = x["d"].astype(float), n - x["pos"], [], 0
+            for i in range(len(doc)):
                 stop = int(np.searchsorted(n, n[i] * den // num, "right"))
                 j = np.arange(i + 1, stop)
                 j = j[(cls[j] != cls[i]) & may_link(n[j], rest[j], n[i], rest[i], num, den)]
@@ -303,29 +352,15 @@ def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
                 if len(j):
                     out.append(np.stack([np.full(len(j), doc[i]), doc[j]], 1))
                     size += len(j)
-                if size > 200_000:
-                    yield np.concatenate(out)
+                if out and (size > 200_000 or i + 1 == len(doc)):
+                    found = np.sort(np.concatenate(out), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
                     out, size = [], 0
-            if out:
-                yield np.concatenate(out)
-
-        def emit(found: np.ndarray) -> pa.RecordBatch:
-            found = np.sort(found, axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
 
-        for b in batches:
-            for r in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
-                if r[0] != token:
-                    yield from map(emit, settle() if held else ())
-                    token, held = r[0], []
-                held.append(r[1:])
-        yield from map(emit, settle() if held else ())
-
-    sorted_in = members.select("token", "doc", "n", "pos", "leader", "class", "d").repartition("token").sortWithinPartitions("token", "n", "doc")
-    return sorted_in.mapInArrow(run, "a long, b long")
+    return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, n_shingles, component_id.
 
     Two documents link when den * intersection >= num * union of their sets of distinct 5-word shingles
@@ -334,7 +369,8 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     any order is exact, this one keeps common passages out of the prefixes. Every candidate is verified on
     whole sets of 64-bit shingle hashes, and no link between different sets is lost: members of long
     lists that leaders leave unsettled are compared in a second round. Equal sets are one class from the
-    start, by a 128-bit fingerprint.
+    start, by a 128-bit fingerprint. Before the second round, `rounds` times a few members of each list's largest
+    class meet the rest of the list, so that large groups of near copies close without all their pairs.
 
     Null, empty and wordless texts have no shingles and are their own class. Rows with a repeated id are
     one node with several sets; rows with a null id link with nothing and have a null component_id. An
@@ -361,19 +397,35 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
     rep = scratch.write(nodes.select("doc", "rep").filter("doc <> rep"), "copies")
     copies = rep.select(F.col("doc").alias("u"), F.col("rep").alias("v"))
     near = verified(read.filter("NOT long").select("a", "b"), "first")
-    links = near.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    members = read.filter("long").select("token", F.col("a").alias("doc"), "n", "pos", F.col("b").alias("leader"))
-    label = components(links.unionByName(copies), scratch)
+
+    def classes() -> DataFrame:
+        return components(near.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(copies), scratch)
+
+    def unsettled(found: DataFrame, label: DataFrame) -> DataFrame:
+        """Members of the lists that hold more than one class, with class and distance to their leader."""
+        rows = found.filter("long").select("token", F.col("a").alias("doc"), "n", "pos", F.col("b").alias("leader"))
+        rows = rows.join(label, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc")).drop("node", "component")
+        mixed = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
+        known = near.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "d").unionByName(near.select(F.col("b").alias("leader"), F.col("a").alias("doc"), "d")).groupBy("leader", "doc").agg(F.min("d").alias("d"))
+        rows = rows.join(mixed, "token", "left_semi").join(known, ["leader", "doc"], "left")
+        return scratch.write(rows.withColumn("d", F.when(F.col("leader") == F.col("doc"), 0.0).otherwise(F.col("d"))), "members")
+
+    label = classes()
+    members = unsettled(read, label)
+    for number in range(rounds):
+        if members.isEmpty():
+            break
+        read = scratch.write(star_round(members, num, den, number), "stars")
+        asked = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = near.unionByName(verified(read.filter("NOT long").select("a", "b").join(asked, ["a", "b"], "left_anti"), "star"))
+        label = classes()
+        members = unsettled(read, label)
     if not members.isEmpty():
-        known = near.groupBy(F.col("a").alias("leader"), F.col("b").alias("doc")).agg(F.min("d").alias("d"))
-        known = members.join(known, ["leader", "doc"], "left").withColumn("d", F.when(F.col("leader") == F.col("doc"), 0.0).otherwise(F.col("d")))
-        known = known.join(label, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc")).drop("node", "component")
-        known = scratch.write(known, "members")
-        mixed = known.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
-        more = verified(second_round(known.join(mixed, "token", "left_semi"), num, den), "second")
+        asked = near.select("a", "b").unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        more = verified(second_round(members, num, den).join(asked, ["a", "b"], "left_anti"), "second")
         if not more.filter("linked").isEmpty():
-            links = links.unionByName(more.filter("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
-            label = components(links.unionByName(copies), scratch)
+            near = near.unionByName(more)
+            label = classes()
     out = sets.join(label, sets["doc"] == label["node"], "left")
     return out.select(sets["doc"].alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "doc").alias("component_id"))
 
@@ -381,6 +433,6 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, id_col: str
 def keep_first_of_class(docs: DataFrame, num: int = 75, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with only the smallest id of each class, all columns as they were; rows with a null id stay."""
     scratch = Scratch(docs.sparkSession)
-    found = jaccard_classes(docs, num, den, id_col, text_col)
+    found = jaccard_classes(docs, num, den, id_col=id_col, text_col=text_col)
     gone = scratch.write(found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
     return docs.join(broadcast_if(gone, gone.count()), docs[id_col] == gone["_gone"], "left_anti")
