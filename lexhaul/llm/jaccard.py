@@ -207,7 +207,7 @@ def prefixes(docs: DataFrame, order: np.ndarray, buckets: int, num: int, den: in
                 if size > flush:
                     yield flushed()
                     held, size = [], 0
-        if held:
+        if size:
             yield flushed()
 
     return map_arrow(docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text")), run, "bucket long, postings binary")
