@@ -23,9 +23,10 @@ WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32 bytes, by a cache from pre-token to ids.
+    """Ids of whole texts as little-endian uint32 bytes, by a cache from chunks without white space to ids.
 
-    The tokenizer splits on words before it merges, so a text's ids are those of its words in turn.
+    The tokenizer splits at white space and between words before it merges, so a text's ids are those of its
+    chunks in turn.
     Texts with characters outside PLAIN or with the strings of special tokens go to the tokenizer whole.
     The cache is emptied at `limit` words, so memory stays bounded.
     """
@@ -45,19 +46,24 @@ class WordEncoder:
     def __call__(self, text: str) -> bytes:
         if not PLAIN.fullmatch(text) or "<|" in text:
             return self.whole(text)
-        words = WORDS.findall((text if text.isascii() else unicodedata.normalize("NFC", text)).lower())
+        chunks = (text if text.isascii() else unicodedata.normalize("NFC", text)).lower().split()
         if len(self.cache) > self.limit:
             self.cache.clear()
         cache = self.cache
-        if new := list(set(words).difference(cache)):
+        if new := list(set(chunks).difference(cache)):
             self.learn(new)
-        return b"".join([cache[w] for w in words])
+        return b"".join([cache[w] for w in chunks])
 
     def learn(self, new: list[str]) -> None:
-        raw = self.whole(" ".join(new))  # one call for all; each word's last id is marked as a word end
+        """The words of all new chunks that are new themselves go to the tokenizer in one call; each word's last id is marked as a word end."""
+        cache, mixed = self.cache, [(w, WORDS.findall(w)) for w in new if not w.isalpha()]
+        words = list({w for w in new if w.isalpha()}.union(*(p for _, p in mixed)).difference(cache))
+        raw = self.whole(" ".join(words))
         stops = (4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)).tolist()
-        for w, a, b in zip(new, [0, *stops], stops, strict=False):
-            self.cache[w] = raw[a:b]
+        for w, a, b in zip(words, [0, *stops], stops, strict=False):
+            cache[w] = raw[a:b]
+        for w, parts in mixed:
+            cache[w] = b"".join([cache[p] for p in parts])
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
