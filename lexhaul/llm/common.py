@@ -123,19 +123,23 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     Alternating large-star and small-star rounds; each is an aggregation and a join on narrow rows,
     written to the shared folder. No links are gathered in one place. Loops and nulls are ignored.
     """
-    edges = scratch.write(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), "edges")
+
+    def stored(df: DataFrame, name: str) -> tuple[DataFrame, tuple]:
+        """A written set of edges, and a count and sums that tell it from another."""
+        out = scratch.write(df.filter("u <> v").distinct(), name)
+        return out, tuple(out.agg(F.count(F.lit(1)), F.sum(F.hash("u", "v").cast("long")), F.sum(F.hash("v", "u").cast("long"))).first())
+
+    edges, mark = stored(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "edges")
     while True:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = scratch.write(large.filter("u <> v").distinct(), "large")
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = scratch.write(both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "large")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        new = scratch.write(small.filter("u <> v").distinct(), "small")
-        done = new.exceptAll(edges).isEmpty() and edges.exceptAll(new).isEmpty()
-        scratch.drop(edges, large)
-        edges = new
-        if done:
+        small = large.join(low, "u").select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).union(low.select("u", F.col("m").alias("v")))
+        before, last = edges, mark
+        edges, mark = stored(small, "small")
+        scratch.drop(before, large)
+        if mark == last:
             return scratch.write(edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
 
 

@@ -298,8 +298,8 @@ def lists_of(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray
         yield dict(zip(MEMBERS, map(np.concatenate, zip(*held, strict=True)), strict=True))
 
 
-def star_round(members: DataFrame, num: int, den: int, number: int = 0, leaders: int = 12) -> DataFrame:
-    """For each list, pairs of a few members of its largest class with the rest (PAIR_SCHEMA, as first_round).
+def star_round(members: DataFrame, num: int, den: int, number: int = 0, leaders: int = 32) -> DataFrame:
+    """For each list, pairs of an eighth of its largest class, `leaders` at most, with the rest (PAIR_SCHEMA, as first_round).
 
     The first leader meets every row of the list, so that all have a distance to it; the others meet the rows
     outside the class that may link. They are others in each round. The pairs stay linear in the list.
@@ -316,7 +316,7 @@ def star_round(members: DataFrame, num: int, den: int, number: int = 0, leaders:
             inside = x["class"] == kinds[size.argmax()]
             own = np.flatnonzero(inside)
             mixed = (doc[own].astype(np.uint64) ^ salt << np.uint64(40)) * PLACES[0]
-            own = own[np.argsort((mixed ^ (mixed >> np.uint64(31))) * PLACES[1], kind="stable")[:leaders]]
+            own = own[np.argsort((mixed ^ (mixed >> np.uint64(31))) * PLACES[1], kind="stable")[: min(leaders, 1 + len(own) // 8)]]
             pairs = [np.stack([np.full(m, doc[own[0]]), doc], 1)]
             for k in own[1:]:
                 ok = np.flatnonzero(~inside & may_link(n, rest, n[k], rest[k], num, den))
@@ -360,7 +360,7 @@ def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
     return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long")
 
 
-def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, n_shingles, component_id.
 
     Two documents link when den * intersection >= num * union of their sets of distinct 5-word shingles
