@@ -406,7 +406,7 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int
         rows = found.filter("long").select("token", F.col("a").alias("doc"), "n", "pos", F.col("b").alias("leader"))
         rows = rows.join(label, F.col("doc") == F.col("node"), "left").withColumn("class", F.coalesce("component", "doc")).drop("node", "component")
         mixed = rows.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).filter("lo < hi").select("token")
-        known = near.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "d").unionByName(near.select(F.col("b").alias("leader"), F.col("a").alias("doc"), "d")).groupBy("leader", "doc").agg(F.min("d").alias("d"))
+        known = near.select(F.col("a").alias("leader"), F.col("b").alias("doc"), "d").unionByName(near.select(F.col("b").alias("leader"), F.col("a").alias("doc"), "d")).groupBy("leader", "doc").agg(F.when(F.min("d") == F.max("d"), F.min("d")).alias("d"))  # unknown if an id has several sets
         rows = rows.join(mixed, "token", "left_semi").join(known, ["leader", "doc"], "left")
         return scratch.write(rows.withColumn("d", F.when(F.col("leader") == F.col("doc"), 0.0).otherwise(F.col("d"))), "members")
 

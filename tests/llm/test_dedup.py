@@ -87,6 +87,14 @@ def test_jaccard_links_at_the_bound_and_chains(frame):
     assert Counter(map(tuple, jaccard.jaccard_classes(frame(rows)).select("doc_id", "n_shingles", "component_id").collect())) == brute_classes(rows)
 
 
+def test_one_id_with_several_sets(frame, monkeypatch):
+    monkeypatch.setattr(jaccard, "SHORT", 1)
+    w = [f"w{k}" for k in range(60)]
+    near = [(10 + k, " ".join([*w[:20], f"z{k}", *w[21:]])) for k in range(6)]
+    rows = [*near, (5, " ".join(f"q{k}" for k in range(30))), (5, " ".join([*w[:40], "y", *w[41:]])), (4, " ".join(f"q{k}" for k in range(29)))]
+    assert Counter(map(tuple, jaccard.jaccard_classes(frame(rows)).select("doc_id", "n_shingles", "component_id").collect())) == brute_classes(rows)
+
+
 def test_keep_first_of_class(frame, corpus):
     want = brute_classes(corpus)
     kept = jaccard.keep_first_of_class(frame(corpus))
