@@ -269,11 +269,11 @@ def first_round(postings: DataFrame, buckets: int, num: int, den: int) -> DataFr
                     pairs.append(np.stack([np.full(len(ok), rec["doc"][h]), rec["doc"][ok]], 1))
                 block = stop
             own = slice(at, at + m)
-            yield pa.RecordBatch.from_arrays([pa.array([True] * m), pa.array(rec["doc"][own]), pa.array(lead), pa.array(rec["token"][own].view(np.int64)), pa.array(rec["n"][own]), pa.array(rec["pos"][own])], names)
+            yield pa.RecordBatch.from_arrays([pa.array([True] * m, pa.bool_()), pa.array(rec["doc"][own]), pa.array(lead), pa.array(rec["token"][own].view(np.int64)), pa.array(rec["n"][own]), pa.array(rec["pos"][own])], names)
         found = np.concatenate(pairs) if pairs else np.zeros((0, 2), np.int64)
         found = np.unique(found[found[:, 0] != found[:, 1]], axis=0)
         none = pa.nulls(len(found), pa.int32())
-        yield pa.RecordBatch.from_arrays([pa.array([False] * len(found)), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), none.cast(pa.int64()), none, none], names)
+        yield pa.RecordBatch.from_arrays([pa.array([False] * len(found), pa.bool_()), pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy()), none.cast(pa.int64()), none, none], names)
 
     return postings.repartition(buckets, "bucket").mapInArrow(run, PAIR_SCHEMA)
 
