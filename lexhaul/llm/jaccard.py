@@ -19,6 +19,8 @@ PLACES = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x16566
 WIDTH, PARTS = 1 << 20, 64
 #: Lists of up to this many sets give all their pairs at once; longer ones go through leaders first.
 SHORT = 8
+#: Entries of a list that are skipped or read together.
+BLOCK = 64
 POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4"), ("pos", "<i4")])
 
 
@@ -330,13 +332,30 @@ def star_round(members: DataFrame, num: int, den: int, number: int = 0, leaders:
     return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, PAIR_SCHEMA)
 
 
+class Blocks:
+    """A list sorted by size and position in blocks of BLOCK entries, each with its smallest size and longest rest."""
+
+    def __init__(self, n: np.ndarray, rest: np.ndarray, num: int, den: int) -> None:
+        self.n, self.rest, self.num, self.den = n, rest, num, den
+        self.starts = np.arange(0, len(n), BLOCK)
+        self.least, self.most = n[self.starts], np.maximum.reduceat(rest, self.starts)
+
+    def after(self, i: int) -> np.ndarray:
+        """Entries after i, without the blocks in which none can link to it."""
+        k, n, rest = i // BLOCK, self.n[i], self.rest[i]
+        least, most = self.least[k:], np.minimum(self.most[k:], rest)
+        near = self.starts[k:][(self.num * least <= self.den * n) & ((self.num + self.den) * most >= self.num * (n + np.maximum(least, n)))]
+        j = (near[:, None] + np.arange(BLOCK)).ravel()
+        return j[(j > i) & (j < len(self.n))]
+
+
 def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
     """Pairs (a, b) of a list that neither a class nor their leader's answers settle.
 
     members: token, doc, n, pos, leader, d (the distance to the leader, if known), class. Two sets of one
     class need no check. Jaccard distance is a metric: if the distances of two sets to their common leader
     differ by more than the join's bound, the two cannot link. Both answers come from what was computed for
-    the leader. Blocks of a list that is sorted by size are skipped as a whole by size and position.
+    the leader. Lists are sorted by size and position, so that whole blocks of them are skipped.
     """
     bound = 1 - num / den + 1e-9
 
@@ -344,9 +363,9 @@ def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
         for x in lists_of(batches):
             doc, n, leader, cls = (x[k].astype(np.int64) for k in ("doc", "n", "leader", "class"))
             d, rest, out, size = x["d"].astype(float), n - x["pos"], [], 0
+            blocks = Blocks(n, rest, num, den)
             for i in range(len(doc)):
-                stop = int(np.searchsorted(n, n[i] * den // num, "right"))
-                j = np.arange(i + 1, stop)
+                j = blocks.after(i)
                 j = j[(cls[j] != cls[i]) & may_link(n[j], rest[j], n[i], rest[i], num, den)]
                 j = j[~((leader[j] == leader[i]) & (np.abs(d[j] - d[i]) > bound))]
                 if len(j):
@@ -357,7 +376,7 @@ def second_round(members: DataFrame, num: int, den: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(found[:, 0].copy()), pa.array(found[:, 1].copy())], ["a", "b"])
                     out, size = [], 0
 
-    return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "doc").mapInArrow(run, "a long, b long")
+    return members.select(*MEMBERS).repartition("token").sortWithinPartitions("token", "n", "pos", "doc").mapInArrow(run, "a long, b long")
 
 
 def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -87,6 +87,17 @@ def test_jaccard_links_at_the_bound_and_chains(frame):
     assert Counter(map(tuple, jaccard.jaccard_classes(frame(rows)).select("doc_id", "n_shingles", "component_id").collect())) == brute_classes(rows)
 
 
+def test_skipped_blocks_hold_no_candidate():
+    r = np.random.default_rng(0)
+    for _ in range(20):
+        n = np.sort(r.integers(5, 60, int(r.integers(1, 300))))
+        rest = n - np.minimum(r.integers(0, 10, len(n)), n - 1)
+        blocks = jaccard.Blocks(n, rest, 75, 100)
+        for i in range(len(n)):
+            ok = lambda j, i=i: set(j[jaccard.may_link(n[j], rest[j], n[i], rest[i], 75, 100)].tolist())
+            assert ok(blocks.after(i)) == ok(np.arange(i + 1, len(n)))
+
+
 def test_one_id_with_several_sets(frame, monkeypatch):
     monkeypatch.setattr(jaccard, "SHORT", 1)
     w = [f"w{k}" for k in range(60)]
