@@ -166,3 +166,20 @@ def test_near_passage_is_found_and_a_short_one_is_not(frame):
     rows = [(1, " ".join(w[:200])), (2, " ".join([f"y{k}" for k in range(50)] + near + [f"z{k}" for k in range(50)])), (3, " ".join(w[0:45] + [f"q{k}" for k in range(80)]))]
     got = {r.doc_id: r for r in windows.repeated_passages(frame(rows)).collect()}
     assert set(got) == {1, 2} and got[2].spans[0].f == 50
+
+
+def test_a_part_held_by_smaller_ids_does_not_hide_a_repeat(frame):
+    """Documents 1 to 40 hold 45 of the 60 words and take every signature's lead; only 50 and 51 hold all."""
+    w = [f"v{k}" for k in range(60)]
+    around = lambda part, i: " ".join([f"a{i}x{k}" for k in range(60)] + part + [f"b{i}x{k}" for k in range(60)])
+    rows = [(i, around(w[:45] if i % 2 else w[15:], i)) for i in range(1, 41)] + [(50, around(w, 50)), (51, around(w, 51))]
+    got = {r.doc_id: r for r in windows.repeated_passages(frame(rows)).collect()}
+    assert got[50].first_doc_id == got[51].first_doc_id == 50
+    assert all((r.spans[0].f, r.spans[0].l) == (60, 119) for r in (got[50], got[51]))
+
+
+def test_windows_beyond_the_lead_stay():
+    """Extents before and after the minimum: 2 does not fit 1, 3 fits 2 only, and a second window of 1 fits 4 only."""
+    rec = np.array([(5, 1, 100, 100, 145), (5, 1, 300, 270, 315), (5, 2, 100, 55, 100), (5, 3, 100, 57, 102), (5, 4, 100, 72, 115)], windows.ENTRY)
+    kept, _, links = windows.joined(rec, np.zeros(len(rec), np.int64), 46)
+    assert {(int(x["a"]), int(x["b"])) for x in links} >= {(2, 3), (1, 4)} and len(kept) > 1
