@@ -80,7 +80,7 @@ def phrases(index: Index) -> DataFrame:
     lists = post.join(broadcast_if(second.select(F.col("term2").alias("term")).distinct(), few), "term", "left_semi").select(*(F.col(c).alias(f"{c}2") for c in DOC), F.col("pos").alias("at"), F.col("term").alias("t2"))
     ahead = first.filter("len > 1").join(broadcast_if(second, few), "wid")
     on = [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2"), F.col("at") == F.col("start") + F.col("off2"), F.col("t2") == F.col("term2")]
-    both = scratch.write(ahead.join(lists, on, "left_semi").select(*DOC, "wid", "len", "start"), "both")
+    both = scratch.write(ahead.join(lists, on, "left_semi").select(*DOC, "wid", "len", "start").distinct(), "both")  # rows that repeat id and text post every word again
     rest = w.filter("rank > 2").select("wid", "off", "term")
     probes = both.filter("len > 2").join(broadcast_if(rest, few * 10), "wid").select(*DOC, "wid", "len", "start", (F.col("start") + F.col("off")).alias("pos"), "term")
     where = scratch.write(both.select(*DOC).distinct(), "where")

@@ -70,3 +70,11 @@ def test_proximity_takes_any_order_within_the_slop(frame, items):
     rows = [(1, "x gamma alpha x beta x"), (2, "alpha beta gamma"), (3, "alpha x x x x x x x x x beta gamma"), (4, "alpha beta")]
     found = decontam.proximity(decontam.build(frame(rows), items([(1, "alpha beta gamma")])), slop=3)
     assert {r._doc for r in found.collect()} == {1, 2}
+
+
+def test_rows_that_repeat_id_and_text_keep_their_hits(frame, items):
+    long, bench = "x one two three four five six seven eight nine ten y", [(1, "one two three four five six seven eight nine ten"), (2, "p q r"), (3, "s t")]
+    rows = [(1, long), (1, long), (2, "p q r"), (2, "p q r"), (2, "p q r"), (3, "s t"), (3, "s t"), (4, "clean")]
+    got = decontam.decontaminate(frame(rows), items(bench)).select(*COLS).collect()
+    assert Counter(map(tuple, got)) == brute(rows, bench) and sum(r.contaminated for r in got) == 7
+    assert [r.doc_id for r in decontam.keep_clean(frame(rows), items(bench)).collect()] == [4]
