@@ -22,7 +22,7 @@ CAPITALISED = r"\p{Lu}[\p{Ll}'-]{1,30}"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 PATTERNS = {
     "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
-    "secret": rf"(?<!\w){SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,128}}",
+    "secret": rf"(?<!\w){SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,}}+",
     "cloud_key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
@@ -76,6 +76,12 @@ def stream(key: str, what: str, value: Column, salt: Column) -> Column:
     return F.concat(F.sha2(base, 256), F.sha2(F.concat(F.lit("+"), base), 256))
 
 
+def stretched(hexes: Column, n: Column) -> Column:
+    """`hexes`, for more than its 128 characters continued by further hashes until there are `n`."""
+    more = F.transform(F.sequence(F.lit(1), F.ceil(n / 64).cast("int")), lambda i: F.sha2(F.concat(i.cast("string"), F.lit("+"), hexes), 256))
+    return F.when(n > 128, F.concat(hexes, F.array_join(more, ""))).otherwise(hexes)
+
+
 def at(hexes: Column, i: Column | int, n: int = 1) -> Column:
     return F.substr(hexes, i + F.lit(1) if isinstance(i, Column) else F.lit(i + 1), F.lit(n))
 
@@ -94,17 +100,17 @@ def as_digit(s: Column) -> Column:
 
 def reshaped(e: Column, hexes: Column) -> Column:
     """`e` with each digit, lower and upper letter replaced by one of the same class; the rest stays."""
-    one = lambda c, i: (
-        F.when(F.regexp_like(c, F.lit("[0-9]")), as_digit(at(hexes, i % 128)))
-        .when(F.regexp_like(c, F.lit("[a-z]")), letters(at(hexes, i % 128), "abdefgiklmnoprst"))
-        .when(F.regexp_like(c, F.lit("[A-Z]")), letters(at(hexes, i % 128), "ABDEFGIKLMNOPRST"))
+    one = lambda c, h: (
+        F.when(F.regexp_like(c, F.lit("[0-9]")), as_digit(h))
+        .when(F.regexp_like(c, F.lit("[a-z]")), letters(h, "abdefgiklmnoprst"))
+        .when(F.regexp_like(c, F.lit("[A-Z]")), letters(h, "ABDEFGIKLMNOPRST"))
         .otherwise(c)
     )
-    return F.array_join(F.transform(F.split(e, ""), one), "")
+    return F.array_join(F.zip_with(F.split(e, ""), F.slice(F.split(stretched(hexes, F.length(e)), ""), F.lit(1), F.length(e)), one), "")
 
 
 def hexadecimal(e: Column, hexes: Column) -> Column:
-    return F.substr(hexes, F.lit(1), F.least(F.length(e), F.lit(128)))
+    return F.substr(stretched(hexes, F.length(e)), F.lit(1), F.length(e))
 
 
 def into_digits(e: Column, new: Column) -> Column:

@@ -231,3 +231,13 @@ def test_surrogates_of_odd_rows(frame):
     got = pii.pseudonymise(frame(rows), "k").collect()
     assert len(got) == 5 and all("a@b" not in r.text for r in got)
     assert pii.pseudonymise(frame([]), "k").count() == 0
+
+
+def test_long_secrets_are_replaced_to_their_end(frame):
+    r = np.random.default_rng(3)
+    jwt, hexes = "".join(r.choice(list("abcXYZ019-_."), 400)), "".join(r.choice(list("0123456789abcdef"), 300))
+    rows = [(1, f"token={jwt} end"), (2, f"secret: {hexes} x"), (3, f"token={jwt[:399]}Q end"), (4, f"token={jwt} end")]
+    got = {x.doc_id: x.text for x in pii.pseudonymise(frame(rows), "k").collect()}
+    assert got[1] == got[4] != got[3] and len(got[1]) == len(rows[0][1])
+    assert not any(jwt[k : k + 12] in got[1] for k in range(388)) and re.fullmatch(r"secret: [0-9a-f]{300} x", got[2]) and hexes[128:] not in got[2]
+    assert got[1][6:134] != got[1][134:262]
