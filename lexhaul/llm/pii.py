@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexhaul.llm.common import Scratch, broadcast_if
@@ -53,6 +53,8 @@ def digits(s: Column) -> Column:
     return F.regexp_replace(s, "[^0-9]", "")
 
 
+#: From this salt on surrogates may be longer than what they stand for.
+WIDE = 4
 TITLE = rf"^(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? "
 SECRET_HEAD = rf"^{SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 
@@ -113,9 +115,9 @@ def hexadecimal(e: Column, hexes: Column) -> Column:
     return F.substr(stretched(hexes, F.length(e)), F.lit(1), F.length(e))
 
 
-def into_digits(e: Column, new: Column) -> Column:
-    """`e` with its digits, in order, replaced by those of `new`."""
-    return F.array_join(F.flatten(F.zip_with(F.split(e, "[0-9]"), F.split(new, ""), lambda p, d: F.array(p, F.coalesce(d, F.lit(""))))), "")
+def into_digits(e: Column, new: Column, place: str = "[0-9]") -> Column:
+    """`e` with its digits (or other characters that match `place`), in order, replaced by those of `new`."""
+    return F.array_join(F.flatten(F.zip_with(F.split(e, place), F.split(new, ""), lambda p, d: F.array(p, F.coalesce(d, F.lit(""))))), "")
 
 
 def luhn_sum(d: Column) -> Column:
@@ -146,24 +148,30 @@ def gender(e: Column) -> Column:
     return out
 
 
-def person(e: Column, canon: Column, key: str, salt: Column) -> Column:
-    """Title kept; a given name of the same gender and script; a surname made of syllables, the same for every mention of it."""
+def widened(hexes: Column, salt: Column) -> Column:
+    """Letters that are added to values whose own places gave no free surrogate under the first salts; more for larger salts."""
+    n = F.when(salt < WIDE, 0).when(salt < 256, 3).when(salt < 65536, 5).otherwise(9)
+    return letters(F.substr(hexes, F.lit(101), n.cast("int")), "abdefgiklmnoprst")
+
+
+def person(e: Column, canon: Column, key: str, salt: Column, g: Column) -> Column:
+    """Title kept; a given name of gender `g` and the same script; a surname made of syllables, the same for every mention of it. All but the title depends on the canonical form alone."""
     title = F.regexp_extract(e, rf"({TITLE})", 1)
-    parts = F.split(F.regexp_replace(e, TITLE, ""), " ")
+    parts = F.split(canon, " ")
     given_of = lambda script, g: pick(GIVEN[(script, g)], number(stream(key, "given", canon, salt), 0, 6))
-    family = stream(key, "family", F.lower(F.element_at(parts, -1)), salt)
+    family = stream(key, "family", F.element_at(parts, -1), salt)
 
     def written(script: str) -> Column:
-        g = gender(e)
         first = F.when(g == "f", given_of(script, "f")).when(g == "m", given_of(script, "m")).otherwise(F.when(number(stream(key, "any", canon, salt), 0, 2) % 2 == 0, given_of(script, "f")).otherwise(given_of(script, "m")))
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], number(family, k, 1)) for k in range(5)]))
+        more = F.when(salt < WIDE, F.lit("")).otherwise(F.concat(*[pick(SYLLABLES[script], number(family, k, 1)) for k in range(5, 10)]))
+        last = F.initcap(F.concat(*[pick(SYLLABLES[script], number(family, k, 1)) for k in range(5)], more))
         return F.concat(title, F.when(F.size(parts) > 1, F.concat(first, F.lit(" "), last)).otherwise(last))
 
-    return F.when(F.regexp_like(e, F.lit(r"\p{IsCyrillic}")), written("cyrillic")).otherwise(written("latin"))
+    return F.when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), written("cyrillic")).otherwise(written("latin"))
 
 
-def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column) -> Column:
-    """The replacement of a mention; depends on the key, kind, canonical form and salt, and takes the mention's format."""
+def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column) -> Column:
+    """The replacement of a mention; depends on the key, kind, canonical form, salt and (of names) gender, and takes the mention's format."""
     hexes = stream(key, "value", canon, salt)
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     tld = F.regexp_extract(domain, r"(\.[^.]*)$", 1)
@@ -172,37 +180,44 @@ def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column) ->
     value = F.substr(e, F.length(head) + 1, F.length(e))
     d = digits(e)
     ten = as_digit(hexes)
-    octets = F.concat(F.lit("10."), number(hexes, 0, 2).cast("string"), F.lit("."), number(hexes, 2, 2).cast("string"), F.lit("."), number(hexes, 4, 2).cast("string"))
+    octets = F.concat(F.when(salt < WIDE, F.lit("10")).otherwise((240 + number(hexes, 6, 2) % 15).cast("string")), F.lit("."), number(hexes, 0, 2).cast("string"), F.lit("."), number(hexes, 2, 2).cast("string"), F.lit("."), number(hexes, 4, 2).cast("string"))
     return (
-        F.when(kind == "email", F.concat(reshaped(local, hexes), F.lit("@"), reshaped(host, stream(key, "host", host, F.lit(0))), tld))
+        F.when(kind == "email", F.concat(reshaped(local, hexes), widened(hexes, salt), F.lit("@"), reshaped(host, stream(key, "host", host, F.lit(0))), tld))
         .when(kind == "phone", into_digits(e, F.concat(F.substr(d, F.lit(1), F.greatest(F.length(d) - 10, F.lit(0))), F.substr(ten, F.lit(1), F.least(F.length(d), F.lit(10))))))
         .when(kind == "card", into_digits(e, card_digits(d, hexes)))
         .when(kind == "ssn", into_digits(e, F.substr(ten, F.lit(1), F.lit(9))))
         .when(kind == "ip", octets)
-        .when(kind == "iban", F.concat(F.substr(e, F.lit(1), F.lit(2)), reshaped(F.substr(e, F.lit(3), F.length(e)), hexes)))
+        .when(kind == "iban", into_digits(e, F.concat(F.substr(canon, F.lit(1), F.lit(2)), reshaped(F.substr(canon, F.lit(3), F.length(canon)), hexes)), "[^ ]"))
         .when(kind == "cloud_key", F.concat(F.substr(e, F.lit(1), F.lit(4)), reshaped(F.substr(e, F.lit(5), F.lit(16)), hexes)))
-        .when(kind == "secret", F.concat(head, F.when(F.regexp_like(value, F.lit("^[0-9a-f]+$")), hexadecimal(value, hexes)).otherwise(reshaped(value, hexes))))
-        .otherwise(person(e, canon, key, salt))
+        .when(kind == "secret", F.concat(head, F.when(F.regexp_like(value, F.lit("^[0-9a-f]+$")), hexadecimal(value, hexes)).otherwise(reshaped(value, hexes)), widened(hexes, salt)))
+        .otherwise(person(e, canon, key, salt, g))
     )
 
 
-def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 20) -> DataFrame:
-    """kind, canon, salt of every distinct entity, such that no two of a kind share a surrogate and none has another's original.
+def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> DataFrame:
+    """kind, canon, salt, g (gender) of every distinct entity, such that no two of a kind share a surrogate and none has another's original.
 
-    Each round, of the entities that share a surrogate the first in order keeps it, the others and those
-    whose surrogate is an original take the next salt, until no clash is left.
+    The gender of a name is the one that its mentions show, the first in order if they differ, so that the form
+    compared here is the one written. Each round, of the entities that share a surrogate the first in order
+    keeps it; the others and those whose surrogate is an original go on by steps drawn from a range that grows
+    with the round, so few meet again, until no clash is left. Larger salts reach longer surrogates. Clashes that
+    stay for `most` rounds are an error.
     """
-    book = scratch.write(found.select("kind", "canon").distinct().withColumn("salt", F.lit(0)), "entities")
-    for _ in range(most):
-        made = book.withColumn("s", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"))))
-        first = made.groupBy("kind", "s").agg(F.min(F.struct("salt", "canon")).alias("first"), F.count(F.lit(1)).alias("n"))
-        shared = made.join(first.filter("n > 1"), ["kind", "s"]).filter(F.struct("salt", "canon") != F.col("first")).select("kind", "canon")
-        taken = made.join(book.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon")
-        clash = scratch.write(shared.union(taken).distinct().withColumn("more", F.lit(1)), "clashes")
+    shown = F.coalesce(F.min(F.when(F.col("g") != "n", F.col("g"))), F.lit("n")).alias("g")
+    book = scratch.write(found.groupBy("kind", "canon").agg(shown).withColumn("salt", F.lit(0).cast("long")), "entities")
+    for number in range(most):
+        step = 1 + F.pmod(F.xxhash64("canon", "salt"), F.lit(min(64 << 4 * number, 1 << 40)))
+        made = book.withColumn("s", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"), F.col("g"))))
+        made = scratch.write(made, "made")
+        many = made.groupBy("kind", "s").count().filter("count > 1").drop("count")
+        rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("salt", "canon")) - 1
+        shared = made.join(many, ["kind", "s"]).withColumn("rank", rank).filter("rank > 0").select("kind", "canon", step.alias("more"))
+        taken = made.join(book.select("kind", F.col("canon").alias("s")), ["kind", "s"], "left_semi").select("kind", "canon", step.alias("more"))
+        clash = scratch.write(shared.union(taken).groupBy("kind", "canon").agg(F.max("more").alias("more")), "clashes")
         if clash.isEmpty():
-            break
-        book = scratch.write(book.join(clash, ["kind", "canon"], "left").select("kind", "canon", (F.col("salt") + F.coalesce("more", F.lit(0))).alias("salt")), "entities")
-    return book
+            return book
+        book = scratch.write(book.join(clash, ["kind", "canon"], "left").select("kind", "canon", "g", (F.col("salt") + F.coalesce("more", F.lit(0))).alias("salt")), "entities")
+    raise ValueError(f"surrogates of {clash.count()} entities still clash after {most} rounds")
 
 
 def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,16 +236,19 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     base = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_t")).withColumns({"_h": F.xxhash64(F.coalesce("_t", F.lit(""))), "_e": entities(F.col("_t"))})
     e = F.col("e")
     seen = base.filter(F.size("_e") > 0).select("_id", "_h", F.explode("_e").alias("e")).withColumn("kind", kind_of(e)).withColumn("canon", canonical(F.col("kind"), e))
-    seen = scratch.write(seen.select("_id", "_h", "kind", "canon"), "seen")
-    again = settled(seen, key, scratch).filter("salt > 0")
+    shown = F.when((F.col("kind") == "name") & F.contains("canon", F.lit(" ")), gender(e)).otherwise("n")
+    seen = scratch.write(seen.select("_id", "_h", "kind", "canon", shown.alias("g")), "seen")
+    again = settled(seen, key, scratch).filter((F.col("salt") > 0) | ((F.col("kind") == "name") & (F.col("g") != gender(F.col("canon")))))
     tag = lambda kind, canon: F.concat(kind, F.lit("\x1f"), canon)
-    salted = seen.join(broadcast_if(again, again.count()), ["kind", "canon"]).groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(F.struct(tag(F.col("kind"), F.col("canon")), "salt"))).alias("_salts"))
+    salted = seen.drop("g").join(broadcast_if(again, again.count()), ["kind", "canon"]).groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(F.struct(tag(F.col("kind"), F.col("canon")), F.struct("salt", "g")))).alias("_salts"))
     salted = scratch.write(salted.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), "salted")
     rows = base.join(broadcast_if(salted, salted.count()), [F.col("_id").eqNullSafe(F.col("_id2")), F.col("_h") == F.col("_h2")], "left")
     typed = F.transform("_e", lambda x: F.struct(x.alias("e"), kind_of(x).alias("kind")))
     known = F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
-    salt = lambda x: F.coalesce(F.element_at(F.col("_salts"), tag(x["kind"], x["canon"])), F.lit(0))
-    new = F.transform("_k", lambda x: surrogate(x["kind"], x["e"], x["canon"], key, salt(x)))
+    own = lambda x: F.element_at(F.col("_salts"), tag(x["kind"], x["canon"]))
+    ready = F.transform("_k", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), own(x).alias("own")))
+    ready = F.transform(ready, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), F.coalesce(x["own"]["salt"], F.lit(0).cast("long")).alias("salt"), F.coalesce(x["own"]["g"], F.when(x["kind"] == "name", gender(x["canon"])).otherwise("n")).alias("g")))
+    new = F.transform(ready, lambda x: surrogate(x["kind"], x["e"], x["canon"], key, x["salt"], x["g"]))
     text = F.array_join(F.flatten(F.zip_with(F.split("_t", ANY), new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
     return rows.withColumn("_k", known).select(
         F.col("_id").alias(id_col),
