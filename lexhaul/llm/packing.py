@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 import unicodedata
 import zlib
@@ -113,15 +114,31 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
+def roomy(sizes: list[tuple[int, int]], capacity: int, most: int) -> tuple[int, int, int, int]:
+    """Of bins by size (size, number): how many there are, how many at most half full, and which fuller ones can still be needed.
+
+    Two bins more than half full never fit together, so of those only as many are needed as there are others, and
+    the emptiest serve best. They are the ones below a size, and a share in 1,000 of that size.
+    """
+    n, small = sum(c for _, c in sizes), sum(c for s, c in sizes if 2 * s <= capacity)
+    room = max(small, most - small)
+    for size, c in sorted(x for x in sizes if 2 * x[0] > capacity):
+        if c > room:
+            return n, small, size, 1000 * room // c
+        room -= c
+    return n, small, capacity + 1, 0
+
+
 def pack(found: DataFrame, capacity: int = 4096, slack: int = 8, per_task: int = 20_000) -> DataFrame:
     """Places pieces (PIECES_SCHEMA) into bins of `capacity`; adds sequence_id and offset.
 
     Hierarchical residual packing: the pieces are dealt to groups of about `per_task`; each group is
     packed best-fit, and its bins with at most `slack` free tokens are emitted. The underfull bins go up
-    as single items to fewer, larger-reaching groups, round by round, until one group has held all that
-    is left, or a round no longer lessens their number (then no two of a group fit together and they are
-    emitted as they are). A bin carries its pieces along, at most `capacity` of them, so no later join
-    is needed; a task holds `per_task` items.
+    as single items, dealt anew in each round. After a round a group has one bin at most that is at most half full,
+    and only with such a one can another bin still merge; so of the fuller bins only as many of the emptiest go up
+    as can find one (see roomy), the others are emitted as they are. Each round divides the number of bins that go
+    up by about `per_task` / 2, until one group holds all that is left. Every piece leaves in some round: a bin either goes up or out.
+    A bin carries its pieces along, at most `capacity` of them, so no later join is needed.
     """
     spark, n = found.sparkSession, found.count()
     scratch = Scratch(spark)
@@ -131,16 +148,17 @@ def pack(found: DataFrame, capacity: int = 4096, slack: int = 8, per_task: int =
 
     def round_of(number: int, last: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            groups: dict[int, list[tuple[int, bytes]]] = {}
+            groups: dict[int, list[tuple[int, bytes, bool]]] = {}
             for batch in batches:
-                for g, size, held in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                    groups.setdefault(g, []).append((size, held))
+                for g, size, held, out in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                    groups.setdefault(g, []).append((size, held, out))
             for g, items in groups.items():
-                items.sort(key=lambda x: (-x[0], x[1]))  # any order of arrival gives the same bins
+                items.sort(key=lambda x: (x[2], -x[0], x[1]))  # any order of arrival gives the same bins
+                up = sum(not x[2] for x in items)
                 done, held = [], []
-                for k, members in enumerate(best_fit([s for s, _ in items], capacity)):
+                for k, members in enumerate([*best_fit([s for s, _, _ in items[:up]], capacity), *([i] for i in range(up, len(items)))]):
                     total, raw = sum(items[i][0] for i in members), b"".join(items[i][1] for i in members)
-                    if last or total >= capacity - slack:
+                    if last or total >= capacity - slack or items[members[0]][2]:
                         rec = np.frombuffer(raw, PIECE)
                         done.append((rec, np.full(len(rec), number << 56 | g << 24 | k, np.int64), np.concatenate([[0], np.cumsum(rec["length"])[:-1]]).astype(np.int64)))
                     else:
@@ -162,30 +180,34 @@ def pack(found: DataFrame, capacity: int = 4096, slack: int = 8, per_task: int =
                 rec[c] = b.column(k).fill_null(0).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([b.column(3).cast(pa.int32()), pa.array([r.tobytes() for r in rec], pa.binary())], ["size", "bin"])
 
-    left, done = found.mapInArrow(as_items, "size int, bin binary"), []
-    for number in range(64):
-        groups = tasks_for(spark, n, per_task)
-        group = F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("g")
-        whole = scratch.write(left.select(group, "size", "bin").repartition(groups, "g").mapInArrow(round_of(number, groups == 1), schema), f"round{number}")
+    per_task = max(per_task, 8)  # fewer would not make the bins fewer round by round
+    left, done, going, out = found.mapInArrow(as_items, "size int, bin binary"), [], n, F.lit(False)
+    for number in itertools.count():
+        last, groups = going <= per_task, tasks_for(spark, n, per_task)
+        group = F.pmod(F.xxhash64("bin", F.lit(number)), F.lit(groups))
+        group = F.when(out, group).otherwise(0 if last else F.pmod(F.xxhash64("bin", F.lit(number)), F.lit(tasks_for(spark, going, per_task)))).alias("g")
+        whole = scratch.write(left.select(group, "size", "bin", out.alias("out")).repartition(groups, "g").mapInArrow(round_of(number, last), schema), f"round{number}")
         done.append(whole.filter("bin IS NULL").drop("size", "bin"))
         left = whole.filter("bin IS NOT NULL").select("size", "bin")
-        before, n = n, left.count() if groups > 1 else 0
-        if not n:
-            break
-        if n >= before:
-            done.append(scratch.write(left.select(F.pmod(F.xxhash64("bin"), F.lit(groups)).alias("g"), "size", "bin").repartition(groups, "g").mapInArrow(round_of(63, True), schema), "rest").drop("size", "bin"))
+        sizes = [(r["size"], r["count"]) for r in left.groupBy("size").count().collect()]
+        if not sizes:
             break
-    out = done[0]
+        n, small, bound, share = roomy(sizes, capacity, per_task)
+        full = (F.col("size") > bound) | (F.col("size") == bound) & (F.pmod(F.xxhash64("bin", F.lit(-1)), F.lit(1000)) >= share)
+        out = full & (F.col("size") * 2 > capacity)
+        going = left.filter(~out).count()
+    packed = done[0]
     for d in done[1:]:
-        out = out.unionByName(d)
-    return out
+        packed = packed.unionByName(d)
+    return packed
 
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenises and packs: one row for each piece of each row of `docs`.
 
-    Null or empty text has the end id alone. Only documents longer than `capacity` are cut. Rows with a
-    repeated id are packed each on its own; a null id stays null. An empty table gives an empty result.
+    Null or empty text has the end id alone. Only documents longer than `capacity` are cut, however long. Rows with a
+    repeated id are packed each on its own; a null id stays null, and ids have to be whole numbers. An empty table gives
+    an empty result. Only the two named columns are read, so other names cannot clash.
     Tokens are made once and only their lengths and checksums travel on.
     """
     scratch = Scratch(docs.sparkSession)

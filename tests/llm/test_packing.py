@@ -68,3 +68,20 @@ def test_items_that_never_fit_together_end(spark):
     df = spark.createDataFrame([(k, 0, 0, 60, k) for k in range(300)], packing.PIECES_SCHEMA)
     got = packing.pack(df, 100, 8, per_task=50).collect()
     assert len({r.sequence_id for r in got}) == 300 and all(r.offset == 0 for r in got)
+
+
+def brute_bins(sizes, capacity):
+    return len(packing.best_fit(sizes, capacity))
+
+
+@pytest.mark.parametrize(("sizes", "per_task"), [([30] * 700 + [95] * 1300, 100), ([3] * 5000 + [60] * 900, 50), ([55] * 400 + [40] * 7, 50), ([1] * 3000, 20), ([51] * 1000 + [49] * 3, 10)])
+def test_tree_is_near_one_best_fit(spark, sizes, per_task):
+    """Bins of distant groups still meet: the tree needs at most 1 % and two bins more than best fit over all items at once, and no piece is lost."""
+    df = spark.createDataFrame([(k, 0, 0, s, k) for k, s in enumerate(sizes)], packing.PIECES_SCHEMA)
+    got = packing.pack(df, 100, 3, per_task).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(sizes))
+    bins = defaultdict(int)
+    for r in got:
+        bins[r.sequence_id] += r.length
+    assert max(bins.values()) <= 100
+    assert len(bins) <= 1.01 * brute_bins(sizes, 100) + 2
