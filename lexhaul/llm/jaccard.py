@@ -27,30 +27,41 @@ POSTING = np.dtype([("token", "<u8"), ("set", "<u8"), ("doc", "<i8"), ("n", "<i4
 class Shingler:
     """Distinct 5-word shingles of a text as sorted 64-bit hashes; words are [^\\x20\\x09-\\x0D]+ after lower-casing A-Z.
 
-    Words are hashed where they lie: with a running sum of byte values times powers of an odd base, a word's
-    hash is a difference of two sums, moved to power 0 by the base's inverse. So no word becomes an object.
+    Words are hashed where they lie: a word's hash is the sum of its bytes' values, each times a weight of its place
+    in the word, a difference of two running sums. So no word becomes an object. The weights follow no pattern, so no
+    two words but by chance have equal sums.
     """
 
-    BASE = 0x9E3779B97F4A7C15
     SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
     def __init__(self, width: int = 5) -> None:
         self.width = width
         self.values = np.random.default_rng(11).integers(1, 1 << 63, 256).astype(np.uint64)
-        self.powers = self.inverse = np.zeros(0, np.uint64)
+        self.weights = np.zeros(0, np.uint64)
+
+    def weighted(self, n: int) -> np.ndarray:
+        """Weights of the first `n` places: mixed place numbers, the same whatever the length asked for."""
+        if n > len(self.weights):
+            w = np.arange(1, 2 * n + 1, dtype=np.uint64) * PLACES[0]
+            for shift, factor in ((30, 1), (27, 4)):
+                w = (w ^ (w >> np.uint64(shift))) * PLACES[factor]
+            self.weights = w ^ (w >> np.uint64(31))
+        return self.weights
 
     def words(self, raw: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first byte of every word."""
         buf = np.frombuffer(raw.translate(LOWER), np.uint8)
-        if len(buf) > len(self.powers):
-            one = np.ones(1, np.uint64)
-            self.powers, self.inverse = (np.cumprod(np.concatenate([one, np.full(len(buf), x, np.uint64)])) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
         solid = np.zeros(len(buf) + 2, np.int8)
         solid[1:-1] = ~self.SPACE[buf]
         turn = np.diff(solid)
         first, last = np.flatnonzero(turn == 1), np.flatnonzero(turn == -1)
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.values[buf] * self.powers[: len(buf)])])
-        h = (sums[last] - sums[first]) * self.inverse[first] ^ (last - first).astype(np.uint64) * PLACES[3]
+        if not len(first):
+            return np.zeros(0, np.uint64), first
+        reach = np.diff(np.r_[first, len(buf)])
+        place = np.arange(first[0], len(buf)) - np.repeat(first, reach)
+        sums = np.zeros(len(buf) - first[0] + 1, np.uint64)
+        np.cumsum(self.values[buf[first[0] :]] * self.weighted(int(reach.max()))[place], out=sums[1:])
+        h = (sums[last - first[0]] - sums[first - first[0]]) ^ (last - first).astype(np.uint64) * PLACES[3]
         h = (h ^ (h >> np.uint64(31))) * PLACES[4]
         return h ^ (h >> np.uint64(29)), first
 
@@ -117,6 +128,12 @@ def fingerprints(tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.n
     return tuple((x[ends[1:]] - x[ends[:-1]]).view(np.int64) for x in sums)
 
 
+def shingle_set(text: str, width: int = 5) -> set[tuple[bytes, ...]]:
+    """The shingles themselves, not hashed."""
+    w = text.encode("utf-8", "surrogatepass").translate(LOWER).split()
+    return set(zip(*(w[k:] for k in range(width)), strict=False)) or {tuple(w)}
+
+
 def similar(n1, n2, both, num: int, den: int):
     """den * both >= num * union."""
     return den * both >= num * (n1 + n2 - both)
@@ -385,8 +402,8 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int
     Two documents link when den * intersection >= num * union of their sets of distinct 5-word shingles
     (the whole sequence if it is shorter); component_id is the smallest id reachable over links. Pairs
     come from prefix lists under one global order, rarest first by a frequency sketch over all documents;
-    any order is exact, this one keeps common passages out of the prefixes. Every candidate is verified on
-    whole sets of 64-bit shingle hashes, and no link between different sets is lost: members of long
+    any order is exact, this one keeps common passages out of the prefixes. Every candidate is compared by
+    whole sets of 64-bit shingle hashes, and a link that they show by the shingles' words; no link between different sets is lost: members of long
     lists that leaders leave unsettled are compared in a second round. Equal sets are one class from the
     start, by a 128-bit fingerprint. Before the second round, `rounds` times a few members of each list's largest
     class meet the rest of the list, so that large groups of near copies close without all their pairs.
@@ -405,12 +422,20 @@ def jaccard_classes(docs: DataFrame, num: int = 75, den: int = 100, rounds: int
     read = scratch.write(first_round(prefixes(docs, frequency_classes(summary), buckets, num, den, id_col, text_col), buckets, num, den), "lists")
     shingles = Shingler()
 
-    def compare(x: np.ndarray, y: np.ndarray) -> list[tuple]:
+    def prepare(text: str) -> tuple[str, np.ndarray]:
+        return text, shingles(text)
+
+    def compare(one: tuple[str, np.ndarray], other: tuple[str, np.ndarray]) -> list[tuple]:
+        x, y = one[1], other[1]
         both = len(np.intersect1d(x, y, assume_unique=True))
-        return [(1 - both / max(1, len(x) + len(y) - both), bool(len(x) and len(y) and similar(len(x), len(y), both, num, den)))]
+        linked = bool(len(x) and len(y) and similar(len(x), len(y), both, num, den))
+        if linked:  # hashes only propose a link, words decide
+            u, v = shingle_set(one[0]), shingle_set(other[0])
+            linked = similar(len(u), len(v), len(u & v), num, den)
+        return [(1 - both / max(1, len(x) + len(y) - both), linked)]
 
     def verified(pairs: DataFrame, name: str) -> DataFrame:
-        return scratch.write(beside_leader(docs, scratch.write(pairs.distinct(), f"{name}-pairs"), shingles, compare, "d double, linked boolean", id_col, text_col), name)
+        return scratch.write(beside_leader(docs, scratch.write(pairs.distinct(), f"{name}-pairs"), prepare, compare, "d double, linked boolean", id_col, text_col), name)
 
     nodes = sets.join(equal, ["n", "f1", "f2"]).select("doc", "rep", "n")
     rep = scratch.write(nodes.select("doc", "rep").filter("doc <> rep"), "copies")

@@ -183,3 +183,19 @@ def test_windows_beyond_the_lead_stay():
     rec = np.array([(*x, 0, 0) for x in [(5, 1, 100, 100, 145), (5, 1, 300, 270, 315), (5, 2, 100, 55, 100), (5, 3, 100, 57, 102), (5, 4, 100, 72, 115)]], windows.ENTRY)
     kept, _, links = windows.joined(rec, np.zeros(len(rec), np.int64), 46)
     assert {(int(x["a"]), int(x["b"])) for x in links} >= {(2, 3), (1, 4)} and len(kept) > 1
+
+
+def test_different_long_words_do_not_link(frame):
+    """The Thue-Morse word and its complement have equal sums under any polynomial hash modulo a power of two."""
+    rows = []
+    for k, n in enumerate((1024, 2048, 4096)):
+        word = "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+        rows += [(2 * k, word), (2 * k + 1, word.translate({97: "b", 98: "a"}))]
+    assert Counter(map(tuple, jaccard.jaccard_classes(frame(rows)).select("doc_id", "n_shingles", "component_id").collect())) == Counter((i, 1, i) for i in range(6))
+
+
+def test_shingles_by_words():
+    a = [f"w{k:03d}" for k in range(40)]
+    one, other = jaccard.shingle_set(" ".join(a)), jaccard.shingle_set(" ".join([*a[:20], "X000", *a[21:]]))
+    assert len(one) == len(other) == 36 and len(one & other) == 31
+    assert jaccard.shingle_set("A b") == {(b"a", b"b")}
