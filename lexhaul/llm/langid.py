@@ -16,6 +16,9 @@ from lexhaul.llm.common import map_arrow
 DIM = 4096
 #: Characters of a text are counted in stretches of this many, so temporary arrays stay small.
 STRETCH = 1 << 18
+#: Letters of the stretches for which rejection bounds are measured, and the letters of scripts that no corpus language need have.
+LENGTHS = [8 << k for k in range(10)]
+FOREIGN = [(0x430, 0x44F), (0x3B1, 0x3C9), (0x627, 0x64A), (0x5D0, 0x5EA), (0x905, 0x939), (0x10D0, 0x10F0), (0xAC00, 0xB000), (0x4E00, 0x5E00)]
 
 
 def ngram_counts(text: str) -> np.ndarray:
@@ -44,49 +47,94 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Centroids:
-    """A fitted model: idf, unit centroids, the language of each, and the least cosine accepted."""
+    """A fitted model: idf, unit centroids, the language of each, and the least cosine accepted at each of LENGTHS."""
 
     idf: np.ndarray
     vectors: np.ndarray
     languages: list[str]
-    least: float
+    least: np.ndarray
 
     def weigh(self, counts: np.ndarray) -> np.ndarray:
         v = np.log1p(counts).astype(np.float32) * self.idf
         return v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
 
-    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
-        sims = np.clip(self.weigh(np.stack([ngram_counts(t) for t in texts])) @ self.vectors.T, 0, 1)
+    def cosines(self, counts: np.ndarray) -> np.ndarray:
+        return np.clip(self.weigh(counts) @ self.vectors.T, 0, 1)
+
+    def bound(self, counts: np.ndarray) -> np.ndarray:
+        """The least cosine accepted for texts of these n-gram counts: a text has about three n-grams for each letter."""
+        return np.interp(np.log2(np.maximum(counts.sum(axis=1) / 3, 1)), np.log2(LENGTHS), self.least)
+
+    def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Nearest language of each text, its cosine, and whether that is too low."""
+        counts = np.stack([ngram_counts(t) for t in texts])
+        sims = self.cosines(counts)
         best = sims.argmax(axis=1)
-        return [self.languages[k] for k in best], sims[np.arange(len(texts)), best]
+        top = sims[np.arange(len(texts)), best]
+        return [self.languages[k] for k in best], top, top < self.bound(counts)
+
 
+def noise(letters: int, seed: int) -> list[str]:
+    """Texts of about `letters` letters in words of no language: of each foreign script, and of Latin letters drawn evenly."""
+    r = np.random.default_rng(seed)
+    out = []
+    for low, high in [*FOREIGN, (0x61, 0x7A)]:
+        u = r.integers(low, high + 1, letters)
+        cuts = np.cumsum(r.integers(2, 10, letters))
+        out.append(" ".join("".join(map(chr, w)) for w in np.split(u, cuts[cuts < letters])))
+    return out
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4, reject_share: float = 0.25) -> Centroids:
+
+def rejection_bounds(model: Centroids, stretches: list[tuple[int, str]]) -> np.ndarray:
+    """For each of LENGTHS the cosine a fourth of the way from the highest of noise to the lowest of stretches of known language (length, text).
+
+    Known languages come first: the bound is a fourth below their lowest at least. A length
+    without stretches takes that of the length before it.
+    """
+    out, last = [], 0.0
+    for n in LENGTHS:
+        own = [t for k, t in stretches if k == n]
+        if own:
+            low = float(model.cosines(np.stack([ngram_counts(t) for t in own])).max(axis=1).min())
+            high = float(model.cosines(np.stack([ngram_counts(t) for seed in range(4) for t in noise(n, seed)])).max())
+            last = min(0.75 * low, (low + 3 * high) / 4)
+        out.append(last)
+    return np.array(out)
+
+
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 400, clusters: int = 4) -> Centroids:
     """Fits on at most about `per_language` labelled rows of each language, chosen by a hash of the id (a documented bound).
 
-    Each language's vectors are grouped by spherical k-means into at most `clusters` centroids. The
-    rejection bound is `reject_share` times the lowest cosine that a training text of 200 letters or
-    more has with its own language, so only text far from every centroid falls below.
+    Each language's vectors are grouped by spherical k-means into at most `clusters` centroids. A fourth of the
+    rows, by the same hash, forms no centroid but gives stretches of LENGTHS letters for rejection_bounds, so
+    short texts have to be less alike than long ones.
+
+    Null texts and languages are left out; without any row the model knows no language and rejects nothing. Rows with a
+    repeated id are all in or all out. Copies of a text count each time. Ties in k-means go to the first centroid.
+    Languages with very few rows have fewer centroids, and one that the hash leaves without a row has none. Only the three
+    named columns are read, so other names cannot clash; texts are read whole, however long.
     """
     rows = labelled.select(labelled[id_col].alias("id"), labelled[text_col].alias("text"), labelled[lang_col].alias("lang")).filter("text IS NOT NULL AND lang IS NOT NULL")
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count")).limit(1000).collect()}
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}  # one row for each language
     if not sizes:
-        return Centroids(np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), ["und"], 0.0)
+        return Centroids(np.ones(DIM, np.float32), np.zeros((1, DIM), np.float32), ["und"], np.zeros(len(LENGTHS)))
     spread = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(1_000_000))
     bound = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1_000_000, 1_000_000 * per_language // n))]), F.col("lang")), F.lit(0))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            lang, text = b.column(0).to_pylist(), b.column(1)
-            found = [(g, ngram_counts(t.as_py())) for g, t in zip(lang, text, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in found], pa.string()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary())], ["lang", "counts"])
-
-    chosen = map_arrow(rows.filter(spread < bound).select("lang", "text").limit(2 * per_language * len(sizes)), count, "lang string, counts binary").collect()
-    chosen = sorted((r["lang"], bytes(r["counts"])) for r in chosen)
+            lang, text, aside = b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()
+            found = [(g, None if z else ngram_counts(t.as_py()), stretches_of(t.as_py()) if z else None) for g, t, z in zip(lang, text, aside, strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array([g for g, _, _ in found], pa.string()), pa.array([None if c is None else np.minimum(c, 65535).astype("<u2").tobytes() for _, c, _ in found], pa.binary()), pa.array([x for _, _, x in found], pa.list_(pa.string()))], ["lang", "counts", "stretches"])
+
+    aside = F.pmod(F.xxhash64(F.lit(1), F.col("id").cast("string")), F.lit(4)) == 0
+    chosen = map_arrow(rows.filter(spread < bound).select("lang", "text", aside.alias("aside")).limit(2 * per_language * len(sizes)), count, "lang string, counts binary, stretches array<string>").collect()
+    stretches = sorted((n, t) for r in chosen if r["stretches"] for n, t in zip(LENGTHS, r["stretches"], strict=False))
+    chosen = sorted((r["lang"], bytes(r["counts"])) for r in chosen if r["counts"] is not None)
     counts = np.stack([np.frombuffer(c, "<u2") for _, c in chosen]).astype(np.int64) if chosen else np.zeros((0, DIM), np.int64)
     langs = np.array([g for g, _ in chosen])
-    model = Centroids((np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32), np.zeros((0, DIM), np.float32), [], 0.0)
-    vectors, lows = model.weigh(counts), []
+    model = Centroids((np.log((1 + len(counts)) / (1 + (counts > 0).sum(axis=0))) + 1).astype(np.float32), np.zeros((0, DIM), np.float32), [], np.zeros(len(LENGTHS)))
+    vectors = model.weigh(counts)
     for lang in sorted(sizes):
         own = vectors[langs == lang]
         if not len(own):
@@ -98,19 +146,34 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
         model.vectors = np.concatenate([model.vectors, centres])
         model.languages += [lang] * len(centres)
-        long = counts[langs == lang].sum(axis=1) >= 600  # three n-grams a letter
-        lows += [(own[long] @ centres.T).max(axis=1).min()] if long.any() else []
-    model.least = reject_share * float(min(lows, default=0.0))
+    if not model.languages:
+        return Centroids(model.idf, np.zeros((1, DIM), np.float32), ["und"], np.zeros(len(LENGTHS)))
+    model.least = rejection_bounds(model, stretches)
     return model
 
 
+def stretches_of(text: str) -> list[str]:
+    """From the middle of a text a stretch with each of LENGTHS letters, as long as it has so many: whole words as far as they go."""
+    words, out = text.split(), []
+    sizes = np.array([sum(ch.isalpha() for ch in w) for w in words], np.int64)
+    ends = np.cumsum(sizes)
+    for n in LENGTHS:
+        if not len(ends) or ends[-1] < n:
+            break
+        first = int(np.searchsorted(ends - sizes, (ends[-1] - n) // 2, "right")) - 1
+        last = int(np.searchsorted(ends, ends[first] - sizes[first] + n, "left")) + 1
+        out.append(" ".join(words[first:last]))
+    return out
+
+
 def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each row of `docs`: id, lang_pred, score (cosine to the nearest centroid), rejected.
 
     Null, empty and letterless texts are `und`, score 0, rejected. A text whose best cosine is under the
     model's bound is rejected but keeps its nearest language. Ties go to the first centroid, which is
     that of the alphabetically first language. Whole texts are counted; rows are independent, so repeats
-    and null ids give a row each.
+    and null ids give a row each. An empty table gives an empty result. Only the two named columns are read, so
+    other names cannot clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -121,10 +184,10 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
                 real = [k for k, t in enumerate(texts) if has_letter(t)]
                 lang, score, out = ["und"] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
                 if real:
-                    names, sims = model.predict([texts[k] for k in real])
+                    names, sims, far = model.predict([texts[k] for k in real])
                     for k, g in zip(real, names, strict=True):
                         lang[k] = g
-                    score[real], out[real] = sims, sims < model.least
+                    score[real], out[real] = sims, far
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lang), pa.array(score), pa.array(out)], [id_col, "lang_pred", "score", "rejected"])
 
     kind = docs.schema[id_col].dataType.simpleString()
@@ -132,7 +195,11 @@ def identify(docs: DataFrame, model: Centroids, id_col: str = "doc_id", text_col
 
 
 def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -> DataFrame:
-    """`docs` without the rows that identify() rejects, all columns as they were."""
+    """`docs` without the rows that identify() rejects, all columns as they were.
+
+    Null, empty and letterless texts go. Rows are independent: repeats stay or go together, a null id does not
+    matter, whole texts are read, an empty table stays empty, and columns keep their names whatever they are.
+    """
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,7 +211,7 @@ def keep_identified(docs: DataFrame, model: Centroids, text_col: str = "text") -
                 real = [k for k, t in enumerate(texts) if has_letter(t)]
                 good = np.zeros(len(texts), bool)
                 if real:
-                    good[real] = model.predict([texts[k] for k in real])[1] >= model.least
+                    good[real] = ~model.predict([texts[k] for k in real])[2]
                 yield part.filter(pa.array(good))
 
     return map_arrow(docs, run, docs.schema)
