@@ -93,32 +93,45 @@ def phrases(index: Index) -> DataFrame:
 
 
 def proximity(index: Index, slop: int = 5) -> DataFrame:
-    """Windows whose distinct terms all lie, in any order, within len + slop words around an occurrence of the rarest: _doc, _text, wid, at.
+    """Places where some stretch of len + slop words holds all distinct terms of a window, in any order: _doc, _text, wid, at.
 
-    Positions are dealt to stretches of the longest reach, and each occurrence asks its own and the two
-    neighbouring stretches, so the join stays an equi-join.
+    `at` is the place of the window's rarest term in that stretch. A window of one distinct term has only exact matches
+    and none here. As for phrases, the lists of the two rarest terms are joined first; what they leave is
+    little, and asks for the other terms. Positions are dealt to cells of twice the longest reach, and each
+    place asks the cells of the two ends of its reach, so every join is an equi-join.
     """
-    w, post = index.windows, index.postings
-    reach = w.agg(F.max("len").alias("m")).first()["m"]
-    if reach is None:
+    w, post, scratch = index.windows, index.postings, index.scratch
+    longest = w.agg(F.max("len").alias("m")).first()["m"]
+    if longest is None:
         return post.select(*DOC, F.lit(0).cast("long").alias("wid"), F.lit(0).alias("at")).limit(0)
-    reach += slop
-    need = w.groupBy("wid").agg(F.countDistinct("term").alias("need"), F.first("len").alias("len"))
-    rare = w.filter("rank = 1").select("wid", "term")
-    anchors = post.join(rare, "term").select(*DOC, "wid", F.col("pos").alias("at"))
-    asks = anchors.withColumn("cell", F.explode(F.array(*[(F.col("at") / reach).cast("long") + d for d in (-1, 0, 1)])))
-    cells = post.select(*(F.col(c).alias(f"{c}2") for c in DOC), "pos", "term", (F.col("pos") / reach).cast("long").alias("cell2"))
-    on = [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2"), F.col("cell") == F.col("cell2")]
-    seen = asks.join(cells, on).join(w.select("wid", "term", F.col("len").alias("l")).distinct(), ["wid", "term"]).filter(F.abs(F.col("pos") - F.col("at")) < F.col("l") + slop)
-    got = seen.groupBy(*DOC, "wid", "at").agg(F.countDistinct("term").alias("got"), F.max("pos").alias("hi"), F.min("pos").alias("lo"))
-    return got.join(need, "wid").filter((F.col("got") == F.col("need"))).select(*DOC, "wid", "at")
+    cell = lambda c: F.floor(c / (2 * (longest + slop))).cast("long")
+    reach = (F.col("len") + slop).alias("reach")
+    terms = w.select("wid", "term", "freq", reach).distinct()
+    own = Window.partitionBy("wid")
+    terms = scratch.write(terms.withColumns({"need": F.count(F.lit(1)).over(own), "rank": F.row_number().over(own.orderBy("freq", "term"))}).filter("need > 1").drop("freq"), "near-terms")
+    few = index.n_windows
+    rare = terms.filter("rank = 1").select("wid", "term", "reach").join(terms.filter("rank = 2").select("wid", F.col("term").alias("term2")), "wid")
+    asked = lambda df: df.withColumn("cell", F.explode(F.array_distinct(F.array(cell(F.col("at") - F.col("reach")), cell(F.col("at") + F.col("reach"))))))
+    on = [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2"), F.col("cell") == F.col("cell2"), F.col("term2") == F.col("t2")]
+    second = post.join(broadcast_if(terms.filter("rank = 2").select("term").distinct(), few), "term", "left_semi")
+    placed = lambda df: df.select(*(F.col(c).alias(f"{c}2") for c in DOC), F.col("pos").alias("pos2"), F.col("term").alias("t2"), cell(F.col("pos")).alias("cell2"))
+    within = F.abs(F.col("pos2") - F.col("at")) < F.col("reach")
+    anchors = asked(post.join(broadcast_if(rare, few), "term").select(*DOC, "wid", "reach", "term2", F.col("pos").alias("at")))
+    close = scratch.write(anchors.join(placed(second), on).filter(within).select(*DOC, "wid", "reach", "at").distinct(), "near-both")
+    where = scratch.write(close.select(*DOC).distinct(), "near-where")
+    near = post.join(broadcast_if(where.select(*(F.col(c).alias(f"{c}2") for c in DOC)), where.count()), [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2")], "left_semi")
+    asks = asked(close.join(broadcast_if(terms.select("wid", "need", F.col("term").alias("term2")), few * 10), "wid"))
+    met = asks.join(placed(near), on).filter(within).groupBy(*DOC, "wid", "at", "reach", "need").agg(F.collect_set(F.struct("pos2", "t2")).alias("p"))
+    held = lambda first: F.size(F.array_distinct(F.transform(F.filter("p", lambda x: x["pos2"].between(first, first + F.col("reach") - 1)), lambda x: x["t2"])))
+    return met.filter(F.exists(F.sequence(F.col("at") - F.col("reach") + 1, F.col("at")), lambda first: held(first) == F.col("need"))).select(*DOC, "wid", "at")
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each row of `docs`: id, n_words, n_hit, n_items, items_sha256, contaminated.
+def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", slop: int = 5) -> DataFrame:
+    """One row for each row of `docs`: id, n_words, n_hit, n_items, items_sha256, contaminated, n_near_items.
 
     A word inside any occurrence of a window is hit. items_sha256 is of the sorted, comma-joined ids of
-    the items with occurring windows, of the empty string without any. Null and empty texts have no
+    the items with occurring windows, of the empty string without any. n_near_items counts the items of which a window's
+    words all lie within `slop` words more than its length, in any order (see proximity). Null and empty texts have no
     words; items without words have no window; no items, no hits. Rows with a repeated id each get the
     hits of their own text, a null id included; items with a repeated id count once. Only the named
     columns are read.
@@ -128,13 +141,15 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, id_col: s
     hit = found.select(*DOC, F.explode(F.sequence("start", F.col("start") + F.col("len") - 1)).alias("pos")).distinct().groupBy(*DOC).agg(F.count(F.lit(1)).alias("n_hit"))
     who = found.select(*DOC, "wid").distinct().join(index.owners, "wid").groupBy(*DOC).agg(F.array_sort(F.collect_set(F.col("item").cast("string"))).alias("who"))
     marks = index.scratch.write(hit.join(who, [hit[c].eqNullSafe(who[c]) for c in DOC]).select(hit["_doc"].alias("_doc2"), hit["_text"].alias("_text2"), "n_hit", "who"), "marks")
+    near = proximity(index, slop).select(*DOC, "wid").distinct().join(index.owners, "wid").groupBy(*DOC).agg(F.countDistinct("item").alias("n_near"))
+    near = index.scratch.write(near.select(F.col("_doc").alias("_doc3"), F.col("_text").alias("_text3"), "n_near"), "near")
     rows = docs.select(*doc_key(docs, id_col, text_col), F.split(F.coalesce(docs[text_col], F.lit("")), SEPARATOR).alias("_w"))
     n_words = F.size("_w") - (F.element_at("_w", 1) == "").cast("int") - ((F.size("_w") > 1) & (F.element_at("_w", -1) == "")).cast("int")
     rows = rows.select(*DOC, n_words.cast("long").alias("n_words"))
-    out = rows.join(marks, [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2")], "left")
+    out = rows.join(marks, [F.col("_doc").eqNullSafe(F.col("_doc2")), F.col("_text") == F.col("_text2")], "left").join(near, [F.col("_doc").eqNullSafe(F.col("_doc3")), F.col("_text") == F.col("_text3")], "left")
     who = F.coalesce("who", F.array().cast("array<string>"))
     return out.select(
-        F.col("_doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(who).cast("long").alias("n_items"), F.sha2(F.array_join(who, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated")
+        F.col("_doc").alias(id_col), "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(who).cast("long").alias("n_items"), F.sha2(F.array_join(who, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"), F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near_items")
     )
 
 

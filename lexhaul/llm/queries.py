@@ -62,10 +62,21 @@ WITH d AS (
   FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS s FROM d), (SELECT DISTINCT k FROM win) WHERE s + k - 1 <= len(w)
 ), m AS (SELECT DISTINCT span.doc_id, span.s, span.k, win.item_id FROM span JOIN win USING (p, k)),
 h AS (SELECT doc_id, count(DISTINCT pos) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + k)) AS pos FROM m) GROUP BY doc_id),
-i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM m GROUP BY doc_id)
+i AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM m GROUP BY doc_id),
+bag AS (SELECT DISTINCT p, k, list_sort(list_distinct(string_split(p, ' '))) AS t FROM win WHERE len(list_distinct(string_split(p, ' '))) > 1),
+dw AS (SELECT DISTINCT doc_id, unnest(w) AS word FROM d),
+df AS (SELECT word, count(*) AS n FROM dw GROUP BY word),
+rare AS (SELECT p, arg_min(word, n) AS word FROM (SELECT p, unnest(t) AS word FROM bag) JOIN df USING (word) GROUP BY p),
+near AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (
+    SELECT d.doc_id, bag.p FROM dw JOIN rare USING (word) JOIN bag USING (p) JOIN d ON d.doc_id = dw.doc_id
+    WHERE list_has_all(d.w, bag.t) AND len(list_filter(range(1, len(d.w) + 1), lambda s: list_has_all(d.w[s:s + bag.k + 4], bag.t))) > 0
+  ) JOIN win USING (p) GROUP BY doc_id
+)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, CAST(coalesce(len(i.ids), 0) AS BIGINT) AS n_items,
-       sha256(coalesce(array_to_string(i.ids, ','), '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id)
+       sha256(coalesce(array_to_string(i.ids, ','), '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated,
+       coalesce(near.n_near, 0) AS n_near_items
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN i USING (doc_id) LEFT JOIN near USING (doc_id)
 """
 
 

@@ -72,6 +72,28 @@ def test_proximity_takes_any_order_within_the_slop(frame, items):
     assert {r._doc for r in found.collect()} == {1, 2}
 
 
+def near(rows, items, size=10, slop=5):
+    """Items of which all words of a window, two at least, lie within its length and `slop` words, by trying every stretch."""
+    words, out = lambda t: WORD.findall((t or "").translate(UPPER)), []
+    wins = {(i, tuple(w[k : k + size])) for i, t in items for w in [words(t)] if w for k in range(max(1, len(w) - size + 1))}
+    for i, t in rows:
+        w = words(t)
+        out.append((i, len({item for item, x in wins if len(set(x)) > 1 and any(set(x) <= set(w[k : k + len(x) + slop]) for k in range(len(w)))})))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_proximity_against_brute_force(frame, corpus, items, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(decontam, "broadcast_if", lambda df, *a: df)
+    text = dict(corpus)
+    w = text[300].split()
+    bench = [(1, " ".join(w[30:55])), (2, "ba do ri"), (3, "ka"), (4, "ka ka"), (5, " ".join(reversed(w[40:48]))), (6, "lu sen ka do")]
+    rows = [*((i, t) for i, t in corpus if i != 507 and i != 505), (950, " ".join([*w[44:48], "x", "y", "z", "u", *w[40:44]])), (951, " ".join([*w[44:48], *"abcdef", *w[40:44]])), (952, "ba x x x x x do ri"), (953, "ri x x x x x do"), (953, "RI,do.BA")]
+    got = decontam.decontaminate(frame(rows), items(bench)).select("doc_id", "n_near_items").collect()
+    assert Counter(map(tuple, got)) == near(rows, bench)
+
+
 def test_rows_that_repeat_id_and_text_keep_their_hits(frame, items):
     long, bench = "x one two three four five six seven eight nine ten y", [(1, "one two three four five six seven eight nine ten"), (2, "p q r"), (3, "s t")]
     rows = [(1, long), (1, long), (2, "p q r"), (2, "p q r"), (2, "p q r"), (3, "s t"), (3, "s t"), (4, "clean")]
