@@ -29,9 +29,13 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
 
 
+def tokens_of_length(chars: Column) -> Column:
+    return F.greatest(F.lit(1), F.floor(chars / F.lit(CHARS_PER_TOKEN)).cast("int"))
+
+
 def estimate_tokens(text: Column) -> Column:
     """At least 1."""
-    return F.greatest(F.lit(1), F.floor(F.char_length(text) / F.lit(CHARS_PER_TOKEN)).cast("int"))
+    return tokens_of_length(F.char_length(text))
 
 
 def heading(path: Column) -> Column:

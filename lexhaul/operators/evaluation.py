@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # The threshold grid and the answerable question types.
 GRID = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5)
 ANSWERABLE = ("eindeutig", "mehrdeutig")
+#: Inner words of a passage by which documents that may contain it are found.
+GRAM = 4
 
 
 def answerable(typ: Column) -> Column:
@@ -32,11 +34,33 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
 def gold_from_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
     """Questions whose expected documents are those that contain the item's text: question_id, dokumente, typ.
 
-    The items are the broadcast side, behind a count; each document row is compared with them in place.
+    A document that contains a passage has all its inner words, those between the first and the last, in the
+    same order. So documents and passages meet by a hash of the first GRAM inner words, of the longest one where there are
+    fewer, and only those that share it are compared. A passage of one or two words has no inner word and is
+    compared with every document.
     """
+    words = lambda c: F.split(c, r"\s+")
     held = items.select("item_id", F.col("text").alias("passage")).filter("passage IS NOT NULL AND passage <> ''")
-    held = F.broadcast(held) if held.count() <= 10_000 else held
-    pairs = docs.join(held, F.contains(docs["text"], F.col("passage"))).groupBy("item_id").agg(F.sort_array(F.collect_set("doc_id")).alias("dokumente"))
+    held = held.withColumn("w", words(F.col("passage"))).withColumn("inner", F.size("w") - 2)
+    inner = F.slice("w", 2, F.greatest(F.col("inner"), F.lit(0)))
+    longest = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), 1)["x"]
+    gram = F.when(F.col("inner") >= GRAM, F.xxhash64(F.array_join(F.slice("w", 2, GRAM), " "))).when(F.col("inner") > 0, F.xxhash64(longest))
+    found = None
+    for long, size in ((F.col("inner") >= GRAM, GRAM), (F.col("inner").between(1, GRAM - 1), 1)):
+        own = held.filter(long).select("item_id", "passage", gram.alias("gram"))
+        if (n := own.count()) == 0:
+            continue
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i, size=size: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))
+        seen = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= size).select("doc_id", F.explode(grams).alias("gram"))
+        anchors = own.select("item_id", "gram")
+        near = seen.join(F.broadcast(anchors) if n <= 200_000 else anchors, "gram").select("doc_id", "item_id").distinct()
+        met = near.join(own.drop("gram"), "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
+        found = met if found is None else found.unionByName(met)
+    tiny = held.filter(F.col("inner") <= 0)
+    if found is None or not tiny.isEmpty():
+        met = docs.join(tiny, F.contains(docs["text"], F.col("passage"))).select("item_id", "doc_id")
+        found = met if found is None else found.unionByName(met)
+    pairs = found.groupBy("item_id").agg(F.sort_array(F.collect_set("doc_id")).alias("dokumente"))
     out = items.select("item_id").join(pairs, "item_id", "left").withColumn("n", F.coalesce(F.size("dokumente"), F.lit(0)))
     typ = F.when(F.col("dokumente").isNull(), "ohne_antwort").when(F.size("dokumente") == 1, "eindeutig").otherwise("mehrdeutig")
     return out.select(F.col("item_id").alias("question_id"), F.coalesce("dokumente", F.array().cast("array<bigint>")).alias("dokumente"), typ.alias("typ"))

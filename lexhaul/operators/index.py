@@ -21,13 +21,28 @@ def file_system(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def recover_table(spark: SparkSession, path: str) -> bool:
+    """Whether there is a table at `path`. One that a crash left aside in the middle of a swap takes its place again."""
+    fs, at = file_system(spark, path)
+    if not fs.exists(at):
+        left = [s.getPath() for s in fs.globStatus(file_system(spark, f"{path}.last-*")[1]) or []]
+        if left:
+            fs.rename(max(left, key=lambda p: fs.getFileStatus(p).getModificationTime()), at)
+    return fs.exists(at)
+
+
 def swap_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside the table, then takes its place; a reader sees the old or the new files."""
-    staged = f"{path}.next-{uuid.uuid4().hex}"
+    """Writes beside the table, moves the old one aside, takes its place, and deletes the old one last; see recover_table for a crash between."""
+    staged, last = f"{path}.next-{uuid.uuid4().hex}", f"{path}.last-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     fs, at = file_system(spark, path)
-    fs.delete(at, True)
-    fs.rename(file_system(spark, staged)[1], at)
+    aside = file_system(spark, last)[1]
+    if fs.exists(at) and not fs.rename(at, aside):
+        raise OSError(f"{path} could not be moved aside")
+    if not fs.rename(file_system(spark, staged)[1], at):
+        raise OSError(f"{staged} could not take the place of {path}")
+    for old in fs.globStatus(file_system(spark, f"{path}.last-*")[1]) or []:
+        fs.delete(old.getPath(), True)
 
 
 def ingest_status(listing: DataFrame, documents: DataFrame, force: bool = False) -> DataFrame:
@@ -100,19 +115,28 @@ class CompatibilityError(ValueError):
 
 
 class IndexStore:
-    """[§1.4, D7, D8, S13] Versioned snapshots under `base`; CURRENT names the one that readers use.
+    """[§1.4, D7, D8, S13] Versioned snapshots under `base`; the pointer with the highest number names the one that readers use.
 
-    A write makes a whole new snapshot and then moves the pointer, so a crash between leaves the old one.
+    A write makes a whole new snapshot and then a new pointer: written under another name, renamed, never in
+    the place of an old one, which goes only afterwards. So a crash at any point leaves the old or the new index, and
+    of two writers at once one fails.
     """
 
     def __init__(self, spark: SparkSession, base: str, embedder: str, dimensions: int, backend: str = "parquet", profile: str = "default") -> None:
         self.spark, self.base = spark, base.rstrip("/")
         self.meta = {"schema_version": str(SCHEMA_VERSION), "embedder": embedder, "dimensions": str(dimensions), "vector_backend": backend, "embedder_profile": profile}
 
+    def pointers(self) -> list[tuple[int, str]]:
+        """Number and path of every pointer, oldest first."""
+        fs, at = file_system(self.spark, f"{self.base}/CURRENT-*")
+        paths = [s.getPath() for s in fs.globStatus(at) or []]
+        return sorted((int(p.getName().rpartition("-")[2]), p.toString()) for p in paths if p.getName().rpartition("-")[2].isdigit())
+
     def current(self) -> dict | None:
-        fs, at = file_system(self.spark, f"{self.base}/CURRENT")
-        if not fs.exists(at):
+        found = self.pointers()
+        if not found:
             return None
+        fs, at = file_system(self.spark, found[-1][1])
         stream = fs.open(at)
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
@@ -135,13 +159,35 @@ class IndexStore:
         name = f"snapshot-{uuid.uuid4().hex}"
         for table, df in (("documents", documents), ("chunks", chunks), ("vectors", vectors)):
             df.write.parquet(f"{self.base}/{name}/{table}")
-        fs, at = file_system(self.spark, f"{self.base}/CURRENT.next")
+        self.point({"snapshot": name, "meta": self.meta, "high_water": high_water})
+
+    def point(self, to: dict) -> None:
+        """Makes `to` the current state; pointers before the last one go."""
+        old = self.pointers()
+        fs, at = file_system(self.spark, f"{self.base}/next-{uuid.uuid4().hex}")
         out = fs.create(at, True)
-        out.write(bytearray(json.dumps({"snapshot": name, "meta": self.meta, "high_water": high_water}).encode()))
+        out.write(bytearray(json.dumps(to).encode()))
         out.close()
-        _, target = file_system(self.spark, f"{self.base}/CURRENT")
-        fs.delete(target, False)
-        fs.rename(at, target)
+        target = file_system(self.spark, f"{self.base}/CURRENT-{(old[-1][0] if old else 0) + 1:012d}")[1]
+        if fs.exists(target) or not fs.rename(at, target):
+            raise OSError(f"{target.toString()} was made by another writer")
+        for _, path in old[:-1]:
+            fs.delete(file_system(self.spark, path)[1], False)
+
+    def rebuild(self, files: DataFrame, embed, chunker=None, accept: bool = True) -> DataFrame:
+        """[D8] A new index of all of `files` beside the old one, with this store's schema, model and dimensions; returns path, status, chunk_count.
+
+        The old snapshot stays current until the new one is whole; ids go on from the old marks, so none is used
+        twice. With `accept` false nothing becomes current if a file failed.
+        """
+        marks = (self.current() or {"high_water": {"documents": 0, "chunks": 0}})["high_water"]
+        side = IndexStore(self.spark, f"{self.base}/rebuild-{uuid.uuid4().hex}", self.meta["embedder"], int(self.meta["dimensions"]), self.meta["vector_backend"], self.meta["embedder_profile"])
+        side.commit(side.read("documents"), side.read("chunks"), side.read("vectors"), marks)
+        result = side.ingest(files, embed, chunker=chunker)
+        if accept or result.filter(F.col("status") == FAILED).isEmpty():
+            now = side.current()
+            self.point({**now, "snapshot": f"{side.base[len(self.base) + 1 :]}/{now['snapshot']}"})
+        return result
 
     def ingest(self, files: DataFrame, embed, prune_against: DataFrame | None = None, force: bool = False, chunker=None) -> DataFrame:
         """[D2] files: path, sha256, text, error. Returns path, status, chunk_count. embed: column of text to column of vector."""
@@ -152,13 +198,14 @@ class IndexStore:
         now = self.current() or {"high_water": {"documents": 0, "chunks": 0}}
         marks, old_docs = now["high_water"], self.read("documents")
         work = files.join(old_docs.select("path", F.col("sha256").alias("_sha")), "path", "left").filter(F.col("error").isNull() & (F.lit(force) | F.col("_sha").isNull() | (F.col("_sha") != F.col("sha256"))))
-        pieces = (chunker or (lambda d: chunk_documents(d, "path", "text")))(work.select("path", "text")).cache()
+        pieces = (chunker or (lambda d: chunk_documents(d, "path", "text")))(work.select("path", "text"))
+        pieces = self.kept(pieces, "pieces")
         counts = pieces.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
         listing = files.select("path", "sha256", "error").join(counts, "path", "left").join(work.select("path", F.lit(True).alias("_w")), "path", "left")
         listing = listing.withColumn("n_chunks", F.when(F.col("_w"), F.coalesce("n_chunks", F.lit(0)))).drop("_w")
-        result = ingest_status(listing, old_docs, force).cache()
+        result = self.kept(ingest_status(listing, old_docs, force), "result")
         fresh = work.join(counts, "path").select("path", "sha256", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.lit(1).alias("page_count"), F.length("text").cast("long").alias("char_count"), F.lit(False).alias("ocr_used"), F.col("n_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
-        fresh = assign_ids(fresh, ["path"], marks["documents"]).select(*old_docs.columns).cache()
+        fresh = self.kept(assign_ids(fresh, ["path"], marks["documents"]).select(*old_docs.columns), "fresh")
         gone = missing(old_docs, prune_against).select("path") if prune_against is not None else old_docs.select("path").limit(0)
         n_new = fresh.count()
         if n_new or not gone.isEmpty():
@@ -172,5 +219,11 @@ class IndexStore:
             self.commit(left.unionByName(fresh), old_chunks.select(*order).unionByName(chunks.select(*order)), old_vectors.select("chunk_id", "embedding").unionByName(vectors), high)
         return result
 
+    def kept(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` written once beside the index, so a lost executor changes neither ids nor counts."""
+        path = f"{self.base}/work/{uuid.uuid4().hex}-{name}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
     def stats(self) -> DataFrame:
         return stats(self.read("documents"), self.read("chunks"), self.read("vectors"))

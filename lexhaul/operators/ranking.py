@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexhaul.functions.text import estimate_tokens, render_source
+from lexhaul.functions.text import render_source, tokens_of_length
 
 #: Share of a context that sources may fill, and the width of the first retrieval stage.
 BUDGET_SHARE, CANDIDATES, TOP_K = 0.6, 30, 5
@@ -30,15 +30,17 @@ def rerank(hits: DataFrame, score: Column, top_k: int = TOP_K, min_score: float
 def build_sources(hits: DataFrame, context_tokens: int, query: str = "query_id", pos: str = "pos", cite: str = "citation", text: str = "text") -> DataFrame:
     """[R5, F17] Hits in order as numbered sources until the first that does not fit; the first always does. Adds number, cost, used, dropped.
 
-    Every cost is at least 1, so the stop is a running sum; the number is part of the cost it causes.
+    Every cost is at least 1, so no hit after the first `budget` ones can fit, and the stop is a running sum over
+    those; the number is part of the cost it causes. Only lengths are ranked; texts are joined to what stays.
     """
     budget = int(context_tokens * BUDGET_SHARE)
     own = Window.partitionBy(query).orderBy(pos)
-    rows = hits.withColumn("number", F.row_number().over(own))
-    rows = rows.withColumn("cost", estimate_tokens(render_source(F.col("number"), F.col(cite), F.col(text)))).withColumn("used", F.sum("cost").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    kept = (F.col("number") == 1) | (F.col("used") <= budget)
-    rows = rows.withColumn("_kept", kept).withColumn("dropped", F.count_if(~F.col("_kept")).over(Window.partitionBy(query)))
-    return rows.filter("_kept").drop("_kept")
+    rows = hits.select(query, pos, F.col(cite).alias("_cite"), F.char_length(text).alias("_n")).withColumn("number", F.row_number().over(own)).filter(F.col("number") <= max(1, budget))
+    chars = F.char_length(render_source(F.col("number"), F.col("_cite"), F.lit(""))) + F.coalesce("_n", F.lit(0))
+    rows = rows.withColumn("cost", tokens_of_length(chars)).withColumn("used", F.sum("cost").over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = rows.filter((F.col("number") == 1) | (F.col("used") <= budget)).drop("_cite", "_n")
+    counts = hits.groupBy(query).agg(F.count(F.lit(1)).alias("_all")).join(rows.groupBy(query).agg(F.count(F.lit(1)).alias("_kept")), query).select(query, (F.col("_all") - F.col("_kept")).alias("dropped"))
+    return hits.join(rows, [query, pos]).join(counts, query)
 
 
 def reusable_hits(sources: DataFrame, conversation: str = "conv_id", turn: str = "turn", pos: str = "pos", chunk: str = "chunk_id") -> DataFrame:
@@ -55,22 +57,22 @@ def turn_pairs(messages: DataFrame) -> DataFrame:
     return rows.filter("role = 'user' AND next_role = 'assistant'").select("conv_id", "turn", F.col("text").alias("question"), "answer")
 
 
-def prompt(system: Column, history: Column, sources: Column, question: Column) -> Column:
+def prompt(system: Column, history: Column, sources: Column, question: Column, instruction: str = "") -> Column:
     """array<struct<role, content>>: system, past turns without their sources, then the sources and the question; null without sources.
 
-    history: array<struct<question, answer>>; sources: array of rendered sources.
+    history: array<struct<question, answer>>; sources: array of rendered sources; instruction ends the last message.
     """
     message = lambda role, content: F.struct(F.lit(role).alias("role"), content.alias("content"))
     past = F.flatten(F.transform(history, lambda t: F.array(message("user", t["question"]), message("assistant", t["answer"]))))
-    last = F.concat(F.lit("Quellen:\n\n"), F.array_join(sources, "\n\n"), F.lit("\n\n---\n\nFrage: "), question, F.lit("\n\nAntworte auf Deutsch und belege mit Quellennummern."))
+    last = F.concat(F.array_join(sources, "\n\n"), F.lit("\n\n"), question, F.lit(f"\n\n{instruction}" if instruction else ""))
     return F.when(F.size(sources) > 0, F.concat(F.array(message("system", system)), past, F.array(message("user", last))))
 
 
 def route_prompt(system: Column, history: Column, available: Column, question: Column, marker: str = "QUELLEN_REICHEN") -> Column:
-    """The routing question: past turns, citations at hand, the follow-up."""
-    past = F.array_join(F.flatten(F.transform(history, lambda t: F.array(F.concat(F.lit("Frage: "), t["question"]), F.concat(F.lit("Antwort: "), t["answer"])))), "\n")
-    held = F.when(F.size(available) > 0, F.array_join(F.transform(available, lambda a: F.concat(F.lit("- "), a)), "\n")).otherwise(F.lit("(keine)"))
-    user = F.concat(F.lit("Gesprächsverlauf:\n"), past, F.lit("\n\nVorliegende Quellen:\n"), held, F.lit("\n\nFolgefrage: "), question, F.lit(f"\n\nAntwort ({marker} oder Suchanfrage):"))
+    """The routing question: past turns, citations at hand, the follow-up, and the two kinds of reply that parse_route reads."""
+    past = F.array_join(F.flatten(F.transform(history, lambda t: F.array(F.concat(F.lit("F: "), t["question"]), F.concat(F.lit("A: "), t["answer"])))), "\n")
+    held = F.array_join(F.transform(available, lambda a: F.concat(F.lit("* "), a)), "\n")
+    user = F.concat_ws("\n\n", F.when(F.size(history) > 0, past), F.when(F.size(available) > 0, F.concat(F.lit("Schon gefunden:\n"), held)), F.concat(F.lit("F: "), question), F.lit(f"Genügt das Gefundene, schreibe {marker}, sonst nur einen Suchtext."))
     return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")), F.struct(F.lit("user").alias("role"), user.alias("content")))
 
 

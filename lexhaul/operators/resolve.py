@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GIB = 1 << 30
@@ -95,9 +95,10 @@ def resolve_generator(candidates: DataFrame, c: Criteria, by: str = "platform")
     rows = candidates.withColumn("reason", reject_reason(c))
     pick = lambda ok: F.min_by("model_id", F.when(ok, F.col("rank")))
     won, second = pick(F.col("reason").isNull()), pick(F.col("reason") == "partial_fit")
-    reasons = F.transform(F.slice(F.sort_array(F.collect_list(F.when(F.col("reason").isNotNull(), F.struct("rank", F.concat("model_id", F.lit(": "), "reason").alias("why"))))), 1, 10), lambda x: x["why"])
-    out = rows.groupBy(by).agg(F.max(F.col("reason").isNull()).alias("_won"), F.max(F.coalesce(F.col("reason") == "partial_fit", F.lit(False))).alias("_second"), won.alias("_a"), second.alias("_b"), reasons.alias("rejected"))
-    return out.select(by, F.when(F.col("_won"), F.col("_a")).when(F.col("_second"), F.col("_b")).alias("model_id"), (~F.col("_won") & F.col("_second")).alias("fallback"), "rejected")
+    first = F.row_number().over(Window.partitionBy(by).orderBy("rank", "model_id"))
+    no = rows.filter(F.col("reason").isNotNull()).withColumn("_n", first).filter("_n <= 10").groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.concat("model_id", F.lit(": "), "reason").alias("why")))), lambda x: x["why"]).alias("rejected"))
+    out = rows.groupBy(by).agg(F.max(F.col("reason").isNull()).alias("_won"), F.max(F.coalesce(F.col("reason") == "partial_fit", F.lit(False))).alias("_second"), won.alias("_a"), second.alias("_b")).join(no, by, "left")
+    return out.select(by, F.when(F.col("_won"), F.col("_a")).when(F.col("_second"), F.col("_b")).alias("model_id"), (~F.col("_won") & F.col("_second")).alias("fallback"), F.coalesce("rejected", F.array().cast("array<string>")).alias("rejected"))
 
 
 def generator_budget(platforms: DataFrame, roles: DataFrame, by: str = "machine") -> DataFrame:

@@ -28,53 +28,90 @@ def matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
-def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", block: int = 2000) -> DataFrame:
+class Nearest:
+    """The k nearest of the rows seen so far for each query of a block, ties by id."""
+
+    def __init__(self, ids: list, queries: np.ndarray, k: int, id_type: pa.DataType) -> None:
+        norm = np.linalg.norm(queries, axis=1)
+        self.ids, self.dim, self.k = [i for i, n in zip(ids, norm, strict=True) if n > 0], queries.shape[1], k
+        self.q = (queries[norm > 0] / norm[norm > 0, None]).T
+        self.held = pa.table([pa.array([], pa.int64()), pa.array([], pa.float64()), pa.array([], id_type)], ["q", "d", "id"])
+
+    def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        x = matrix(vectors, self.dim)
+        n = np.linalg.norm(x, axis=1)
+        if not self.ids or not (n > 0).any():
+            return
+        d = np.round(1 - (x[n > 0] / n[n > 0, None]) @ self.q, DECIMALS)
+        near = d <= np.partition(d, self.k - 1, axis=0)[self.k - 1] if len(d) > self.k else np.ones(d.shape, bool)
+        row, col = np.nonzero(near)
+        new = pa.table([pa.array(col), pa.array(d[row, col]), ids.take(pa.array(np.flatnonzero(n > 0)[row]))], ["q", "d", "id"])
+        self.held = pa.concat_tables([self.held, new])
+        if self.held.num_rows > 4 * self.k * len(self.ids):
+            self.cut()
+
+    def cut(self) -> None:
+        rows = self.held.sort_by([("q", "ascending"), ("d", "ascending"), ("id", "ascending")])
+        q = rows["q"].to_numpy()
+        first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
+        place = np.arange(len(q)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(q) else q
+        self.held = rows.filter(pa.array(place < self.k))
+
+    def rows(self, arrow: pa.Schema) -> pa.Table:
+        self.cut()
+        return pa.table([pa.array([self.ids[k] for k in self.held["q"].to_pylist()], arrow.field(0).type), self.held["id"].cast(arrow.field(1).type), self.held["d"]], arrow.names)
+
+
+def stacked(vectors: list, dim: int | None = None) -> np.ndarray:
+    if len({len(v) for v in vectors} | ({dim} if dim else set())) > 1:
+        raise ValueError("queries differ in dimension")
+    return np.array(vectors, float)
+
+
+def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", block: int = 2000, rows_per_block: int = 200_000) -> DataFrame:
     """[V2, V8, J7] query_id, id, distance, rank of the k nearest rows of each query by cosine distance, ties by id.
 
-    Queries go to the tasks in blocks of `block` (the bound on what is sent out). A task multiplies each
-    batch of rows with the block as matrices and keeps the best k for each query, so what is shuffled is at
-    most k rows for each query and task; a window ranks those. Zero vectors and wrong lengths have no distance.
+    Up to `block` queries, counted, go to all tasks. More are dealt to blocks, as the rows are to blocks of about
+    `rows_per_block`, and every block of queries meets every block of rows in a task of its own, so neither the driver nor a
+    task holds more than one block of each. In both ways a task multiplies rows and queries as matrices and keeps
+    the best k for each query, so what is shuffled on is at most k rows for each query and task; a window ranks
+    those. Zero vectors, nulls and wrong lengths have no distance.
     """
     spark = vectors.sparkSession
-    rows = sorted(((r[0], list(map(float, r[1]))) for r in queries.select(query_id, query_col).toLocalIterator() if r[1] is not None), key=lambda r: str(r[0]))
     id_type, q_type = vectors.schema[id_col].dataType.simpleString(), queries.schema[query_id].dataType.simpleString()
-    shape, out = f"{query_id} {q_type}, {id_col} {id_type}, distance double", None
+    shape = f"{query_id} {q_type}, {id_col} {id_type}, distance double"
     arrow = to_arrow_schema(StructType.fromDDL(shape))
-    for at in range(0, len(rows), block):
-        part = rows[at : at + block]
-        dim = len(part[0][1])
-        if any(len(v) != dim for _, v in part):
-            raise ValueError("queries differ in dimension")
-        q = np.array([v for _, v in part])
-        norm = np.linalg.norm(q, axis=1)
-        part, q = [p for p, n in zip(part, norm, strict=True) if n > 0], (q[norm > 0] / norm[norm > 0, None]).T
-        if not part:
-            continue
-        held = spark.sparkContext.broadcast(([i for i, _ in part], q))
-
-        def nearest(batches: Iterator[pa.RecordBatch], held=held, dim=dim) -> Iterator[pa.RecordBatch]:
-            names, q = held.value
-            best_i, best_d = [np.zeros(0, object)] * len(names), [np.zeros(0)] * len(names)
-            for b in batches:
-                x = matrix(b.column(1), dim)
-                n = np.linalg.norm(x, axis=1)
-                ids = np.array(b.column(0).to_pylist(), object)[n > 0]
-                d = np.round(1 - (x[n > 0] / n[n > 0, None]) @ q, DECIMALS)
-                for j in range(len(names)):
-                    i, dist = np.concatenate([best_i[j], ids]), np.concatenate([best_d[j], d[:, j]])
-                    if len(i) > k:
-                        near = np.flatnonzero(dist <= np.partition(dist, k - 1)[k - 1])
-                        near = near[sorted(range(len(near)), key=lambda m: (dist[near[m]], i[near[m]]))[:k]]
-                        i, dist = i[near], dist[near]
-                    best_i[j], best_d[j] = i, dist
-            rows = [(name, i, float(v)) for name, ids, ds in zip(names, best_i, best_d, strict=True) for i, v in zip(ids, ds, strict=True)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([r[m] for r in rows], arrow.field(m).type) for m in range(3)], arrow.names)
-
-        found = vectors.select(id_col, vector_col).mapInArrow(nearest, shape)
-        out = found if out is None else out.unionByName(found)
-    if out is None:
+    asked = queries.select(F.col(query_id).alias("_q"), F.col(query_col).cast("array<double>").alias("_v")).filter(F.col("_v").isNotNull())
+    rows, n = vectors.select(F.col(id_col).alias("_q"), F.col(vector_col).alias("_v")), asked.count()
+    if n == 0:
         out = spark.createDataFrame([], shape)
+    elif n <= block:
+        found = asked.collect()
+        held = spark.sparkContext.broadcast(([r["_q"] for r in found], stacked([r["_v"] for r in found])))
+
+        def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            best = Nearest(*held.value, k, arrow.field(1).type)
+            for b in batches:
+                best.add(b.column(0), b.column(1))
+            yield from best.rows(arrow).to_batches()
+
+        out = rows.mapInArrow(nearest, shape)
+    else:
+        dims = asked.agg(F.min(F.size("_v")).alias("a"), F.max(F.size("_v")).alias("b")).first()
+        if dims["a"] != dims["b"]:
+            raise ValueError("queries differ in dimension")
+        many, parts = -(-n // block), max(1, -(-vectors.count() // rows_per_block))
+        dealt = lambda df, own, size, other, count: df.withColumns({own: F.pmod(F.xxhash64("_q"), F.lit(size)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))})
+
+        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+            if not right.num_rows or not left.num_rows:
+                return arrow.empty_table()
+            best = Nearest(right["_q"].to_pylist(), stacked(right["_v"].to_pylist()), k, arrow.field(1).type)
+            for b in left.to_batches(8192):
+                best.add(b["_q"], b["_v"])
+            return best.rows(arrow)
+
+        out = dealt(rows, "_p", parts, "_b", many).groupBy("_b", "_p").cogroup(dealt(asked, "_b", many, "_p", parts).groupBy("_b", "_p")).applyInArrow(meet, shape)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 
@@ -106,11 +143,10 @@ class VectorTable:
         self.spark, self.path, self.dim, self.backend = spark, path, dim, backend
 
     def read(self) -> DataFrame:
+        from lexhaul.operators.index import recover_table
+
         schema = "chunk_id long, embedding array<float>"
-        try:
-            return self.spark.read.schema(schema).parquet(self.path)
-        except Exception:  # no table yet
-            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path) if recover_table(self.spark, self.path) else self.spark.createDataFrame([], schema)
 
     def _replace(self, df: DataFrame) -> None:
         from lexhaul.operators.index import swap_table

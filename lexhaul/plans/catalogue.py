@@ -56,25 +56,26 @@ sentence AS (SELECT doc_id, CAST(g - 1 AS INTEGER) AS pos, string_agg(p, ' ' ORD
 
 # Vector search
 
-KNN = f"SELECT v.vec_id, q.vec_id AS query_id, round(list_cosine_distance({V.format('v.embedding')}, {V.format('q.embedding')}), 9) AS d FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id < 20) q"
+KNN = f"SELECT v.vec_id, q.vec_id AS query_id, round(list_cosine_distance({V.format('v.embedding')}, {V.format('q.embedding')}), 9) AS d FROM embeddings v, (SELECT * FROM embeddings WHERE vec_id % 50 = 0) q"
 
 
-def first_vectors(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+def probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50, as queries against all rows."""
+    return table(spark, sf_dir, "embeddings").filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
 
 
 @query(f"WITH k AS ({KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k WHERE query_id = 0) SELECT CAST(n AS INTEGER) AS rank, vec_id, round(d, 6) AS distance, label FROM r JOIN embeddings USING (vec_id) WHERE n <= 10")
 def knn_single(spark, sf_dir):
     """[V2] Nearest ten of the first vector, with their labels."""
     e = table(spark, sf_dir, "embeddings")
-    hits = vectors.knn_batch(e, first_vectors(spark, sf_dir, 1), 10)
+    hits = vectors.knn_batch(e, probes(spark, sf_dir).filter("query_id = 0"), 10)
     return hits.join(e.select("vec_id", "label"), "vec_id").select("rank", "vec_id", r6(F.col("distance")).alias("distance"), "label")
 
 
 @query(f"WITH k AS ({KNN}), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k) SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, round(d, 6) AS distance FROM r WHERE n <= 10")
 def knn_batch(spark, sf_dir):
-    """[V8, J7] Nearest ten of twenty query vectors."""
-    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), first_vectors(spark, sf_dir), 10)
+    """[V8, J7] Nearest ten of every fiftieth vector."""
+    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), probes(spark, sf_dir), 10)
     return hits.select("query_id", "rank", "vec_id", r6(F.col("distance")).alias("distance"))
 
 
@@ -88,7 +89,7 @@ def l2_normalise(spark, sf_dir):
 def search_with_text(spark, sf_dir):
     """[V4, V5, J1, J2] Top-k first, then the text of those rows."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    hits = vectors.search(table(spark, sf_dir, "embeddings"), docs, first_vectors(spark, sf_dir), 10, "vec_id", "doc_id")
+    hits = vectors.search(table(spark, sf_dir, "embeddings"), docs, probes(spark, sf_dir), 10, "vec_id", "doc_id")
     return hits.select("query_id", "rank", "doc_id", r6(F.col("distance")).alias("distance"), F.sha2("text", 256).alias("text_sha256"))
 
 
@@ -264,7 +265,7 @@ SELECT query_id, CAST(pos AS INTEGER) AS pos, vec_id, round(score, 6) AS score F
 @query(RERANK)
 def rerank_topk(spark, sf_dir):
     """[R1, R2, R3, P5] Thirty nearest, scored by a logistic function of similarity and id, best five from 0.7 on."""
-    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), first_vectors(spark, sf_dir), ranking.CANDIDATES)
+    hits = vectors.knn_batch(table(spark, sf_dir, "embeddings"), probes(spark, sf_dir), ranking.CANDIDATES)
     score = F.round(1 / (1 + F.exp(-(8 * (1 - F.col("distance")) - F.col("vec_id") % 5))), 9)
     return ranking.rerank(hits.drop("rank"), score, 5, 0.7, tie="vec_id").select("query_id", "pos", "vec_id", r6(F.col("score")).alias("score"))
 
@@ -279,8 +280,7 @@ SELECT query_id, CAST(number AS INTEGER) AS number, doc_id, cost, CAST(used AS B
 def build_sources(spark, sf_dir):
     """[R5, F17] Documents of each source, shortest first, in a context of 4096 tokens."""
     docs = table(spark, sf_dir, "documents")
-    pos = F.row_number().over(Window.partitionBy("source").orderBy(F.char_length("text"), "doc_id"))
-    hits = docs.select(F.col("source").alias("query_id"), "doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("citation"), pos.alias("pos"))
+    hits = docs.select(F.col("source").alias("query_id"), "doc_id", "text", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")).alias("citation"), F.struct(F.char_length("text"), "doc_id").alias("pos"))
     return ranking.build_sources(hits, 4096).select("query_id", "number", "doc_id", "cost", "used", "dropped")
 
 

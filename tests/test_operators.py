@@ -95,11 +95,11 @@ def test_reuse_order(spark):
 def test_prompts(spark):
     history = F.array(F.struct(F.lit("f").alias("question"), F.lit("a").alias("answer")))
     p = spark.range(1).select(ranking.prompt(F.lit("sys"), history, F.array(F.lit("[1] q\nt")), F.lit("neu?")).alias("p")).first()["p"]
-    assert [m.role for m in p] == ["system", "user", "assistant", "user"] and p[-1].content.index("[1] q") < p[-1].content.index("Frage: neu?")
+    assert [m.role for m in p] == ["system", "user", "assistant", "user"] and p[-1].content.index("[1] q") < p[-1].content.index("neu?")
     none = F.array().cast("array<string>")
     assert spark.range(1).select(ranking.prompt(F.lit("s"), history, none, F.lit("q")).alias("p")).first()["p"] is None
     r = spark.range(1).select(ranking.route_prompt(F.lit("s"), history, none, F.lit("q")).alias("p")).first()["p"]
-    assert "(keine)" in r[1].content and "Frage: f\nAntwort: a" in r[1].content
+    assert "gefunden:" not in r[1].content and "F: f\nA: a" in r[1].content and r[1].content.index("A: a") < r[1].content.index("F: q")
     t = spark.createDataFrame([("q1", False, True), ("q2", True, True), ("q3", True, False)], "question string, has_history boolean, has_sources boolean")
     assert rows(ranking.plan_retrieval(t, lambda q: F.lit("QUELLEN_REICHEN")), "question", "reuse", "query") == [("q1", False, "q1"), ("q2", True, "q2"), ("q3", False, "q3")]
 
