@@ -50,7 +50,8 @@ def gold_from_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
         own = held.filter(long).select("item_id", "passage", gram.alias("gram"))
         if (n := own.count()) == 0:
             continue
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i, size=size: F.xxhash64(F.array_join(F.slice("w", i, size), " "))))
+        run = F.lit(size)
+        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, run), " "))))  # noqa: B023
         seen = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= size).select("doc_id", F.explode(grams).alias("gram"))
         anchors = own.select("item_id", "gram")
         near = seen.join(F.broadcast(anchors) if n <= 200_000 else anchors, "gram").select("doc_id", "item_id").distinct()
