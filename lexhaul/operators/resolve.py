@@ -111,3 +111,13 @@ def generator_budget(platforms: DataFrame, roles: DataFrame, by: str = "machine"
 def backend_choice(explicit: str | None, index: str | None, platform: str | None, default: str = "sqlite-vec") -> str:
     """[D11, D12, M11] Explicit, then what the index has, then the platform, then the default."""
     return explicit or index or platform or default
+
+
+def preferred(explicit: str | None, stored: str | None, platform: str | None, default: str, what: str = "backend") -> tuple[str, list[str]]:
+    """[D11, D12, M11] The choice of backend_choice, and what was passed over for it: an index that holds something else cannot be read with the choice, so that comes first."""
+    choice, notes = backend_choice(explicit, stored, platform, default), []
+    if stored and stored != choice:
+        notes.append(f"the index has the {what} {stored}; with {choice} it has to be rebuilt")
+    if platform and platform != choice:
+        notes.append(f"the platform suggests the {what} {platform}, {choice} is used")
+    return choice, notes

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
-from lexhaul.operators import chunking, evaluation, index, ranking, resolve, vectors
+from lexhaul.operators import answering, chunking, evaluation, index, ranking, resolve, vectors
+from lexhaul.sources import files
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -253,6 +254,55 @@ def index_stats(spark, sf_dir):
     return index.stats(table(spark, sf_dir, "documents"), chunks, table(spark, sf_dir, "embeddings"))
 
 
+@query(
+    "SELECT doc_id, round(1 - d, 6) AS similarity, round(coalesce(rr, 1 - d), 6) AS score, round(CASE WHEN n = 0 OR s = 0 THEN 0 ELSE n / s END, 6) AS tokens_per_second "
+    "FROM (SELECT doc_id, (doc_id % 100) / 100.0::DOUBLE AS d, CASE WHEN doc_id % 3 > 0 THEN (doc_id % 10) / 10.0::DOUBLE END AS rr, doc_id % 7 AS n, (doc_id % 5) / 2.0::DOUBLE AS s FROM documents)"
+)
+def hit_scores(spark, sf_dir):
+    """Distances, scores and rates made from the id."""
+    i = F.col("doc_id")
+    d, score = (i % 100).cast("double") / 100, F.when(i % 3 > 0, (i % 10).cast("double") / 10)
+    return table(spark, sf_dir, "documents").select("doc_id", r6(T.similarity(d)).alias("similarity"), r6(T.hit_score(score, d)).alias("score"), r6(T.tokens_per_second(i % 7, (i % 5).cast("double") / 2)).alias("tokens_per_second"))
+
+
+PAGE = f"""p AS (SELECT doc_id, unnest(range(1, len(l) + 1)) AS number, unnest(l) AS page FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)),
+s AS (SELECT doc_id, number, page, {stripped("page")} AS s, (doc_id * 7919 + number * 40009) % 200000 AS px FROM p),
+t AS (SELECT *, CASE WHEN length(s) = 0 THEN 0 ELSE (length(s) - length(regexp_replace(s, '[\\x{{FFFD}}\\x{{00}}-\\x{{08}}\\x{{0B}}\\x{{0C}}\\x{{0E}}-\\x{{1F}}\\x{{7F}}-\\x{{9F}}]', '', 'g'))) / length(s)::DOUBLE END AS ratio FROM s),
+st AS (SELECT *, CASE WHEN length(s) < 100 THEN CASE WHEN px >= 100000 THEN 'scan' ELSE 'sparse' END WHEN ratio > 0.15 THEN CASE WHEN px >= 100000 THEN 'scan' ELSE 'error' END ELSE 'text' END AS status FROM t)"""
+
+
+def lines_as_pages(spark, sf_dir):
+    """Every line of a document as a page, with image sizes made from its number."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("number", "text")).withColumn("number", F.col("number") + 1)
+    return lines.withColumn("image_pixels", (F.col("doc_id") * 7919 + F.col("number") * 40009) % 200000)
+
+
+@query(f"WITH {PAGE} SELECT doc_id, count(*) AS pages, count(*) FILTER (status = 'scan') AS scans, CAST(sum(length(s)) AS BIGINT) AS chars, round(count(*) FILTER (status = 'scan') / count(*)::DOUBLE, 6) AS ocr_ratio FROM st GROUP BY doc_id")
+def inspect_pages(spark, sf_dir):
+    """[A3] Totals of each document's pages."""
+    found = files.inspect(lines_as_pages(spark, sf_dir).withColumnRenamed("doc_id", "path"))
+    return found.select(F.col("path").alias("doc_id"), "pages", "scans", "chars", r6(F.col("ocr_ratio")).alias("ocr_ratio"))
+
+
+@query(f"WITH {PAGE} SELECT doc_id, number, status = 'scan' AND number % 2 = 1 AS needs_ocr FROM st")
+def ocr_needed(spark, sf_dir):
+    """[P2] Of scans, every second page has been read already."""
+    status = T.page_status(F.col("text"), F.col("image_pixels"))
+    return lines_as_pages(spark, sf_dir).select("doc_id", F.col("number").cast("long").alias("number"), T.needs_ocr(status, F.col("number") % 2 == 0).alias("needs_ocr"))
+
+
+@query(
+    f"""WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)
+SELECT doc_id, sha256(array_to_string(list_filter(l, lambda x: {stripped("x")} <> ''), chr(10) || chr(10))) AS text_sha256, CAST(coalesce(list_sum(list_transform(l, lambda x: length({stripped("x")}))), 0) AS BIGINT) AS chars,
+round(len(list_filter(l, lambda x: length(x) % 3 = 0)) / len(l)::DOUBLE, 6) AS ocr_ratio FROM d"""
+)
+def document_pages(spark, sf_dir):
+    """Joined text, characters, and the share of scans, which are here the lines of a length divisible by three."""
+    pages = F.split("text", "\n")
+    scans = F.transform(pages, lambda p: F.when(F.char_length(p) % 3 == 0, "scan").otherwise("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.document_text(pages), 256).alias("text_sha256"), T.char_count(pages).cast("long").alias("chars"), r6(T.ocr_ratio(scans)).alias("ocr_ratio"))
+
+
 # Ranking
 
 SCORE = "round(1 / (1 + exp(-(8 * (1 - d) - (vec_id % 5)))), 9)"
@@ -290,6 +340,39 @@ def turn_pairs(spark, sf_dir):
     return ranking.turn_pairs(table(spark, sf_dir, "conversations"))
 
 
+SAID = "CASE length(text) % 4 WHEN 0 THEN 'QUELLEN_REICHEN' WHEN 1 THEN ' ' WHEN 2 THEN 'nach Fristen suchen' END"
+
+
+@query(
+    f"""WITH s AS (SELECT conv_id, turn, text, turn > 2 AS has_sources, CASE WHEN turn > 0 THEN {SAID} END AS said FROM conversations), t AS (SELECT *, {stripped("said")} AS c FROM s)
+SELECT conv_id, turn, coalesce(starts_with(upper(c), 'QUELLEN_REICHEN') AND has_sources, FALSE) AS reuse, CASE WHEN c IS NULL OR starts_with(upper(c), 'QUELLEN_REICHEN') OR c = '' THEN text ELSE c END AS query FROM t"""
+)
+def plan_retrieval(spark, sf_dir):
+    """[R7] A router that answers by the length of the question, sometimes not at all."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.col("text").alias("question"), (F.col("turn") > 0).alias("has_history"), (F.col("turn") > 2).alias("has_sources"))
+    said = lambda q: F.when(F.char_length(q) % 4 == 0, "QUELLEN_REICHEN").when(F.char_length(q) % 4 == 1, " ").when(F.char_length(q) % 4 == 2, "nach Fristen suchen")
+    return ranking.plan_retrieval(rows, said).select("conv_id", "turn", "reuse", "query")
+
+
+@query(
+    f"""WITH k AS ({KNN}), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k JOIN documents ON doc_id = vec_id) WHERE n <= 30),
+s AS (SELECT *, round(1 / (1 + exp(-(length(text) % 50) / 10.0::DOUBLE)), 9) AS score FROM near),
+r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, d, vec_id) AS pos FROM s) WHERE pos <= 5),
+c AS (SELECT *, {TOKENS.format("('[' || pos || '] ' || vec_id || '.txt' || chr(10) || text)")} AS cost FROM r),
+u AS (SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS used FROM c),
+g AS (SELECT query_id, list(vec_id ORDER BY pos) FILTER (pos = 1 OR used <= 2457) AS ids, count(*) FILTER (NOT (pos = 1 OR used <= 2457)) AS dropped FROM u GROUP BY query_id)
+SELECT query_id, CAST(len(ids) AS INTEGER) AS n_sources, dropped, array_to_string(ids, ',') AS chunk_ids, '1' AS cited FROM g"""
+)
+def ask(spark, sf_dir):
+    """Questions asked in one call: thirty nearest, scored by the length of their text, five in a context of 4096 tokens, answered from the first."""
+    e, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    held = e.join(docs, e["vec_id"] == docs["doc_id"]).select(F.col("vec_id").alias("chunk_id"), "text", F.concat(F.col("vec_id").cast("string"), F.lit(".txt")).alias("citation"), "embedding")
+    scorer = answering.CrossEncoder("length", lambda q, t: F.round(1 / (1 + F.exp(-(F.char_length(t) % 50) / 10)), 9))
+    found = answering.ask(held, probes(spark, sf_dir).withColumn("question", F.concat(F.lit("Frage "), F.col("query_id"))), reranker=scorer)
+    join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return found.select("query_id", "n_sources", "dropped", join("chunk_ids").alias("chunk_ids"), join("cited").alias("cited"))
+
+
 REPLY = "CASE turn % 4 WHEN 0 THEN '  quellen_reichen' || chr(10) WHEN 1 THEN '   ' WHEN 2 THEN 'Suche ' || role || ' ' ELSE 'QUELLEN_REICHEN.' END"
 
 

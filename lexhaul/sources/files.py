@@ -131,6 +131,11 @@ def cache_size(cache: DataFrame) -> DataFrame:
     return cache.agg(F.count(F.lit(1)).alias("entries"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes"))
 
 
+def cache_clear(cache: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """[S11] What is left of the cache: nothing, or the entries whose key is still in `current` (a column key)."""
+    return cache.limit(0) if current is None else cache.join(current.select("key").distinct(), "key", "left_semi")
+
+
 def safe_name(name: Column) -> Column:
     """[S19] Base name of an upload if its suffix is allowed, else null."""
     base = F.element_at(F.split(F.replace(name, F.lit("\\"), F.lit("/")), "/"), -1)
@@ -140,10 +145,6 @@ def safe_name(name: Column) -> Column:
 def inspect(pages: DataFrame) -> DataFrame:
     """[A3, F20, F21] Of pages (path, number, text, image_pixels): path, pages, scans, ocr_ratio, chars."""
     rows = pages.withColumn("status", T.page_status(F.col("text"), F.col("image_pixels")))
-    out = rows.groupBy("path").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "scan").alias("scans"), F.sum(F.char_length(T.strip(F.col("text")))).alias("chars"))
+    out = rows.groupBy("path").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "scan").alias("scans"), F.coalesce(F.sum(F.char_length(T.strip(F.col("text")))), F.lit(0)).alias("chars"))
     return out.withColumn("ocr_ratio", F.col("scans") / F.col("pages"))
 
-
-def first_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The first row of each key in the given order."""
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(order))).filter("_n = 1").drop("_n")
