@@ -15,6 +15,8 @@ GIVEN = {
     ("cyrillic", "m"): ["Иван", "Дмитрий", "Сергей", "Алексей", "Николай", "Пётр", "Михаил", "Андрей"],
     ("cyrillic", "f"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана"],
 }
+#: What a person's name follows when it is introduced, whatever the name.
+CUES = ["my name is", "My name is", "Name is", "ich heiße", "Ich heiße", "ein Name ist", "m'appelle", "me llamo", "Me llamo", "i nombre es", "еня зовут", "Name:", "Nom:", "Nombre:", "Имя:", "Contact:", "Kontakt:", "Signed,", "Regards,"]
 SYLLABLES = {"latin": ["ba", "den", "fo", "gar", "hel", "ka", "lin", "mor", "ne", "ros", "sal", "ter", "ul", "ven", "wi", "zan"], "cyrillic": ["ба", "ден", "во", "гор", "ле", "ка", "лин", "мор", "не", "рос", "сал", "тер", "ул", "вен", "ви", "зан"]}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -29,17 +31,21 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?!\w)",
-    "name": rf"(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {CAPITALISED}(?: {CAPITALISED})?|(?<!\w)(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {CAPITALISED}(?!\w)",
+    "name": rf"(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {CAPITALISED}(?: {CAPITALISED})?|(?<!\w)(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {CAPITALISED}(?!\w)|(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)}) ){CAPITALISED} {CAPITALISED}(?!\w)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without one of these characters or words holds no entity; a cheaper search for most texts.
-HINT = rf"[@=:]|\d{{3}}|\d\.\d|\d[ -]\d|AKIA|ASIA|(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? \p{{Lu}}|{'|'.join(n for g in GIVEN.values() for n in g)}"
+HINT = rf"[@=:]|\d{{3}}|\d\.\d|\d[ -]\d|AKIA|ASIA|(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? \p{{Lu}}|{'|'.join(n for g in GIVEN.values() for n in g)}|(?:{'|'.join(CUES)}) \p{{Lu}}"
+#: Put around entities to cut a text into them and what is between; texts that hold it are cut in another way.
+MARK = "\ue0f5"
 
 
-def entities(text: Column) -> Column:
-    """All entities of a text in order; null counts as empty."""
-    text = F.coalesce(text, F.lit(""))
-    return F.when(F.regexp_like(text, F.lit(HINT)), F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(F.array().cast("array<string>"))
+def cut(text: Column) -> Column:
+    """A text in pieces, every second of which is an entity; null if there is none. One pass of the pattern, unless the text holds MARK."""
+    marked = F.split(F.regexp_replace(text, F.lit(f"(?:{ANY})"), F.lit(f"{MARK}$0{MARK}")), MARK)
+    apart = F.flatten(F.zip_with(F.split(text, ANY), F.regexp_extract_all(text, F.lit(ANY), 0), lambda p, e: F.array(p, e)))
+    pieces = F.when(F.contains(text, F.lit(MARK)), F.filter(apart, lambda x: x.isNotNull())).otherwise(marked)
+    return F.when(F.regexp_like(text, F.lit(HINT)), pieces)
 
 
 def kind_of(e: Column) -> Column:
@@ -154,24 +160,30 @@ def widened(hexes: Column, salt: Column) -> Column:
     return letters(F.substr(hexes, F.lit(101), n.cast("int")), "abdefgiklmnoprst")
 
 
-def person(e: Column, canon: Column, key: str, salt: Column, g: Column) -> Column:
-    """Title kept; a given name of gender `g` and the same script; a surname made of syllables, the same for every mention of it. All but the title depends on the canonical form alone."""
+def person(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column, f: Column) -> Column:
+    """Title kept; a given name of gender `g` and the same script, longer for larger salts; a surname made of syllables.
+
+    The surname depends on the old one and its own salt `f` alone, so it is the same for every person of that name
+    and every mention; who shares a surname is told apart by given names.
+    """
     title = F.regexp_extract(e, rf"({TITLE})", 1)
-    parts = F.split(canon, " ")
-    given_of = lambda script, g: pick(GIVEN[(script, g)], number(stream(key, "given", canon, salt), 0, 6))
-    family = stream(key, "family", F.element_at(parts, -1), salt)
+    given, family = stream(key, "given", canon, salt), stream(key, "family", F.substring_index(canon, " ", -1), f)
+    female = F.when(g == "n", number(given, 20, 2) % 2 == 0).otherwise(g == "f")
+    size = F.when(salt < WIDE, 0).when(salt < 256, 3).when(salt < 65536, 5).otherwise(8)
 
     def written(script: str) -> Column:
-        first = F.when(g == "f", given_of(script, "f")).when(g == "m", given_of(script, "m")).otherwise(F.when(number(stream(key, "any", canon, salt), 0, 2) % 2 == 0, given_of(script, "f")).otherwise(given_of(script, "m")))
-        more = F.when(salt < WIDE, F.lit("")).otherwise(F.concat(*[pick(SYLLABLES[script], number(family, k, 1)) for k in range(5, 10)]))
-        last = F.initcap(F.concat(*[pick(SYLLABLES[script], number(family, k, 1)) for k in range(5)], more))
-        return F.concat(title, F.when(F.size(parts) > 1, F.concat(first, F.lit(" "), last)).otherwise(last))
+        of = lambda hexes, first, n: F.concat(*[pick(SYLLABLES[script], number(hexes, k, 1)) for k in range(first, first + n)])
+        first = F.when(female, pick(GIVEN[(script, "f")], number(given, 0, 6))).otherwise(pick(GIVEN[(script, "m")], number(given, 0, 6)))
+        more = F.when(size == 3, of(given, 30, 3)).when(size == 5, of(given, 30, 5)).when(size == 8, of(given, 30, 8))
+        first = F.when(size == 0, first).otherwise(F.concat(first, F.lit("-"), F.initcap(more)))
+        last = F.initcap(F.concat(of(family, 0, 5), F.when(f < WIDE, F.lit("")).otherwise(of(family, 5, 5))))
+        return F.concat(title, F.when(kind == "name", F.concat(first, F.lit(" "))).otherwise(F.lit("")), last)
 
     return F.when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), written("cyrillic")).otherwise(written("latin"))
 
 
-def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column) -> Column:
-    """The replacement of a mention; depends on the key, kind, canonical form, salt and (of names) gender, and takes the mention's format."""
+def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column, f: Column) -> Column:
+    """The replacement of a mention; depends on the key, kind, canonical form, salt and, of names, gender and the surname's salt, and takes the mention's format."""
     hexes = stream(key, "value", canon, salt)
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     tld = F.regexp_extract(domain, r"(\.[^.]*)$", 1)
@@ -190,12 +202,23 @@ def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column, g:
         .when(kind == "iban", into_digits(e, F.concat(F.substr(canon, F.lit(1), F.lit(2)), reshaped(F.substr(canon, F.lit(3), F.length(canon)), hexes)), "[^ ]"))
         .when(kind == "cloud_key", F.concat(F.substr(e, F.lit(1), F.lit(4)), reshaped(F.substr(e, F.lit(5), F.lit(16)), hexes)))
         .when(kind == "secret", F.concat(head, F.when(F.regexp_like(value, F.lit("^[0-9a-f]+$")), hexadecimal(value, hexes)).otherwise(reshaped(value, hexes)), widened(hexes, salt)))
-        .otherwise(person(e, canon, key, salt, g))
+        .otherwise(person(kind, e, canon, key, salt, g, f))
     )
 
 
+def typed(e: Column) -> tuple[Column, Column]:
+    """Kind and canonical form; a surname alone is of the kind family."""
+    kind = kind_of(e)
+    canon = canonical(kind, e)
+    return F.when((kind == "name") & ~F.contains(canon, F.lit(" ")), "family").otherwise(kind), canon
+
+
+def surname(canon: Column) -> Column:
+    return F.substring_index(canon, " ", -1)
+
+
 def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> DataFrame:
-    """kind, canon, salt, g (gender) of every distinct entity, such that no two of a kind share a surrogate and none has another's original.
+    """kind, canon, salt, g (gender), f (the surname's salt) of every distinct entity of `found` (kind, canon, g, f), such that no two of a kind share a surrogate and none has another's original.
 
     The gender of a name is the one that its mentions show, the first in order if they differ, so that the form
     compared here is the one written. Each round, of the entities that share a surrogate the first in order
@@ -204,10 +227,12 @@ def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> Dat
     stay for `most` rounds are an error.
     """
     shown = F.coalesce(F.min(F.when(F.col("g") != "n", F.col("g"))), F.lit("n")).alias("g")
-    book = scratch.write(found.groupBy("kind", "canon").agg(shown).withColumn("salt", F.lit(0).cast("long")), "entities")
+    book = scratch.write(found.groupBy("kind", "canon").agg(shown, F.max("f").alias("f")).withColumn("salt", F.lit(0).cast("long")), "entities")
     for number in range(most):
         step = 1 + F.pmod(F.xxhash64("canon", "salt"), F.lit(min(64 << 4 * number, 1 << 40)))
-        made = book.withColumn("s", canonical(F.col("kind"), surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"), F.col("g"))))
+        own = F.when(F.col("kind") == "family", F.col("salt")).otherwise(F.col("f"))
+        kind = F.when(F.col("kind") == "family", "name").otherwise(F.col("kind"))
+        made = book.withColumn("s", canonical(kind, surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"), F.col("g"), own)))
         made = scratch.write(made, "made")
         many = made.groupBy("kind", "s").count().filter("count > 1").drop("count")
         rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("salt", "canon")) - 1
@@ -216,7 +241,7 @@ def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> Dat
         clash = scratch.write(shared.union(taken).groupBy("kind", "canon").agg(F.max("more").alias("more")), "clashes")
         if clash.isEmpty():
             return book
-        book = scratch.write(book.join(clash, ["kind", "canon"], "left").select("kind", "canon", "g", (F.col("salt") + F.coalesce("more", F.lit(0))).alias("salt")), "entities")
+        book = scratch.write(book.join(clash, ["kind", "canon"], "left").select("kind", "canon", "g", "f", (F.col("salt") + F.coalesce("more", F.lit(0))).alias("salt")), "entities")
     raise ValueError(f"surrogates of {clash.count()} entities still clash after {most} rounds")
 
 
@@ -224,36 +249,57 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """One row for each row of `docs`: id, text with surrogates, n_entities, n_distinct, kinds.
 
     Entities: e-mail addresses, phone and card numbers, IPv4 addresses, IBANs, social security numbers,
-    cloud keys, assigned secrets, and names after a title or with a known given name. Equal entities,
-    however written, get surrogates of equal value in every document; different ones never share one.
-    Names are told apart by given and family name; a known surname alone keeps its surrogate surname.
+    cloud keys, assigned secrets, and names after a title, with a known given name, or introduced by a cue such as
+    "my name is". Equal entities, however written, get surrogates of equal value in every document; different ones never
+    share one. Names are told apart by given and family name. Surnames are settled first, so all who share one, and
+    its mentions without a given name, share the surrogate surname.
 
-    Null text stays null, empty stays empty, text without entities comes back unchanged. Rows are
+    Null text stays null, empty stays empty, text without entities comes back unchanged, however long. Rows are
     independent apart from the shared surrogates, so repeats and null ids give a row each; an empty table
-    gives an empty result. Only the two named columns are read.
+    gives an empty result. Only the two named columns are read, so other names cannot clash. Each text is searched
+    once; its pieces are written and put together again.
     """
     scratch = Scratch(docs.sparkSession)
-    base = docs.select(docs[id_col].alias("_id"), docs[text_col].alias("_t")).withColumns({"_h": F.xxhash64(F.coalesce("_t", F.lit(""))), "_e": entities(F.col("_t"))})
-    e = F.col("e")
-    seen = base.filter(F.size("_e") > 0).select("_id", "_h", F.explode("_e").alias("e")).withColumn("kind", kind_of(e)).withColumn("canon", canonical(F.col("kind"), e))
-    shown = F.when((F.col("kind") == "name") & F.contains("canon", F.lit(" ")), gender(e)).otherwise("n")
-    seen = scratch.write(seen.select("_id", "_h", "kind", "canon", shown.alias("g")), "seen")
-    again = settled(seen, key, scratch).filter((F.col("salt") > 0) | ((F.col("kind") == "name") & (F.col("g") != gender(F.col("canon")))))
+    text = docs[text_col]
+    base = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), text.alias("_t"), cut(text).alias("_p"))
+    base = base.withColumn("_t", F.when(F.coalesce(F.size("_p"), F.lit(0)) <= 1, F.col("_t"))).withColumn("_p", F.when(F.size("_p") > 1, F.col("_p")))
+    base = scratch.write(base, "pieces")
+    kind, canon = typed(F.col("e"))
+    odd = F.filter("_p", lambda x, i: i % 2 == 1)
+    seen = base.filter("_p IS NOT NULL").select("_id", "_h", F.explode(odd).alias("e")).withColumns({"kind": kind, "canon": canon})
+    seen = scratch.write(seen.select("_id", "_h", "kind", "canon", F.when(F.col("kind") == "name", gender(F.col("e"))).otherwise("n").alias("g")), "seen")
+    names = seen.filter("kind in ('name', 'family')").select("_id", "_h", F.lit("family").alias("kind"), surname(F.col("canon")).alias("canon"), F.lit("n").alias("g"))
+    families = settled(names.withColumn("f", F.lit(0).cast("long")), key, scratch)
+    own = families.filter("salt > 0").select(F.col("canon").alias("_last"), F.col("salt").alias("f"))
+    rest = seen.filter("kind <> 'family'").select("kind", "canon", "g").distinct().withColumn("_last", F.when(F.col("kind") == "name", surname(F.col("canon"))))
+    rest = rest.join(broadcast_if(own, own.count()), "_last", "left").withColumn("f", F.coalesce("f", F.lit(0).cast("long")))
+    again = settled(rest, key, scratch).filter((F.col("salt") > 0) | ((F.col("kind") == "name") & (F.col("g") != gender(F.col("canon"))))).unionByName(families.filter("salt > 0"))
+    again = scratch.write(again.select("kind", "canon", "salt", "g"), "again")
     tag = lambda kind, canon: F.concat(kind, F.lit("\x1f"), canon)
-    salted = seen.drop("g").join(broadcast_if(again, again.count()), ["kind", "canon"]).groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(F.struct(tag(F.col("kind"), F.col("canon")), F.struct("salt", "g")))).alias("_salts"))
+    needed = seen.drop("g").unionByName(names.drop("g"))
+    salted = needed.join(broadcast_if(again, again.count()), ["kind", "canon"]).groupBy("_id", "_h").agg(F.map_from_entries(F.collect_set(F.struct(tag(F.col("kind"), F.col("canon")), F.struct("salt", "g")))).alias("_salts"))
     salted = scratch.write(salted.withColumnsRenamed({"_id": "_id2", "_h": "_h2"}), "salted")
     rows = base.join(broadcast_if(salted, salted.count()), [F.col("_id").eqNullSafe(F.col("_id2")), F.col("_h") == F.col("_h2")], "left")
-    typed = F.transform("_e", lambda x: F.struct(x.alias("e"), kind_of(x).alias("kind")))
-    known = F.transform(typed, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), canonical(x["kind"], x["e"]).alias("canon")))
-    own = lambda x: F.element_at(F.col("_salts"), tag(x["kind"], x["canon"]))
-    ready = F.transform("_k", lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), own(x).alias("own")))
-    ready = F.transform(ready, lambda x: F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), F.coalesce(x["own"]["salt"], F.lit(0).cast("long")).alias("salt"), F.coalesce(x["own"]["g"], F.when(x["kind"] == "name", gender(x["canon"])).otherwise("n")).alias("g")))
-    new = F.transform(ready, lambda x: surrogate(x["kind"], x["e"], x["canon"], key, x["salt"], x["g"]))
-    text = F.array_join(F.flatten(F.zip_with(F.split("_t", ANY), new, lambda p, s: F.array(p, F.coalesce(s, F.lit(""))))), "")
-    return rows.withColumn("_k", known).select(
+
+    def entry(x: Column) -> Column:
+        kind, canon = typed(x)
+        return F.struct(x.alias("e"), kind.alias("kind"), canon.alias("canon"))
+
+    def salts(x: Column) -> Column:
+        mine = F.element_at(F.col("_salts"), tag(x["kind"], x["canon"]))
+        last = F.element_at(F.col("_salts"), tag(F.lit("family"), surname(x["canon"])))
+        zero = F.lit(0).cast("long")
+        g = F.coalesce(mine["g"], F.when(x["kind"] == "name", gender(x["canon"])).otherwise("n"))
+        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), F.coalesce(mine["salt"], zero).alias("salt"), g.alias("g"), F.when(x["kind"].isin("name", "family"), F.coalesce(last["salt"], zero)).otherwise(zero).alias("f"))
+
+    rows = rows.withColumn("_k", F.transform(odd, entry)).withColumn("_new", F.transform(F.transform("_k", salts), lambda x: surrogate(x["kind"], x["e"], x["canon"], key, x["salt"], x["g"], x["f"])))
+    between = F.filter("_p", lambda x, i: i % 2 == 0)
+    joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda p, new: F.array(p, F.coalesce(new, F.lit(""))))), "")
+    shown = lambda x: F.when(x["kind"] == "family", "name").otherwise(x["kind"])
+    return rows.select(
         F.col("_id").alias(id_col),
-        F.when(F.size("_e") > 0, text).otherwise(F.col("_t")).alias("text"),
-        F.size("_e").cast("long").alias("n_entities"),
-        F.size(F.array_distinct(F.transform("_k", lambda x: tag(x["kind"], x["canon"])))).cast("long").alias("n_distinct"),
-        F.array_sort(F.array_distinct(F.transform("_k", lambda x: x["kind"]))).alias("kinds"),
+        F.when(F.col("_p").isNotNull(), joined).otherwise(F.col("_t")).alias("text"),
+        F.coalesce(F.size("_k"), F.lit(0)).cast("long").alias("n_entities"),
+        F.coalesce(F.size(F.array_distinct(F.transform("_k", lambda x: tag(x["kind"], x["canon"])))), F.lit(0)).cast("long").alias("n_distinct"),
+        F.coalesce(F.array_sort(F.array_distinct(F.transform("_k", shown))), F.array().cast("array<string>")).alias("kinds"),
     )
