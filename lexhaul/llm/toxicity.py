@@ -168,8 +168,13 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", f
 
     A word or stem is a candidate if it marks toxic documents at odds of at least 20 to 1. Of the candidates the
     lexicon takes, one by one, the one that marks most toxic documents not yet marked `cover` times, while
-    it adds `least`; so the other words of a copied text do not enter. Rows whose fold is true (a
+    it adds `least`; so the other words of a copied text do not enter. What enters is a threat or an insult by
+    its place beside targets (see classes). Rows whose fold is true (a
     fourth by hash of the text if none is named) are kept from the lexicon and calibrate the scores.
+
+    Equal texts count once, with the label that most of them have, and not at all if as many say the other. Null
+    texts and labels are left out; without any row the grammar has its seed words and prior calibration. Only the
+    named columns are read, so other names cannot clash; texts are read whole, however long.
     """
     spark = labelled.sparkSession
     scratch = Scratch(spark)
@@ -178,7 +183,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", f
     sizes = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     chance = F.pmod(F.xxhash64("text"), F.lit(1_000_000))
     limit = F.when(F.col("toxic") == 1, min(1_000_000, 1_000_000 * bound // max(1, sizes.get(1, 0)))).otherwise(min(1_000_000, 1_000_000 * bound // max(1, sizes.get(0, 0))))
-    rows = scratch.write(rows.filter(chance < limit).dropDuplicates(["text"]), "sample")
+    once = rows.filter(chance < limit).groupBy("text").agg(F.avg("toxic").alias("y"), F.min("fold").alias("fold"))
+    rows = scratch.write(once.filter("y <> 0.5").select("text", (F.col("y") > 0.5).cast("int").alias("toxic"), "fold"), "sample")
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -195,7 +201,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", f
     t_all, c_all = n.get(1, 0), n.get(0, 0)
     counts = map_arrow(learn.select("toxic", "text"), listed, "mark string, t long, c long").groupBy("mark").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
     odds = F.log((F.col("t") + 0.5) / (t_all + 1)) - F.log((F.col("c") + 0.5) / (c_all + 1))
-    best = counts.filter(F.col("t") >= least).withColumn("odds", odds).filter("odds >= 3").orderBy(F.desc("t"), "mark").limit(20_000).collect()
+    best = counts.filter(F.col("t") >= least).withColumn("odds", odds).filter("odds >= 3").select("mark", "odds").collect()  # marks of the bounded sample
     weight = {r["mark"]: float(r["odds"]) for r in best}
 
     def which(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,15 +227,36 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic", f
         missing[holders[m]] = np.maximum(missing[holders[m]] - 1, 0)
         del gains[m]
     words, stems = seeded(), {}
+    kinds = classes(learn.filter("toxic = 1").select("text"), chosen)
     for m in chosen:
         if m.endswith("*"):
-            stems[m[:-1]] = "insult", weight[m]
+            stems[m[:-1]] = kinds.get(m, "insult"), weight[m]
         else:
-            words[m] = words.get(m, ("insult", 0))[0], weight[m]
+            words[m] = words.get(m, (kinds.get(m, "insult"), 0))[0], weight[m]
     grammar = Grammar(words, stems)
     return calibrated(grammar, rest)
 
 
+def classes(toxic: DataFrame, chosen: list[str], reach: int = 2) -> dict[str, str]:
+    """Of learned words and stems: `threat` if a target follows within `reach` words more often than one stands before, as of what is done to somebody; else `insult`."""
+    targets, known = set(SEEDS["target"].split()), set(chosen)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, list[int]] = defaultdict(lambda: [0, 0])
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                words = TOKEN.findall(t.lower())
+                for k, w in enumerate(words):
+                    own = known.intersection([w, *(w[:n] + "*" for n in STEMS if len(w) >= n)])
+                    for m in own:
+                        found[m][0] += not targets.isdisjoint(words[k + 1 : k + 1 + reach])
+                        found[m][1] += not targets.isdisjoint(words[max(k - reach, 0) : k])
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), *(pa.array([v[j] for v in found.values()], pa.int64()) for j in (0, 1))], ["mark", "after", "before"])
+
+    rows = map_arrow(toxic, count, "mark string, after long, before long").groupBy("mark").agg(F.sum("after").alias("after"), F.sum("before").alias("before")).collect()
+    return {r["mark"]: "threat" if r["after"] > r["before"] else "insult" for r in rows}
+
+
 def calibrated(grammar: Grammar, rest: DataFrame) -> Grammar:
     """Logistic regression of the label on the clause features, drawn to PRIOR by a ridge."""
 
@@ -255,7 +282,8 @@ def score(docs: DataFrame, grammar: Grammar, id_col: str = "doc_id", text_col: s
     """One row for each row of `docs`: id, score, predicted (1 from 0.5), n_clauses (matched ones).
 
     Null, empty and matchless texts get the score of no matched clause. Whole texts are read; rows are
-    independent, so repeats and null ids give a row each and an empty table an empty result.
+    independent, so repeats and null ids give a row each and an empty table an empty result. Only the two named
+    columns are read, so other names cannot clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
