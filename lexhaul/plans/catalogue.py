@@ -542,10 +542,10 @@ def platform_class(spark, sf_dir):
     return machines(spark, sf_dir).withColumn("headroom", resolve.vram_headroom(F.col("usable_vram_bytes")))
 
 
-@query(f"WITH m AS ({MACHINES}), r AS (SELECT c_nationkey AS machine, CAST(sum(c_custkey % 5 * 1073741824) AS BIGINT) AS reserved FROM customer WHERE c_custkey % 40 = 0 AND c_custkey % 3 = 0 GROUP BY 1) SELECT machine, usable AS usable_vram_bytes, coalesce(reserved, 0) AS reserved, usable - coalesce(reserved, 0) AS budget, usable - coalesce(reserved, 0) > 0 AS ok FROM m LEFT JOIN r USING (machine)")
+@query(f"WITH m AS ({MACHINES}), r AS (SELECT c_nationkey AS machine, CAST(sum(c_custkey % 5 * 26843545) AS BIGINT) AS reserved FROM customer WHERE c_custkey % 3 = 0 GROUP BY 1) SELECT machine, usable AS usable_vram_bytes, coalesce(reserved, 0) AS reserved, usable - coalesce(reserved, 0) AS budget, usable - coalesce(reserved, 0) > 0 AS ok FROM m LEFT JOIN r USING (machine)")
 def vram_budget(spark, sf_dir):
-    """[M3, M5, A8] Side roles are made from the customers."""
-    roles = table(spark, sf_dir, "customer").filter("c_custkey % 40 = 0").select(F.col("c_nationkey").alias("machine"), F.when(F.col("c_custkey") % 3 == 0, "gpu").otherwise("cpu").alias("device"), (F.col("c_custkey") % 5 * resolve.GIB).alias("vram_bytes"))
+    """[M3, M5, A8] Side roles are made from all customers; each takes up to a tenth of a GiB."""
+    roles = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("machine"), F.when(F.col("c_custkey") % 3 == 0, "gpu").otherwise("cpu").alias("device"), (F.col("c_custkey") % 5 * 26843545).alias("vram_bytes"))
     return resolve.generator_budget(machines(spark, sf_dir), roles)
 
 
