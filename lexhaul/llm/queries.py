@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lexhaul.llm import decontam, exact_dedup, jaccard, langid, lm, packing, pii, toxicity, urls, windows
+from lexhaul.llm import align, decontam, exact_dedup, jaccard, kmeans, langid, lm, packing, pii, topk, toxicity, urls, windows
 from lexhaul.llm.common import remainder, table
 
 
@@ -111,5 +111,46 @@ def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymise(table(spark, sf_dir, "documents"), key="lexhaul-surrogates")
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_substring_dedup, op5_decontamination, op6_lm_scoring, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates)}
-ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL}
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")).documents
+
+
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_products(vectors, vectors["vec_id"] % 20 == 0, 20, 64)
+
+
+#: SQL for a vector as whole numbers, null if it holds a null, NaN or infinite component.
+WHOLE = "CASE WHEN len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 THEN list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) END"
+OP12_SQL = f"""
+WITH k AS (SELECT * FROM (SELECT vec_id, {WHOLE.format(scale=64)} AS v FROM embeddings) WHERE v IS NOT NULL),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM k q JOIN k c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s)
+SELECT query_id, CAST(n AS INTEGER) AS rank, vec_id, score FROM r WHERE n <= 20
+"""
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.clusters(table(spark, sf_dir, "embeddings"), k=8, rounds=10, dimensions=64, scale=1024, seed="3")
+
+
+def _op13_sql(rounds: int = 10) -> str:
+    """The rounds written out: plain assignment of all rows to all centroids, no bounds."""
+    near = lambda r: f"a{r} AS MATERIALIZED (SELECT k.vec_id, k.v, c.c, list_sum(list_transform(list_zip(k.v, c.v), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS d FROM k, c{r} c QUALIFY row_number() OVER (PARTITION BY k.vec_id ORDER BY d, c.c) = 1)"
+    sums = lambda r: f"SELECT c, i, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(v) AS x, unnest(range(64)) AS i FROM a{r}) GROUP BY c, i"
+    move = lambda r: f"c{r + 1} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM ({sums(r)}) GROUP BY c UNION ALL SELECT c, v FROM c{r} WHERE c NOT IN (SELECT c FROM a{r}))"
+    steps = ", ".join(f"{near(r)}, {move(r)}" for r in range(rounds))
+    return f"""
+WITH k AS MATERIALIZED (SELECT * FROM (SELECT vec_id, {WHOLE.format(scale=1024)} AS v FROM embeddings WHERE len(embedding) = 64) WHERE v IS NOT NULL),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || CAST(vec_id AS VARCHAR))) - 1 AS c, v FROM k QUALIFY c < 8),
+{steps}, {near(rounds)},
+h AS (SELECT c, sha256(array_to_string(list_transform(v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256 FROM c{rounds})
+SELECT vec_id, CAST(c AS INTEGER) AS cluster, CAST(d AS BIGINT) AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM a{rounds} JOIN h USING (c)
+"""
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_best_fit_packing, op3_exact_dedup, op4_substring_dedup, op5_decontamination, op6_lm_scoring, op7_jaccard_join, op8_url_filter, op9_language_id, op10_pii_surrogates, op11_tokenizer_alignment, op12_exact_topk, op13_centroid_clustering)}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op5_decontamination": OP5_SQL, "op12_exact_topk": OP12_SQL, "op13_centroid_clustering": _op13_sql()}
