@@ -42,37 +42,37 @@ class Encoders:
         self.a.encode_special_tokens = True  # their strings in a text are plain text
         self.b = SentencePieceProcessor(model_file=pieces_path)
         letters, size = byte_letters(), self.b.get_piece_size()
-        self.a_bytes = {i: bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode() for t, i in self.a.get_vocab().items()}
+        vocab = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocab.values()) + 1)
+        for t, i in vocab.items():
+            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
         pieces = [self.b.id_to_piece(i) for i in range(size)]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
         self.space = self.b.piece_to_id("▁")
         #: Whether no piece goes on with a space after something else, so that texts can be cut before a space.
         self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
-    def __call__(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def __call__(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of space + text by both; the second adds the space itself, though not to an empty text."""
-        a = [e.ids for e in self.a.encode_batch([" " + t for t in texts], add_special_tokens=False)]
-        b = self.b.encode(texts, num_threads=1) if texts else []
-        return [(x, y if t else [self.space]) for t, x, y in zip(texts, a, b, strict=True)]
+        return self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1) if text else [self.space]
 
-    def groups(self, text: str, a: list[int], b: list[int]) -> list[str] | None:
-        """The groups between offsets where tokens of both end, as written in the dictionary; null if the tokens' bytes are not those of space + text."""
+    def groups(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
+        """The groups between offsets where tokens of both end, as written in the dictionary, those offsets, and the tokens of both up to each; null if the tokens' bytes are not those of space + text."""
+        a, b = self(text)
         raw = b" " + text.encode()
-        x, y = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(x) != raw or b"".join(y) != raw:
+        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
             return None
-        if len(a) == len(b) == 1:
-            return [f"{a[0]}|{b[0]}"]
-        ends = [np.cumsum([len(t) for t in z]) for z in (x, y)]
-        both, at_a, at_b = np.intersect1d(*ends, assume_unique=True, return_indices=True)
+        both, at_a, at_b = np.intersect1d(self.a_size[a].cumsum(), self.b_size[b].cumsum(), assume_unique=True, return_indices=True)
+        at_a, at_b = at_a + 1, at_b + 1
         out, i, j = [], 0, 0
-        for p, q in zip((at_a + 1).tolist(), (at_b + 1).tolist(), strict=True):
-            out.append(f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
+        for p, q in zip(at_a.tolist(), at_b.tolist(), strict=True):
+            out.append(f"{a[i]}|{b[j]}" if p - i == q - j == 1 else f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
             i, j = p, q
-        return out
+        return out, both, at_a, at_b
 
 
-def links(key: str, a_bytes: dict[int, bytes], b_bytes: list[bytes]) -> Counter:
+def links(key: str, a_bytes: list[bytes], b_bytes: list[bytes]) -> Counter:
     """How often each pair of ids overlaps in a group. Both sides cover the same bytes, so there are fewer links than tokens."""
     a, b = ([int(i) for i in side.split(",")] for side in key.split("|"))
     found: Counter = Counter()
@@ -94,35 +94,81 @@ def links(key: str, a_bytes: dict[int, bytes], b_bytes: list[bytes]) -> Counter:
 
 
 class Interner:
-    """Groups of whole texts. A text is cut before each space that follows something else; neither tokenizer joins across such a place, so equal chunks have equal tokens and are encoded once."""
-
-    def __init__(self, encoders: Encoders, limit: int = 300_000, longest: int = 200) -> None:
-        self.encoders, self.limit, self.longest = encoders, limit, longest
-        self.cache: dict[str, tuple] = {}
+    """Groups of whole texts, as numbers into `names`.
 
-    def entry(self, chunk: str, ids: tuple[list[int], list[int]]) -> tuple:
-        """n_a, n_b, groups, groups as written; all null if the bytes differ."""
-        found = self.encoders.groups(chunk, *ids)
-        return (len(ids[0]), len(ids[1]), tuple(found), ";".join(found)) if found is not None else (0, 0, None, None)
+    A text is cut before each space that follows something else; neither tokenizer joins across such a place, so equal
+    chunks have equal tokens. What is new of many texts is joined and encoded at once. Memory is emptied at `limit` chunks.
+    """
 
-    def whole(self, text: str) -> list[tuple]:
-        return [self.entry(text, self.encoders([text])[0])]
+    def __init__(self, encoders: Encoders, limit: int = 250_000, longest: int = 200, at_once: int = 500_000) -> None:
+        self.encoders, self.limit, self.longest, self.at_once = encoders, limit, longest, at_once
+        self.forget()
 
-    def __call__(self, text: str) -> tuple[list[str], dict[str, tuple]]:
-        """The text's chunks in turn, and the entry of each; a text whose bytes differ somewhere is one chunk, encoded whole."""
-        if not self.encoders.cuts:
-            return [text], {text: self.whole(text)[0]}
-        chunks = text.split(" ") if not LATE_SPACE.search(f" {text}") else [c[1:] for c in CHUNK.split(f" {text}")]
+    def forget(self) -> None:
+        self.cache: dict[str, tuple] = {}
+        self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+
+    def number(self, group: str) -> int:
+        if (n := self.numbers.get(group)) is None:
+            n = self.numbers[group] = len(self.names)
+            self.names.append(group)
+        return n
+
+    def entry(self, text: str) -> tuple:
+        """n_a, n_b, numbers of the groups, groups as written; numbers null if the bytes differ."""
+        found = self.encoders.groups(text)
+        return (0, 0, None, "") if found is None else (int(found[2][-1]), int(found[3][-1]), tuple(map(self.number, found[0])), ";".join(found[0]))
+
+    def learn(self, chunks: list[str], known: dict[str, tuple]) -> None:
+        """Enters chunks into `known`: joined, where each ends so that a space after it is a cut; else each alone."""
+        part, size = [], 0
+        for c in chunks:
+            if not c or c[-1].isspace() or "▁" in c:
+                known[c] = self.entry(c)
+                continue
+            part.append(c)
+            size += len(c) + 1
+            if size >= self.at_once:
+                self.learn_joined(part, known)
+                part, size = [], 0
+        if part:
+            self.learn_joined(part, known)
+
+    def learn_joined(self, part: list[str], known: dict[str, tuple]) -> None:
+        found = self.encoders.groups(" ".join(part))
+        if found is not None:
+            names, both, at_a, at_b = found
+            ends = np.cumsum([len(c.encode()) + 1 for c in part])
+            last = np.searchsorted(both, ends)
+            if (both[np.minimum(last, len(both) - 1)] == ends).all():
+                numbers = list(map(self.number, names))
+                n_a, n_b = (np.diff(x[last], prepend=0).tolist() for x in (at_a, at_b))
+                begin = 0
+                for c, x, y, end in zip(part, n_a, n_b, (last + 1).tolist(), strict=True):
+                    known[c] = (x, y, tuple(numbers[begin:end]), ";".join(names[begin:end]))
+                    begin = end
+                return
+        for c in part:
+            known[c] = self.entry(c)
+
+    def __call__(self, texts: list[str]) -> list[tuple[list[str], dict[str, tuple]]]:
+        """Each text's chunks in turn, and the entries of all; a text whose bytes differ somewhere is one chunk, encoded whole."""
         if len(self.cache) > self.limit:
-            self.cache.clear()
+            self.forget()
+        if self.encoders.cuts:
+            cut = [[c[1:] for c in CHUNK.split(f" {t}")] if LATE_SPACE.search(f" {t}") else t.split(" ") for t in texts]
+        else:
+            cut = [[t] for t in texts]
         cache, own = self.cache, {}
-        new = [c for c in dict.fromkeys(chunks) if c not in cache]
-        for c, ids in zip(new, self.encoders(new), strict=True):
-            (cache if len(c) <= self.longest else own)[c] = self.entry(c, ids)
-        entries = {c: own.get(c) or cache[c] for c in set(chunks)}
-        if any(e[2] is None for e in entries.values()):
-            return [text], {text: self.whole(text)[0]}
-        return chunks, entries
+        new = [c for c in dict.fromkeys(x for chunks in cut for x in chunks) if c not in cache]
+        self.learn([c for c in new if len(c) <= self.longest], cache)
+        self.learn([c for c in new if len(c) > self.longest], own)
+        out = []
+        for t, chunks in zip(texts, cut, strict=True):
+            entries = {c: cache[c] if c in cache else own[c] for c in chunks}
+            out.append((chunks, entries) if all(e[2] is not None for e in entries.values()) else ([t], {t: self.entry(t)}))
+        return out
 
 
 @dataclass(frozen=True)
@@ -162,35 +208,32 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc
         chunks_of, row = Interner(Encoders(bytes_path, pieces_path)), TaskContext.get().partitionId() << 40
         for batch in batches:
             cols: list[list] = [[] for _ in range(6)]
-            names, place, lengths, ids, counts = [], {}, [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
-                chunks, entries = chunks_of(text) if text else ([], {})
-                if not text or entries[chunks[0]][2] is None:
-                    n_a = n_b = n_groups = 0
-                    digest, own = "", {}
-                else:
+            lengths, ids, counts = [], [], []
+            texts = batch.column(1).to_pylist()
+            found = iter(chunks_of([t for t in texts if t]))
+            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
+                chunks, entries = next(found) if text else ([], {})
+                own: dict[int, int] = {}
+                n_a = n_b = 0
+                if chunks and entries[chunks[0]][2] is not None:
                     digest = hashlib.sha256(";".join([entries[c][3] for c in chunks]).encode()).hexdigest()
-                    own, n_a, n_b = {}, 0, 0
                     for c, n in Counter(chunks).items():
-                        e = entries[c]
-                        n_a += n * e[0]
-                        n_b += n * e[1]
-                        for g in e[2]:
+                        x, y, groups, _ = entries[c]
+                        n_a += n * x
+                        n_b += n * y
+                        for g in groups:
                             own[g] = own.get(g, 0) + n
-                    n_groups = sum(own.values())
+                else:
+                    digest = ""
                 row += 1
-                held = list(own)
-                for at in range(0, max(len(held), 1), RUN):
-                    for c, v in zip(cols, (row, doc, n_a, n_b, n_groups, digest) if at == 0 else (row, None, None, None, None, None), strict=True):
+                for at in range(0, max(len(own), 1), RUN):
+                    for c, v in zip(cols, (row, doc, n_a, n_b, sum(own.values()), digest) if at == 0 else (row, None, None, None, None, None), strict=True):
                         c.append(v)
-                    lengths.append(len(held[at : at + RUN]))
-                for g in held:
-                    ids.append(place.setdefault(g, len(names)))
-                    if ids[-1] == len(names):
-                        names.append(g)
+                    lengths.append(min(RUN, len(own) - at))
+                ids += own
                 counts += own.values()
-            groups = pa.array(names, pa.string()).take(pa.array(ids, pa.int64()))
+            used, ids = np.unique(np.array(ids, np.int64), return_inverse=True)
+            groups = pa.array([chunks_of.names[k] for k in used.tolist()], pa.string()).take(pa.array(ids))
             held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths, dtype=np.int32)].astype(np.int32)), pa.StructArray.from_arrays([groups, pa.array(counts, pa.int32())], ["g", "n"]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.string()), strict=True)), held], [f.split()[0] for f in DOCUMENT.split(", ")])
 

@@ -80,13 +80,13 @@ def test_empty_table_and_texts_without_tokens(frame):
 
 def test_chunks_have_the_tokens_of_the_whole_text(corpus):
     both = align.Encoders(tokenizer_path(A), tokenizer_path(B))
-    cut = align.Interner(both, limit=20)
-    for text in [*ODD, *(t for _, t in corpus)]:
-        if not text:
-            continue
-        chunks, entries = cut(text)
-        want = both.groups(text, both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text))
-        if want is None:
-            assert entries[chunks[0]][2] is None
-        else:
-            assert [g for c in chunks for g in entries[c][2]] == want
+    texts = [t for t in [*ODD, *(t for _, t in corpus)] if t]
+    for cut in (align.Interner(both), align.Interner(both, limit=20, longest=6, at_once=30)):
+        for at in range(0, len(texts), 7):
+            for text, (chunks, entries) in zip(texts[at : at + 7], cut(texts[at : at + 7]), strict=True):
+                want = both.groups(text)
+                if want is None:
+                    assert entries[chunks[0]][2] is None
+                else:
+                    assert [cut.names[g] for c in chunks for g in entries[c][2]] == want[0] == ";".join(entries[c][3] for c in chunks).split(";")
+                    assert sum(entries[c][0] for c in chunks) == want[2][-1] and sum(entries[c][1] for c in chunks) == want[3][-1]
