@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import hashlib
-import re
+import json
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,8 +17,8 @@ from lexhaul.llm.common import Scratch, map_arrow
 
 #: Groups of a document in one row; a longer document has several.
 RUN = 20_000
-LATE_SPACE = re.compile(r"\s ")
-CHUNK = re.compile(r"(?<=\S)(?= )")
+# Fixed value: where a byte-level vocabulary of this kind cuts a text into words before it merges.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def byte_letters() -> dict[str, int]:
@@ -28,48 +28,127 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
+def ranks(path: str) -> dict[bytes, int]:
+    """Bytes and id of each token of a byte-level file, special ones apart."""
+    letters = byte_letters()
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    special = {t["content"] for t in found["added_tokens"]}
+    return {bytes(letters[c] for c in t): i for t, i in found["model"]["vocab"].items() if t not in special}
+
+
+def merges_by_rank(path: str) -> bool:
+    """Whether merging the pair whose joint token has the smallest id, again and again, gives the file's own tokens for every text.
+
+    So it is if ids follow the order of the merges, and the bytes of each merged token, merged as far as smaller ids
+    go, come to the two parts that its merge names: by induction no text then has a step at which the ways differ. A file with other settings than
+    plain byte-level merges is not judged.
+    """
+    letters = byte_letters()
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    model, plain = found["model"], {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}
+    if found["normalizer"] or {k: v for k, v in (found["pre_tokenizer"] or {}).items() if k in plain} != plain or model.get("ignore_merges") or model.get("dropout"):
+        return False
+    ids = ranks(path)
+    for k, merge in enumerate(model["merges"]):
+        left, right = (bytes(letters[c] for c in x) for x in (merge.split(" ") if isinstance(merge, str) else merge))
+        own = ids.get(left + right)
+        if own != 256 + k:
+            return False
+        parts = [bytes([x]) for x in left + right]
+        while len(parts) > 2:
+            small, i = min((ids.get(parts[i] + parts[i + 1], own), i) for i in range(len(parts) - 1))
+            if small >= own:
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        if parts != [left, right]:
+            return False
+    return True
+
+
 class Encoders:
-    """Both tokenizers, with the bytes of each of their tokens."""
+    """Both tokenizers, with the bytes of each of their tokens. by_rank: what merges_by_rank() says of the first."""
 
-    def __init__(self, bytes_path: str, pieces_path: str) -> None:
+    def __init__(self, bytes_path: str, pieces_path: str, by_rank: bool) -> None:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(bytes_path)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        tokens = ranks(bytes_path)
+        if by_rank:  # several times faster, and the same
+            from tiktoken import Encoding
+
+            words = Encoding("words", pat_str=WORDS, mergeable_ranks=tokens, special_tokens={})
+            self.a: Callable[[str], list[int]] = words.encode_ordinary
+        else:
+            from tokenizers import Tokenizer
+
+            words = Tokenizer.from_file(bytes_path)
+            words.encode_special_tokens = True  # their strings in a text are plain text
+            self.a = lambda text: words.encode(text, add_special_tokens=False).ids
         self.b = SentencePieceProcessor(model_file=pieces_path)
-        letters, size = byte_letters(), self.b.get_piece_size()
-        vocab = self.a.get_vocab()
-        self.a_bytes = [b""] * (max(vocab.values()) + 1)
-        for t, i in vocab.items():
-            self.a_bytes[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else t.encode()
-        pieces = [self.b.id_to_piece(i) for i in range(size)]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.a_bytes = [b""] * (max(tokens.values()) + 1)
+        for t, i in tokens.items():
+            self.a_bytes[i] = t
+        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(map(self.b.id_to_piece, range(self.b.get_piece_size())))]
         self.a_size, self.b_size = (np.array([len(t) for t in x]) for x in (self.a_bytes, self.b_bytes))
-        self.space = self.b.piece_to_id("▁")
-        #: Whether no piece goes on with a space after something else, so that texts can be cut before a space.
-        self.cuts = not any("▁" in p.lstrip("▁") for p in pieces)
 
     def __call__(self, text: str) -> tuple[list[int], list[int]]:
-        """Ids of space + text by both; the second adds the space itself, though not to an empty text."""
-        return self.a.encode(f" {text}", add_special_tokens=False).ids, self.b.encode(text, num_threads=1) if text else [self.space]
-
-    def groups(self, text: str) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray] | None:
-        """The groups between offsets where tokens of both end, as written in the dictionary, those offsets, and the tokens of both up to each; null if the tokens' bytes are not those of space + text."""
-        a, b = self(text)
-        raw = b" " + text.encode()
-        if b"".join([self.a_bytes[i] for i in a]) != raw or b"".join([self.b_bytes[i] for i in b]) != raw:
-            return None
-        both, at_a, at_b = np.intersect1d(self.a_size[a].cumsum(), self.b_size[b].cumsum(), assume_unique=True, return_indices=True)
-        at_a, at_b = at_a + 1, at_b + 1
-        out, i, j = [], 0, 0
-        for p, q in zip(at_a.tolist(), at_b.tolist(), strict=True):
-            out.append(f"{a[i]}|{b[j]}" if p - i == q - j == 1 else f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))}")
-            i, j = p, q
-        return out, both, at_a, at_b
+        """Ids of space + text by both (the second adds the space itself); none if their bytes are not those."""
+        a, b, raw = self.a(f" {text}"), self.b.encode(text, num_threads=1), b" " + text.encode()
+        good = b"".join([self.a_bytes[i] for i in a]) == raw and b"".join([self.b_bytes[i] for i in b]) == raw
+        return (a, b) if good else ([], [])
+
+
+class Interner:
+    """Groups of texts as numbers into `names`; emptied by forget()."""
+
+    def __init__(self, encoders: Encoders) -> None:
+        self.encoders = encoders
+        self.forget()
+
+    def forget(self) -> None:
+        self.numbers: dict[str, int] = {}
+        self.names: list[str] = []
+
+    def number(self, a: np.ndarray, b: np.ndarray) -> int:
+        name = f"{','.join(map(str, a.tolist()))}|{','.join(map(str, b.tolist()))}"
+        if (n := self.numbers.get(name)) is None:
+            n = self.numbers[name] = len(self.names)
+            self.names.append(name)
+        return n
+
+    def __call__(self, texts: list[str]) -> list[tuple[int, int, np.ndarray]]:
+        """n_a, n_b and the groups in turn of each text. All texts stand in one row of bytes, so offsets are compared at once."""
+        if not texts:
+            return []
+        both = [self.encoders(t) if t else ([], []) for t in texts]
+        a, b = (np.array([i for x in both for i in x[side]], np.int64) for side in range(2))
+        end_a, end_b = self.encoders.a_size[a].cumsum(), self.encoders.b_size[b].cumsum()
+        ends = [np.zeros(int(end_a[-1]) + 1 if len(a) else 1, bool) for _ in range(2)]
+        ends[0][end_a], ends[1][end_b] = True, True
+        stop_a, stop_b = (np.flatnonzero(o[e]) + 1 for o, e in ((ends[1], end_a), (ends[0], end_b)))  # tokens of either side up to the end of each group
+        start_a, start_b = np.r_[0, stop_a[:-1]], np.r_[0, stop_b[:-1]]
+        groups = np.empty(len(stop_a), np.int64)
+        n_a, n_b = stop_a - start_a, stop_b - start_b
+        shape = n_a << 32 | n_b
+        order = np.argsort(shape, kind="stable")
+        for rows in np.split(order, np.flatnonzero(np.diff(shape[order])) + 1):  # groups of equally many tokens at once, column by column
+            if not len(rows):
+                continue
+            code = np.zeros(len(rows), np.int64)
+            if len(rows) > 3:
+                for side, start, n in ((a, start_a, n_a), (b, start_b, n_b)):
+                    for k in range(n[rows[0]]):
+                        first, code = np.unique(code << 31 | side[start[rows] + k], return_index=True, return_inverse=True)[1:]
+            else:
+                first = code = np.arange(len(rows))
+            numbers = [self.number(a[start_a[r] : stop_a[r]], b[start_b[r] : stop_b[r]]) for r in rows[first].tolist()]
+            groups[rows] = np.array(numbers, np.int64)[code]
+        cuts = np.searchsorted(stop_a, np.cumsum([len(x[0]) for x in both]), "right")
+        return [(len(x[0]), len(x[1]), g) for x, g in zip(both, np.split(groups, cuts[:-1]), strict=True)]
 
 
 def links(key: str, a_bytes: list[bytes], b_bytes: list[bytes]) -> Counter:
@@ -93,84 +172,6 @@ def links(key: str, a_bytes: list[bytes], b_bytes: list[bytes]) -> Counter:
             end_b += len(b_bytes[b[j]])
 
 
-class Interner:
-    """Groups of whole texts, as numbers into `names`.
-
-    A text is cut before each space that follows something else; neither tokenizer joins across such a place, so equal
-    chunks have equal tokens. What is new of many texts is joined and encoded at once. Memory is emptied at `limit` chunks.
-    """
-
-    def __init__(self, encoders: Encoders, limit: int = 250_000, longest: int = 200, at_once: int = 500_000) -> None:
-        self.encoders, self.limit, self.longest, self.at_once = encoders, limit, longest, at_once
-        self.forget()
-
-    def forget(self) -> None:
-        self.cache: dict[str, tuple] = {}
-        self.numbers: dict[str, int] = {}
-        self.names: list[str] = []
-
-    def number(self, group: str) -> int:
-        if (n := self.numbers.get(group)) is None:
-            n = self.numbers[group] = len(self.names)
-            self.names.append(group)
-        return n
-
-    def entry(self, text: str) -> tuple:
-        """n_a, n_b, numbers of the groups, groups as written; numbers null if the bytes differ."""
-        found = self.encoders.groups(text)
-        return (0, 0, None, "") if found is None else (int(found[2][-1]), int(found[3][-1]), tuple(map(self.number, found[0])), ";".join(found[0]))
-
-    def learn(self, chunks: list[str], known: dict[str, tuple]) -> None:
-        """Enters chunks into `known`: joined, where each ends so that a space after it is a cut; else each alone."""
-        part, size = [], 0
-        for c in chunks:
-            if not c or c[-1].isspace() or "▁" in c:
-                known[c] = self.entry(c)
-                continue
-            part.append(c)
-            size += len(c) + 1
-            if size >= self.at_once:
-                self.learn_joined(part, known)
-                part, size = [], 0
-        if part:
-            self.learn_joined(part, known)
-
-    def learn_joined(self, part: list[str], known: dict[str, tuple]) -> None:
-        found = self.encoders.groups(" ".join(part))
-        if found is not None:
-            names, both, at_a, at_b = found
-            ends = np.cumsum([len(c.encode()) + 1 for c in part])
-            last = np.searchsorted(both, ends)
-            if (both[np.minimum(last, len(both) - 1)] == ends).all():
-                numbers = list(map(self.number, names))
-                n_a, n_b = (np.diff(x[last], prepend=0).tolist() for x in (at_a, at_b))
-                begin = 0
-                for c, x, y, end in zip(part, n_a, n_b, (last + 1).tolist(), strict=True):
-                    known[c] = (x, y, tuple(numbers[begin:end]), ";".join(names[begin:end]))
-                    begin = end
-                return
-        for c in part:
-            known[c] = self.entry(c)
-
-    def __call__(self, texts: list[str]) -> list[tuple[list[str], dict[str, tuple]]]:
-        """Each text's chunks in turn, and the entries of all; a text whose bytes differ somewhere is one chunk, encoded whole."""
-        if len(self.cache) > self.limit:
-            self.forget()
-        if self.encoders.cuts:
-            cut = [[c[1:] for c in CHUNK.split(f" {t}")] if LATE_SPACE.search(f" {t}") else t.split(" ") for t in texts]
-        else:
-            cut = [[t] for t in texts]
-        cache, own = self.cache, {}
-        new = [c for c in dict.fromkeys(x for chunks in cut for x in chunks) if c not in cache]
-        self.learn([c for c in new if len(c) <= self.longest], cache)
-        self.learn([c for c in new if len(c) > self.longest], own)
-        out = []
-        for t, chunks in zip(texts, cut, strict=True):
-            entries = {c: cache[c] if c in cache else own[c] for c in chunks}
-            out.append((chunks, entries) if all(e[2] is not None for e in entries.values()) else ([t], {t: self.entry(t)}))
-        return out
-
-
 @dataclass(frozen=True)
 class Alignment:
     """documents: one row for each document. dictionary: group, n (occurrences), docs (documents with it), links, best, count_sum. pairs: a, b, links, best (whether no other a has more links with b)."""
@@ -202,38 +203,32 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc
     spark = docs.sparkSession
     scratch = Scratch(spark)
 
+    by_rank = merges_by_rank(bytes_path)
+
+    def parts_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.slice(k, 128) for b in batches for k in range(0, b.num_rows, 128))
+
     def intern(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        chunks_of, row = Interner(Encoders(bytes_path, pieces_path)), TaskContext.get().partitionId() << 40
-        for batch in batches:
+        groups_of, row = Interner(Encoders(bytes_path, pieces_path, by_rank)), TaskContext.get().partitionId() << 40
+        for batch in parts_of(batches):
             cols: list[list] = [[] for _ in range(6)]
-            lengths, ids, counts = [], [], []
-            texts = batch.column(1).to_pylist()
-            found = iter(chunks_of([t for t in texts if t]))
-            for doc, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                chunks, entries = next(found) if text else ([], {})
-                own: dict[int, int] = {}
-                n_a = n_b = 0
-                if chunks and entries[chunks[0]][2] is not None:
-                    digest = hashlib.sha256(";".join([entries[c][3] for c in chunks]).encode()).hexdigest()
-                    for c, n in Counter(chunks).items():
-                        x, y, groups, _ = entries[c]
-                        n_a += n * x
-                        n_b += n * y
-                        for g in groups:
-                            own[g] = own.get(g, 0) + n
-                else:
-                    digest = ""
+            lengths, ids, counts = [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for doc, (n_a, n_b, own) in zip(batch.column(0).to_pylist(), groups_of([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+                digest = hashlib.sha256(";".join([groups_of.names[k] for k in own.tolist()]).encode()).hexdigest() if n_a else ""
+                different, n = np.unique(own, return_counts=True)
                 row += 1
-                for at in range(0, max(len(own), 1), RUN):
-                    for c, v in zip(cols, (row, doc, n_a, n_b, sum(own.values()), digest) if at == 0 else (row, None, None, None, None, None), strict=True):
+                for at in range(0, max(len(different), 1), RUN):
+                    for c, v in zip(cols, (row, doc, n_a, n_b, len(own), digest) if at == 0 else (row, None, None, None, None, None), strict=True):
                         c.append(v)
-                    lengths.append(min(RUN, len(own) - at))
-                ids += own
-                counts += own.values()
-            used, ids = np.unique(np.array(ids, np.int64), return_inverse=True)
-            groups = pa.array([chunks_of.names[k] for k in used.tolist()], pa.string()).take(pa.array(ids))
+                    lengths.append(min(RUN, len(different) - at))
+                ids.append(different)
+                counts.append(n)
+            used, ids = np.unique(np.concatenate(ids), return_inverse=True)
+            groups, counts = pa.array([groups_of.names[k] for k in used.tolist()], pa.string()).take(pa.array(ids)), np.concatenate(counts)
+            if len(groups_of.names) > 200_000:
+                groups_of.forget()
             held = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(lengths, dtype=np.int32)].astype(np.int32)), pa.StructArray.from_arrays([groups, pa.array(counts, pa.int32())], ["g", "n"]))
             yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(cols, (*[pa.int64()] * 5, pa.string()), strict=True)), held], [f.split()[0] for f in DOCUMENT.split(", ")])
 
@@ -242,7 +237,7 @@ def align(docs: DataFrame, bytes_path: str, pieces_path: str, id_col: str = "doc
     dictionary = scratch.write(occurs.groupBy("group").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs")), "dictionary")
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = Encoders(bytes_path, pieces_path)
+        both = Encoders(bytes_path, pieces_path, by_rank)
         for batch in batches:
             rows = [(g, a, b, m, m * n) for g, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for (a, b), m in links(g, both.a_bytes, both.b_bytes).items()]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.string(), pa.int32(), pa.int32(), pa.int64(), pa.int64()))], ["group", "a", "b", "m", "links"])

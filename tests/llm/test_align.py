@@ -1,6 +1,7 @@
 """The alignment of two tokenizers against a plain walk over byte offsets."""
 
 import hashlib
+import json
 from collections import Counter
 
 import pytest
@@ -17,12 +18,12 @@ ODD = [
 
 def naive(rows):
     """All of the contract's columns, by whole texts and every pair of tokens."""
-    both = align.Encoders(tokenizer_path(A), tokenizer_path(B))
+    both = align.Encoders(tokenizer_path(A), tokenizer_path(B), False)
     docs, pairs = [], Counter()
     for i, text in rows:
         groups, found = [], []
         if text:
-            a, b = both.a.encode(" " + text, add_special_tokens=False).ids, both.b.encode(text)
+            a, b = both.a(" " + text), both.b.encode(text)
             x, y = [both.a_bytes[t] for t in a], [both.b_bytes[t] for t in b]
             if b"".join(x) == b"".join(y) == (" " + text).encode():
                 spans = []
@@ -78,15 +79,22 @@ def test_empty_table_and_texts_without_tokens(frame):
     assert got(align.align(frame(rows), tokenizer_path(A), tokenizer_path(B))) == [(i, 0, 0, 0, 0, 0, 0, "") for i in (1, 2, 3)]
 
 
-def test_chunks_have_the_tokens_of_the_whole_text(corpus):
-    both = align.Encoders(tokenizer_path(A), tokenizer_path(B))
-    texts = [t for t in [*ODD, *(t for _, t in corpus)] if t]
-    for cut in (align.Interner(both), align.Interner(both, limit=20, longest=6, at_once=30)):
-        for at in range(0, len(texts), 7):
-            for text, (chunks, entries) in zip(texts[at : at + 7], cut(texts[at : at + 7]), strict=True):
-                want = both.groups(text)
-                if want is None:
-                    assert entries[chunks[0]][2] is None
-                else:
-                    assert [cut.names[g] for c in chunks for g in entries[c][2]] == want[0] == ";".join(entries[c][3] for c in chunks).split(";")
-                    assert sum(entries[c][0] for c in chunks) == want[2][-1] and sum(entries[c][1] for c in chunks) == want[3][-1]
+def test_both_ways_of_merging_give_the_same_ids(corpus, tmp_path):
+    slow, fast = (align.Encoders(tokenizer_path(A), tokenizer_path(B), x) for x in (False, True))
+    assert align.merges_by_rank(tokenizer_path(A))
+    for t in [*ODD, *(t for _, t in corpus), *(f"a{chr(c)}b {chr(c)}{chr(c)} 1{chr(c)}\n{chr(c)} " for c in range(1, 0x3100))]:
+        assert slow.a(t or "") == fast.a(t or "")
+    found = json.loads(open(tokenizer_path(A)).read())
+    found["model"]["merges"][300:302] = found["model"]["merges"][301:299:-1]
+    (tmp_path / "other.json").write_text(json.dumps(found))
+    assert not align.merges_by_rank(str(tmp_path / "other.json"))
+
+
+def test_texts_of_a_batch_do_not_meet(corpus):
+    one = align.Interner(align.Encoders(tokenizer_path(A), tokenizer_path(B), True))
+    texts = [t or "" for t in [*ODD, *(t for _, t in corpus)]]
+    together = one(texts)
+    for t, (n_a, n_b, groups) in zip(texts, together, strict=True):
+        (x, y, alone), = one([t])
+        assert (n_a, n_b, groups.tolist()) == (x, y, alone.tolist())
+    assert one([]) == [] and len(set(one.names)) == len(one.names)
