@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-import json
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexhaul.operators.runs import RunStore, file_system
+
 SCHEMA_VERSION = 2
 DOCUMENTS = "id long, path string, sha256 string, format string, page_count int, char_count long, ocr_used boolean, chunk_count int, ingested_at timestamp"
 CHUNKS = "id long, document_id long, ordinal int, text string, heading_path array<string>, kind string, token_count int"
@@ -16,35 +18,6 @@ VECTORS = "chunk_id long, embedding array<float>"
 NEW, UPDATED, UNCHANGED, EMPTY, FAILED = "neu", "aktualisiert", "unverändert", "leer", "fehler"
 
 
-def file_system(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
-
-
-def recover_table(spark: SparkSession, path: str) -> bool:
-    """Whether there is a table at `path`. One that a crash left aside in the middle of a swap takes its place again."""
-    fs, at = file_system(spark, path)
-    if not fs.exists(at):
-        left = [s.getPath() for s in fs.globStatus(file_system(spark, f"{path}.last-*")[1]) or []]
-        if left:
-            fs.rename(max(left, key=lambda p: fs.getFileStatus(p).getModificationTime()), at)
-    return fs.exists(at)
-
-
-def swap_table(spark: SparkSession, df: DataFrame, path: str) -> None:
-    """Writes beside the table, moves the old one aside, takes its place, and deletes the old one last; see recover_table for a crash between."""
-    staged, last = f"{path}.next-{uuid.uuid4().hex}", f"{path}.last-{uuid.uuid4().hex}"
-    df.write.parquet(staged)
-    fs, at = file_system(spark, path)
-    aside = file_system(spark, last)[1]
-    if fs.exists(at) and not fs.rename(at, aside):
-        raise OSError(f"{path} could not be moved aside")
-    if not fs.rename(file_system(spark, staged)[1], at):
-        raise OSError(f"{staged} could not take the place of {path}")
-    for old in fs.globStatus(file_system(spark, f"{path}.last-*")[1]) or []:
-        fs.delete(old.getPath(), True)
-
-
 def ingest_status(listing: DataFrame, documents: DataFrame, force: bool = False) -> DataFrame:
     """[D1, J3, P3] path, status, chunk_count of each listed file (path, sha256, and optionally error, n_chunks).
 
@@ -114,34 +87,37 @@ class CompatibilityError(ValueError):
     """The stored index belongs to another schema, model, dimension or backend."""
 
 
-class IndexStore:
-    """[§1.4, D7, D8, S13] Versioned snapshots under `base`; the pointer with the highest number names the one that readers use.
+class DataError(ValueError):
+    """What is to be written does not fit together."""
+
+
+class IndexStore(RunStore):
+    """[§1.4, D2, D3, D7, D8, S13, S15] Documents, chunks and vectors as log-structured tables; see RunStore.
 
-    A write makes a whole new snapshot and then a new pointer: written under another name, renamed, never in
-    the place of an old one, which goes only afterwards. So a crash at any point leaves the old or the new index, and
-    of two writers at once one fails.
+    Each ingest adds one run with the rows of new and changed files, and the ids of the documents that they replace
+    as deletions, so its cost follows the change. A crash at any point leaves the old or the new index; of two
+    writers at once one gets a WriteConflict and may repeat.
     """
 
     def __init__(self, spark: SparkSession, base: str, embedder: str, dimensions: int, backend: str = "parquet", profile: str = "default") -> None:
-        self.spark, self.base = spark, base.rstrip("/")
+        super().__init__(spark, base, {"documents": (DOCUMENTS, "id"), "chunks": (CHUNKS, "document_id"), "vectors": (f"{VECTORS}, document_id long", "document_id")})
         self.meta = {"schema_version": str(SCHEMA_VERSION), "embedder": embedder, "dimensions": str(dimensions), "vector_backend": backend, "embedder_profile": profile}
 
+    def fresh(self) -> dict:
+        return {**super().fresh(), "meta": self.meta, "high_water": {"documents": 0, "chunks": 0}}
+
     def pointers(self) -> list[tuple[int, str]]:
-        """Number and path of every pointer, oldest first."""
-        fs, at = file_system(self.spark, f"{self.base}/CURRENT-*")
-        paths = [s.getPath() for s in fs.globStatus(at) or []]
-        return sorted((int(p.getName().rpartition("-")[2]), p.toString()) for p in paths if p.getName().rpartition("-")[2].isdigit())
+        return self.log.pointers()
 
     def current(self) -> dict | None:
-        found = self.pointers()
-        if not found:
-            return None
-        fs, at = file_system(self.spark, found[-1][1])
-        stream = fs.open(at)
-        try:
-            return json.loads(bytes(stream.readAllBytes()).decode())
-        finally:
-            stream.close()
+        return self.log.current()
+
+    def point(self, to: dict, after: int | None = None) -> None:
+        """Makes `to` current; `after` is the pointer that it was made from, by default the last one."""
+        self.log.publish(to, self.pointers()[-1][0] if after is None else after)
+
+    def publish(self, state: dict, after: int) -> None:
+        self.point(state, after)
 
     def check(self) -> None:
         found = (self.current() or {}).get("meta", self.meta)
@@ -150,53 +126,50 @@ class IndexStore:
                 raise CompatibilityError(f"{key}: the index has {found.get(key)!r}, asked for {self.meta[key]!r}")
 
     def read(self, name: str) -> DataFrame:
-        schema, now = {"documents": DOCUMENTS, "chunks": CHUNKS, "vectors": VECTORS}[name], self.current()
-        if now is None:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(f"{self.base}/{now['snapshot']}/{name}")
-
-    def commit(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, high_water: dict[str, int]) -> None:
-        name = f"snapshot-{uuid.uuid4().hex}"
-        for table, df in (("documents", documents), ("chunks", chunks), ("vectors", vectors)):
-            df.write.parquet(f"{self.base}/{name}/{table}")
-        self.point({"snapshot": name, "meta": self.meta, "high_water": high_water})
-
-    def point(self, to: dict) -> None:
-        """Makes `to` the current state; pointers before the last one go."""
-        old = self.pointers()
-        fs, at = file_system(self.spark, f"{self.base}/next-{uuid.uuid4().hex}")
-        out = fs.create(at, True)
-        out.write(bytearray(json.dumps(to).encode()))
-        out.close()
-        target = file_system(self.spark, f"{self.base}/CURRENT-{(old[-1][0] if old else 0) + 1:012d}")[1]
-        if fs.exists(target) or not fs.rename(at, target):
-            raise OSError(f"{target.toString()} was made by another writer")
-        for _, path in old[:-1]:
-            fs.delete(file_system(self.spark, path)[1], False)
+        found = super().read(name)
+        return found.drop("document_id") if name == "vectors" else found
+
+    def commit(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, high_water: dict[str, int], deleted: DataFrame | None = None, replace: bool = False) -> None:
+        """Adds one run: whole documents with all their chunks and vectors, and the ids of deleted documents (a column key).
+
+        Nothing becomes current if a chunk has no vector, a vector no chunk, or a vector another dimension.
+        """
+        number, state = self.log.latest()
+        state = state or self.fresh()
+        owned = vectors.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id", "left").select("chunk_id", "embedding", "document_id")
+        run = self.add_run(state, {"documents": documents, "chunks": chunks, "vectors": owned}, deleted)
+        held = self.scan("vectors", self.tables["vectors"][0], [run])
+        wrong = held.filter((F.coalesce(F.size("embedding"), F.lit(-1)) != int(self.meta["dimensions"])) | F.col("document_id").isNull()).count()
+        if wrong or run["rows"]["chunks"] != run["rows"]["vectors"]:
+            raise DataError(f"{run['rows']['chunks']} chunks, {run['rows']['vectors']} vectors, of which {wrong} have no chunk or not {self.meta['dimensions']} dimensions")
+        self.publish({**state, "meta": self.meta, "high_water": high_water, "snapshot": run["run"], "runs": [*([] if replace else state["runs"]), run], "next": state["next"] + 1}, number)
 
     def rebuild(self, files: DataFrame, embed, chunker=None, accept: bool = True) -> DataFrame:
-        """[D8] A new index of all of `files` beside the old one, with this store's schema, model and dimensions; returns path, status, chunk_count.
+        """[D8] A new index of all of `files` in the place of the old one, with this store's schema, model and dimensions; returns path, status, chunk_count.
 
-        The old snapshot stays current until the new one is whole; ids go on from the old marks, so none is used
-        twice. With `accept` false nothing becomes current if a file failed.
+        The old rows stay current until the new ones are whole; ids go on from the old marks, so none is used
+        twice. With `accept` false nothing becomes current if a file failed. vacuum() removes the old rows later.
         """
-        marks = (self.current() or {"high_water": {"documents": 0, "chunks": 0}})["high_water"]
-        side = IndexStore(self.spark, f"{self.base}/rebuild-{uuid.uuid4().hex}", self.meta["embedder"], int(self.meta["dimensions"]), self.meta["vector_backend"], self.meta["embedder_profile"])
-        side.commit(side.read("documents"), side.read("chunks"), side.read("vectors"), marks)
-        result = side.ingest(files, embed, chunker=chunker)
-        if accept or result.filter(F.col("status") == FAILED).isEmpty():
-            now = side.current()
-            self.point({**now, "snapshot": f"{side.base[len(self.base) + 1 :]}/{now['snapshot']}"})
-        return result
+        return self._ingest(files, embed, None, False, chunker, rebuild=True, accept=accept)
 
     def ingest(self, files: DataFrame, embed, prune_against: DataFrame | None = None, force: bool = False, chunker=None) -> DataFrame:
-        """[D2] files: path, sha256, text, error. Returns path, status, chunk_count. embed: column of text to column of vector."""
+        """[D2] files: path, sha256, text, error. Returns path, status, chunk_count. embed: column of text to column of vector.
+
+        A path that is given twice counts once; with two different contents it is an error. Documents that are neither
+        in `prune_against` (a column path) nor among the files go, if it is given.
+        """
+        self.check()
+        return self._ingest(files, embed, prune_against, force, chunker)
+
+    def _ingest(self, files: DataFrame, embed, prune_against, force: bool, chunker, rebuild: bool = False, accept: bool = True) -> DataFrame:
         from lexhaul.functions.text import embed_text
         from lexhaul.operators.chunking import chunk_documents
 
-        self.check()
-        now = self.current() or {"high_water": {"documents": 0, "chunks": 0}}
-        marks, old_docs = now["high_water"], self.read("documents")
+        now = self.current() or self.fresh()
+        marks, old_docs = now["high_water"], self.live("documents", {**now, "runs": [] if rebuild else now["runs"]})
+        files = files.dropDuplicates(["path", "sha256"])
+        if twice := files.groupBy("path").count().filter("count > 1").limit(3).collect():
+            raise DataError(f"given twice with different contents: {', '.join(r['path'] for r in twice)}")
         work = files.join(old_docs.select("path", F.col("sha256").alias("_sha")), "path", "left").filter(F.col("error").isNull() & (F.lit(force) | F.col("_sha").isNull() | (F.col("_sha") != F.col("sha256"))))
         pieces = (chunker or (lambda d: chunk_documents(d, "path", "text")))(work.select("path", "text"))
         pieces = self.kept(pieces, "pieces")
@@ -204,26 +177,36 @@ class IndexStore:
         listing = files.select("path", "sha256", "error").join(counts, "path", "left").join(work.select("path", F.lit(True).alias("_w")), "path", "left")
         listing = listing.withColumn("n_chunks", F.when(F.col("_w"), F.coalesce("n_chunks", F.lit(0)))).drop("_w")
         result = self.kept(ingest_status(listing, old_docs, force), "result")
+        columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
         fresh = work.join(counts, "path").select("path", "sha256", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.lit(1).alias("page_count"), F.length("text").cast("long").alias("char_count"), F.lit(False).alias("ocr_used"), F.col("n_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
-        fresh = self.kept(assign_ids(fresh, ["path"], marks["documents"]).select(*old_docs.columns), "fresh")
-        gone = missing(old_docs, prune_against).select("path") if prune_against is not None else old_docs.select("path").limit(0)
-        n_new = fresh.count()
-        if n_new or not gone.isEmpty():
-            left = old_docs.join(fresh.select("path").union(gone), "path", "left_anti").select(*old_docs.columns)
+        fresh = self.kept(assign_ids(fresh, ["path"], marks["documents"]).select(*columns), "fresh")
+        replaced = old_docs.join(fresh.select("path"), "path", "left_semi").select(F.col("id").alias("key"))
+        if prune_against is not None:
+            replaced = replaced.union(missing(old_docs.join(fresh.select("path"), "path", "left_anti"), prune_against).select("id"))
+        replaced = self.kept(replaced, "replaced")
+        n_new, failed = fresh.count(), not accept and not result.filter(F.col("status") == FAILED).isEmpty()
+        if not failed and (rebuild or n_new or not replaced.isEmpty()):
             chunks = assign_ids(pieces.join(fresh.select("path", F.col("id").alias("document_id")), "path"), ["path", "ordinal"], marks["chunks"])
-            old_chunks = self.read("chunks").join(left.select(F.col("id").alias("document_id")), "document_id", "left_semi")
+            chunks = self.kept(chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
             vectors = chunks.select(F.col("id").alias("chunk_id"), embed(embed_text(F.col("text"), F.col("heading_path"))).cast("array<float>").alias("embedding"))
-            old_vectors = self.read("vectors").join(old_chunks.select(F.col("id").alias("chunk_id")), "chunk_id", "left_semi")
-            order = [c.split()[0] for c in CHUNKS.split(", ")]
             high = {"documents": marks["documents"] + n_new, "chunks": marks["chunks"] + chunks.count()}
-            self.commit(left.unionByName(fresh), old_chunks.select(*order).unionByName(chunks.select(*order)), old_vectors.select("chunk_id", "embedding").unionByName(vectors), high)
+            self.commit(fresh, chunks, vectors, high, None if rebuild else replaced, rebuild)
         return result
 
     def kept(self, df: DataFrame, name: str) -> DataFrame:
-        """`df` written once beside the index, so a lost executor changes neither ids nor counts."""
+        """`df` written once beside the index, so a lost executor changes neither ids nor counts; vacuum() removes it."""
         path = f"{self.base}/work/{uuid.uuid4().hex}-{name}"
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def vacuum(self, min_age_s: float = 86_400.0) -> list[str]:
+        gone = super().vacuum(min_age_s)
+        fs, at = file_system(self.spark, f"{self.base}/work/*")
+        for s in fs.globStatus(at) or []:
+            if time.time() - s.getModificationTime() / 1000 >= min_age_s:
+                gone.append(s.getPath().toString())
+                fs.delete(s.getPath(), True)
+        return gone
+
     def stats(self) -> DataFrame:
         return stats(self.read("documents"), self.read("chunks"), self.read("vectors"))

@@ -135,35 +135,38 @@ def reconcile(vectors: DataFrame, texts: DataFrame, id_col: str, text_id: str) -
 
 
 class VectorTable:
-    """[V1, V3, V6, V7] The backend contract over one Parquet table; backend names are kept as metadata only."""
+    """[V1, V3, V6, V7] The backend contract over one log-structured table; backend names are kept as metadata only.
+
+    add() replaces vectors whose id is there already. Readers keep what they have begun with; see RunStore.
+    """
 
     def __init__(self, spark, path: str, dim: int, backend: str = "parquet") -> None:
+        from lexhaul.operators.runs import RunStore
+
         if backend not in BACKENDS:
             raise ValueError(f"unknown vector backend {backend!r}; known: {', '.join(BACKENDS)}")
         self.spark, self.path, self.dim, self.backend = spark, path, dim, backend
+        self.store = RunStore(spark, path, {"vectors": ("chunk_id long, embedding array<float>", "chunk_id")})
 
     def read(self) -> DataFrame:
-        from lexhaul.operators.index import recover_table
-
-        schema = "chunk_id long, embedding array<float>"
-        return self.spark.read.schema(schema).parquet(self.path) if recover_table(self.spark, self.path) else self.spark.createDataFrame([], schema)
-
-    def _replace(self, df: DataFrame) -> None:
-        from lexhaul.operators.index import swap_table
-
-        swap_table(self.spark, df, self.path)
+        return self.store.read("vectors")
 
     def add(self, rows: DataFrame) -> None:
-        wrong = rows.filter(F.size("embedding") != self.dim).limit(1).count()
-        if wrong:
-            raise ValueError(f"vectors must have {self.dim} dimensions")
-        rows.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<float>")).write.mode("append").parquet(self.path)
+        """Ids that come twice in `rows` are an error, as are other dimensions."""
+        rows = rows.select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<float>"))
+        bad = rows.groupBy("chunk_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(F.size("embedding"), F.lit(-1)) != self.dim).alias("wrong")).filter("n > 1 OR wrong").first()
+        if bad:
+            raise ValueError(f"vectors must have {self.dim} dimensions" if bad["wrong"] else f"vector {bad['chunk_id']} comes twice")
+        self.store.append({"vectors": rows}, rows.select(F.col("chunk_id").alias("key")))
 
     def delete(self, ids: DataFrame) -> None:
-        self._replace(self.read().join(ids.select("chunk_id").distinct(), "chunk_id", "left_anti"))
+        self.store.append({}, ids.select(F.col("chunk_id").alias("key")))
 
     def drop(self) -> None:
-        self._replace(self.read().limit(0))
+        self.store.append({}, replace=True)
+
+    def compact(self) -> int:
+        return self.store.compact()
 
     def count(self) -> int:
         return self.read().count()

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
 from lexhaul.operators import answering, chunking, evaluation, index, ranking, resolve, vectors
+from lexhaul.session import shared_folder
 from lexhaul.sources import files
 
 QUERIES: dict = {}
@@ -240,6 +243,36 @@ def prune(spark, sf_dir):
     return index.missing(old, listed).select("path")
 
 
+@query(
+    f"""WITH v AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN coalesce(text, '') || chr(10) || 'neu' ELSE text END AS text FROM documents WHERE doc_id % 7 <> 0 OR doc_id % 5 = 0),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS ordinal FROM v),
+c AS (SELECT * FROM l WHERE {stripped("line")} <> '')
+SELECT 'doc-' || doc_id AS path, CAST(ordinal AS INTEGER) AS ordinal, sha256(line) AS text_sha256, {TOKENS.format("line")} AS token_count, length(line) AS embedded FROM c"""
+)
+def merged_index(spark, sf_dir):
+    """[D3, D5, S15] Four runs over all documents, merged on read and compacted in between: all stored, every third changed, some pruned and a part of those added again.
+
+    The lines of a document are its chunks; a chunk's vector has its length.
+    """
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), "doc_id").alias("path"), "doc_id", "text").withColumn("error", F.lit(None).cast("string"))
+    listed = lambda df: df.withColumn("sha256", F.sha2(F.coalesce("text", F.lit("")), 256)).select("path", "sha256", "text", "error")
+
+    def lines(d: DataFrame) -> DataFrame:
+        rows = d.select("path", F.posexplode(F.split("text", "\n")).alias("ordinal", "text")).filter(T.strip(F.col("text")) != "")
+        return rows.withColumns({"heading_path": F.array().cast("array<string>"), "kind": F.lit("prosa"), "token_count": T.estimate_tokens(F.col("text"))})
+
+    store = index.IndexStore(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}", "length", 1)
+    changed = docs.filter("doc_id % 3 = 0").withColumn("text", F.concat(F.coalesce("text", F.lit("")), F.lit("\nneu")))
+    put = lambda df, **how: store.ingest(listed(df), lambda c: F.array(F.char_length(c).cast("float")), chunker=lines, **how)
+    put(docs)
+    put(changed)
+    put(docs.limit(0), prune_against=docs.filter("doc_id % 7 <> 0"))
+    store.compact(2)
+    put(docs.filter("doc_id % 35 = 0 AND doc_id % 3 <> 0").unionByName(changed.filter("doc_id % 35 = 0")))
+    chunks = store.read("chunks").join(store.read("documents").select(F.col("id").alias("document_id"), "path"), "document_id")
+    return chunks.join(store.read("vectors"), chunks["id"] == F.col("chunk_id")).select("path", "ordinal", F.sha2("text", 256).alias("text_sha256"), "token_count", F.get("embedding", F.lit(0)).cast("long").alias("embedded"))
+
+
 @query(f"WITH n AS (SELECT l.path, l.n_chunks FROM ({LISTED}) l WHERE l.path NOT IN (SELECT path FROM ({STORED}))) SELECT path, 1000000 + row_number() OVER (ORDER BY substr(sha256(path), 1, 2), path) AS id FROM n")
 def assign_ids(spark, sf_dir):
     """[D6] Above a high-water mark of one million."""

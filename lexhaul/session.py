@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -25,3 +27,17 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, ap
         .config("spark.driver.memory", os.environ.get("LEXHAUL_DRIVER_MEMORY", "8g"))
         .getOrCreate()
     )
+
+
+#: Folders of local sessions that name none, by application.
+LOCAL: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir of the session. Where it is unset, a local session gets a temporary folder; on a cluster that is an error, as executors would each write to a disk of their own."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found
+    if not re.fullmatch(r"local(\[[^-]*\])?", spark.conf.get("spark.master", "")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return LOCAL.setdefault(spark.conf.get("spark.app.id"), f"file://{tempfile.mkdtemp(prefix='lexhaul-')}")
