@@ -7,12 +7,16 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lexhaul.functions import text as T
+from lexhaul.operators.blocks import BREAK
 
 TARGET, OVERLAP, SMALLEST = 512, 64, 32
+# The forms of fences, headings, table rows, sentence ends and numbered items.
 FENCE = re.compile(r"\s*(```|~~~)")
 TITLE = re.compile(r"(#{1,6})\s+(.+?)\s*#*$")
 ROW = re.compile(r"\s*\|.*\|\s*$")
@@ -245,3 +249,94 @@ def overlap_tail(docs: DataFrame, id_col: str, text_col: str, budget: int) -> Da
     rows = sentence_rows(docs, id_col, text_col).withColumn("cum", F.sum(T.estimate_tokens(F.col("sentence"))).over(back.rowsBetween(Window.unboundedPreceding, 0))).withColumn("rk", F.row_number().over(back))
     kept = rows.filter((F.col("rk") == 1) | (F.col("cum") <= budget))
     return kept.groupBy(id_col).agg(F.count(F.lit(1)).alias("n_sentences"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sentence"))), lambda x: x["sentence"]), " ").alias("tail"))
+
+
+def paragraphs(text: Column) -> Column:
+    """Runs of lines that are not blank, stripped; of texts without headings, tables and code."""
+    plain = F.regexp_replace(text, BREAK, "\n")
+    return F.filter(F.transform(F.split(plain, rf"\n[{T.WS}]*\n"), T.strip), lambda p: p != "")
+
+
+def joined_sentences(text: Column, limit: int) -> Column:
+    """[C6] Sentences of a paragraph in units of `limit` estimated tokens at most; a longer sentence is alone."""
+    start = F.struct(F.array().cast("array<string>").alias("units"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("cost"))
+
+    def step(acc: Column, s: Column) -> Column:
+        over = acc["open"].isNotNull() & (acc["cost"] + T.estimate_tokens(s) > limit)
+        return F.struct(
+            F.when(over, F.concat(acc["units"], F.array(acc["open"]))).otherwise(acc["units"]).alias("units"),
+            F.when(over | acc["open"].isNull(), s).otherwise(F.concat(acc["open"], F.lit(" "), s)).alias("open"),
+            (F.when(over, 0).otherwise(acc["cost"]) + T.estimate_tokens(s)).alias("cost"),
+        )
+
+    return F.aggregate(T.sentences(text), start, step, lambda acc: F.when(acc["open"].isNull(), acc["units"]).otherwise(F.concat(acc["units"], F.array(acc["open"]))))
+
+
+def tail_of(text: Column, budget: int) -> Column:
+    """[C7] The last sentences within the budget, the very last one in any case."""
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("cost"), F.lit(True).alias("open"))
+
+    def step(acc: Column, s: Column) -> Column:
+        fits = acc["open"] & ((acc["n"] == 0) | (acc["cost"] + T.estimate_tokens(s) <= budget))
+        return F.struct((acc["n"] + fits.cast("int")).alias("n"), F.when(fits, acc["cost"] + T.estimate_tokens(s)).otherwise(acc["cost"]).alias("cost"), fits.alias("open"))
+
+    last = lambda own: T.let(F.aggregate(F.reverse(own), start, step)["n"], lambda n: F.array_join(F.slice(own, F.size(own) - n + 1, n), " "))
+    return T.let(T.sentences(text), last) if budget > 0 else F.lit("")
+
+
+def chunk_prose(docs: DataFrame, id_col: str, text_col: str, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """[C8] id, ordinal, text, token_count: chunk() of texts without headings, tables and code, as one fold of built-in functions.
+
+    Paragraphs, or sentences of too long ones, are packed in turn; the next chunk begins with the last sentences of
+    the one before; a short rest joins the last chunk. Nothing is shuffled and no Python runs. Null and blank
+    texts have no chunk; ids may repeat, each row is chunked on its own.
+    """
+    limit = max(SMALLEST, target)
+    again = min(overlap, limit // 4)
+    unit = max(SMALLEST, limit - again)
+    units = F.flatten(F.transform(paragraphs(F.col("_t")), lambda p: F.when(T.estimate_tokens(p) <= unit, F.array(p)).otherwise(joined_sentences(p, unit))))
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("open"), F.lit(0).alias("cost"))
+
+    def step(acc: Column, u: Column) -> Column:
+        size = T.estimate_tokens(u)
+        over = acc["open"].isNotNull() & (acc["cost"] + size > limit)
+
+        def begun(t: Column) -> Column:
+            return F.struct(F.concat(acc["done"], F.array(T.strip(acc["open"]))).alias("done"), F.when(t == "", u).otherwise(F.concat(t, F.lit("\n\n"), u)).alias("open"), (F.when(t == "", 0).otherwise(T.estimate_tokens(t)) + size).alias("cost"))
+
+        more = F.struct(acc["done"].alias("done"), F.when(acc["open"].isNull(), u).otherwise(F.concat(acc["open"], F.lit("\n\n"), u)).alias("open"), (acc["cost"] + size).alias("cost"))
+        return F.when(over, T.let(tail_of(acc["open"], again), begun)).otherwise(more)
+
+    def finish(acc: Column) -> Column:
+        rest, done = T.strip(acc["open"]), acc["done"]
+        short = (F.size(done) > 0) & (T.estimate_tokens(rest) < SMALLEST)
+        joined = F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), F.lit("\n\n"), rest)))
+        return F.when(acc["open"].isNull(), done).when(short, joined).otherwise(F.concat(done, F.array(rest)))
+
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    return rows.select(id_col, F.posexplode(F.aggregate(units, start, step, finish)).alias("ordinal", "text")).withColumn("token_count", T.estimate_tokens(F.col("text")))
+
+
+class MarkdownChunks:
+    """[C8] Table function markdown_chunks(text, target, overlap): ordinal, text, heading_path, kind, token_count, for use with LATERAL.
+
+    target and overlap are constants and may be left out; what they are is checked when the query is analysed.
+    """
+
+    @staticmethod
+    def analyze(text: AnalyzeArgument, target: AnalyzeArgument | None = None, overlap: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if text.isTable or text.dataType.simpleString() not in ("string", "void"):
+            raise ValueError("markdown_chunks: the first argument is a text")
+        for name, given, least in (("target", target, 1), ("overlap", overlap, 0)):
+            if given is not None and (not given.isConstantExpression or not isinstance(given.value, int) or given.value < least):
+                raise ValueError(f"markdown_chunks: {name} is a constant whole number from {least} on")
+        return AnalyzeResult(StructType([StructField("ordinal", IntegerType()), StructField("text", StringType()), StructField("heading_path", ArrayType(StringType())), StructField("kind", StringType()), StructField("token_count", IntegerType())]))
+
+    def eval(self, text: str | None, target: int = TARGET, overlap: int = OVERLAP) -> Iterator[tuple]:
+        for k, c in enumerate(chunk(text or "", target, overlap)):
+            yield k, c.text, c.path, c.kind, c.tokens
+
+
+def register(spark: SparkSession) -> None:
+    """Makes markdown_chunks known to SQL in this session."""
+    spark.udtf.register("markdown_chunks", F.udtf(MarkdownChunks))

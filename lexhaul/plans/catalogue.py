@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
-from lexhaul.operators import answering, chunking, evaluation, index, ranking, resolve, vectors
+from lexhaul.operators import answering, blocks, chunking, evaluation, index, ranking, resolve, vectors
 from lexhaul.session import shared_folder
 from lexhaul.sources import files
 
@@ -201,6 +201,104 @@ def chunk_markdown(spark, sf_dir):
     return chunking.chunk_documents(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: Sentences as a list, tokens and last words of SQL expressions.
+EST = lambda x: TOKENS.format(x)
+LAST_WORD = lambda x: f"lower(regexp_extract({x}, '([^{WS}]+)[{WS}]*$', 1))"
+MID = lambda x: f"({LAST_WORD(x)} IN ({ABBR}) OR regexp_full_match({LAST_WORD(x)}, '[\\p{{Nd}}.]+\\.|[a-zäöü]\\.'))"
+
+
+def sentence_list(x: str) -> str:
+    rough = f"string_split(regexp_replace({x}, '([.!?:])[{WS}]+([A-ZÄÖÜ“„\"(\\p{{Nd}}])', '\\1' || chr(30) || '\\2', 'g'), chr(30))"
+    glued = f"array_to_string(list_transform({rough}, lambda p: p || CASE WHEN {MID('p')} THEN ' ' ELSE chr(31) END), '')"
+    return f"list_filter(string_split({glued}, chr(31)), lambda m: {stripped('m')} <> '')"
+
+
+PROSE_CHUNKS = f"""
+WITH RECURSIVE par AS (
+  SELECT doc_id, unnest(range(len(p))) AS p_no, unnest(p) AS text FROM (
+    SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(text, '\\r\\n|[\\r\\x0B\\x0C\\x1C-\\x1E\\x{{85}}\\x{{2028}}\\x{{2029}}]', chr(10), 'g'), '\\n[{WS}]*\\n'), lambda x: {stripped("x")}), lambda x: x <> '') AS p FROM documents WHERE text IS NOT NULL
+  )
+), sent AS (
+  SELECT doc_id, p_no, unnest(range(1, len(s) + 1)) AS i, rtrim(unnest(s), ' ') AS s FROM (SELECT doc_id, p_no, {sentence_list("text")} AS s FROM par WHERE {EST("text")} > 448)
+), walk AS (
+  SELECT doc_id, p_no, i, s, {EST("s")} AS cost, 0 AS unit FROM sent WHERE i = 1
+  UNION ALL
+  SELECT n.doc_id, n.p_no, n.i, n.s, CASE WHEN w.cost + {EST("n.s")} > 448 THEN 0 ELSE w.cost END + {EST("n.s")}, CASE WHEN w.cost + {EST("n.s")} > 448 THEN w.unit + 1 ELSE w.unit END
+  FROM walk w JOIN sent n ON n.doc_id = w.doc_id AND n.p_no = w.p_no AND n.i = w.i + 1
+), unit AS (
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_no, unit) AS n, text FROM (
+    SELECT doc_id, p_no, 0 AS unit, text FROM par WHERE {EST("text")} <= 448 UNION ALL
+    SELECT doc_id, p_no, unit, string_agg(s, ' ' ORDER BY i) FROM walk GROUP BY doc_id, p_no, unit
+  )
+), pack AS (
+  SELECT doc_id, n, text AS open, {EST("text")} AS cost, CAST([] AS VARCHAR[]) AS done FROM unit WHERE n = 1
+  UNION ALL
+  SELECT doc_id, n, CASE WHEN NOT over THEN open || chr(10) || chr(10) || text WHEN tail = '' THEN text ELSE tail || chr(10) || chr(10) || text END,
+    CASE WHEN NOT over THEN cost WHEN tail = '' THEN 0 ELSE {EST("tail")} END + {EST("text")}, CASE WHEN over THEN list_append(done, open) ELSE done END
+  FROM (
+    SELECT doc_id, n, text, open, cost, done, over, CASE WHEN over THEN array_to_string(list_slice(s, len(s) - list_max(list_filter(range(1, len(s) + 1), lambda k: k = 1 OR list_sum(list_transform(list_slice(s, len(s) - k + 1, len(s)), lambda x: {EST("x")})) <= 64)) + 1, len(s)), ' ') END AS tail FROM (
+      SELECT u.doc_id, u.n, u.text, p.open, p.cost, p.done, p.cost + {EST("u.text")} > 512 AS over, list_transform({sentence_list("p.open")}, lambda x: rtrim(x, ' ')) AS s FROM pack p JOIN unit u ON u.doc_id = p.doc_id AND u.n = p.n + 1
+    )
+  )
+), full_ AS (
+  SELECT doc_id, CASE WHEN len(done) > 0 AND {EST("open")} < 32 THEN list_append(list_slice(done, 1, len(done) - 1), done[len(done)] || chr(10) || chr(10) || open) ELSE list_append(done, open) END AS c
+  FROM pack QUALIFY n = max(n) OVER (PARTITION BY doc_id)
+)
+SELECT doc_id, CAST(k AS INTEGER) AS ordinal, text, {EST("text")} AS token_count FROM (SELECT doc_id, unnest(range(len(c))) AS k, unnest(c) AS text FROM full_)
+"""
+
+
+@query(PROSE_CHUNKS)
+def chunk_prose(spark, sf_dir):
+    """[C6, C7, C8] Whole documents, which hold paragraphs only, in chunks: one fold of built-in functions."""
+    return chunking.chunk_prose(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query(PROSE_CHUNKS)
+def chunk_udtf(spark, sf_dir):
+    """[C8] The same by the table function that takes any Markdown, in SQL with LATERAL."""
+    chunking.register(spark)
+    return spark.sql("SELECT d.doc_id, c.ordinal, c.text, c.token_count FROM {docs} d, LATERAL markdown_chunks(d.text, 512, 64) c", docs=table(spark, sf_dir, "documents"))
+
+
+#: Documents as Markdown: a line for each sentence end, and by its place headings, fences of both kinds, table rows and blank lines.
+MARKDOWN = f"SELECT doc_id, list_transform(string_split(replace(text, '. ', '.' || chr(10)), chr(10)), lambda x, i: CASE i % 19 WHEN 3 THEN '# ' || x WHEN 5 THEN '```' WHEN 8 THEN ' ~~~ x' WHEN 9 THEN '```' WHEN 12 THEN '| ' || x || ' |' WHEN 13 THEN '|-|' WHEN 16 THEN '' WHEN 17 THEN '~~~' WHEN 0 THEN '### ' || x || ' ##' ELSE x END) AS l FROM documents WHERE text IS NOT NULL"
+
+
+def as_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = {3: lambda x: F.concat(F.lit("# "), x), 5: lambda x: F.lit("```"), 8: lambda x: F.lit(" ~~~ x"), 9: lambda x: F.lit("```"), 12: lambda x: F.concat(F.lit("| "), x, F.lit(" |")), 13: lambda x: F.lit("|-|"), 16: lambda x: F.lit(""), 17: lambda x: F.lit("~~~"), 0: lambda x: F.concat(F.lit("### "), x, F.lit(" ##"))}
+
+    def line(x, i):
+        out = x
+        for k, f in place.items():
+            out = F.when((i + 1) % 19 == k, f(x)).otherwise(out)
+        return out
+
+    rows = table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return rows.select("doc_id", F.array_join(F.transform(F.split(F.replace("text", F.lit(". "), F.lit(".\n")), "\n"), line), "\n").alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE l AS (
+  SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS pos FROM (SELECT doc_id, string_split(regexp_replace(array_to_string(l, chr(10)), '\\n$', ''), chr(10)) AS l FROM ({MARKDOWN}))
+), typed AS (SELECT *, CASE WHEN regexp_matches(line, '^[{WS}]*```') THEN 1 WHEN regexp_matches(line, '^[{WS}]*~~~') THEN 2 END AS mark FROM l),
+m AS (SELECT doc_id, pos, mark, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS n FROM typed WHERE mark IS NOT NULL),
+st AS (
+  SELECT doc_id, pos, n, mark AS after FROM m WHERE n = 1 UNION ALL
+  SELECT m.doc_id, m.pos, m.n, CASE WHEN st.after = 0 THEN m.mark WHEN st.after = m.mark THEN 0 ELSE st.after END FROM st JOIN m ON m.doc_id = st.doc_id AND m.n = st.n + 1
+), b AS (SELECT typed.*, coalesce(last_value(st.after IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM typed LEFT JOIN st USING (doc_id, pos)),
+k AS (SELECT *, CASE WHEN before <> 0 OR mark IS NOT NULL THEN 'code' WHEN regexp_matches(line, '^#{{1,6}}[{WS}]+.+?[{WS}]*#*$') THEN 'heading' WHEN regexp_matches(line, '^[{WS}]*\\|.*\\|[{WS}]*$') THEN 'tabelle' WHEN {stripped("line")} <> '' THEN 'prosa' ELSE '' END AS kind FROM b),
+n AS (SELECT *, CASE WHEN kind = '' THEN 0 WHEN kind = 'code' THEN CAST(before = 0 AS INTEGER) WHEN kind = 'heading' THEN 1 ELSE CAST(kind <> coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY pos), '') AS INTEGER) END AS new FROM k),
+g AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS block FROM n),
+t AS (SELECT *, CASE kind WHEN 'tabelle' THEN regexp_replace(line, '[{WS}]+$', '') WHEN 'heading' THEN {stripped(f"regexp_extract(line, '^(#{{1,6}})[{WS}]+(.+?)[{WS}]*#*$', 2)")} ELSE line END AS shown FROM g WHERE kind <> '')
+SELECT doc_id, CAST(block AS INTEGER) AS block, first(kind) AS kind, CAST(max(CASE WHEN kind = 'heading' THEN length(regexp_extract(line, '^(#+)', 1)) ELSE 0 END) AS INTEGER) AS level,
+       CASE WHEN first(kind) = 'prosa' THEN {stripped("string_agg(shown, chr(10) ORDER BY pos)")} ELSE string_agg(shown, chr(10) ORDER BY pos) END AS text FROM t GROUP BY doc_id, block"""
+)
+def markdown_blocks(spark, sf_dir):
+    """[C1] Blocks of all documents as Markdown, by a scan over lines."""
+    return blocks.blocks(as_markdown(spark, sf_dir), "doc_id", "text")
+
+
 # Index life cycle: documents with an id divisible by 5 are new, by 7 changed, by 11 gone.
 
 STORED = "SELECT doc_id AS id, CAST(doc_id AS VARCHAR) AS path, CASE WHEN doc_id % 7 = 0 THEN sha256('old') ELSE sha256(text) END AS sha256, CAST(doc_id % 9 AS INTEGER) AS chunk_count FROM documents WHERE doc_id % 5 <> 0"

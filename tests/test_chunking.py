@@ -1,5 +1,10 @@
 import pytest
 
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
 from lexhaul.operators import chunking as C
 
 
@@ -73,3 +78,28 @@ def test_documents_and_built_in_sentences_agree(spark):
     for r in C.sentence_rows(df, "doc_id", "text").orderBy("pos").collect():
         got.setdefault(r.doc_id, []).append(r.sentence)
     assert got == {i: C.sentences(t) for i, t in rows if t}
+
+
+def test_prose_chunks_equal_the_walk(spark):
+    r = random.Random(6)
+    word = lambda: "".join(r.choices("abdeilmnorst", k=r.randint(1, 9)))
+    sentence = lambda: " ".join(word() for _ in range(r.randint(1, 40))).capitalize() + r.choice([".", "!", " z.B.", " 3.", ":"])
+    para = lambda: r.choice([" ", "\n", "  "]).join(sentence() for _ in range(r.randint(1, 12)))
+    texts = [r.choice(["", "\n\n", " \r\n"]) + r.choice(["\n\n", "\n \t\n", "\r\n\r\n", "\x0b\n"]).join(para() for _ in range(r.randint(1, 9))) for _ in range(80)] + ["", " ", "\n", None, "x" * 9000, "A. B. C.", "Kurz.\n\n" + "Wort " * 400]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    for target, overlap in ((512, 64), (60, 10), (40, 0), (100, 90)):
+        got = {}
+        for x in C.chunk_prose(df, "doc_id", "text", target, overlap).orderBy("doc_id", "ordinal").collect():
+            got.setdefault(x.doc_id, []).append((x.ordinal, x.text, x.token_count))
+        for i, t in enumerate(texts):
+            assert got.get(i, []) == [(k, p.text, p.tokens) for k, p in enumerate(C.chunk(t or "", target, overlap))], (i, target)
+
+
+def test_the_table_function_equals_the_operator_and_checks_its_arguments(spark):
+    df = spark.createDataFrame([(1, "# A\n\nText."), (2, None), (3, "| a |\n|-|\n| 1 |\n\n```\nx\n```")], "doc_id long, text string")
+    C.register(spark)
+    got = spark.sql("SELECT doc_id, c.* FROM {d} d, LATERAL markdown_chunks(d.text) c", d=df)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, C.chunk_documents(df, "doc_id", "text").select(got.columns).collect()), key=str)
+    for bad in ("1", "text, 0", "text, 64, -1", "text, 'a'"):
+        with pytest.raises(Exception, match="markdown_chunks"):
+            spark.sql(f"SELECT c.* FROM {{d}} d, LATERAL markdown_chunks({bad}) c", d=df.withColumn("text", F.col("text"))).collect()
