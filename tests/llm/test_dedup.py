@@ -180,8 +180,8 @@ def test_a_part_held_by_smaller_ids_does_not_hide_a_repeat(frame):
 
 def test_windows_beyond_the_lead_stay():
     """Extents before and after the minimum: 2 does not fit 1, 3 fits 2 only, and a second window of 1 fits 4 only."""
-    rec = np.array([(*x, 0, 0) for x in [(5, 1, 100, 100, 145), (5, 1, 300, 270, 315), (5, 2, 100, 55, 100), (5, 3, 100, 57, 102), (5, 4, 100, 72, 115)]], windows.ENTRY)
-    kept, _, links = windows.joined(rec, np.zeros(len(rec), np.int64), 46)
+    rec = np.array([(5, d, min(c - l, 45), min(r - c, 45)) for d, c, l, r in [(1, 100, 100, 145), (1, 300, 270, 315), (2, 100, 55, 100), (3, 100, 57, 102), (4, 100, 72, 115)]], windows.ENTRY)
+    kept, links = windows.joined(rec, 46)
     assert {(int(x["a"]), int(x["b"])) for x in links} >= {(2, 3), (1, 4)} and len(kept) > 1
 
 

@@ -31,3 +31,19 @@ def test_recall_of_planted_passages(frame, change, fragment, least):
     got = {r.doc_id for r in windows.repeated_passages(frame(rows)).select("doc_id").collect()}
     assert got <= want
     assert len(got) >= least * len(want)
+
+
+@pytest.mark.parametrize("crowd", [0, 500, 4000])
+def test_a_line_that_many_hold_hides_no_pair(frame, crowd):
+    """Each pair shares a line of 28 words, the same in all pairs and in a crowd of others, and 26 words of its own, one of them changed."""
+    r, fresh = random.Random(9), iter(range(10**9))
+    words = lambda k: [f"q{next(fresh)}" for _ in range(k)]
+    line, rows = words(28), []
+    for t in range(150):
+        own = words(26)
+        other = list(own)
+        other[r.randrange(5, 21)] = f"z{t}"
+        rows += [(10_000 + 2 * t + k, " ".join([*words(40), *line, *x, *words(40)])) for k, x in enumerate((own, other))]
+    rows += [(20_000 + k, " ".join([*words(30), *line, *words(30)])) for k in range(crowd)]
+    got = {x.doc_id for x in windows.repeated_passages(frame(rows)).select("doc_id").collect()}
+    assert got <= set(range(10_000, 10_300)) and len(got) >= (300 if crowd == 0 else 285)
