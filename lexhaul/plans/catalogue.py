@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
-from lexhaul.operators import answering, blocks, chunking, evaluation, index, ranking, resolve, vectors
+from lexhaul.operators import answering, blocks, chunking, evaluation, index, ivf, ranking, resolve, vectors
 from lexhaul.session import shared_folder
 from lexhaul.sources import files
 
@@ -83,6 +83,15 @@ def knn_batch(spark, sf_dir):
     return hits.select("query_id", "rank", "vec_id", r6(F.col("distance")).alias("distance"))
 
 
+@query()
+def ivf_search(spark, sf_dir):
+    """[V3] Approximate nearest ten of every fiftieth vector by inverted lists, with as many lists as a measured recall needs."""
+    e = table(spark, sf_dir, "embeddings")
+    found = ivf.IvfIndex(spark, f"{shared_folder(spark)}/ivf-{uuid.uuid4().hex}")
+    found.build(e)
+    return found.search(e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query")), 10).select("query_id", "rank", F.col("id").alias("vec_id"), r6(F.col("distance")).alias("distance"))
+
+
 @query(f"SELECT vec_id, CAST(i - 1 AS INTEGER) AS pos, round(v[i] / sqrt(list_inner_product(v, v)), 6) AS x FROM (SELECT vec_id, {V.format('embedding')} AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)")
 def l2_normalise(spark, sf_dir):
     """[V9]"""
