@@ -193,6 +193,14 @@ class IndexStore(RunStore):
             self.commit(fresh, chunks, vectors, high, None if rebuild else replaced, rebuild)
         return result
 
+    def forget(self, paths: DataFrame) -> int:
+        """[D5] Deletes the documents of `paths` (a column path) with all they hold; returns how many there were."""
+        now = self.current() or self.fresh()
+        gone = self.kept(self.live("documents", now).join(paths.select("path").distinct(), "path", "left_semi").select(F.col("id").alias("key")), "gone")
+        if n := gone.count():
+            self.append({}, gone)
+        return n
+
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         """`df` written once beside the index, so a lost executor changes neither ids nor counts; vacuum() removes it."""
         path = f"{self.base}/work/{uuid.uuid4().hex}-{name}"
