@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.operators.runs import RunStore, file_system
+from lexhaul.session import shared_folder
 
 SCHEMA_VERSION = 2
 DOCUMENTS = "id long, path string, sha256 string, format string, page_count int, char_count long, ocr_used boolean, chunk_count int, ingested_at timestamp"
@@ -54,22 +55,30 @@ def id_order(path: Column) -> Column:
     return F.substr(F.sha2(path, 256), F.lit(1), F.lit(2))
 
 
-def assign_ids(rows: DataFrame, order: list[str], high_water: int, out: str = "id") -> DataFrame:
-    """[D6] Dense ids above the high-water mark, in order of 256 hash parts of the first column, then of `order`.
+def numbered(rows: DataFrame, order: list[str], start: int = 0, out: str = "id", folder: str | None = None, parts: int | None = None) -> DataFrame:
+    """[D6] Dense numbers from `start` + 1 on, in the order of the columns `order`.
 
-    Each part is numbered on its own and moved by the sizes of those before it (256 numbers), so no task
-    sees all rows, and a second run gives the same ids.
+    Rows are dealt to `parts` ranges of about equal size by sampled bounds and written once to `folder` (default: the
+    shared one); each range is numbered on its own and moved by the sizes of those before it, which are all that the driver sees. So no
+    task sees all rows, and a second run, also with another number of parts, gives the same numbers if `order` is unique.
     """
-    part = id_order(F.col(order[0]))
-    sizes = {r["p"]: r["n"] for r in rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    moved, at = [], high_water
-    for p in sorted(sizes):
-        moved += [F.lit(p), F.lit(at)]
-        at += sizes[p]
-    if not moved:
-        return rows.withColumn(out, F.lit(None).cast("long"))
-    own = Window.partitionBy("_part").orderBy(*order)
-    return rows.withColumn("_part", part).withColumn(out, F.element_at(F.create_map(*moved), F.col("_part")).cast("long") + F.row_number().over(own)).drop("_part")
+    spark = rows.sparkSession
+    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{folder or shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    dealt.write.parquet(path)
+    held = spark.read.schema(dealt.schema).parquet(path)
+    at, moved = start, []
+    for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
+        moved += [F.lit(r["_part"]), F.lit(at).cast("long")]
+        at += r["n"]
+    before = F.element_at(F.create_map(*moved), F.col("_part")) if moved else F.lit(None).cast("long")
+    return held.withColumn(out, (before + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast("long")).drop("_part")
+
+
+def assign_ids(rows: DataFrame, order: list[str], high_water: int, out: str = "id", folder: str | None = None, parts: int | None = None) -> DataFrame:
+    """[D6] Dense ids above the high-water mark, in order of the first two hash digits of the first column, then of `order`; see numbered()."""
+    return numbered(rows.withColumn("_hash", id_order(F.col(order[0]))), ["_hash", *order], high_water, out, folder, parts).drop("_hash")
 
 
 def stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -179,15 +188,15 @@ class IndexStore(RunStore):
         result = self.kept(ingest_status(listing, old_docs, force), "result")
         columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
         fresh = work.join(counts, "path").select("path", "sha256", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.lit(1).alias("page_count"), F.length("text").cast("long").alias("char_count"), F.lit(False).alias("ocr_used"), F.col("n_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
-        fresh = self.kept(assign_ids(fresh, ["path"], marks["documents"]).select(*columns), "fresh")
+        fresh = assign_ids(fresh, ["path"], marks["documents"], folder=f"{self.base}/work").select(*columns)
         replaced = old_docs.join(fresh.select("path"), "path", "left_semi").select(F.col("id").alias("key"))
         if prune_against is not None:
             replaced = replaced.union(missing(old_docs.join(fresh.select("path"), "path", "left_anti"), prune_against).select("id"))
         replaced = self.kept(replaced, "replaced")
         n_new, failed = fresh.count(), not accept and not result.filter(F.col("status") == FAILED).isEmpty()
         if not failed and (rebuild or n_new or not replaced.isEmpty()):
-            chunks = assign_ids(pieces.join(fresh.select("path", F.col("id").alias("document_id")), "path"), ["path", "ordinal"], marks["chunks"])
-            chunks = self.kept(chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")]), "chunks")
+            chunks = assign_ids(pieces.join(fresh.select("path", F.col("id").alias("document_id")), "path"), ["path", "ordinal"], marks["chunks"], folder=f"{self.base}/work")
+            chunks = chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")])
             vectors = chunks.select(F.col("id").alias("chunk_id"), embed(embed_text(F.col("text"), F.col("heading_path"))).cast("array<float>").alias("embedding"))
             high = {"documents": marks["documents"] + n_new, "chunks": marks["chunks"] + chunks.count()}
             self.commit(fresh, chunks, vectors, high, None if rebuild else replaced, rebuild)

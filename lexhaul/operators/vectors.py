@@ -71,9 +71,9 @@ def stacked(vectors: list, dim: int | None = None) -> np.ndarray:
 def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "query_id", query_col: str = "query", block: int = 2000, rows_per_block: int = 200_000) -> DataFrame:
     """[V2, V8, J7] query_id, id, distance, rank of the k nearest rows of each query by cosine distance, ties by id.
 
-    Up to `block` queries, counted, go to all tasks. More are dealt to blocks, as the rows are to blocks of about
-    `rows_per_block`, and every block of queries meets every block of rows in a task of its own, so neither the driver nor a
-    task holds more than one block of each. In both ways a task multiplies rows and queries as matrices and keeps
+    Up to `block` queries, counted, go to all tasks. Else the rows are dealt once, to parts of about `rows_per_block`,
+    and only the queries are copied, to each part, where they pass by the part's rows in blocks; so neither the driver nor a
+    task holds more than one part and one block. In both ways a task multiplies rows and queries as matrices and keeps
     the best k for each query, so what is shuffled on is at most k rows for each query and task; a window ranks
     those. Zero vectors, nulls and wrong lengths have no distance.
     """
@@ -100,18 +100,26 @@ def knn_batch(vectors: DataFrame, queries: DataFrame, k: int, id_col: str = "vec
         dims = asked.agg(F.min(F.size("_v")).alias("a"), F.max(F.size("_v")).alias("b")).first()
         if dims["a"] != dims["b"]:
             raise ValueError("queries differ in dimension")
-        many, parts = -(-n // block), max(1, -(-vectors.count() // rows_per_block))
-        dealt = lambda df, own, size, other, count: df.withColumns({own: F.pmod(F.xxhash64("_q"), F.lit(size)).cast("int"), other: F.explode(F.sequence(F.lit(0), F.lit(count - 1)))})
-
-        def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-            if not right.num_rows or not left.num_rows:
-                return arrow.empty_table()
-            best = Nearest(right["_q"].to_pylist(), stacked(right["_v"].to_pylist()), k, arrow.field(1).type)
-            for b in left.to_batches(8192):
-                best.add(b["_q"], b["_v"])
-            return best.rows(arrow)
-
-        out = dealt(rows, "_p", parts, "_b", many).groupBy("_b", "_p").cogroup(dealt(asked, "_b", many, "_p", parts).groupBy("_b", "_p")).applyInArrow(meet, shape)
+        parts = max(1, -(-vectors.count() // rows_per_block))
+        sides = rows.select("_q", F.lit(None).cast(q_type).alias("_a"), F.col("_v").cast("array<double>").alias("_v"), F.lit(0).alias("_side"), F.pmod(F.xxhash64("_q", "_v"), F.lit(parts)).cast("int").alias("_p"))
+        asking = asked.select(F.lit(None).cast(id_type).alias("_q"), F.col("_q").alias("_a"), "_v", F.lit(1).alias("_side"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_p"))
+
+        def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[pa.RecordBatch] = []
+            for b in batches:
+                side = b.column(3).to_numpy()
+                first = int(np.searchsorted(side, 1))  # rows come before queries
+                if first:
+                    held.append(b.slice(0, first))
+                for at in range(first, b.num_rows, block):
+                    some = b.slice(at, block)
+                    best = Nearest(some.column(1).to_pylist(), stacked(some.column(2).to_pylist()), k, arrow.field(1).type)
+                    for r in held:
+                        best.add(r.column(0), r.column(2))
+                    yield from best.rows(arrow).to_batches()
+
+        dealt = sides.unionByName(asking).repartitionById(parts, F.col("_p")).sortWithinPartitions("_side")
+        out = dealt.select("_q", "_a", "_v", "_side").mapInArrow(meet, shape)
     rank = F.row_number().over(Window.partitionBy(query_id).orderBy("distance", id_col))
     return out.withColumn("rank", rank).filter(F.col("rank") <= k)
 

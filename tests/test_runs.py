@@ -180,3 +180,14 @@ def test_a_vector_table_replaces_deletes_and_adds_again(spark, tmp_path):
         t.add(rows((3, [1.0, 0.0]), (3, [0.0, 1.0])))
     t.drop()
     assert t.count() == 0
+
+
+def test_numbers_are_dense_and_do_not_depend_on_the_parts(spark):
+    rows = spark.createDataFrame([(f"p{k % 37:02d}", k // 37) for k in range(500)], "path string, n int").repartition(5)
+    want = sorted((r.path, r.n) for r in rows.collect())
+    for parts in (1, 3, 40, None):
+        got = {(r.path, r.n): r.id for r in index.numbered(rows, ["path", "n"], 10, parts=parts).collect()}
+        assert [got[x] for x in want] == list(range(11, 511))
+    ids = [sorted((r.path, r.n, r.id) for r in index.assign_ids(rows, ["path", "n"], 7, parts=p).collect()) for p in (2, 9)]
+    assert ids[0] == ids[1] and sorted(x[2] for x in ids[0]) == list(range(8, 508))
+    assert index.numbered(rows.limit(0), ["path"], 3).count() == 0

@@ -2,6 +2,7 @@
 
 import contextlib
 import io
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -90,4 +91,5 @@ def test_many_queries_meet_all_rows_in_blocks(spark):
     q = v.filter("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as query")
     rows = lambda df: sorted((x.query_id, x["rank"], x.vec_id, round(x.distance, 6)) for x in df.collect())
     whole, blocks = vectors.knn_batch(v, q, 4), vectors.knn_batch(v, q, 4, block=3, rows_per_block=10)
-    assert rows(whole) == rows(blocks) and "CoGroup" in plan(blocks) and "Cartesian" not in plan(blocks)
+    assert rows(whole) == rows(blocks) and "Cartesian" not in plan(blocks)
+    assert len(re.findall(r"^\(\d+\) Generate", plan(blocks), re.M)) == 2  # in the first and the final plan: only queries are copied
