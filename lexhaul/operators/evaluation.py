@@ -5,14 +5,15 @@ hits: question_id, pos, score, correct. questions: question_id, typ.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The threshold grid and the answerable question types.
 GRID = (0.0, 0.001, 0.002, 0.005, 0.01, 0.02, 0.03, 0.05, 0.08, 0.12, 0.2, 0.3, 0.5)
 ANSWERABLE = ("eindeutig", "mehrdeutig")
-#: Inner words of a passage by which documents that may contain it are found.
-GRAM = 4
 
 
 def answerable(typ: Column) -> Column:
@@ -31,38 +32,58 @@ def load_gold(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-def gold_from_passages(items: DataFrame, docs: DataFrame) -> DataFrame:
+def passages_in(docs: DataFrame, passages: dict[int, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, passage: each document with the number of each passage that it contains, by one walk over its text.
+
+    All passages form one automaton, which each task builds once from a broadcast; what a task holds beside it is one batch of texts.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(passages)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
+
+        machine = Automaton()
+        for number, text in held.value.items():
+            machine.add_word(text, number)
+        machine.make_automaton()
+        for b in batches:
+            rows, found = [], []
+            for k, text in enumerate(b.column(1)):
+                own = {n for _, n in machine.iter(text.as_py() or "")}
+                rows += [k] * len(own)
+                found += own
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows, pa.int64())), pa.array(found, pa.int64())], [id_col, "passage"])
+
+    return docs.select(id_col, text_col).mapInArrow(walk, f"{id_col} {kind}, passage long")
+
+
+def gold_from_passages(items: DataFrame, docs: DataFrame, most_chars: int = 20_000_000) -> DataFrame:
     """Questions whose expected documents are those that contain the item's text: question_id, dokumente, typ.
 
-    A document that contains a passage has all its inner words, those between the first and the last, in the
-    same order. So documents and passages meet by a hash of the first GRAM inner words, of the longest one where there are
-    fewer, and only those that share it are compared. A passage of one or two words has no inner word and is
-    compared with every document.
+    Distinct passages are numbered and sent to the tasks in automata of at most `most_chars` characters, or of one passage that is
+    longer; each automaton is one scan of the documents, whatever its passages look like. Items with null or empty text have no document.
     """
-    words = lambda c: F.split(c, r"\s+")
-    held = items.select("item_id", F.col("text").alias("passage")).filter("passage IS NOT NULL AND passage <> ''")
-    held = held.withColumn("w", words(F.col("passage"))).withColumn("inner", F.size("w") - 2)
-    inner = F.slice("w", 2, F.greatest(F.col("inner"), F.lit(0)))
-    longest = F.element_at(F.array_sort(F.transform(inner, lambda x: F.struct((-F.char_length(x)).alias("n"), x.alias("x")))), 1)["x"]
-    gram = F.when(F.col("inner") >= GRAM, F.xxhash64(F.array_join(F.slice("w", 2, GRAM), " "))).when(F.col("inner") > 0, F.xxhash64(longest))
+    kept = items.filter("text IS NOT NULL AND text <> ''").select("text").distinct()
+    total = kept.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)).alias("n")).first()["n"]
+    groups = max(1, -(-2 * total // most_chars))  # twice as many as needed on average, so that hardly any is too large
     found = None
-    for long, size in ((F.col("inner") >= GRAM, GRAM), (F.col("inner").between(1, GRAM - 1), 1)):
-        own = held.filter(long).select("item_id", "passage", gram.alias("gram"))
-        if (n := own.count()) == 0:
-            continue
-        run = F.lit(size)
-        grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - run + 1), lambda i: F.xxhash64(F.array_join(F.slice("w", i, run), " "))))  # noqa: B023
-        seen = docs.select("doc_id", words(F.col("text")).alias("w")).filter(F.size("w") >= size).select("doc_id", F.explode(grams).alias("gram"))
-        anchors = own.select("item_id", "gram")
-        near = seen.join(F.broadcast(anchors) if n <= 200_000 else anchors, "gram").select("doc_id", "item_id").distinct()
-        met = near.join(own.drop("gram"), "item_id").join(docs.select("doc_id", "text"), "doc_id").filter(F.contains("text", F.col("passage"))).select("item_id", "doc_id")
-        found = met if found is None else found.unionByName(met)
-    tiny = held.filter(F.col("inner") <= 0)
-    if found is None or not tiny.isEmpty():
-        met = docs.join(tiny, F.contains(docs["text"], F.col("passage"))).select("item_id", "doc_id")
-        found = met if found is None else found.unionByName(met)
-    pairs = found.groupBy("item_id").agg(F.sort_array(F.collect_set("doc_id")).alias("dokumente"))
-    out = items.select("item_id").join(pairs, "item_id", "left").withColumn("n", F.coalesce(F.size("dokumente"), F.lit(0)))
+    for g in range(groups):
+        share = kept if groups == 1 else kept.filter(F.pmod(F.xxhash64("text"), F.lit(groups)) == g)
+        texts = sorted(r["text"] for r in share.collect())
+        while texts:
+            size, n = 0, 0
+            while n < len(texts) and (not n or size + len(texts[n]) <= most_chars):
+                size, n = size + len(texts[n]), n + 1
+            part, texts = dict(enumerate(texts[:n])), texts[n:]
+            names = docs.sparkSession.createDataFrame([(k, t) for k, t in part.items()], "passage long, text string")
+            met = passages_in(docs, part).join(names, "passage").select("text", "doc_id")
+            found = met if found is None else found.unionByName(met)
+    if found is None:
+        found = docs.select(F.lit("").alias("text"), "doc_id").limit(0)
+    # numbers of documents for each text, then once for each item
+    lists = found.groupBy("text").agg(F.sort_array(F.collect_set("doc_id")).alias("dokumente"))
+    out = items.select("item_id", "text").join(lists, "text", "left")
     typ = F.when(F.col("dokumente").isNull(), "ohne_antwort").when(F.size("dokumente") == 1, "eindeutig").otherwise("mehrdeutig")
     return out.select(F.col("item_id").alias("question_id"), F.coalesce("dokumente", F.array().cast("array<bigint>")).alias("dokumente"), typ.alias("typ"))
 
