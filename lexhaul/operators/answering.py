@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
 from lexhaul.operators import ranking, vectors
+from lexhaul.session import shared_folder
 
 
 @dataclass(frozen=True)
@@ -62,9 +64,12 @@ def ask(index: DataFrame, questions: DataFrame, generate: Callable[[Column, Colu
 
     One row for each question: query_id, question, answer, n_sources, dropped, chunk_ids, cited, uncited. A question
     without a hit keeps its row, without an answer. generate: question and rendered sources to an answer; the longest text a
-    task gathers is that of one context.
+    task gathers is that of one context. The few hits are written once to the shared folder, as what follows reads them three times.
     """
-    kept = ranking.build_sources(retrieve(index, questions, **how), context_tokens)
+    spark, hits = index.sparkSession, retrieve(index, questions, **how)
+    at = f"{shared_folder(spark)}/hits-{uuid.uuid4().hex}"
+    hits.write.parquet(at)
+    kept = ranking.build_sources(spark.read.schema(hits.schema).parquet(at), context_tokens)
     rendered = F.struct("number", T.render_source(F.col("number"), F.col("citation"), F.col("text")).alias("source"), "chunk_id")
     found = kept.groupBy("query_id").agg(F.array_sort(F.collect_list(rendered)).alias("s"), F.first("dropped").alias("dropped"))
     rows = questions.select("query_id", "question").join(found, "query_id", "left").withColumn("s", F.coalesce("s", F.array().cast("array<struct<number:int,source:string,chunk_id:bigint>>")))
