@@ -100,6 +100,11 @@ def cited_numbers(answer: Column) -> Column:
     return F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(answer, F.lit(r"\[(\d{1,9})\]"), 1), lambda x: x.cast("int"))))
 
 
+def cited_sources(answer: Column) -> Column:
+    """[E9] How many different sources an answer cites."""
+    return F.size(cited_numbers(answer))
+
+
 def uncited(numbers: Column, answer: Column) -> Column:
     """Source numbers that an answer does not cite."""
     return let(cited_numbers(answer), lambda c: F.filter(numbers, lambda n: ~F.array_contains(c, n)))

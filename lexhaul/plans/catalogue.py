@@ -443,6 +443,26 @@ def document_pages(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(T.document_text(pages), 256).alias("text_sha256"), T.char_count(pages).cast("long").alias("chars"), r6(T.ocr_ratio(scans)).alias("ocr_ratio"))
 
 
+READ = "'gelesen ' || number || chr(10) || CASE WHEN number % 4 = 0 THEN '' ELSE left(page, 20) END"
+
+
+@query(
+    f"""WITH {PAGE}, r AS (SELECT *, CASE WHEN status = 'scan' THEN {READ} ELSE page END AS seen FROM st),
+d AS (SELECT doc_id, count(*) AS page_count, count(*) FILTER (status = 'scan') AS pages_read, CAST(sum(length(s)) AS BIGINT) AS char_count, count(*) FILTER (status = 'sparse') AS sparse, coalesce(string_agg(seen, chr(10) || chr(10) ORDER BY number) FILTER ({stripped("seen")} <> ''), '') AS text FROM r GROUP BY doc_id)
+SELECT doc_id, page_count, pages_read, pages_read > 0 AS ocr_used, char_count, sha256(text) AS text_sha256, CAST((sparse > 0) AS INTEGER) + CAST((char_count > 500 AND length(text) < char_count * 0.5) AS INTEGER) AS n_warnings FROM d"""
+)
+def page_routing(spark, sf_dir):
+    """[S9, P2] Lines of all documents as pages; only scans reach the reader, a stand-in that sees the number and a part of the text."""
+
+    def read(frames):
+        for f in frames:
+            f["text"] = ["gelesen " + str(n) + "\n" + ("" if n % 4 == 0 else t[:20]) for n, t in zip(f["number"], f["text"], strict=True)]
+            yield f
+
+    out = files.convert_pages(lines_as_pages(spark, sf_dir), read, key="doc_id")
+    return out.select("doc_id", "page_count", "pages_read", "ocr_used", "char_count", F.sha2("text", 256).alias("text_sha256"), F.size("warnings").alias("n_warnings"))
+
+
 # Ranking
 
 SCORE = "round(1 / (1 + exp(-(8 * (1 - d) - (vec_id % 5)))), 9)"
@@ -561,6 +581,15 @@ def answer_check(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.admitted_ignorance(t).alias("ignorance"), T.contains_all(t, needles).alias("has_all"), T.answered_correctly(t, needles).alias("correct"))
 
 
+@query(f"WITH a AS (SELECT conv_id, turn, {ANSWER} || ' [' || (turn % 4) || '][' || (conv_id % 3) || ']' AS t FROM conversations) SELECT conv_id, CAST(count(*) FILTER (contains(t, '14 Tage') AND NOT ({LIKE})) AS BIGINT) AS correct, CAST(sum(len(list_distinct(regexp_extract_all(t, '\\[(\\d{{1,9}})\\]', 1)))) AS BIGINT) AS cited_sources FROM a GROUP BY conv_id")
+def answer_report(spark, sf_dir):
+    """[E9] Correct answers and cited sources of each conversation."""
+    m = F.col("turn") % 3
+    t = F.concat(F.col("text"), F.when(m == 0, " Das steht NICHT in den Quellen.").when(m == 1, " Es sind 14 Tage.").otherwise(""), F.lit(" ["), (F.col("turn") % 4).cast("string"), F.lit("]["), (F.col("conv_id") % 3).cast("string"), F.lit("]"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", T.answered_correctly(t, F.array(F.lit("14 Tage"))).alias("ok"), T.cited_sources(t).alias("n"))
+    return rows.groupBy("conv_id").agg(F.count_if("ok").alias("correct"), F.sum("n").alias("cited_sources"))
+
+
 # Evaluation
 
 GOLD = "SELECT b.item_id AS question_id, coalesce(list_sort(list(DISTINCT d.doc_id) FILTER (d.doc_id IS NOT NULL)), []) AS docs FROM benchmark b LEFT JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id"

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.resource import ResourceProfile
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
@@ -148,3 +149,30 @@ def inspect(pages: DataFrame) -> DataFrame:
     out = rows.groupBy("path").agg(F.count(F.lit(1)).alias("pages"), F.count_if(F.col("status") == "scan").alias("scans"), F.coalesce(F.sum(F.char_length(T.strip(F.col("text")))), F.lit(0)).alias("chars"))
     return out.withColumn("ocr_ratio", F.col("scans") / F.col("pages"))
 
+
+#: A text that is shorter than this share of what the pages held before, if they held so many characters, has probably lost something.
+LEAST_SHARE, ENOUGH_CHARS = 0.5, 500
+
+
+def convert_pages(pages: DataFrame, read: Callable[[Iterator], Iterator], ocr: bool | None = None, profile: ResourceProfile | None = None, key: str = "path") -> DataFrame:
+    """[S9, P2] One row for each document of `pages` (path, number, text, image_pixels): path, text, page_count, pages_read, ocr_used, char_count, warnings.
+
+    read turns data frames of path, number, text, which hold pages, into the same with the text that it sees; it runs on scans alone, so
+    documents without one cost nothing, with a resource profile of its own if one is given (say, executors with a GPU). With `ocr` false
+    no page is read, with true every page. Read pages come back to the others by their document and stand in order of
+    their numbers; blank ones are left out. Warnings name pages without text and image, and a loss: of more than ENOUGH_CHARS characters less than
+    LEAST_SHARE is left. A page that is not returned keeps the text that it had. Numbers are unique in a document; null texts count as empty.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = pages.select(F.col(key).alias("path"), F.col("number").cast("long").alias("number"), text.alias("text"), F.coalesce("image_pixels", F.lit(0)).cast("long").alias("image_pixels"))
+    rows = rows.withColumn("status", T.page_status(F.col("text"), F.col("image_pixels")))
+    kind = rows.schema["path"].dataType.simpleString()
+    asked = rows.filter(F.lit(bool(ocr)) if ocr is not None else F.col("status") == "scan").select("path", "number", "text")
+    seen = asked.mapInPandas(read, f"path {kind}, number long, text string", profile=profile)
+    known = rows.select("path", "number", "text", "status", F.lit(False).alias("read")).unionByName(seen.select("path", "number", "text", F.lit(None).cast("string").alias("status"), F.lit(True).alias("read")))
+    one = known.groupBy("path", "number").agg(F.max_by("text", "read").alias("text"), F.max("status").alias("status"), F.max("read").alias("read"), F.max(F.when(~F.col("read"), F.char_length(T.strip(F.col("text"))))).alias("chars"))
+    own = F.transform(F.array_sort(F.collect_list(F.struct("number", "text"))), lambda x: F.coalesce(x["text"], F.lit("")))
+    out = one.groupBy("path").agg(T.document_text(own).alias("text"), F.count(F.lit(1)).alias("page_count"), F.count_if("read").alias("pages_read"), F.sum("chars").alias("char_count"), F.count_if(F.col("status") == "sparse").alias("_sparse"))
+    lost = (F.col("char_count") > ENOUGH_CHARS) & (F.char_length("text") < F.col("char_count") * LEAST_SHARE)
+    warnings = F.filter(F.array(F.when(F.col("_sparse") > 0, F.concat(F.col("_sparse").cast("string"), F.lit(" pages without text and image"))), F.when(lost, F.concat(F.char_length("text").cast("string"), F.lit(" characters left of "), F.col("char_count").cast("string")))), lambda w: w.isNotNull())
+    return out.select(F.col("path").alias(key), "text", "page_count", "pages_read", (F.col("pages_read") > 0).alias("ocr_used"), "char_count", warnings.alias("warnings"))
