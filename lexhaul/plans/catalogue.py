@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
-from lexhaul.operators import answering, blocks, chunking, evaluation, index, ivf, ranking, resolve, vectors
+from lexhaul.operators import answering, blocks, chunking, engines, evaluation, index, ivf, ranking, resolve, vectors
 from lexhaul.session import shared_folder
 from lexhaul.sources import files
 
@@ -164,6 +166,18 @@ def prefix_embed(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(v).alias("pos", "x")).select("doc_id", "pos", r6(F.col("x")).alias("x"))
 
 
+def load_hashing():
+    """The stand-in embedder as a model that a worker loads."""
+    return lambda texts: np.array([[b / 255 + 0.01 for b in hashlib.sha256(t.encode()).digest()[:8]] for t in texts])
+
+
+@query(ORACLES["prefix_embed"])
+def engine_embed(spark, sf_dir):
+    """[M8] The same passages through a batched engine: loaded once a worker, windows sorted by length, batches cut by tokens."""
+    v = engines.embedder(engines.Engine("hashing", load_hashing), 8).encode(F.concat(F.lit("passage: "), F.col("text")))
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(v).alias("pos", "x")).select("doc_id", "pos", r6(F.col("x")).alias("x"))
+
+
 @query(f"SELECT doc_id, {TOKENS.format('text')} AS tokens FROM documents WHERE {TOKENS.format('text')} > CAST(floor(least(512, 8192) * 0.95::DOUBLE) AS INTEGER)")
 def overlong(spark, sf_dir):
     """[P6] Texts over 95 % of the smaller of the configured and the engine's limit."""
@@ -533,6 +547,27 @@ def ask(spark, sf_dir):
     return found.select("query_id", "n_sources", "dropped", join("chunk_ids").alias("chunk_ids"), join("cited").alias("cited"))
 
 
+def load_pair_lengths():
+    """A stand-in cross-encoder: one number for each pair, from the lengths of both texts."""
+    return lambda questions, passages: np.array([[(len(q) * 7 + len(p)) % 50 / 10 - 2] for q, p in zip(questions, passages)])
+
+
+@query(
+    f"""WITH k AS ({KNN}), near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) AS n FROM k JOIN documents ON doc_id = vec_id) WHERE n <= 30),
+s AS (SELECT *, 1 / (1 + exp(-((length('Frage ' || query_id) * 7 + length(text)) % 50 / 10.0::DOUBLE - 2))) AS score FROM near),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, d, vec_id) AS pos FROM s)
+SELECT query_id, CAST(pos AS INTEGER) AS pos, vec_id AS chunk_id, round(score, 6) AS score FROM r WHERE pos <= 5 AND (pos = 1 OR score >= 0.7)"""
+)
+def engine_rerank(spark, sf_dir):
+    """[R8] Two stages with a batched cross-encoder: thirty nearest, best five from 0.7 on."""
+    e, docs = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents")
+    held = e.join(docs, e["vec_id"] == docs["doc_id"]).select(F.col("vec_id").alias("chunk_id"), "text", F.concat(F.col("vec_id").cast("string"), F.lit(".txt")).alias("citation"), "embedding")
+    asked = probes(spark, sf_dir).withColumn("question", F.concat(F.lit("Frage "), F.col("query_id").cast("string")))
+    model = engines.cross_encoder(engines.Engine("pair lengths", load_pair_lengths))
+    rounded = answering.CrossEncoder(model.name, lambda q, p: F.round(model.predict(q, p), 9))
+    return answering.retrieve(held, asked, 5, rounded, 0.7).select("query_id", "pos", "chunk_id", r6(F.col("score")).alias("score"))
+
+
 REPLY = "CASE turn % 4 WHEN 0 THEN '  quellen_reichen' || chr(10) WHEN 1 THEN '   ' WHEN 2 THEN 'Suche ' || role || ' ' ELSE 'QUELLEN_REICHEN.' END"
 
 
