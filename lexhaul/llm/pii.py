@@ -5,25 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexhaul.functions.text import let
 from lexhaul.llm.common import Scratch, broadcast_if
 
 # What counts as a title and a given name, and their genders. m male, f female, by script.
-TITLES = {"m": ["Mr", "Herr", "Señor", "Sr", "Monsieur", "Sir", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа"], "n": ["Dr", "Prof"]}
+TITLES = {"m": ["Mr", "Herr", "Herrn", "Señor", "Sr", "Monsieur", "Sir", "г-н"], "f": ["Mrs", "Ms", "Miss", "Frau", "Señora", "Sra", "Madame", "Mme", "г-жа"], "n": ["Dr", "Prof"]}
 GIVEN = {
     ("latin", "m"): ["James", "John", "Robert", "Michael", "William", "David", "Thomas", "Daniel", "Peter", "Hans", "Klaus", "Stefan", "Pierre", "Jean", "Carlos", "Juan"],
     ("latin", "f"): ["Mary", "Patricia", "Jennifer", "Linda", "Elizabeth", "Susan", "Sarah", "Anna", "Julia", "Petra", "Sabine", "Marie", "Claire", "Maria", "Carmen", "Lucia"],
     ("cyrillic", "m"): ["Иван", "Дмитрий", "Сергей", "Алексей", "Николай", "Пётр", "Михаил", "Андрей"],
     ("cyrillic", "f"): ["Анна", "Мария", "Елена", "Ольга", "Наталья", "Ирина", "Татьяна", "Светлана"],
+    ("greek", "m"): ["Γιώργος", "Νίκος", "Κώστας", "Δημήτρης", "Γιάννης", "Παναγιώτης", "Μιχάλης", "Στέλιος"],
+    ("greek", "f"): ["Μαρία", "Ελένη", "Κατερίνα", "Αγγελική", "Σοφία", "Γεωργία", "Ειρήνη", "Βασιλική"],
 }
+#: What stands before a surname and belongs to it.
+PARTICLES = ["von", "van", "der", "den", "de", "del", "della", "di", "da", "dos", "du", "la", "ter", "ten", "bin", "ibn"]
 #: What a person's name follows when it is introduced, whatever the name.
 CUES = ["my name is", "My name is", "Name is", "ich heiße", "Ich heiße", "ein Name ist", "m'appelle", "me llamo", "Me llamo", "i nombre es", "еня зовут", "Name:", "Nom:", "Nombre:", "Имя:", "Contact:", "Kontakt:", "Signed,", "Regards,"]
-SYLLABLES = {"latin": ["ba", "den", "fo", "gar", "hel", "ka", "lin", "mor", "ne", "ros", "sal", "ter", "ul", "ven", "wi", "zan"], "cyrillic": ["ба", "ден", "во", "гор", "ле", "ка", "лин", "мор", "не", "рос", "сал", "тер", "ул", "вен", "ви", "зан"]}
+SYLLABLES = {
+    "latin": ["ba", "den", "fo", "gar", "hel", "ka", "lin", "mor", "ne", "ros", "sal", "ter", "ul", "ven", "wi", "zan"],
+    "cyrillic": ["ба", "ден", "во", "гор", "ле", "ка", "лин", "мор", "не", "рос", "сал", "тер", "ул", "вен", "ви", "зан"],
+    "greek": ["βα", "δεν", "φο", "γαρ", "ελ", "κα", "λιν", "μορ", "νε", "ρο", "σαλ", "τερ", "ου", "βεν", "πι", "ζαν"],
+}
+#: Letters of surrogates by script, one for each hexadecimal digit.
+ALPHABETS = {"latin": "abdefgiklmnoprst", "cyrillic": "абвгдежзиклмнопр", "greek": "αβγδεζηθικλμνξοπ"}
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-CAPITALISED = r"\p{Lu}[\p{Ll}'-]{1,30}"
+#: A capitalised word with inner capitals, hyphens and apostrophes, without a genitive's `'s`; with particles before it; given names.
+WORD = r"\p{Lu}(?:(?!['’]s(?!\p{L}))['’-]?[\p{L}\p{M}])++(?![\p{N}_])"
+SURNAME = rf"(?:(?i:{'|'.join(PARTICLES)}) ){{0,3}}{WORD}"
+KNOWN = "|".join(n for g in GIVEN.values() for n in [*g, *(x.upper() for x in g)])
+FIRST = rf"(?:\p{{Lu}}[\p{{L}}\p{{M}}]*+-)?(?:{KNOWN})(?:-[\p{{L}}\p{{M}}]++)*+"
+TITLED = rf"(?:(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? )++"
+MAIL = r"[\p{L}\p{M}\p{N}_.%+-]"
 SECRET_NAME = r"(?i:password|passwd|pwd|secret|token|api[_-]?key)"
 PATTERNS = {
-    "email": r"(?<![\w.%+-])[\w.%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "email": rf"(?<!{MAIL}){MAIL}++@(?:[\p{{L}}\p{{M}}\p{{N}}-]{{1,63}}\.){{1,126}}\p{{L}}{{2,}}",
     "secret": rf"(?<!\w){SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?[A-Za-z0-9+/_.~-]{{8,}}+",
     "cloud_key": r"(?<!\w)(?:AKIA|ASIA)[0-9A-Z]{16}(?!\w)",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
@@ -31,21 +48,35 @@ PATTERNS = {
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w+])\d(?:[ -]?\d){12,18}(?![\w-])",
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)|(?<![\w+])\+\d{1,3}(?:[ .-]?\d){7,12}(?!\w)",
-    "name": rf"(?<!\w)(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? {CAPITALISED}(?: {CAPITALISED})?|(?<!\w)(?:{'|'.join(n for g in GIVEN.values() for n in g)}) {CAPITALISED}(?!\w)|(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)}) ){CAPITALISED} {CAPITALISED}(?!\w)",
+    "name": rf"(?<![\p{{L}}\p{{N}}_]){TITLED}(?:{FIRST} (?:\p{{Lu}}\. )?{SURNAME}|{SURNAME}(?: {SURNAME})?)|(?<![\p{{L}}\p{{N}}_]){FIRST} (?:\p{{Lu}}\. )?{SURNAME}|(?=\p{{Lu}})(?<=(?:{'|'.join(CUES)}) ){SURNAME} {SURNAME}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 #: A text without one of these characters or words holds no entity; a cheaper search for most texts.
-HINT = rf"[@=:]|\d{{3}}|\d\.\d|\d[ -]\d|AKIA|ASIA|(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? \p{{Lu}}|{'|'.join(n for g in GIVEN.values() for n in g)}|(?:{'|'.join(CUES)}) \p{{Lu}}"
+HINT = rf"[@=:]|\d{{3}}|\d\.\d|\d[ -]\d|[A-Z]{{2}}\d\d|AKIA|ASIA|(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? \p{{L}}|(?:{KNOWN})[ -]|(?:{'|'.join(CUES)}) \p{{L}}"
 #: Put around entities to cut a text into them and what is between; texts that hold it are cut in another way.
 MARK = "\ue0f5"
 
 
+def pieces(text: Column, pattern: Column) -> Column:
+    """A text in pieces, every second of which matches. One pass of the pattern, unless the text holds MARK."""
+    marked = F.split(F.regexp_replace(text, pattern, F.lit(f"{MARK}$0{MARK}")), MARK)
+    apart = F.flatten(F.zip_with(F.split(text, pattern), F.regexp_extract_all(text, pattern, 0), lambda p, e: F.array(p, e)))
+    return F.when(F.contains(text, F.lit(MARK)), F.filter(apart, lambda x: x.isNotNull())).otherwise(marked)
+
+
 def cut(text: Column) -> Column:
-    """A text in pieces, every second of which is an entity; null if there is none. One pass of the pattern, unless the text holds MARK."""
-    marked = F.split(F.regexp_replace(text, F.lit(f"(?:{ANY})"), F.lit(f"{MARK}$0{MARK}")), MARK)
-    apart = F.flatten(F.zip_with(F.split(text, ANY), F.regexp_extract_all(text, F.lit(ANY), 0), lambda p, e: F.array(p, e)))
-    pieces = F.when(F.contains(text, F.lit(MARK)), F.filter(apart, lambda x: x.isNotNull())).otherwise(marked)
-    return F.when(F.regexp_like(text, F.lit(HINT)), pieces)
+    """A text in pieces, every second of which is an entity; null if there is none."""
+    return F.when(F.regexp_like(text, F.lit(HINT)), pieces(text, F.lit(f"(?:{ANY})")))
+
+
+def with_surnames(p: Column) -> Column:
+    """Pieces of `cut`, in which the names without titles and the surnames of the people found are entities wherever they stand."""
+    named = F.filter(p, lambda x, i: (i % 2 == 1) & F.regexp_like(x, F.lit(f"^(?:{PATTERNS['name']})$|^{FIRST} |^{SURNAME} {SURNAME}$")))
+    ends = F.array_distinct(F.flatten(F.transform(named, lambda x: F.array(F.replace(F.regexp_replace(x, TITLE, ""), F.lit("."), F.lit("[.]")), F.regexp_extract(x, f"({SURNAME})$", 1), F.substring_index(x, " ", -1)))))
+    longest = F.array_sort(F.filter(ends, lambda x: F.char_length(x) > 2), lambda a, b: F.char_length(b) - F.char_length(a))
+    alone = lambda names: F.concat(F.lit(r"(?<![\p{L}\p{N}_'’-])(?:"), names, F.lit(r")(?!(?!['’]s(?!\p{L}))['’-]?[\p{L}\p{N}_])"))
+    apart = lambda names: F.flatten(F.transform(p, lambda x, i: F.when(i % 2 == 1, F.array(x)).otherwise(pieces(x, alone(names)))))
+    return let(F.array_join(longest, "|"), lambda names: F.when(names == "", p).otherwise(apart(names)))
 
 
 def kind_of(e: Column) -> Column:
@@ -61,7 +92,9 @@ def digits(s: Column) -> Column:
 
 #: From this salt on surrogates may be longer than what they stand for.
 WIDE = 4
-TITLE = rf"^(?:{'|'.join(t for g in TITLES.values() for t in g)})\.? "
+TITLE = f"^{TITLED}"
+#: Ends the form of a man's name that a woman has too.
+MALE = "\x1em"
 SECRET_HEAD = rf"^{SECRET_NAME}\s{{0,3}}[=:]\s{{0,3}}[\"']?"
 
 
@@ -73,7 +106,7 @@ def canonical(kind: Column, e: Column) -> Column:
         .when(kind.isin("card", "ssn"), digits(e))
         .when(kind == "iban", F.replace(e, F.lit(" "), F.lit("")))
         .when(kind == "secret", F.regexp_replace(e, SECRET_HEAD, ""))
-        .when(kind == "name", F.lower(F.regexp_replace(e, TITLE, "")))
+        .when(kind == "name", F.regexp_replace(F.lower(F.regexp_replace(e, TITLE, "")), rf"(?<![^ ~])({'|'.join(PARTICLES)}) (?=[^ ])", "$1~"))
         .otherwise(e)
     )
 
@@ -107,12 +140,20 @@ def as_digit(s: Column) -> Column:
 
 
 def reshaped(e: Column, hexes: Column) -> Column:
-    """`e` with each digit, lower and upper letter replaced by one of the same class; the rest stays."""
+    """`e` with each digit, lower and upper letter replaced by one of the same class and script; scripts without letters of their own here get Latin ones; the rest stays."""
+    def other(c: Column, h: Column) -> Column:
+        low = letters(h, ALPHABETS["latin"])
+        for script in ("cyrillic", "greek"):
+            low = F.when(F.regexp_like(c, F.lit(rf"\p{{Is{script.capitalize()}}}")), letters(h, ALPHABETS[script])).otherwise(low)
+        low = F.when(F.regexp_like(c, F.lit(r"\p{N}")), as_digit(h)).when(F.regexp_like(c, F.lit(r"\p{L}")), low).otherwise(c)
+        return let(low, lambda x: F.when(F.regexp_like(c, F.lit(r"\p{Lu}")), F.upper(x)).otherwise(x))
+
     one = lambda c, h: (
         F.when(F.regexp_like(c, F.lit("[0-9]")), as_digit(h))
-        .when(F.regexp_like(c, F.lit("[a-z]")), letters(h, "abdefgiklmnoprst"))
-        .when(F.regexp_like(c, F.lit("[A-Z]")), letters(h, "ABDEFGIKLMNOPRST"))
-        .otherwise(c)
+        .when(F.regexp_like(c, F.lit("[a-z]")), letters(h, ALPHABETS["latin"]))
+        .when(F.regexp_like(c, F.lit("[A-Z]")), letters(h, ALPHABETS["latin"].upper()))
+        .when(F.ascii(c) < 128, c)
+        .otherwise(other(c, h))
     )
     return F.array_join(F.zip_with(F.split(e, ""), F.slice(F.split(stretched(hexes, F.length(e)), ""), F.lit(1), F.length(e)), one), "")
 
@@ -147,7 +188,7 @@ def gender(e: Column) -> Column:
     """Of a title, else of the given name; `n` if neither tells."""
     out = F.lit("n")
     for g in ("m", "f"):
-        named = rf"(?i:^(?:{'|'.join(n for (s, k), v in GIVEN.items() if k == g for n in v)})(?= ))"
+        named = rf"(?iu:^(?:\p{{L}}+-)?(?:{'|'.join(n for (s, k), v in GIVEN.items() if k == g for n in v)})(?:-\p{{L}}+)*(?= ))"
         out = F.when(F.regexp_like(F.regexp_replace(e, TITLE, ""), F.lit(named)), F.lit(g)).otherwise(out)
     for g in ("m", "f"):
         out = F.when(F.regexp_like(e, F.lit(rf"^(?:{'|'.join(TITLES[g])})\.? ")), F.lit(g)).otherwise(out)
@@ -160,14 +201,19 @@ def widened(hexes: Column, salt: Column) -> Column:
     return letters(F.substr(hexes, F.lit(101), n.cast("int")), "abdefgiklmnoprst")
 
 
+def surname(canon: Column) -> Column:
+    """The last word, particles included, as canonical forms tie them to it."""
+    return F.replace(F.substring_index(canon, " ", -1), F.lit(MALE), F.lit(""))
+
+
 def person(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column, f: Column) -> Column:
     """Title kept; a given name of gender `g` and the same script, longer for larger salts; a surname made of syllables.
 
     The surname depends on the old one and its own salt `f` alone, so it is the same for every person of that name
     and every mention; who shares a surname is told apart by given names.
     """
-    title = F.regexp_extract(e, rf"({TITLE})", 1)
-    given, family = stream(key, "given", canon, salt), stream(key, "family", F.substring_index(canon, " ", -1), f)
+    title = F.regexp_extract(e, f"({TITLE})", 1)
+    given, family = stream(key, "given", canon, salt), stream(key, "family", surname(canon), f)
     female = F.when(g == "n", number(given, 20, 2) % 2 == 0).otherwise(g == "f")
     size = F.when(salt < WIDE, 0).when(salt < 256, 3).when(salt < 65536, 5).otherwise(8)
 
@@ -177,9 +223,11 @@ def person(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Co
         more = F.when(size == 3, of(given, 30, 3)).when(size == 5, of(given, 30, 5)).when(size == 8, of(given, 30, 8))
         first = F.when(size == 0, first).otherwise(F.concat(first, F.lit("-"), F.initcap(more)))
         last = F.initcap(F.concat(of(family, 0, 5), F.when(f < WIDE, F.lit("")).otherwise(of(family, 5, 5))))
-        return F.concat(title, F.when(kind == "name", F.concat(first, F.lit(" "))).otherwise(F.lit("")), last)
+        return F.concat(F.when(kind == "name", F.concat(first, F.lit(" "))).otherwise(F.lit("")), last)
 
-    return F.when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), written("cyrillic")).otherwise(written("latin"))
+    new = F.when(F.regexp_like(canon, F.lit(r"\p{IsCyrillic}")), written("cyrillic")).when(F.regexp_like(canon, F.lit(r"\p{IsGreek}")), written("greek")).otherwise(written("latin"))
+    capitals = ~F.regexp_like(F.regexp_replace(e, TITLE, ""), F.lit(r"\p{Ll}"))
+    return F.concat(title, let(new, lambda x: F.when(capitals, F.upper(x)).otherwise(x)))
 
 
 def surrogate(kind: Column, e: Column, canon: Column, key: str, salt: Column, g: Column, f: Column) -> Column:
@@ -213,10 +261,6 @@ def typed(e: Column) -> tuple[Column, Column]:
     return F.when((kind == "name") & ~F.contains(canon, F.lit(" ")), "family").otherwise(kind), canon
 
 
-def surname(canon: Column) -> Column:
-    return F.substring_index(canon, " ", -1)
-
-
 def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> DataFrame:
     """kind, canon, salt, g (gender), f (the surname's salt) of every distinct entity of `found` (kind, canon, g, f), such that no two of a kind share a surrogate and none has another's original.
 
@@ -232,7 +276,7 @@ def settled(found: DataFrame, key: str, scratch: Scratch, most: int = 60) -> Dat
         step = 1 + F.pmod(F.xxhash64("canon", "salt"), F.lit(min(64 << 4 * number, 1 << 40)))
         own = F.when(F.col("kind") == "family", F.col("salt")).otherwise(F.col("f"))
         kind = F.when(F.col("kind") == "family", "name").otherwise(F.col("kind"))
-        made = book.withColumn("s", canonical(kind, surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"), F.col("g"), own)))
+        made = book.withColumn("s", let(surrogate(F.col("kind"), F.col("canon"), F.col("canon"), key, F.col("salt"), F.col("g"), own), lambda x: canonical(kind, x)))
         made = scratch.write(made, "made")
         many = made.groupBy("kind", "s").count().filter("count > 1").drop("count")
         rank = F.row_number().over(Window.partitionBy("kind", "s").orderBy("salt", "canon")) - 1
@@ -252,7 +296,10 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     cloud keys, assigned secrets, and names after a title, with a known given name, or introduced by a cue such as
     "my name is". Equal entities, however written, get surrogates of equal value in every document; different ones never
     share one. Names are told apart by given and family name. Surnames are settled first, so all who share one, and
-    its mentions without a given name, share the surrogate surname.
+    its mentions without a given name, share the surrogate surname. A name without its title and a surname that stands alone, written as
+    in a name that its own text holds, are entities. A name borne by a man and a woman, as their titles show, is two persons; without a title it is the
+    woman's. Particles belong to the surname. Latin, Cyrillic and Greek names keep their script; those of other scripts with capitals
+    become Latin. Names in small letters are not found.
 
     Null text stays null, empty stays empty, text without entities comes back unchanged, however long. Rows are
     independent apart from the shared surrogates, so repeats and null ids give a row each; an empty table
@@ -261,19 +308,23 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
     """
     scratch = Scratch(docs.sparkSession)
     text = docs[text_col]
-    base = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), text.alias("_t"), cut(text).alias("_p"))
+    base = docs.select(docs[id_col].alias("_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_h"), text.alias("_t"), cut(text).alias("_p")).withColumn("_p", with_surnames(F.col("_p")))
     base = base.withColumn("_t", F.when(F.coalesce(F.size("_p"), F.lit(0)) <= 1, F.col("_t"))).withColumn("_p", F.when(F.size("_p") > 1, F.col("_p")))
     base = scratch.write(base, "pieces")
     kind, canon = typed(F.col("e"))
     odd = F.filter("_p", lambda x, i: i % 2 == 1)
     seen = base.filter("_p IS NOT NULL").select("_id", "_h", F.explode(odd).alias("e")).withColumns({"kind": kind, "canon": canon})
-    seen = scratch.write(seen.select("_id", "_h", "kind", "canon", F.when(F.col("kind") == "name", gender(F.col("e"))).otherwise("n").alias("g")), "seen")
+    seen = scratch.write(seen.select("_id", "_h", "kind", "canon", F.when(F.col("kind") == "name", gender(F.col("e"))).otherwise("n").alias("g")), "mentions")
+    both = seen.filter("kind = 'name' AND g <> 'n'").groupBy("canon").agg(F.count_distinct("g").alias("n")).filter("n > 1").select(F.col("canon").alias("_both"))
+    both = scratch.write(both, "both")
+    seen = seen.join(broadcast_if(both, both.count()), (F.col("kind") == "name") & (F.col("canon") == F.col("_both")), "left")
+    seen = scratch.write(seen.withColumn("canon", F.when(F.col("_both").isNotNull() & (F.col("g") == "m"), F.concat("canon", F.lit(MALE))).otherwise(F.col("canon"))).drop("_both"), "seen")
     names = seen.filter("kind in ('name', 'family')").select("_id", "_h", F.lit("family").alias("kind"), surname(F.col("canon")).alias("canon"), F.lit("n").alias("g"))
     families = settled(names.withColumn("f", F.lit(0).cast("long")), key, scratch)
     own = families.filter("salt > 0").select(F.col("canon").alias("_last"), F.col("salt").alias("f"))
     rest = seen.filter("kind <> 'family'").select("kind", "canon", "g").distinct().withColumn("_last", F.when(F.col("kind") == "name", surname(F.col("canon"))))
     rest = rest.join(broadcast_if(own, own.count()), "_last", "left").withColumn("f", F.coalesce("f", F.lit(0).cast("long")))
-    again = settled(rest, key, scratch).filter((F.col("salt") > 0) | ((F.col("kind") == "name") & (F.col("g") != gender(F.col("canon"))))).unionByName(families.filter("salt > 0"))
+    again = settled(rest, key, scratch).filter((F.col("salt") > 0) | ((F.col("kind") == "name") & ((F.col("g") != gender(F.col("canon"))) | F.col("canon").endswith(MALE)))).unionByName(families.filter("salt > 0"))
     again = scratch.write(again.select("kind", "canon", "salt", "g"), "again")
     tag = lambda kind, canon: F.concat(kind, F.lit("\x1f"), canon)
     needed = seen.drop("g").unionByName(names.drop("g"))
@@ -286,13 +337,15 @@ def pseudonymise(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: st
         return F.struct(x.alias("e"), kind.alias("kind"), canon.alias("canon"))
 
     def salts(x: Column) -> Column:
-        mine = F.element_at(F.col("_salts"), tag(x["kind"], x["canon"]))
+        man = F.concat(x["canon"], F.lit(MALE))
+        own = F.when((gender(x["e"]) == "m") & F.element_at(F.col("_salts"), tag(x["kind"], man)).isNotNull(), man).otherwise(x["canon"])
+        mine = F.element_at(F.col("_salts"), tag(x["kind"], own))
         last = F.element_at(F.col("_salts"), tag(F.lit("family"), surname(x["canon"])))
         zero = F.lit(0).cast("long")
         g = F.coalesce(mine["g"], F.when(x["kind"] == "name", gender(x["canon"])).otherwise("n"))
-        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), x["canon"].alias("canon"), F.coalesce(mine["salt"], zero).alias("salt"), g.alias("g"), F.when(x["kind"].isin("name", "family"), F.coalesce(last["salt"], zero)).otherwise(zero).alias("f"))
+        return F.struct(x["e"].alias("e"), x["kind"].alias("kind"), own.alias("canon"), F.coalesce(mine["salt"], zero).alias("salt"), g.alias("g"), F.when(x["kind"].isin("name", "family"), F.coalesce(last["salt"], zero)).otherwise(zero).alias("f"))
 
-    rows = rows.withColumn("_k", F.transform(odd, entry)).withColumn("_new", F.transform(F.transform("_k", salts), lambda x: surrogate(x["kind"], x["e"], x["canon"], key, x["salt"], x["g"], x["f"])))
+    rows = rows.withColumn("_k", F.transform(F.transform(odd, entry), salts)).withColumn("_new", F.transform("_k", lambda x: surrogate(x["kind"], x["e"], x["canon"], key, x["salt"], x["g"], x["f"])))
     between = F.filter("_p", lambda x, i: i % 2 == 0)
     joined = F.array_join(F.flatten(F.zip_with(between, F.col("_new"), lambda p, new: F.array(p, F.coalesce(new, F.lit(""))))), "")
     shown = lambda x: F.when(x["kind"] == "family", "name").otherwise(x["kind"])
