@@ -125,19 +125,25 @@ class Network:
         return Scorer(self).logs(padded, where)
 
     def train(self, padded: np.ndarray, where: np.ndarray, memory: list[np.ndarray], rate: float = 0.05) -> None:
-        """One Adagrad step on the tokens at `where`."""
+        """One Adagrad step on the tokens at `where`. Gradients of the tables are sums over rows sorted by place and class."""
         n, y = len(where), padded[where + SIDE]
-        h = self.hidden(padded, where)
-        s = h @ self.out + self.out_bias
-        p = np.exp(s - s.max(axis=1, keepdims=True))
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), y] -= 1
-        p /= n
+        at = np.concatenate([padded[where + k] + t * CLASSES for t, k in enumerate(OFFSETS)])
+        h = self.tables.reshape(-1, HIDDEN).take(at, axis=0).reshape(2 * SIDE, n, HIDDEN).sum(axis=0)
+        h += self.hidden_bias
+        np.tanh(h, out=h)
+        p = h @ self.out
+        p += self.out_bias
+        if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() >= 80:  # as in Scorer
+            p -= p.max(axis=1, keepdims=True)
+        np.exp(p, out=p)
+        p *= (1 / (n * p.sum(axis=1, keepdims=True))).astype(np.float32)
+        p[np.arange(n), y] -= np.float32(1 / n)
         back = (p @ self.out.T) * (1 - h * h)
-        tables, eye = np.empty_like(self.tables), np.eye(CLASSES, dtype=np.float32)
-        for t, k in enumerate(OFFSETS):
-            tables[t] = eye[padded[where + k]].T @ back
-        for part, grad, sums in zip(self.parts(), [tables, back.sum(axis=0), h.T @ p, p.sum(axis=0)], memory, strict=True):
+        order = at.astype(np.uint16).argsort(kind="stable")
+        first = np.flatnonzero(np.diff(at[order], prepend=-1))
+        tables = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32)
+        tables[at[order[first]]] = np.add.reduceat(back.take(order % n, axis=0), first, axis=0)
+        for part, grad, sums in zip(self.parts(), [tables.reshape(self.tables.shape), back.sum(axis=0), h.T @ p, p.sum(axis=0)], memory, strict=True):
             sums += grad * grad
             part -= rate * grad / np.sqrt(sums + 1e-8)
 
@@ -239,67 +245,86 @@ def vocabulary(counts: DataFrame, most: int = 150_000) -> Vocabulary:
     return found
 
 
-def stretches(text: str, stretch: int, share: int, number: int, chars: int = 6, aside: int = 64) -> Iterator[tuple[list[bytes], list[bytes], list[bytes]]]:
-    """Tokens of a text's stretches for round `number`, and up to SIDE tokens on both sides of each.
+def encode(docs: DataFrame, words: Vocabulary, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each row of `docs`, written once: row (its number), id, kinds (a byte for each token, its class), sum (of the tokens' log shares of their classes), rare (words that `words` does not hold, with how often they occur).
 
-    A stretch has about `stretch` tokens of `chars` characters, one of every `share` such stretches of the text; it
-    begins and ends between words where a blank is near. Only what is taken is cut into tokens.
+    Training and scoring read the tokens from here, so a text is cut into tokens once for both.
     """
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = sent.value
+        for b in batches:
+            kinds, sums, ends, rare, times = [], [], [0], [], []
+            for t in b.column(1).to_pylist():
+                at = vocabulary.numbered(tokens_of(t or ""))
+                kinds.append(vocabulary.kinds[at].astype(np.uint8).tobytes())
+                sums.append(float(vocabulary.logs[at].sum()))
+                others, n = np.unique(at[~vocabulary.known[at]], return_counts=True)
+                rare += [vocabulary.names[k] for k in others.tolist()]
+                times.append(n)
+                ends.append(len(rare))
+            flat = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate([*times, np.zeros(0, np.int64)]), pa.int64())], ["word", "times"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.binary()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "kinds", "sum", "rare"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, kinds binary, sum double, rare array<struct<word:binary,times:long>>")
+    return scratch.write(found.withColumn("row", F.monotonically_increasing_id()), "encoded")  # written once, so a row keeps its number
 
-    def between(at: int) -> int:
-        if not 0 < at < len(text):
-            return min(max(at, 0), len(text))
-        blank = text.find(" ", at, at + aside)
-        return blank if blank >= 0 else at
 
-    size = stretch * chars
-    shift = (zlib.crc32(text[:200].encode("utf-8", "surrogatepass")) + 311 * chars * number) % (size * share)
-    for at in range(shift - size * share, len(text), size * share):
-        first, last = between(at), between(at + size)
-        found = tokens_of(text[first:last])
-        if found:
-            left, right = tokens_of(text[max(first - aside, 0) : first]), tokens_of(text[last : last + aside])
-            yield left[-SIDE:], found, right[:SIDE]
+def pieces(kinds: np.ndarray, rounds: int, number: int, stretch: int) -> Iterator[np.ndarray]:
+    """The stretches of a text that round `number` trains on, each with SIDE classes on both sides; over all rounds every token is in one stretch.
 
+    A text's stretches are dealt in turn, beginning with a round that its first tokens choose.
+    """
+    padded = np.full(len(kinds) + 2 * SIDE, EDGE, np.int64)
+    padded[SIDE : SIDE + len(kinds)] = kinds
+    begin = (number - zlib.crc32(kinds[:stretch].tobytes())) % rounds
+    for at in range(begin * stretch, len(kinds), rounds * stretch):
+        yield padded[at : min(at + stretch, len(kinds)) + 2 * SIDE]
 
-def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: int = 2, share: int = 16, stretch: int = 64, parts: int = 16, rate: float = 0.2, batch: int = 128) -> Network:
+
+def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: int = 2, **how) -> Network:
+    """The network of all tokens of `docs`; see train_encoded()."""
+    rows = docs.select(F.lit(0).alias("id"), docs[text_col].alias("text"))
+    return train_encoded(encode(rows, words, Scratch(docs.sparkSession), "id", "text"), words, rounds, **how)
+
+
+def train_encoded(encoded: DataFrame, words: Vocabulary, rounds: int = 2, stretch: int = 64, parts: int = 16, rate: float = 0.2, batch: int = 1024, mixed: int = 32_768) -> Network:
     """Data-parallel training: each task trains on its own rows, the results are averaged by their numbers of tokens.
 
-    Of every `share` tokens of a document about one is a target, in stretches whose places shift by round and text
-    (see stretches), so the training set follows the corpus. A task's steps depend on its rows alone, so a task that runs again
+    Every token of every row of encode() is a target in exactly one of the rounds (see pieces), so nothing of the corpus is left
+    out. Stretches of about `mixed` tokens are shuffled into steps of about `batch`. A task's steps depend on its rows alone, so a task that runs again
     gives the same network. Averages are formed in `parts` sums, so the driver gets as many at any size. Null, empty
     and blank texts train nothing; without any token the network stays as it began, classes by their shares.
     """
-    spark, net = docs.sparkSession, Network.fresh()
+    spark, net = encoded.sparkSession, Network.fresh()
     net.out_bias[...] = unigram(words).out_bias  # so what is learned is what context adds
     size = net.flat().size
 
     for number in range(rounds):
-        start = spark.sparkContext.broadcast((words, net.flat()))
+        start = spark.sparkContext.broadcast(net.flat())
 
         def run(batches: Iterator[pa.RecordBatch], start=start, number=number) -> Iterator[pa.RecordBatch]:
-            vocabulary, flat = start.value
-            own = Network.of(flat)
+            own = Network.of(start.value)
             memory, held, waiting, seen = [np.full_like(p, 1e-3) for p in own.parts()], [], 0, 0
-            edge = np.full(SIDE, EDGE, np.int64)
 
             def step() -> None:
-                padded = np.concatenate([h[0] for h in held])
-                ends = np.cumsum([0, *(len(h[0]) for h in held)])
-                where = np.concatenate([h[1] + e for h, e in zip(held, ends, strict=False)])
-                where = np.random.default_rng(seen).permutation(where)
-                for at in range(0, len(where), batch):
-                    own.train(padded, where[at : at + batch], memory, rate)
+                own_order = np.random.default_rng(seen).permutation(len(held))
+                for some in np.array_split(own_order, max(1, round(waiting / batch))):
+                    if len(some):
+                        ends = np.cumsum([0, *(len(held[k]) for k in some)])
+                        where = np.concatenate([np.arange(a, b - 2 * SIDE) for a, b in zip(ends[:-1], ends[1:], strict=True)])
+                        own.train(np.concatenate([held[k] for k in some]), where, memory, rate)
 
             for b in batches:
-                for t in b.column(0).to_pylist():
-                    for left, found, right in stretches(t or "", stretch, share, number):
-                        seq = vocabulary.encode([*left, *found, *right])
-                        seq = np.concatenate([edge[: SIDE - len(left)], seq, edge[: SIDE - len(right)]])
-                        held.append((seq, np.arange(len(found))))
-                        waiting += len(found)
-                        seen += len(found)
-                    if waiting > 8192:
+                for kinds in b.column(0):
+                    for piece in pieces(np.frombuffer(kinds.as_buffer(), np.uint8), rounds, number, stretch):
+                        held.append(piece)
+                        waiting += len(piece) - 2 * SIDE
+                        seen += len(piece) - 2 * SIDE
+                    if waiting > mixed:
                         step()
                         held, waiting = [], 0
             if held:
@@ -315,7 +340,7 @@ def train(docs: DataFrame, words: Vocabulary, text_col: str = "text", rounds: in
 
         shape = "part int, n long, params binary"
         n, total = 0, np.zeros(size)
-        for r in map_arrow(docs.select(docs[text_col].alias("text")), run, shape).repartition(parts, "part").mapInArrow(add, shape).toLocalIterator():
+        for r in map_arrow(encoded.select("kinds"), run, shape).repartition(parts, "part").mapInArrow(add, shape).toLocalIterator():
             n, total = n + r["n"], total + np.frombuffer(r["params"])
         if n:
             net = Network.of((total / n).astype(np.float32))
@@ -332,38 +357,33 @@ def score(docs: DataFrame, words: Vocabulary, net: Network, counts: DataFrame, i
     Rows are independent, so repeats and null ids give a row each and an empty table an empty result; only the
     two named columns are read, so other names cannot clash.
     """
-    spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
-    sent = spark.sparkContext.broadcast((words, net.flat()))
+    return score_encoded(encode(docs, words, Scratch(docs.sparkSession), id_col, text_col), words, net, counts, id_col)
+
+
+def score_encoded(encoded: DataFrame, words: Vocabulary, net: Network, counts: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """score() of the rows of encode()."""
+    sent = encoded.sparkSession.sparkContext.broadcast(net.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, flat = sent.value
-        own, edge = Scorer(Network.of(flat)), np.full(SIDE, EDGE, np.int64)
+        own, edge = Scorer(Network.of(sent.value)), np.full(SIDE, EDGE, np.int64)
         for b in batches:
-            sizes, sums, ends, rare, times = [], [], [0], [], []
-            for t in b.column(1).to_pylist():
-                found = tokens_of(t or "")
-                at = vocabulary.numbered(found)
-                kinds, logs, known = vocabulary.kinds[at], vocabulary.logs[at], vocabulary.known[at]
-                padded, total = np.concatenate([edge, kinds, edge]), float(logs.sum())
+            sizes, sums = [], []
+            for kinds, total in zip(b.column(2), b.column(3).to_pylist(), strict=True):
+                found = np.frombuffer(kinds.as_buffer(), np.uint8)
+                padded = np.concatenate([edge, found, edge])
                 for first in range(0, len(found), 1024):
                     total += float(own.logs(padded, np.arange(first, min(first + 1024, len(found)))).sum())
                 sizes.append(len(found))
                 sums.append(total)
-                others, n = np.unique(at[~known], return_counts=True)
-                rare += [vocabulary.names[k] for k in others.tolist()]
-                times.append(n)
-                ends.append(len(rare))
-            flat = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate([*times, np.zeros(0, np.int64)]), pa.int64())], ["word", "times"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "n_tokens", "sum", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["row", "id", "n_tokens", "sum"])
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    part = map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, n_tokens long, sum double, rare array<struct<word:binary,times:long>>")
-    part = scratch.write(part.withColumn("row", F.monotonically_increasing_id()), "scored")  # written once, so a row keeps its number
-    asked = part.select("row", F.explode("rare").alias("r")).select("row", "r.*")
+    kind = encoded.schema["id"].dataType.simpleString()
+    part = map_arrow(encoded.select("row", "id", "kinds", "sum"), run, f"row long, id {kind}, n_tokens long, sum double")
+    asked = encoded.select("row", F.explode("rare").alias("r")).select("row", "r.*")
     rest = counts.filter(~held(words)).select(F.col("word").alias("w"), "n")
     more = asked.join(rest, F.col("word") == F.col("w"), "left").groupBy("row").agg(F.sum(F.col("times") * F.coalesce(F.log("n"), words.spelled(F.col("word")))).alias("more"))
     total = F.col("sum") + F.coalesce("more", F.lit(0.0))
-    out = part.select("row", "id", "n_tokens", "sum").join(more, "row", "left")
+    out = part.join(more, "row", "left")
     return out.select(F.col("id").alias(id_col), "n_tokens", total.alias("log_prob"), F.when(F.col("n_tokens") > 0, total / F.col("n_tokens")).alias("per_token"))
 
 
@@ -381,7 +401,9 @@ def unigram(words: Vocabulary) -> Network:
 
 
 def pseudo_likelihood(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rounds: int = 2) -> DataFrame:
-    """Fits vocabulary and network on `docs` and scores the same rows; see score() for what rows give."""
-    counts = word_counts(docs, text_col, Scratch(docs.sparkSession))
+    """Fits vocabulary and network on all tokens of `docs` and scores the same rows; see train_encoded() for the training and score() for what rows give."""
+    scratch = Scratch(docs.sparkSession)
+    counts = word_counts(docs, text_col, scratch)
     words = vocabulary(counts)
-    return score(docs, words, train(docs, words, text_col, rounds), counts, id_col, text_col)
+    encoded = encode(docs, words, scratch, id_col, text_col)
+    return score_encoded(encoded, words, train_encoded(encoded, words, rounds), counts, id_col)

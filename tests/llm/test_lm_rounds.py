@@ -77,3 +77,33 @@ def test_context_lowers_the_perplexity_of_unseen_documents(frame):
     counts, words, net = fitted(frame(rows[:2000]))
     seen, flat = (lm.perplexity(lm.score(frame(rows[2000:]), words, n, counts)) for n in (net, lm.unigram(words)))
     assert seen < 0.8 * flat
+
+
+def test_every_token_is_a_target_in_exactly_one_round():
+    """Of texts of any length, also those shorter than a stretch, with the classes around each."""
+    r = np.random.default_rng(1)
+    for n in (0, 1, 5, 63, 64, 65, 300, 5000):
+        kinds = r.integers(0, lm.EDGE, n).astype(np.uint8)
+        padded = np.concatenate([[lm.EDGE] * lm.SIDE, kinds, [lm.EDGE] * lm.SIDE])
+        for rounds in (1, 2, 3):
+            windows = [tuple(p[k : k + 2 * lm.SIDE + 1]) for number in range(rounds) for p in lm.pieces(kinds, rounds, number, 64) for k in range(len(p) - 2 * lm.SIDE)]
+            assert sorted(windows) == sorted(tuple(padded[k : k + 2 * lm.SIDE + 1]) for k in range(n))
+
+
+def test_training_sees_every_token_of_short_and_long_texts(frame, monkeypatch):
+    """Tokens that train() gets in all rounds together, against the tokens of the texts."""
+    seen = []
+    real = lm.Network.train
+    monkeypatch.setattr(lm.Network, "train", lambda self, padded, where, *how: (seen.append(len(where)), real(self, padded, where, *how))[1])
+    texts = ["a b c", "one more short text", "w " * 1000, "", None, "x" * 5000]
+    docs = frame(list(enumerate(texts)))
+    words = lm.vocabulary(lm.word_counts(docs, "text", Scratch(docs.sparkSession)))
+
+    def run_here(df, run, shape):
+        list(run(iter(df.toArrow().to_batches())))
+        return df.sparkSession.createDataFrame([], shape)
+
+    encoded = lm.encode(docs, words, Scratch(docs.sparkSession))
+    monkeypatch.setattr(lm, "map_arrow", run_here)
+    lm.train_encoded(encoded, words)
+    assert sum(seen) == sum(len(lm.tokens_of(t or "")) for t in texts)
