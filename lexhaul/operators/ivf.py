@@ -16,11 +16,20 @@ from lexhaul.operators.vectors import DECIMALS, matrix
 
 #: Values that one code of a sub-space can take.
 CODES = 256
+#: Distances to centres that a task holds at once (of 8 bytes); rows are taken in as many steps as that needs.
+HELD = 1 << 20
+
+
+def steps(rows: int, width: int) -> Iterator[slice]:
+    """Slices of `rows` rows so that a slice has about HELD values of `width` each, at least one row."""
+    n = max(1, HELD // max(1, width))
+    return (slice(k, k + n) for k in range(0, rows, n))
 
 
 def nearest(x: np.ndarray, centers: np.ndarray) -> np.ndarray:
     """Number of the nearest centre of each row, the first of equals."""
-    return ((centers**2).sum(1) - 2 * x @ centers.T).argmin(1)
+    norms = (centers**2).sum(1)
+    return np.concatenate([np.zeros(0, np.int64), *((norms - 2 * x[s] @ centers.T).argmin(1) for s in steps(len(x), len(centers)))])
 
 
 def centers_of(x: np.ndarray, k: int, seed: int, rounds: int = 15) -> np.ndarray:
@@ -70,7 +79,8 @@ class Quantizer:
 
     def probe(self, x: np.ndarray, probes: int) -> np.ndarray:
         """The nearest lists of each query, nearest first."""
-        return np.argsort((self.coarse**2).sum(1) - 2 * x @ self.coarse.T, axis=1, kind="stable")[:, :probes]
+        norms = (self.coarse**2).sum(1)
+        return np.concatenate([np.zeros((0, min(probes, len(norms))), np.int64), *(np.argsort(norms - 2 * x[s] @ self.coarse.T, axis=1, kind="stable")[:, :probes] for s in steps(len(x), len(norms)))])
 
     def distances(self, query: np.ndarray, of: int, codes: np.ndarray) -> np.ndarray:
         """Squared distances of a query to the decoded rows of a list, by one table for each sub-space."""
@@ -96,6 +106,16 @@ def unit(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(good[:, None], x / np.where(good, n, 1)[:, None], 0), good
 
 
+def asking(model: Quantizer, batch: pa.RecordBatch, probes: int, query_id: str) -> Iterator[pa.RecordBatch]:
+    """Queries (id, vector), each once for each list that it probes, in batches of about HELD components however many lists there are."""
+    dim = model.coarse.shape[1]
+    x, good = unit(matrix(batch.column(1), dim))
+    for s in steps(len(x), probes * dim):
+        near = model.probe(x[s], probes)[good[s]]
+        at = pa.array(np.repeat(np.flatnonzero(good[s]) + s.start, near.shape[1]))
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(near.ravel().astype(np.int32)), batch.column(1).take(at)], [query_id, "list", "query"])
+
+
 class IvfIndex:
     """An index below `path`; build() makes a new version beside the old one and then points to it.
 
@@ -167,10 +187,7 @@ class IvfIndex:
         def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held = Quantizer.load(raw)
             for b in batches:
-                x, good = unit(matrix(b.column(1), dim))
-                near = held.probe(x, probes)
-                at = np.repeat(np.flatnonzero(good), near.shape[1])
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at)), pa.array(near[good].ravel().astype(np.int32)), b.column(1).take(pa.array(at))], [query_id, "list", "query"])
+                yield from asking(held, b, probes, query_id)
 
         asked = queries.select(query_id, F.col(query_col).cast("array<double>").alias("query")).filter(F.size("query") == dim)
         chosen = asked.mapInArrow(choose, f"{query_id} {kind}, list int, query array<double>")

@@ -6,6 +6,7 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,3 +88,22 @@ def test_empty_and_tiny_tables(spark, tmp_path):
     assert hits(index.search(q, 3)) == [(1, 1, 5, 0.292893)]
     index.build(rows_of(spark, [(6, [0.0, 0.0])]))
     assert index.search(q, 3).count() == 0
+
+
+def test_batches_stay_small_however_many_lists_are_probed(monkeypatch):
+    """Steps of any size give the same lists, and no batch of copies of queries grows with lists or probes."""
+    r = np.random.default_rng(2)
+    x, centers = r.normal(size=(500, 8)), r.normal(size=(90, 8))
+    x[7] = 0
+    model = ivf.Quantizer(centers, [])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(500)), pa.array(x.tolist())], ["q", "v"])
+    want = ((x[:, None] - centers) ** 2).sum(2)
+    for held in (1, 1000, 1 << 20):
+        monkeypatch.setattr(ivf, "HELD", held)
+        assert np.array_equal(ivf.nearest(x, centers), want.argmin(1)) and np.array_equal(model.probe(x, 9), want.argsort(axis=1)[:, :9])
+        out = list(ivf.asking(model, batch, 60, "q"))
+        assert all(b.num_rows * 8 <= max(held, 60 * 8) for b in out)
+        unit, good = ivf.unit(x)
+        near = model.probe(unit, 60)
+        assert [(q, k) for b in out for q, k in zip(b["q"].to_pylist(), b["list"].to_pylist(), strict=True)] == [(q, k) for q in range(500) if good[q] for k in near[q]]
+    assert len(ivf.nearest(x[:0], centers)) == 0 and model.probe(x[:0], 9).shape == (0, 9)
