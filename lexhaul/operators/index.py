@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -55,12 +56,13 @@ def id_order(path: Column) -> Column:
     return F.substr(F.sha2(path, 256), F.lit(1), F.lit(2))
 
 
-def numbered(rows: DataFrame, order: list[str], start: int = 0, out: str = "id", folder: str | None = None, parts: int | None = None) -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], start: int = 0, out: str = "id", folder: str | None = None, parts: int | None = None, weight: str | None = None, before: str = "before") -> DataFrame:
     """[D6] Dense numbers from `start` + 1 on, in the order of the columns `order`.
 
     Rows are dealt to `parts` ranges of about equal size by sampled bounds and written once to `folder` (default: the
     shared one); each range is numbered on its own and moved by the sizes of those before it, which are all that the driver sees. So no
     task sees all rows, and a second run, also with another number of parts, gives the same numbers if `order` is unique.
+    With `weight` (a column) the column `before` is added: the sum of the weights of all rows before.
     """
     spark = rows.sparkSession
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -68,17 +70,22 @@ def numbered(rows: DataFrame, order: list[str], start: int = 0, out: str = "id",
     dealt = rows.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
     dealt.write.parquet(path)
     held = spark.read.schema(dealt.schema).parquet(path)
-    at, moved = start, []
-    for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).orderBy("_part").collect():
-        moved += [F.lit(r["_part"]), F.lit(at).cast("long")]
-        at += r["n"]
-    before = F.element_at(F.create_map(*moved), F.col("_part")) if moved else F.lit(None).cast("long")
-    return held.withColumn(out, (before + F.row_number().over(Window.partitionBy("_part").orderBy(*order))).cast("long")).drop("_part")
-
-
-def assign_ids(rows: DataFrame, order: list[str], high_water: int, out: str = "id", folder: str | None = None, parts: int | None = None) -> DataFrame:
+    total = F.coalesce(F.sum(F.col(weight).cast("long") if weight else F.lit(0)), F.lit(0)).cast("long")
+    at, sums, moved = start, 0, []
+    for r in held.groupBy("_part").agg(F.count(F.lit(1)).alias("n"), total.alias("w")).orderBy("_part").collect():
+        moved += [F.lit(r["_part"]), F.struct(F.lit(at).cast("long").alias("n"), F.lit(sums).cast("long").alias("w"))]
+        at, sums = at + r["n"], sums + r["w"]
+    base = F.element_at(F.create_map(*moved), F.col("_part")) if moved else F.lit(None).cast("struct<n:long,w:long>")
+    own = Window.partitionBy("_part").orderBy(*order)
+    found = {out: (base["n"] + F.row_number().over(own)).cast("long")}
+    if weight:
+        found[before] = base["w"] + F.coalesce(F.sum(F.col(weight).cast("long")).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumns(found).drop("_part")
+
+
+def assign_ids(rows: DataFrame, order: list[str], high_water: int, out: str = "id", folder: str | None = None, parts: int | None = None, weight: str | None = None, before: str = "before") -> DataFrame:
     """[D6] Dense ids above the high-water mark, in order of the first two hash digits of the first column, then of `order`; see numbered()."""
-    return numbered(rows.withColumn("_hash", id_order(F.col(order[0]))), ["_hash", *order], high_water, out, folder, parts).drop("_hash")
+    return numbered(rows.withColumn("_hash", id_order(F.col(order[0]))), ["_hash", *order], high_water, out, folder, parts, weight, before).drop("_hash")
 
 
 def stats(documents: DataFrame, chunks: DataFrame, vectors: DataFrame | None = None) -> DataFrame:
@@ -138,15 +145,17 @@ class IndexStore(RunStore):
         found = super().read(name)
         return found.drop("document_id") if name == "vectors" else found
 
-    def commit(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame, high_water: dict[str, int], deleted: DataFrame | None = None, replace: bool = False) -> None:
+    def commit(self, documents: DataFrame, chunks: DataFrame, vectors: DataFrame | Callable[[DataFrame], DataFrame], high_water: dict[str, int], deleted: DataFrame | None = None, replace: bool = False) -> None:
         """Adds one run: whole documents with all their chunks and vectors, and the ids of deleted documents (a column key).
 
+        vectors: rows of chunk_id and embedding, or a function from the chunks as they are written to these and document_id, so that no vector moves.
         Nothing becomes current if a chunk has no vector, a vector no chunk, or a vector another dimension.
         """
         number, state = self.log.latest()
         state = state or self.fresh()
-        owned = vectors.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id", "left").select("chunk_id", "embedding", "document_id")
-        run = self.add_run(state, {"documents": documents, "chunks": chunks, "vectors": owned}, deleted)
+        owned = vectors if callable(vectors) else vectors.join(chunks.select(F.col("id").alias("chunk_id"), "document_id"), "chunk_id", "left").select("chunk_id", "embedding", "document_id")
+        rows = {"documents": documents, "chunks": chunks, "vectors": (lambda written: owned(written["chunks"])) if callable(owned) else owned}
+        run = self.add_run(state, rows, deleted)
         held = self.scan("vectors", self.tables["vectors"][0], [run])
         wrong = held.filter((F.coalesce(F.size("embedding"), F.lit(-1)) != int(self.meta["dimensions"])) | F.col("document_id").isNull()).count()
         if wrong or run["rows"]["chunks"] != run["rows"]["vectors"]:
@@ -176,29 +185,43 @@ class IndexStore(RunStore):
 
         now = self.current() or self.fresh()
         marks, old_docs = now["high_water"], self.live("documents", {**now, "runs": [] if rebuild else now["runs"]})
-        files = files.dropDuplicates(["path", "sha256"])
-        if twice := files.groupBy("path").count().filter("count > 1").limit(3).collect():
+        # texts stay where they are while paths and hashes tell what is to be done; they move once, as pieces to their document's ids
+        several = files.groupBy("path", "sha256").count().groupBy("path").agg(F.count(F.lit(1)).alias("contents"), F.max("count").alias("n")).filter("contents > 1 OR n > 1")
+        several = self.kept(several, "several")
+        if twice := several.filter("contents > 1").limit(3).collect():
             raise DataError(f"given twice with different contents: {', '.join(r['path'] for r in twice)}")
-        work = files.join(old_docs.select("path", F.col("sha256").alias("_sha")), "path", "left").filter(F.col("error").isNull() & (F.lit(force) | F.col("_sha").isNull() | (F.col("_sha") != F.col("sha256"))))
-        pieces = (chunker or (lambda d: chunk_documents(d, "path", "text")))(work.select("path", "text"))
+        if not several.isEmpty():
+            files = files.dropDuplicates(["path", "sha256"])
+        heads = self.kept(files.select("path", "sha256", "error"), "heads")
+        due = heads.join(old_docs.select("path", F.col("sha256").alias("_sha")), "path", "left").select("path", (F.col("error").isNull() & (F.lit(force) | F.col("_sha").isNull() | (F.col("_sha") != F.col("sha256")))).alias("_w"))
+        due = self.kept(due.filter("_w"), "due")
+        todo = files.filter(F.col("error").isNull())
+        if due.count() < heads.filter("error IS NULL").count():
+            todo = todo.join(due.select("path"), "path", "left_semi")
+        pieces = (chunker or (lambda d: chunk_documents(d, "path", "text")))(todo.select("path", "text"))
         pieces = self.kept(pieces, "pieces")
         counts = pieces.groupBy("path").agg(F.count(F.lit(1)).cast("int").alias("n_chunks"))
-        listing = files.select("path", "sha256", "error").join(counts, "path", "left").join(work.select("path", F.lit(True).alias("_w")), "path", "left")
+        listing = heads.join(counts, "path", "left").join(due, "path", "left")
         listing = listing.withColumn("n_chunks", F.when(F.col("_w"), F.coalesce("n_chunks", F.lit(0)))).drop("_w")
         result = self.kept(ingest_status(listing, old_docs, force), "result")
         columns = [c.split()[0] for c in DOCUMENTS.split(", ")]
-        fresh = work.join(counts, "path").select("path", "sha256", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.lit(1).alias("page_count"), F.length("text").cast("long").alias("char_count"), F.lit(False).alias("ocr_used"), F.col("n_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
-        fresh = assign_ids(fresh, ["path"], marks["documents"], folder=f"{self.base}/work").select(*columns)
+        sized = todo.select("path", "sha256", F.length("text").cast("long").alias("char_count"))
+        fresh = sized.join(counts, "path").select("path", "sha256", F.lower(F.regexp_extract("path", r"\.([^./]+)$", 1)).alias("format"), F.lit(1).alias("page_count"), "char_count", F.lit(False).alias("ocr_used"), F.col("n_chunks").alias("chunk_count"), F.current_timestamp().alias("ingested_at"))
+        placed = assign_ids(fresh, ["path"], marks["documents"], folder=f"{self.base}/work", weight="chunk_count")
+        fresh = placed.select(*columns)
         replaced = old_docs.join(fresh.select("path"), "path", "left_semi").select(F.col("id").alias("key"))
         if prune_against is not None:
             replaced = replaced.union(missing(old_docs.join(fresh.select("path"), "path", "left_anti"), prune_against).select("id"))
         replaced = self.kept(replaced, "replaced")
         n_new, failed = fresh.count(), not accept and not result.filter(F.col("status") == FAILED).isEmpty()
         if not failed and (rebuild or n_new or not replaced.isEmpty()):
-            chunks = assign_ids(pieces.join(fresh.select("path", F.col("id").alias("document_id")), "path"), ["path", "ordinal"], marks["chunks"], folder=f"{self.base}/work")
+            # a document's chunks are numbered on from those of all documents before it
+            within = F.row_number().over(Window.partitionBy("path").orderBy("ordinal"))
+            chunks = pieces.join(placed.select("path", F.col("id").alias("document_id"), "before"), "path").withColumn("id", (F.lit(marks["chunks"]) + F.col("before") + within).cast("long"))
             chunks = chunks.select(*[c.split()[0] for c in CHUNKS.split(", ")])
-            vectors = chunks.select(F.col("id").alias("chunk_id"), embed(embed_text(F.col("text"), F.col("heading_path"))).cast("array<float>").alias("embedding"))
-            high = {"documents": marks["documents"] + n_new, "chunks": marks["chunks"] + chunks.count()}
+            vectors = lambda c: c.select(F.col("id").alias("chunk_id"), embed(embed_text(F.col("text"), F.col("heading_path"))).cast("array<float>").alias("embedding"), "document_id")
+            n_chunks = fresh.agg(F.coalesce(F.sum("chunk_count"), F.lit(0)).alias("n")).first()["n"]
+            high = {"documents": marks["documents"] + n_new, "chunks": marks["chunks"] + n_chunks}
             self.commit(fresh, chunks, vectors, high, None if rebuild else replaced, rebuild)
         return result
 
@@ -213,7 +236,7 @@ class IndexStore(RunStore):
     def kept(self, df: DataFrame, name: str) -> DataFrame:
         """`df` written once beside the index, so a lost executor changes neither ids nor counts; vacuum() removes it."""
         path = f"{self.base}/work/{uuid.uuid4().hex}-{name}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def vacuum(self, min_age_s: float = 86_400.0) -> list[str]:

@@ -6,6 +6,7 @@ import json
 import math
 import time
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -134,13 +135,16 @@ class RunStore:
     def read(self, name: str) -> DataFrame:
         return self.live(name, self.log.current() or self.fresh())
 
-    def add_run(self, state: dict, rows: dict[str, DataFrame], deleted: DataFrame | None = None, number: int | None = None) -> dict:
-        """Writes a run and returns what a pointer says of it; readers do not see it yet. deleted: a column key."""
+    def add_run(self, state: dict, rows: dict[str, DataFrame | Callable[[dict], DataFrame]], deleted: DataFrame | None = None, number: int | None = None) -> dict:
+        """Writes a run and returns what a pointer says of it; readers do not see it yet. deleted: a column key. Rows may be a function of the run's tables that are written before them."""
         run = {"run": f"{number or state['next']:012d}-{uuid.uuid4().hex[:12]}", "rows": {}}
+        written: dict[str, DataFrame] = {}
         for name, df in [*rows.items(), *([("deleted", deleted.select(F.col("key").cast("long")).distinct())] if deleted is not None else [])]:
             at = f"{self.base}/{name}/run={run['run']}"
-            df.write.parquet(at)
-            run["rows"][name] = self.spark.read.schema(df.schema).parquet(at).count()
+            df = df(written) if callable(df) else df
+            df.write.option("compression", "zstd").parquet(at)
+            written[name] = self.spark.read.schema(df.schema).parquet(at)
+            run["rows"][name] = written[name].count()
         return run
 
     def append(self, rows: dict[str, DataFrame], deleted: DataFrame | None = None, more: dict | None = None, replace: bool = False) -> dict:

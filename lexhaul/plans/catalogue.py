@@ -390,8 +390,10 @@ def merged_index(spark, sf_dir):
     put(docs.limit(0), prune_against=docs.filter("doc_id % 7 <> 0"))
     store.compact(2)
     put(docs.filter("doc_id % 35 = 0 AND doc_id % 3 <> 0").unionByName(changed.filter("doc_id % 35 = 0")))
-    chunks = store.read("chunks").join(store.read("documents").select(F.col("id").alias("document_id"), "path"), "document_id")
-    return chunks.join(store.read("vectors"), chunks["id"] == F.col("chunk_id")).select("path", "ordinal", F.sha2("text", 256).alias("text_sha256"), "token_count", F.get("embedding", F.lit(0)).cast("long").alias("embedded"))
+    chunks = store.read("chunks").select(F.col("id").alias("chunk_id"), "document_id", "ordinal", F.unhex(F.sha2("text", 256)).alias("_sha"), "token_count")  # no text moves
+    vectors = store.read("vectors").select("chunk_id", F.get("embedding", F.lit(0)).cast("long").alias("embedded"))
+    found = chunks.join(vectors, "chunk_id").join(store.read("documents").select(F.col("id").alias("document_id"), "path"), "document_id")
+    return found.select("path", "ordinal", F.lower(F.hex("_sha")).alias("text_sha256"), "token_count", "embedded")
 
 
 @query(f"WITH n AS (SELECT l.path, l.n_chunks FROM ({LISTED}) l WHERE l.path NOT IN (SELECT path FROM ({STORED}))) SELECT path, 1000000 + row_number() OVER (ORDER BY substr(sha256(path), 1, 2), path) AS id FROM n")

@@ -95,3 +95,16 @@ def test_many_queries_meet_all_rows_in_blocks(spark):
     whole, blocks = vectors.knn_batch(v, q, 4), vectors.knn_batch(v, q, 4, block=3, rows_per_block=10)
     assert rows(whole) == rows(blocks) and "Cartesian" not in plan(blocks)
     assert len(re.findall(r"^\(\d+\) Generate", plan(blocks), re.M)) == 2  # in the first and the final plan: only queries are copied
+
+
+def test_texts_of_an_ingest_are_written_as_pieces_only(spark, tmp_path):
+    """Ids are made from paths and counts; the numbers are those of all chunks in the order of their documents."""
+    store = IndexStore(spark, f"{tmp_path}/i", "stub", 2)
+    rows = [(f"{k}.md", f"# a\ntext {k}\n# b\nmore") for k in range(20)]
+    store.ingest(files(spark, [*rows, rows[3]]).repartition(3), embed)
+    work = [p for p in (tmp_path / "i" / "work").iterdir() if p.is_dir()]
+    assert [p.name.rpartition("-")[2] for p in work if "text" in spark.read.parquet(str(p)).columns] == ["pieces"]
+    found = store.read("chunks").join(store.read("documents").select(F.col("id").alias("document_id"), "path"), "document_id").withColumn("hash", index.id_order(F.col("path"))).orderBy("hash", "path", "ordinal").collect()
+    assert [r.id for r in found] == list(range(1, len(found) + 1)) and len(found) > 20
+    numbers = index.numbered(spark.createDataFrame([(k, k % 3) for k in range(30)], "k long, w int"), ["k"], 5, folder=str(tmp_path), parts=4, weight="w").orderBy("k").collect()
+    assert [(r.id, r.before) for r in numbers] == [(6 + k, sum(j % 3 for j in range(k))) for k in range(30)]
