@@ -8,7 +8,7 @@ again with the state that it begins with. A single huge document is dealt over t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexhaul.functions import text as T
@@ -24,12 +24,12 @@ ROW = rf"^[{T.WS}]*\|.*\|[{T.WS}]*$"
 OUT, TICKS, TILDES = 0, 1, 2
 
 
-def lines(docs: DataFrame, id_col: str, text_col: str, segment: int = SEGMENT) -> DataFrame:
-    """_id, pos, line, seg of each line; a break at the very end opens no further line, null text has none."""
-    whole = F.split(F.col(text_col), BREAK)
-    kept = F.when(F.element_at(whole, -1) == "", F.slice(whole, F.lit(1), F.size(whole) - 1)).otherwise(whole)
-    rows = docs.select(F.col(id_col).alias("_id"), F.posexplode(kept).alias("pos", "line"))
-    return rows.withColumn("seg", F.floor(F.col("pos") / segment).cast("int"))
+def segments(docs: DataFrame, id_col: str, text_col: str, segment: int = SEGMENT) -> DataFrame:
+    """_id, n (how many segments the text has), seg, lines of each segment; a break at the very end opens no further line, null text has none."""
+    rows = docs.select(F.col(id_col).alias("_id"), F.split(F.col(text_col), BREAK).alias("whole")).filter("whole IS NOT NULL")
+    rows = rows.withColumn("size", F.size("whole") - (F.element_at("whole", -1) == "").cast("int"))
+    rows = rows.withColumn("n", F.ceil(F.col("size") / segment).cast("int")).filter("n > 0")
+    return rows.select("_id", "n", "whole", "size", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("seg")).select("_id", "n", "seg", F.slice("whole", F.col("seg") * segment + 1, F.least(F.lit(segment), F.col("size") - F.col("seg") * segment)).alias("lines"))
 
 
 def fence(line: Column) -> Column:
@@ -43,25 +43,61 @@ def follow(state: Column, mark: Column) -> Column:
     return F.when(state == OUT, mark).when(state == mark, OUT).otherwise(state)
 
 
-def roles(rows: DataFrame) -> DataFrame:
-    """Adds `before`, the state that each line of lines() begins with. What moves between tasks beside the lines is a row for each segment that has fences."""
-    marks = rows.withColumn("mark", fence(F.col("line"))).filter("mark IS NOT NULL")
-    own = marks.groupBy("_id", "seg").agg(F.array_sort(F.collect_list(F.struct("pos", "mark"))).alias("marks"))
-    run = lambda start: F.aggregate("marks", F.lit(start), lambda s, m: follow(s, m["mark"]))
-    functions = own.select("_id", "seg", F.array(*[run(s) for s in (OUT, TICKS, TILDES)]).alias("f"))
-    seen = Window.partitionBy("_id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.aggregate(F.collect_list("f").over(seen), F.lit(OUT), lambda s, f: F.get(f, s))
-    entered = functions.withColumn("start", start).join(own, ["_id", "seg"])
-    after = F.aggregate("marks", F.struct("start", F.array().cast("array<int>").alias("all")), lambda a, m: F.struct(follow(a["start"], m["mark"]).alias("start"), F.concat(a["all"], F.array(follow(a["start"], m["mark"]))).alias("all")))["all"]
-    changes = entered.select("_id", "seg", F.explode(F.arrays_zip("marks", after.alias("after"))).alias("x")).select("_id", F.col("seg"), F.col("x.marks.pos").alias("pos"), F.col("x.after").alias("after"))
-    # the state that a segment begins with: that of the last segment before it that has fences
-    back = Window.partitionBy("_id").orderBy("seg")
-    segments = rows.select("_id", "seg").distinct().join(entered.select("_id", "seg", F.get("f", F.col("start")).alias("end")), ["_id", "seg"], "left")
-    begins = segments.select("_id", "seg", F.coalesce(F.last("end", True).over(back.rowsBetween(Window.unboundedPreceding, -1)), F.lit(OUT)).alias("start"))
-    inside = Window.partitionBy("_id", "seg").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    turned = changes.groupBy("_id", "seg").agg(F.map_from_entries(F.collect_list(F.struct("pos", "after"))).alias("turns"))
-    joined = rows.join(begins, ["_id", "seg"]).join(turned, ["_id", "seg"], "left").withColumn("turn", F.element_at("turns", F.col("pos"))).drop("turns")
-    return joined.withColumn("before", F.coalesce(F.last("turn", True).over(inside), F.col("start"))).drop("turn", "start")
+def marked(rows: DataFrame) -> DataFrame:
+    """Adds marks, the fence lines of a segment (pos, mark), and plain, the kind that each line has outside of code."""
+    kind = lambda x: (
+        F.when(F.regexp_like(x, F.lit(TITLE)), "heading")
+        .when(F.regexp_like(x, F.lit(ROW)), "tabelle")
+        .when(F.regexp_like(x, F.lit(f"[^{T.WS}]")), "prosa")
+        .otherwise("")
+    )
+    marks = F.filter(F.transform("lines", lambda x, i: F.struct(i.alias("pos"), fence(x).alias("mark"))), lambda m: m["mark"].isNotNull())
+    return rows.withColumns({"marks": marks, "plain": F.transform("lines", kind)})
+
+
+def walked(rows: DataFrame, start: Column) -> DataFrame:
+    """Adds, for segments of marked() that begin in the state `start`: end (the state after them), before (the state that each line begins with) and kinds.
+
+    The state changes at fences only, so states stand in stretches between them.
+    """
+    after = F.aggregate("marks", F.struct(start.alias("s"), F.array().cast("array<int>").alias("all")), lambda a, m: T.let(follow(a["s"], m["mark"]), lambda t: F.struct(t.alias("s"), F.concat(a["all"], F.array(t)).alias("all"))))["all"]
+    rows = rows.withColumn("states", F.concat(F.array(start), after))
+    rows = rows.withColumn("cuts", F.concat(F.array(F.lit(-1)), F.transform("marks", lambda m: m["pos"]), F.array(F.size("lines") - 1)))
+    rows = rows.withColumn("before", F.flatten(F.transform("states", lambda s, i: F.array_repeat(s, F.get("cuts", i + 1) - F.get("cuts", i)))))
+    # a fence line is code in any state
+    fences = F.flatten(F.transform("states", lambda s, i: T.let(F.get("cuts", i + 1) - F.get("cuts", i), lambda n: F.when(n > 0, F.concat(F.array_repeat(F.lit(False), n - 1), F.array(i < F.size("marks")))).otherwise(F.array().cast("array<boolean>")))))
+    rows = rows.withColumn("fences", fences)
+    kinds = F.transform(F.arrays_zip("before", "fences", "plain"), lambda x: F.when((x["before"] != OUT) | x["fences"], "code").otherwise(x["plain"]))
+    return rows.withColumn("end", F.element_at("states", -1)).withColumn("kinds", kinds)
+
+
+def opened(rows: DataFrame, left: Column) -> DataFrame:
+    """Adds starts, the places in a segment where a block begins, if the line before the segment is of kind `left`."""
+    new = lambda k, i: F.when(k == "", False).when(k == "code", F.get("before", i) == OUT).when(k == "heading", True).otherwise(k != F.when(i == 0, left).otherwise(F.get("kinds", i - 1)))
+    return rows.withColumn("starts", F.filter(F.transform("kinds", lambda k, i: F.when(new(k, i), i)), lambda i: i.isNotNull()))
+
+
+def entered(rows: DataFrame) -> DataFrame:
+    """_id, seg, start, left, offset of the segments of texts that have several: state, kind of the last line and number of blocks before them.
+
+    Each segment is summed up for every state that it may begin with; a text's few sums are folded in order.
+    """
+    sums = rows
+    for s in (OUT, TICKS, TILDES):
+        sums = opened(walked(sums, F.lit(s)), F.lit("")).withColumn(f"s{s}", F.struct("end", F.element_at("kinds", -1).alias("final"), F.get("kinds", F.lit(0)).alias("first"), F.get("before", F.lit(0)).alias("before"), F.size("starts").alias("n"))).select("_id", "n", "seg", "lines", "marks", "plain", *[f"s{k}" for k in range(s + 1)])
+    own = sums.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct("seg", F.array("s0", "s1", "s2").alias("of")))).alias("all"))
+    zero = F.struct(F.lit(OUT).alias("start"), F.lit("").alias("left"), F.lit(0).alias("offset"), F.array().cast("array<struct<seg:int,start:int,left:string,offset:int>>").alias("out"))
+
+    def step(a: Column, x: Column) -> Column:
+        def with_sum(s: Column) -> Column:
+            # of the first line counted as if nothing stood before it: table rows and prose may go on with a block
+            goes_on = s["first"].isin("tabelle", "prosa") & (s["first"] == a["left"])
+            out = F.concat(a["out"], F.array(F.struct(x["seg"].alias("seg"), a["start"].alias("start"), a["left"].alias("left"), a["offset"].alias("offset"))))
+            return F.struct(s["end"].alias("start"), s["final"].alias("left"), (a["offset"] + s["n"] - goes_on.cast("int")).alias("offset"), out.alias("out"))
+
+        return T.let(F.get(x["of"], a["start"]), with_sum)
+
+    return own.select("_id", F.explode(F.aggregate("all", zero, step)["out"]).alias("x")).select("_id", "x.*")
 
 
 def blocks(docs: DataFrame, id_col: str, text_col: str, segment: int = SEGMENT) -> DataFrame:
@@ -69,32 +105,29 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, segment: int = SEGMENT)
 
     Fenced code runs to its closing fence or the end; table rows and other lines that follow each other are one block; a
     heading is one, without its marks; blank lines end what is open. Null and blank texts have no block. Ids have to
-    be unique and not null: rows of one id would be read as one text.
+    be unique and not null: rows of one id would be read as one text. A text of one segment never leaves its task; of the others
+    segments meet what they begin with, and pieces of blocks that cross segments meet each other.
     """
-    rows = roles(lines(docs, id_col, text_col, segment))
-    line = F.col("line")
-    kind = (
-        F.when((F.col("before") != OUT) | fence(line).isNotNull(), "code")
-        .when(F.regexp_like(line, F.lit(TITLE)), "heading")
-        .when(F.regexp_like(line, F.lit(ROW)), "tabelle")
-        .when(F.regexp_like(line, F.lit(f"[^{T.WS}]")), "prosa")
-        .otherwise("")
-    )
-    rows = rows.withColumn("kind", kind)
-    inside = Window.partitionBy("_id", "seg").orderBy("pos")
-    # within a segment a line opens a block if the one before is of another kind; of its first line the segment before decides
-    opens = lambda last: (F.col("kind") != "") & (F.when(F.col("kind") == "code", F.col("before") == OUT).when(F.col("kind") == "heading", F.lit(True)).otherwise(F.col("kind") != last))
-    rows = rows.withColumn("last", F.lag("kind").over(inside)).withColumn("new", F.coalesce(opens(F.col("last")), F.lit(False)).cast("int"))
-    ends = rows.groupBy("_id", "seg").agg(F.sum("new").alias("n"), F.min_by(F.struct("kind", "before"), "pos").alias("first"), F.max_by("kind", "pos").alias("final"), F.min_by("new", "pos").alias("own"))
-    across = Window.partitionBy("_id").orderBy("seg")
-    first = F.col("first.kind")
-    ends = ends.withColumn("left", F.coalesce(F.lag("final").over(across), F.lit("")))
-    begins = (first != "") & F.when(first == "code", F.col("first.before") == OUT).when(first == "heading", F.lit(True)).otherwise(first != F.col("left"))
-    ends = ends.withColumn("more", begins.cast("int") - F.col("own")).withColumn("total", F.col("n") + F.col("more"))
-    ends = ends.withColumn("offset", F.coalesce(F.sum("total").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col("more"))
-    numbered = rows.join(ends.select("_id", "seg", "offset"), ["_id", "seg"]).withColumn("block", (F.sum("new").over(inside) + F.col("offset") - 1).cast("int"))
-    shown = F.when(F.col("kind") == "tabelle", F.regexp_replace(line, f"[{T.WS}]+$", "")).when(F.col("kind") == "heading", T.strip(F.regexp_extract(line, TITLE, 2))).otherwise(line)
-    level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(line, TITLE, 1))).otherwise(0)
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "shown"))), lambda x: x["shown"]), "\n")
-    out = numbered.filter("kind <> ''").withColumn("shown", shown).groupBy("_id", "block").agg(F.first("kind").alias("kind"), F.max(level).alias("level"), whole.alias("text"))
+    rows = segments(docs, id_col, text_col, segment)
+    names = ["_id", "n", "seg", "lines", "marks", "plain"]
+    single = marked(rows.filter("n = 1")).select(*names, F.lit(OUT).alias("start"), F.lit("").alias("left"), F.lit(0).alias("offset"))
+    several = marked(rows.filter("n > 1"))
+    several = several.join(entered(several), ["_id", "seg"]).select(*names, "start", "left", "offset")
+
+    def pieces(found: DataFrame) -> DataFrame:
+        """_id, block, seg, kind, level, text of what each segment has of a block."""
+        found = opened(walked(found, F.col("start")), F.col("left"))
+        found = found.withColumn("bounds", F.concat(F.when(F.coalesce(F.get("starts", F.lit(0)) > 0, F.lit(True)), F.array(F.lit(0))).otherwise(F.array().cast("array<int>")), "starts", F.array(F.size("lines"))))
+        # lines before the first start go on with the last block of the segment before
+        found = found.withColumn("offset", F.col("offset") - F.coalesce(F.get("starts", F.lit(0)) > 0, F.lit(True)).cast("int"))
+        shown = F.transform(F.arrays_zip("lines", "kinds"), lambda x: F.when(x["kinds"] == "tabelle", F.regexp_replace(x["lines"], f"[{T.WS}]+$", "")).when(x["kinds"] == "heading", T.strip(F.regexp_extract(x["lines"], TITLE, 2))).when(x["kinds"] != "", x["lines"]))
+        found = found.withColumn("shown", shown)
+        found = found.select("_id", "seg", "offset", "lines", "kinds", "shown", "bounds", F.posexplode(F.slice("bounds", F.lit(1), F.size("bounds") - 1)).alias("k", "at"))
+        kept = F.filter(F.slice("shown", F.col("at") + 1, F.get("bounds", F.col("k") + 1) - F.col("at")), lambda x: x.isNotNull())
+        found = found.select("_id", (F.col("offset") + F.col("k")).alias("block"), "seg", F.get("kinds", F.col("at")).alias("kind"), F.get("lines", F.col("at")).alias("line"), kept.alias("kept")).filter(F.size("kept") > 0)
+        return found.select("_id", "block", "seg", "kind", F.when(F.col("kind") == "heading", F.length(F.regexp_extract("line", TITLE, 1))).otherwise(0).alias("level"), F.array_join("kept", "\n").alias("text"))
+
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seg", "text"))), lambda x: x["text"]), "\n")
+    met = pieces(several).groupBy("_id", "block").agg(F.max("kind").alias("kind"), F.max("level").alias("level"), whole.alias("text"))
+    out = pieces(single).drop("seg").unionByName(met)
     return out.select(F.col("_id").alias(id_col), "block", "kind", "level", F.when(F.col("kind") == "prosa", T.strip(F.col("text"))).otherwise(F.col("text")).alias("text"))

@@ -33,3 +33,11 @@ def test_blocks_equal_a_walk_over_lines(spark, texts, segment):
 def test_states_compose(spark):
     rows = spark.createDataFrame([(s, m) for s in range(3) for m in (1, 2)], "s int, m int").withColumn("t", B.follow(F.col("s"), F.col("m")))
     assert {(r.s, r.m): r.t for r in rows.collect()} == {(0, 1): 1, (0, 2): 2, (1, 1): 0, (1, 2): 1, (2, 1): 2, (2, 2): 0}
+
+
+def test_lines_of_texts_of_one_segment_are_not_shuffled(spark, texts):
+    """No window over lines, and what is exchanged are segments of texts that have several."""
+    df = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    plan = B.blocks(df, "doc_id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    first, second = plan.split("\n:- ")[1].split("\n+- ")
+    assert "Window" not in plan and not any(x in first for x in ("Join", "Aggregate [", "Sort", "Repartition")) and "Join" in second
