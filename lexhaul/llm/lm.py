@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +18,9 @@ from lexhaul.llm.common import Scratch, map_arrow
 from lexhaul.llm.jaccard import LOWER
 
 TOKEN = re.compile(rb"[a-z0-9\x80-\xff]+|[^\sa-z0-9\x80-\xff]")
+BLANK = b" \t\n\r\f\v"
+#: What TOKEN sees in a byte, A-Z as a-z: 0 blank, 1 of a word, 2 a token of its own.
+KIND = bytes(0 if bytes([k]) in [BLANK[i : i + 1] for i in range(6)] else 1 if k >= 128 or chr(k).isalnum() else 2 for k in range(256))
 #: Classes of frequent words of their own, classes of other words by hash of their ending, and the class of a text's edge.
 OWN, SHARED = 63, 64
 EDGE, CLASSES = OWN + SHARED, OWN + SHARED + 1
@@ -28,6 +32,37 @@ def tokens_of(text: str) -> list[bytes]:
     return TOKEN.findall(text.encode("utf-8", "surrogatepass").translate(LOWER))
 
 
+def portions(texts: pa.Array, most: int = 1 << 22) -> Iterator[pa.Array]:
+    """Neighbouring texts (or other values with bytes) of about `most` bytes together; a longer one alone."""
+    sizes, at = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64), 0
+    ends = np.cumsum(sizes)
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(ends, (ends[at] - sizes[at]) + most, side="right")))
+        yield texts.slice(at, end - at)
+        at = end
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Different tokens of all texts, each token's place among them, and where each text's tokens begin and end.
+
+    The tokens of a text are those of tokens_of(), null counts as empty; bytes are looked at all at once, not text by text.
+    """
+    texts = texts.cast(pa.binary()) if texts.null_count == 0 else texts.cast(pa.binary()).fill_null(b"")
+    buffers, n = texts.buffers(), len(texts)
+    edges = np.frombuffer(buffers[1], np.int32)[texts.offset : texts.offset + n + 1] if n else np.zeros(1, np.int32)
+    raw = buffers[2][int(edges[0]) : int(edges[-1])].to_pybytes() if buffers[2] is not None else b""
+    edges = edges - edges[0]
+    kind = np.frombuffer(raw.translate(KIND), np.uint8)
+    word, begins = kind == 1, kind == 2
+    begins[1:] |= word[1:] & ~word[:-1]
+    opening = edges[edges < len(kind)]
+    begins[opening] |= word[opening]
+    ink = np.frombuffer(raw.translate(LOWER, BLANK), np.uint8)  # without blanks a token ends where the next one begins
+    at = np.append(np.flatnonzero(begins[kind > 0]), len(ink)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(ink)]).dictionary_encode()
+    return found.dictionary, found.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(np.flatnonzero(begins), edges)
+
+
 def shared_class(word: bytes) -> int:
     return OWN + zlib.crc32(word[-3:]) % SHARED
 
@@ -47,36 +82,26 @@ class Vocabulary:
     least: int = 0
     share: int = 0
 
-    def __post_init__(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.names: list[bytes] = []
-        self.kinds, self.logs, self.known = np.zeros(0, np.int64), np.zeros(0), np.zeros(0, bool)
-
     def class_of(self, word: bytes) -> int:
         k = self.own.get(word)
         return shared_class(word) if k is None else k
 
-    def numbered(self, words: list[bytes]) -> np.ndarray:
-        """Each word's place in kinds, logs (of a word that is not held: without its count) and known, kept for words seen before."""
-        at = self.at
-        if len(at) > 400_000:
-            at.clear()
-            self.names.clear()
-        new = list(set(words).difference(at))
-        if new:
-            kinds, n = np.array([self.class_of(w) for w in new]), np.array([self.counts.get(w, 0) for w in new])
-            first, last = len(at), len(at) + len(new)
-            if last > len(self.kinds):
-                self.kinds, self.logs, self.known = (np.concatenate([x[:first], np.zeros(2 * last - first, x.dtype)]) for x in (self.kinds, self.logs, self.known))
-            self.kinds[first:last], self.logs[first:last], self.known[first:last] = kinds, np.log(np.maximum(n, 1)) - np.log(self.totals[kinds] + 1), n > 0
-            at.update(zip(new, range(first, last), strict=True))
-            self.names += new
-        return np.fromiter(map(at.__getitem__, words), np.int64, len(words))
-
-    def encode(self, words: list[bytes]) -> np.ndarray:
-        """Class of each word."""
-        where = self.numbered(words)
-        return self.kinds[where]
+    @cached_property
+    def laid_out(self) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+        """The words of `counts`, their classes and log P(word | class)."""
+        kinds, n = np.array([self.class_of(w) for w in self.counts], np.uint8), np.array(list(self.counts.values()), np.float64)
+        return pa.array(list(self.counts), pa.binary()), kinds, np.log(np.maximum(n, 1)) - np.log(self.totals[kinds] + 1)
+
+    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of different words: the class, log P(word | class) (of a word that is not held: without its count), whether it is held."""
+        names, all_kinds, all_logs = self.laid_out
+        place = pc.fill_null(pc.index_in(words, value_set=names), -1).to_numpy(zero_copy_only=False)
+        known, kinds, logs = place >= 0, np.zeros(len(words), np.uint8), np.zeros(len(words))
+        kinds[known], logs[known] = all_kinds[place[known]], all_logs[place[known]]
+        others = words.filter(pa.array(~known)).to_numpy(zero_copy_only=False)
+        kinds[~known] = of = np.array([self.class_of(w) for w in others], np.uint8)
+        logs[~known] = -np.log(self.totals[of] + 1)
+        return kinds, logs, known
 
     def spelled(self, word: Column) -> Column:
         """Log of the byte model's share of one count, for a word that no document of the counts has."""
@@ -115,58 +140,75 @@ class Network:
 
     def hidden(self, padded: np.ndarray, where: np.ndarray) -> np.ndarray:
         """Hidden values of the tokens at `where`, indexes into classes padded by SIDE edges on both sides."""
-        h = np.repeat(self.hidden_bias[None], len(where), 0)
-        for t, k in enumerate(OFFSETS):
-            h += self.tables[t][padded[where + k]]
-        return np.tanh(h)
+        h = self.tables[0].take(padded[where], axis=0)
+        for t, k in enumerate(OFFSETS[1:], 1):
+            h += self.tables[t].take(padded[where + k], axis=0)
+        h += self.hidden_bias
+        return np.tanh(h, out=h)
 
     def logs(self, padded: np.ndarray, where: np.ndarray) -> np.ndarray:
         """log P(class of the token | both sides)."""
         return Scorer(self).logs(padded, where)
 
     def train(self, padded: np.ndarray, where: np.ndarray, memory: list[np.ndarray], rate: float = 0.05) -> None:
-        """One Adagrad step on the tokens at `where`. Gradients of the tables are sums over rows sorted by place and class."""
-        n, y = len(where), padded[where + SIDE]
-        at = np.concatenate([padded[where + k] + t * CLASSES for t, k in enumerate(OFFSETS)])
-        h = self.tables.reshape(-1, HIDDEN).take(at, axis=0).reshape(2 * SIDE, n, HIDDEN).sum(axis=0)
-        h += self.hidden_bias
-        np.tanh(h, out=h)
-        p = h @ self.out
-        p += self.out_bias
+        """One Adagrad step on the tokens at `where`.
+
+        A class gets the same neighbours' gradients at all places of the window, so positions are sorted by class
+        once, with the gradients of all places in a row, and the rows of a class are added by a product with ones.
+        """
+        n, at, scores = len(where), where + SIDE, np.concatenate([self.out, self.out_bias[None]])
+        h = self.hidden(padded, where)
+        p = np.concatenate([h, np.ones((n, 1), np.float32)], axis=1) @ scores
         if np.abs(self.out).sum(axis=0).max() + np.abs(self.out_bias).max() >= 80:  # as in Scorer
             p -= p.max(axis=1, keepdims=True)
         np.exp(p, out=p)
-        p *= (1 / (n * p.sum(axis=1, keepdims=True))).astype(np.float32)
-        p[np.arange(n), y] -= np.float32(1 / n)
-        back = (p @ self.out.T) * (1 - h * h)
-        order = at.astype(np.uint16).argsort(kind="stable")
-        first = np.flatnonzero(np.diff(at[order], prepend=-1))
-        tables = np.zeros((2 * SIDE * CLASSES, HIDDEN), np.float32)
-        tables[at[order[first]]] = np.add.reduceat(back.take(order % n, axis=0), first, axis=0)
-        for part, grad, sums in zip(self.parts(), [tables.reshape(self.tables.shape), back.sum(axis=0), h.T @ p, p.sum(axis=0)], memory, strict=True):
-            sums += grad * grad
-            part -= rate * grad / np.sqrt(sums + 1e-8)
+        ones = np.ones(max(CLASSES, len(padded)), np.float32)
+        total = p @ ones[:CLASSES]
+        p.ravel()[np.arange(0, n * CLASSES, CLASSES) + padded[at]] -= total  # the gradient, times n and the total of its row
+        scale = 1 / (n * total)
+        back = p @ self.out.T
+        back *= scale[:, None]
+        out, out_bias = (h * scale[:, None]).T @ p, scale @ p
+        h *= h
+        back *= np.subtract(1, h, out=h)
+        wide = np.zeros((len(padded) + 2 * SIDE, HIDDEN), np.float32)
+        wide[at + SIDE] = back
+        kinds = padded.astype(np.uint8)
+        order, ends = kinds.argsort(kind="stable"), [0, *np.cumsum(np.bincount(kinds, minlength=CLASSES)).tolist()]
+        near = np.lib.stride_tricks.as_strided(wide, (len(padded), (2 * SIDE + 1) * HIDDEN), wide.strides)
+        sums = np.zeros((CLASSES, near.shape[1]), np.float32)
+        for some in range(0, CLASSES, 16):  # rows of 16 classes fit the processor's cache
+            rows = near[order[ends[some] : ends[some + 16]]]
+            for k in range(some, some + 16):
+                first, last = ends[k] - ends[some], ends[k + 1] - ends[some]
+                if last > first:
+                    np.dot(ones[first:last], rows[first:last], out=sums[k])
+        tables = sums.reshape(CLASSES, -1, HIDDEN)[:, [2 * SIDE - k for k in OFFSETS]].transpose(1, 0, 2)
+        for part, grad, squares in zip(self.parts(), [tables, back.sum(axis=0), out, out_bias], memory, strict=True):
+            step = grad * grad
+            squares += step
+            np.sqrt(np.add(squares, 1e-8, out=step), out=step)
+            np.divide(grad, step, out=step)
+            step *= rate
+            part -= step
 
 
 class Scorer:
-    """A network laid out for scoring: tables of two neighbouring places in one, biases as weights, scores shifted and no maximum to take before exp while the weights are moderate."""
+    """A network laid out for scoring: biases as weights, scores shifted and no maximum to take before exp while the weights are moderate."""
 
     def __init__(self, net: Network) -> None:
-        t, bias = net.tables, net.hidden_bias
-        self.pairs = [(i, j, (t[OFFSETS.index(i)][:, None] + t[OFFSETS.index(j)][None] + (bias if not i else 0)).reshape(-1, HIDDEN)) for i, j in ((0, 1), (2, 4), (5, 6))]
+        self.net = net
         self.out = np.concatenate([net.out, net.out_bias[None]]).astype(np.float32)
         self.safe = bool(np.abs(net.out).sum(axis=0).max() + np.abs(net.out_bias).max() < 80)  # the largest score there can be; exp of a float32 holds 88
         self.ones = np.ones(CLASSES, np.float32)
 
     def logs(self, padded: np.ndarray, where: np.ndarray) -> np.ndarray:
-        h = np.empty((len(where), HIDDEN + 1), np.float32)
-        total = sum(np.take(table, padded[where + i] * CLASSES + padded[where + j], axis=0) for i, j, table in self.pairs)
-        np.tanh(total, out=h[:, :HIDDEN])
-        h[:, HIDDEN] = 1
+        h = np.ones((len(where), HIDDEN + 1), np.float32)
+        h[:, :HIDDEN] = self.net.hidden(padded, where)
         s = h @ self.out
         if not self.safe:
             s -= s.max(axis=1, keepdims=True)
-        own = s[np.arange(len(where)), padded[where + SIDE]]
+        own = s.ravel()[np.arange(0, len(where) * CLASSES, CLASSES) + padded[where + SIDE]]
         return own - np.log(np.exp(s, out=s) @ self.ones)
 
 
@@ -174,19 +216,23 @@ def word_counts(docs: DataFrame, text_col: str, scratch: Scratch) -> DataFrame:
     """word, n over every token of every document, repeated rows each time; each task adds up first and sends its counts on when it holds many words. Null and empty texts have no words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held, rows = [], 0
 
-        def sent() -> pa.RecordBatch:
-            out = pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
-            held.clear()
-            return out
+        def added() -> pa.Table:
+            return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])
 
         for b in batches:
-            for t in b.column(0).to_pylist():
-                held.update(tokens_of(t or ""))
-                if len(held) > 300_000:
-                    yield sent()
-        yield sent()
+            for texts in portions(b.column(0)):
+                words, at, _ = cut(texts)
+                held.append(pa.table({"word": words, "n": np.bincount(at, minlength=len(words))}))
+                rows += len(words)
+                if rows > 600_000:
+                    held, rows = [added()], 0
+                    if held[0].num_rows > 300_000:
+                        yield from held[0].to_batches()
+                        held = []
+        if held:
+            yield from added().to_batches()
 
     return scratch.write(map_arrow(docs.select(docs[text_col].alias("text")), run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "words")
 
@@ -256,17 +302,19 @@ def encode(docs: DataFrame, words: Vocabulary, scratch: Scratch, id_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = sent.value
         for b in batches:
-            kinds, sums, ends, rare, times = [], [], [0], [], []
-            for t in b.column(1).to_pylist():
-                at = vocabulary.numbered(tokens_of(t or ""))
-                kinds.append(vocabulary.kinds[at].astype(np.uint8).tobytes())
-                sums.append(float(vocabulary.logs[at].sum()))
-                others, n = np.unique(at[~vocabulary.known[at]], return_counts=True)
-                rare += [vocabulary.names[k] for k in others.tolist()]
-                times.append(n)
-                ends.append(len(rare))
-            flat = pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(np.concatenate([*times, np.zeros(0, np.int64)]), pa.int64())], ["word", "times"])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kinds, pa.binary()), pa.array(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], ["id", "kinds", "sum", "rare"])
+            done = 0
+            for texts in portions(b.column(1)):
+                words, at, ends = cut(texts)
+                n, text = len(texts), np.repeat(np.arange(len(texts)), np.diff(ends))
+                kinds, logs, known = (x[at] for x in vocabulary.look_up(words))
+                sums = np.bincount(text, weights=logs, minlength=n)
+                rare, times = np.unique((text * len(words) + at)[~known], return_counts=True)
+                of, word = np.divmod(rare, max(1, len(words)))
+                flat = pa.StructArray.from_arrays([words.take(pa.array(word)), pa.array(times, pa.int64())], ["word", "times"])
+                packed = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(kinds)])
+                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(of, np.arange(n + 1)), pa.int32()), flat)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n), packed, pa.array(sums, pa.float64()), lists], ["id", "kinds", "sum", "rare"])
+                done += n
 
     kind = docs.schema[id_col].dataType.simpleString()
     found = map_arrow(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")), run, f"id {kind}, kinds binary, sum double, rare array<struct<word:binary,times:long>>")
@@ -278,7 +326,7 @@ def pieces(kinds: np.ndarray, rounds: int, number: int, stretch: int) -> Iterato
 
     A text's stretches are dealt in turn, beginning with a round that its first tokens choose.
     """
-    padded = np.full(len(kinds) + 2 * SIDE, EDGE, np.int64)
+    padded = np.full(len(kinds) + 2 * SIDE, EDGE, np.uint8)
     padded[SIDE : SIDE + len(kinds)] = kinds
     begin = (number - zlib.crc32(kinds[:stretch].tobytes())) % rounds
     for at in range(begin * stretch, len(kinds), rounds * stretch):
@@ -314,9 +362,10 @@ def train_encoded(encoded: DataFrame, words: Vocabulary, rounds: int = 2, stretc
                 own_order = np.random.default_rng(seen).permutation(len(held))
                 for some in np.array_split(own_order, max(1, round(waiting / batch))):
                     if len(some):
-                        ends = np.cumsum([0, *(len(held[k]) for k in some)])
-                        where = np.concatenate([np.arange(a, b - 2 * SIDE) for a, b in zip(ends[:-1], ends[1:], strict=True)])
-                        own.train(np.concatenate([held[k] for k in some]), where, memory, rate)
+                        chosen = [held[k] for k in some.tolist()]
+                        sizes = np.array([len(x) for x in chosen]) - 2 * SIDE
+                        where = np.arange(sizes.sum()) + np.repeat(np.arange(0, 2 * SIDE * len(sizes), 2 * SIDE), sizes)
+                        own.train(np.concatenate(chosen).astype(np.int64), where, memory, rate)
 
             for b in batches:
                 for kinds in b.column(0):
@@ -365,17 +414,20 @@ def score_encoded(encoded: DataFrame, words: Vocabulary, net: Network, counts: D
     sent = encoded.sparkSession.sparkContext.broadcast(net.flat())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, edge = Scorer(Network.of(sent.value)), np.full(SIDE, EDGE, np.int64)
+        own = Scorer(Network.of(sent.value))
         for b in batches:
-            sizes, sums = [], []
-            for kinds, total in zip(b.column(2), b.column(3).to_pylist(), strict=True):
-                found = np.frombuffer(kinds.as_buffer(), np.uint8)
-                padded = np.concatenate([edge, found, edge])
-                for first in range(0, len(found), 1024):
-                    total += float(own.logs(padded, np.arange(first, min(first + 1024, len(found)))).sum())
-                sizes.append(len(found))
-                sums.append(total)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["row", "id", "n_tokens", "sum"])
+            done = 0
+            for texts in portions(b.column(2)):
+                n, joined = len(texts), [np.frombuffer(x.as_buffer(), np.uint8) for x in texts]
+                sizes = np.array([len(x) for x in joined])
+                edge = np.full(SIDE, EDGE, np.uint8)
+                padded = np.concatenate([edge, *(x for kinds in joined for x in (kinds, edge))]).astype(np.int64)  # neighbours share their edge
+                text = np.repeat(np.arange(n), sizes)
+                where = np.arange(len(text)) + SIDE * text
+                logs = [own.logs(padded, where[first : first + 2048]) for first in range(0, len(where), 2048)]
+                sums = b.column(3).slice(done, n).to_numpy() + np.bincount(text, weights=np.concatenate([np.zeros(0, np.float32), *logs]), minlength=n)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(done, n), b.column(1).slice(done, n), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["row", "id", "n_tokens", "sum"])
+                done += n
 
     kind = encoded.schema["id"].dataType.simpleString()
     part = map_arrow(encoded.select("row", "id", "kinds", "sum"), run, f"row long, id {kind}, n_tokens long, sum double")
